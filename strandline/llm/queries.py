@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, mixing, sharding, simhash
+from . import chat, fingerprint, mixing, packing, sharding, simhash, tokenfile
 from .common import table
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = mixing.mixed(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return given.select("row.doc_id", "source", "tokens", "pass", "block", "start", "place", "weight")
@@ -38,8 +44,17 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.pieces(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return packing.packed(found, carry=[F.crc32("ids").alias("ids_crc32")])
+
+
+def op10_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.read_back(tokenfile.stored(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mixing, op3_chat, op5_simhash, op6_sharding, op8_fingerprint)}
+    return {f.__name__: f for f in (op2_mixing, op3_chat, op5_simhash, op6_sharding, op8_fingerprint, op9_packing, op10_tokenfile)}
 
 
 def oracle_sql() -> dict[str, str]:
