@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, mixing, packing, sharding, simhash, tokenfile
+from . import chat, fingerprint, mixing, packing, quality, sharding, simhash, tokenfile, toxicity
 from .common import table
 
 
@@ -15,6 +15,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = mixing.mixed(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return given.select("row.doc_id", "source", "tokens", "pass", "block", "start", "place", "weight")
@@ -30,6 +34,10 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.round_trip(rows.unionByName(forged))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("code")), 16, "0").alias("fingerprint"), "component_id")
@@ -54,7 +62,7 @@ def op10_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mixing, op3_chat, op5_simhash, op6_sharding, op8_fingerprint, op9_packing, op10_tokenfile)}
+    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_chat, op4_quality, op5_simhash, op6_sharding, op8_fingerprint, op9_packing, op10_tokenfile)}
 
 
 def oracle_sql() -> dict[str, str]:
