@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, mixing, packing, quality, sharding, simhash, tokenfile, toxicity
+from . import ann, chat, fingerprint, mixing, packing, quality, sharding, simhash, tokenfile, toxicity
 from .common import table
 
 
@@ -48,6 +48,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -62,7 +66,7 @@ def op10_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_chat, op4_quality, op5_simhash, op6_sharding, op8_fingerprint, op9_packing, op10_tokenfile)}
+    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_chat, op4_quality, op5_simhash, op6_sharding, op7_ann, op8_fingerprint, op9_packing, op10_tokenfile)}
 
 
 def oracle_sql() -> dict[str, str]:
