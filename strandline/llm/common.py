@@ -65,7 +65,7 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, pa.
         lo = hi
 
 
-def chunked(texts: pa.Array, whitespace: bool) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def coded(texts: pa.Array, whitespace: bool) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Splits texts, at every space or else at runs of ASCII whitespace.
 
     Returns for each piece the row it is from and its place among the distinct
@@ -74,5 +74,10 @@ def chunked(texts: pa.Array, whitespace: bool) -> tuple[np.ndarray, np.ndarray,
     texts = pc.fill_null(texts, "")
     lists = pc.ascii_split_whitespace(texts) if whitespace else pc.split_pattern(texts, " ")
     rows = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
-    coded = pc.list_flatten(lists).dictionary_encode()
-    return rows.astype(np.int64), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+    found = pc.list_flatten(lists).dictionary_encode()
+    return rows.astype(np.int64), found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary
+
+
+def chunked(texts: pa.Array, whitespace: bool) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    rows, codes, pieces = coded(texts, whitespace)
+    return rows, codes, pieces.to_pylist()

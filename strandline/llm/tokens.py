@@ -14,17 +14,21 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import chunked
+from .common import coded
 
-#: Pieces, and ids of pieces, that a worker keeps.
-KEPT_PIECES, KEPT_IDS = 300_000, 4_000_000
+#: Pieces that a worker keeps; beyond them, those stay that it has met in several batches.
+KEPT = 600_000
 
 #: A space beside other white space: byte-level pre-tokenizers join such runs, so these texts are encoded whole.
 _RUN = r"[\s\x0b\x1c-\x1f\x{85}\x{180e}\p{Z}] | [\s\x0b\x1c-\x1f\x{85}\x{180e}\p{Z}]"
+#: Letters with signs after them: pre-tokenizers part these, so the letters and the signs are encoded by themselves.
+_PLAIN = r"^(?P<word> ?[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]+)(?P<signs>[!-&(-/:-@\[-`{-~]*)$"
+#: Stands between pieces that are encoded together, unless ids tell where they part; pieces of such a run.
+_DIVIDER, _RUN_PIECES = "\x00", 1000
 
 
 class Encoder:
-    """One tokenizer file. ``spaces``: its tokens begin at single spaces (byte-level); else white space only divides.
+    """One tokenizer file. ``spaces``: its tokens begin at single spaces (byte-level); else white space only divides, and case is folded.
 
     Strings of special tokens within a text are ordinary text.
     """
@@ -36,52 +40,100 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaces = spaces
-        self._clear()
-
-    def _clear(self) -> None:
+        vocabulary = self.tokenizer.get_vocab()
+        #: Ids that begin with a space (byte-level) or end a word, and the id that a divider alone gives.
+        self.marks, self.divides = (np.zeros(max(vocabulary.values()) + 1, bool) for _ in range(2))
+        self.marks[[i for t, i in vocabulary.items() if (t.startswith("\u0120") if spaces else t.endswith("</w>"))]] = True
+        if len(divider := self.whole([_DIVIDER])[0]) == 1:
+            self.divides[divider] = True
         self.known: dict[str, int] = {}
-        self.starts, self.counts = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.starts, self.counts, self.met = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.flat = np.zeros(0, np.uint32)
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _apart(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each piece), each piece encoded by itself."""
+        ids = self.whole(pieces)
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum())), counts
+
+    def _together(self, pieces: list[str], divided: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The same from runs of pieces, which costs less: ids tell where pieces part, or else they are encoded apart."""
+        join = f" {_DIVIDER} ".join if divided else "".join if self.spaces else " ".join
+        runs = [pieces[i : i + _RUN_PIECES] for i in range(0, len(pieces), _RUN_PIECES)]
+        out = []
+        for run, ids in zip(runs, self.whole([join(r) for r in runs]), strict=True):
+            found = np.array(ids, np.uint32)
+            at = np.flatnonzero((self.divides if divided else self.marks)[found])
+            if len(at) != len(run) - divided:
+                out.append(self._apart(run))
+            elif divided:
+                out.append((np.delete(found, at), np.diff(np.r_[-1, at, len(found)]) - 1))
+            else:
+                out.append((found, np.diff(np.r_[at, len(found)] if self.spaces else np.r_[-1, at])))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+    def _encoded(self, pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The pieces in some order, their ids and numbers of ids."""
+        if self.spaces:
+            ways = [([p for p in pieces if p[:1] == " "], lambda p: self._together(p, False)), ([p for p in pieces if p[:1] != " "], self._apart)]
+        else:
+            ways = [([p for p in pieces if p.isalpha()], lambda p: self._together(p, False)), ([p for p in pieces if not p.isalpha()], lambda p: self._together(p, True))]
+        parts = [(p, *way(p)) for p, way in ways if p]
+        return list(chain.from_iterable(p[0] for p in parts)), *(np.concatenate([p[i] for p in parts]) for i in (1, 2))
+
+    def _forget(self) -> None:
+        """Keeps what several batches had."""
+        stay = self.met > 1
+        if stay.sum() > KEPT // 2:
+            stay[:] = False
+        counts = self.counts[stay]
+        ends = np.cumsum(counts)
+        self.flat = self.flat[np.repeat(self.starts[stay] - (ends - counts), counts) + np.arange(int(counts.sum()))]
+        self.known = {p: i for i, p in enumerate(p for p, s in zip(self.known, stay.tolist(), strict=True) if s)}
+        self.starts, self.counts, self.met = ends - counts, counts, np.ones(len(counts), np.int32)
+
     def _slots(self, pieces: list[str]) -> np.ndarray:
-        if len(self.known) > KEPT_PIECES or self.used > KEPT_IDS:
-            self._clear()
         new = [p for p in pieces if p not in self.known]
         if new:
-            ids = self.whole(new)
-            counts = np.fromiter(map(len, ids), np.int64, len(ids))
-            first, total = len(self.known), int(counts.sum())
-            if first + len(new) > len(self.starts):
-                grown = max(2 * len(self.starts), first + len(new))
-                self.starts, self.counts = (np.resize(a, grown) for a in (self.starts, self.counts))
-            if self.used + total > len(self.flat):
-                self.flat = np.resize(self.flat, max(2 * len(self.flat), self.used + total))
-            self.counts[first : first + len(new)] = counts
-            self.starts[first : first + len(new)] = self.used + np.cumsum(counts) - counts
-            self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
-            self.used += total
-            self.known.update(zip(new, range(first, first + len(new)), strict=True))
-        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+            new, ids, counts = self._encoded(new)
+            self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(counts) - counts]
+            self.counts, self.met = np.r_[self.counts, counts], np.r_[self.met, np.zeros(len(new), np.int32)]
+            self.flat = np.r_[self.flat, ids]
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        slots = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        self.met[slots] += 1
+        return slots
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """uint32 ids of each text; a null is empty."""
         texts = pc.fill_null(texts, "")
+        if not len(texts):
+            return []
+        if len(self.known) > KEPT:
+            self._forget()
         runs = pc.match_substring_regex(texts, _RUN).to_numpy(zero_copy_only=False) if self.spaces else np.zeros(len(texts), bool)
-        rows, codes, pieces = chunked(pc.if_else(pa.array(runs), "", texts) if runs.any() else texts, whitespace=not self.spaces)
+        rows, codes, pieces = coded(pc.if_else(pa.array(runs), "", texts) if runs.any() else texts, whitespace=not self.spaces)
         if self.spaces:
-            first = np.r_[True, rows[1:] != rows[:-1]] if len(rows) else np.zeros(0, bool)
-            both, codes = np.unique(codes * 2 + first, return_inverse=True)
-            pieces = [pieces[c >> 1] if c & 1 else " " + pieces[c >> 1] for c in both.tolist()]
-        slots = self._slots(pieces)[codes]
+            first = np.r_[True, rows[1:] != rows[:-1]]
+            leads, at = np.unique(codes[first], return_inverse=True)
+            codes[first] = len(pieces) + at
+            pieces = pa.concat_arrays([pc.binary_join_element_wise(" ", pieces, ""), pieces.take(pa.array(leads))])
+        plain = pc.extract_regex(pieces, _PLAIN)
+        word, signs = pc.struct_field(plain, 0), pc.struct_field(plain, 1)
+        word = pc.coalesce(word if self.spaces else pc.utf8_lower(word), pieces)
+        parts = pa.concat_arrays([word, pc.fill_null(signs, "")]).dictionary_encode()
+        slots = self._slots(parts.dictionary.to_pylist())[parts.indices.to_numpy(zero_copy_only=False)]
+        slots = np.stack([slots[: len(pieces)], slots[len(pieces) :]], axis=1)[codes].reshape(-1)
+        filled = self.counts[slots] > 0
+        slots, rows = slots[filled], np.repeat(rows, 2)[filled]
         counts = self.counts[slots]
         ends = np.cumsum(counts)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.starts[slots] - (ends - counts), counts) + np.arange(total)]
+        ids = self.flat[np.repeat(self.starts[slots] - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)]
         by_row = np.bincount(rows, weights=counts, minlength=len(texts)).astype(np.int64)
-        out = np.split(ids, np.cumsum(by_row)[:-1]) if len(texts) else []
+        out = np.split(ids, np.cumsum(by_row)[:-1])
         if runs.any():
             at = np.flatnonzero(runs)
             for i, found in zip(at.tolist(), self.whole(texts.take(pa.array(at)).to_pylist()), strict=True):
