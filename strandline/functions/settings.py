@@ -39,7 +39,7 @@ def as_float(value: Column, default: float | None = None) -> Column:
 
 def as_list(value: Column) -> Column:
     """Trimmed items of a comma-separated text, without blanks; null without any."""
-    items = F.filter(F.transform(F.split(value, ","), F.trim), lambda v: v != "")
+    items = F.filter(F.transform(F.split(value, ","), lambda v: F.trim(v)), lambda v: v != "")
     return F.when(F.size(items) > 0, items)
 
 

@@ -1,0 +1,62 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from strandline.functions import settings
+from strandline.sources import readers, writers
+
+SEG = "recording_id string, seg_idx long, start double, end double, text string, speaker string, annotated boolean"
+
+
+def segments(spark):
+    return spark.createDataFrame([("r", 0, 0.0, 5.0, " Hello ", "SPEAKER_02", False), ("r", 1, 61.0, 62.0, "é", "chunk2:7", True), ("r", 2, 121.0, None, " ", None, False), ("r", 3, 122.0, 123.0, "End", "SPEAKER_03", True)], SEG)
+
+
+def test_json_lines(spark):
+    got = [json.loads(r.line) for r in writers.jsonl_lines(segments(spark), F.col("annotated"), "seg_idx").orderBy("seg_idx").collect()]
+    assert [g["speaker"] for g in got] == ["2", None, None, "3"]
+    assert got[0] == {"speaker": "2", "start": 0.0, "end": 5.0, "text": "Hello"} and got[2]["end"] == 121.0
+
+
+def test_documents(spark):
+    text = writers.text_documents(segments(spark), F.col("annotated"), "recording_id", "seg_idx").first().document
+    assert text == "[00:00]\n[2] Hello\n[01:00]\n[SPEAKER] é\n[02:00]\n[3] End"
+    found = json.loads(writers.json_documents(segments(spark), F.col("annotated"), "recording_id", "seg_idx").first().document)
+    assert len(found["segments"]) == 4 and found["text"].startswith("Hello") and "é" in found["text"]
+
+
+def test_write_lines(spark, tmp_path):
+    writers.write_lines(writers.jsonl_lines(segments(spark), F.lit(False)), str(tmp_path / "out"))
+    assert spark.read.text(str(tmp_path / "out")).count() == 4
+
+
+def test_settings(spark, tmp_path):
+    row = spark.createDataFrame([("", " x ", "12", "1.5x", "false", " a, ,b ")], "a string, b string, i string, f string, t string, l string")
+    got = row.select(settings.layered(F.col("a"), F.col("b")), settings.as_int(F.col("i")), settings.as_float(F.col("f"), 2.0), settings.as_bool(F.col("t"), True), settings.as_list(F.col("l")), settings.as_list(F.col("a"))).first()
+    assert tuple(got) == ("x", 12, 2.0, False, ["a", "b"], None)
+    assert readers.settings(str(tmp_path / "none.yaml")) == {}
+    (tmp_path / "a.json").write_text("[1]")
+    with pytest.raises(ValueError):
+        readers.settings(str(tmp_path / "a.json"))
+
+
+def test_suffix_label_format_redaction(spark):
+    rows = [("a/b.wav", None, ".wav", "b.wav"), ("noext", "Audio/MPEG ", ".mp3", "noext.mp3"), (None, None, ".bin", "payload.bin"), (".hidden", "audio/flac", ".flac", ".hidden.flac")]
+    got = spark.createDataFrame([(i, *r[:2]) for i, r in enumerate(rows)], "i int, f string, c string").orderBy("i").select(settings.suffix(F.col("f"), F.col("c")), settings.label(F.col("f"), F.col("c"))).collect()
+    assert [tuple(r) for r in got] == [r[2:] for r in rows]
+    formats = spark.createDataFrame([(["jsonl", "stdout"],), (["jsonl", "docx"],), (["jsonl"],), ([],)], "f array<string>")
+    assert [r[0] for r in formats.select(settings.output_format(F.col("f"))).collect()] == ["text", "docx", "jsonl", "json"]
+    secret = spark.createDataFrame([('{"A":{"TOKEN":1,"b":[{"apikey":2},3]}}',), ("no",)], "t string").select(settings.redacted("t")).collect()
+    assert json.loads(secret[0][0]) == {"A": {"TOKEN": "***", "b": [{"apikey": "***"}, 3]}} and secret[1][0] is None
+
+
+def test_sources(spark, tmp_path):
+    (tmp_path / "jobs.json").write_text('{"job_id":"1","type":"asr","metadata":"{\\"filename\\":\\"x.mp3\\"}"}\n{"job_id":"2","type":"other"}\n')
+    got = readers.jobs(spark, str(tmp_path / "jobs.json"), ["asr"]).collect()
+    assert [(r.job_id, r.label, r.suffix) for r in got] == [("1", "x.mp3", ".mp3")]
+    urls = spark.createDataFrame([("http://a/b",), ("id",), ("/p/q",)], "u string").select(readers.transfer_url("https://h/", F.col("u"))).collect()
+    assert [r[0] for r in urls] == ["http://a/b", "https://h/api/transfer/id", "https://h/p/q"]
+    blocks = spark.createDataFrame([("event: status\ndata: {\"a\":\ndata: 1}",), (":c\ndata: oops",)], "value string")
+    rows = readers.server_sent_events(blocks).select("event", readers.event_payload(F.col("data"), "a int").alias("x")).collect()
+    assert [(r.event, r.x.payload and r.x.payload.a, r.x.raw) for r in rows] == [("status", 1, None), ("message", None, "oops")]
