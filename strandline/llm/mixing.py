@@ -31,6 +31,8 @@ from .common import text_or_empty
 BLOCK_TOKENS = 1 << 18
 #: Of the entropy of equal weights; passes over a source at most.
 ENTROPY, REPETITION = 0.97, 2.0
+#: Sources up to so many are broadcast, a row each; more are joined by an exchange.
+BROADCAST_SOURCES = 100_000
 SEED = "strandline"
 
 
@@ -117,6 +119,8 @@ def mixed(docs: DataFrame, tokens: Column | None = None, budget: float | None =
     plan = mixture(given, budget, entropy, repetition)
     known = [(s, max(1, n), plan.budgets.get(s, 1), max(1, -(-n // block_tokens)), plan.weights.get(s, 0.0)) for s, n in sorted(given.items())]
     sources = docs.sparkSession.createDataFrame(known, "source string, of long, budget long, blocks long, weight double")
+    if len(known) <= BROADCAST_SOURCES:
+        sources = F.broadcast(sources)
     blocked = rows.join(sources, "source").withColumn("block", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32)) * F.col("blocks")))
     blocks = blocked.groupBy("source", "block").agg(F.sum("tokens").alias("in_block"), F.first("of").alias("of"), F.first("budget").alias("budget"))
     passes = blocks.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(budget - 1) div of"))))
