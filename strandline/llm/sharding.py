@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import text_or_empty, written
 
 #: Rows that are ranked together, on average at most.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 #: Bytes of a row besides its text.
 ROW_BYTES = 16
 SEED = "strandline"
