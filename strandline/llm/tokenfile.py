@@ -100,12 +100,19 @@ def re_pair(ids: np.ndarray, frequent: int = FREQUENT, rounds: int = ROUNDS, mos
         if len(symbols) < 2 or count >= most:
             break
         keys = (symbols[:-1] << np.uint32(16)) | symbols[1:]
-        mixed = (keys * np.uint32(2654435769)) >> np.uint32(12)
+        mixed = ((keys * np.uint32(2654435769)) >> np.uint32(12)).astype(np.int64)
         often = np.bincount(mixed, minlength=1 << 20) >= frequent
         places = np.flatnonzero(often[mixed])
-        pairs, inverse, times = np.unique(keys[places], return_inverse=True, return_counts=True)
+        # Of pairs that share a place in the table one is counted now; the others can be in a later round.
+        mixed, keys = mixed[places], keys[places]
+        pairs = np.zeros(1 << 20, np.uint32)
+        pairs[mixed] = keys
+        same = pairs[mixed] == keys
+        places, mixed = places[same], mixed[same]
+        times = np.bincount(mixed, minlength=1 << 20)
+        candidates = np.flatnonzero(times >= frequent)
         first, last, taken = bytearray(1 << 16), bytearray(1 << 16), []
-        for i in np.argsort(-times, kind="stable")[: int((times >= frequent).sum())].tolist():
+        for i in candidates[np.argsort(-times[candidates], kind="stable")].tolist():
             a, b = int(pairs[i]) >> 16, int(pairs[i]) & 0xFFFF
             if last[a] or first[b]:
                 continue
@@ -118,9 +125,9 @@ def re_pair(ids: np.ndarray, frequent: int = FREQUENT, rounds: int = ROUNDS, mos
                 break
         if not taken:
             break
-        new = np.zeros(len(pairs), np.uint32)
+        new = np.zeros(1 << 20, np.uint32)
         new[taken] = terminals + count + np.arange(len(taken), dtype=np.uint32)
-        named = new[inverse]
+        named = new[mixed]
         places, named = places[named > 0], named[named > 0]
         # Only a pair of equal symbols can overlap itself: of a run of places every other one holds.
         run = np.r_[True, np.diff(places) != 1]

@@ -8,7 +8,7 @@ of encoding each text alone.
 from __future__ import annotations
 
 import os
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,12 @@ _PLAIN = r"^(?P<word> ?[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]+)(?P<sign
 _DIVIDER, _RUN_PIECES = "\x00", 1000
 
 
+def _spread(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Runs of ``flat``, one after another."""
+    ends = np.cumsum(counts)
+    return flat[np.repeat(starts - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
 class Encoder:
     """One tokenizer file. ``spaces``: its tokens begin at single spaces (byte-level); else white space only divides, and case is folded.
 
@@ -90,20 +96,25 @@ class Encoder:
         if stay.sum() > KEPT // 2:
             stay[:] = False
         counts = self.counts[stay]
-        ends = np.cumsum(counts)
-        self.flat = self.flat[np.repeat(self.starts[stay] - (ends - counts), counts) + np.arange(int(counts.sum()))]
+        self.flat = self._ids(np.flatnonzero(stay))
         self.known = {p: i for i, p in enumerate(p for p, s in zip(self.known, stay.tolist(), strict=True) if s)}
-        self.starts, self.counts, self.met = ends - counts, counts, np.ones(len(counts), np.int32)
+        self.starts, self.counts, self.met = np.cumsum(counts) - counts, counts, np.ones(len(counts), np.int32)
+
+    def _ids(self, slots: np.ndarray) -> np.ndarray:
+        """Ids of kept pieces, one after another."""
+        return _spread(self.flat, self.starts[slots], self.counts[slots])
 
     def _slots(self, pieces: list[str]) -> np.ndarray:
-        new = [p for p in pieces if p not in self.known]
-        if new:
-            new, ids, counts = self._encoded(new)
+        slots = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(slots < 0)
+        if len(missing):
+            wanted = [pieces[i] for i in missing.tolist()]
+            new, ids, counts = self._encoded(wanted)
             self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(counts) - counts]
             self.counts, self.met = np.r_[self.counts, counts], np.r_[self.met, np.zeros(len(new), np.int32)]
             self.flat = np.r_[self.flat, ids]
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        slots = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+            slots[missing] = np.fromiter(map(self.known.__getitem__, wanted), np.int64, len(wanted))
         self.met[slots] += 1
         return slots
 
@@ -126,14 +137,14 @@ class Encoder:
         word = pc.coalesce(word if self.spaces else pc.utf8_lower(word), pieces)
         parts = pa.concat_arrays([word, pc.fill_null(signs, "")]).dictionary_encode()
         slots = self._slots(parts.dictionary.to_pylist())[parts.indices.to_numpy(zero_copy_only=False)]
-        slots = np.stack([slots[: len(pieces)], slots[len(pieces) :]], axis=1)[codes].reshape(-1)
-        filled = self.counts[slots] > 0
-        slots, rows = slots[filled], np.repeat(rows, 2)[filled]
-        counts = self.counts[slots]
-        ends = np.cumsum(counts)
-        ids = self.flat[np.repeat(self.starts[slots] - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        by_row = np.bincount(rows, weights=counts, minlength=len(texts)).astype(np.int64)
-        out = np.split(ids, np.cumsum(by_row)[:-1])
+        # A table of whole pieces first, then the texts from it.
+        words, marks = slots[: len(pieces)], slots[len(pieces) :]
+        table = self._ids(np.stack([words, marks], axis=1).reshape(-1))
+        widths = self.counts[words] + self.counts[marks]
+        counts = widths[codes]
+        ids = _spread(table, (np.cumsum(widths) - widths)[codes], counts)
+        ends = np.r_[0, np.cumsum(counts)]
+        out = np.split(ids, ends[np.searchsorted(rows, np.arange(1, len(texts)))])
         if runs.any():
             at = np.flatnonzero(runs)
             for i, found in zip(at.tolist(), self.whole(texts.take(pa.array(at)).to_pylist()), strict=True):
