@@ -40,6 +40,9 @@ THRESHOLD = 0.3
 #: One document in so many is kept from the fit for the logistic function.
 CALIBRATION = 4
 
+#: Bytes of text whose indicators are held at once.
+SLICE = 3 << 19
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: What a byte is in a shape: upper case, lower case or beyond ASCII, digit, or itself.
 _SHAPE = np.arange(256, dtype=np.uint8)
@@ -153,7 +156,7 @@ class Model:
 def _features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in batches:
         out = []
-        for _, texts in slices(batch):
+        for _, texts in slices(batch, SLICE):
             row, f = indicators(texts)
             out += [part.astype("<u4").tobytes() for part in np.split(f, np.searchsorted(row, np.arange(1, len(texts))))]
         yield pa.array(out, pa.binary())
@@ -172,7 +175,7 @@ class Scorer:
         def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             model = shared.value
             for batch in batches:
-                yield pa.array(np.ones(len(batch)) if model is None else np.concatenate([model.scores(texts) for _, texts in slices(batch)] or [np.zeros(0)]))
+                yield pa.array(np.ones(len(batch)) if model is None else np.concatenate([model.scores(texts) for _, texts in slices(batch, SLICE)] or [np.zeros(0)]))
 
         return score(text)
 
