@@ -138,8 +138,9 @@ def formatted(conversations: DataFrame) -> DataFrame:
     """
     ship(conversations.sparkSession)
     parts = F.col("parts") if "parts" in conversations.columns else F.array(F.struct(F.lit("text").alias("type"), F.col("text").cast("string").alias("text")))
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.col("role").cast("string").alias("role"), parts.alias("parts"))
-    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", F.to_json("parts"))
+    tie = F.to_json("parts") if "parts" in conversations.columns else F.col("text").cast("string")
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.col("role").cast("string").alias("role"), tie.alias("tie"), parts.alias("parts"))
+    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "tie")
     return rows.select("conv_id", "role", "parts").mapInArrow(_format, FORMATTED)
 
 

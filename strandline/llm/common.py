@@ -70,12 +70,17 @@ def coded(texts: pa.Array, whitespace: bool) -> tuple[np.ndarray, np.ndarray, pa
 
     Returns for each piece the row it is from and its place among the distinct
     pieces, and these.  Work on a distinct piece is then done once a batch.
+    Nothing stands between two spaces, but that is a piece; white space at the
+    ends gives none.
     """
     texts = pc.fill_null(texts, "")
     lists = pc.ascii_split_whitespace(texts) if whitespace else pc.split_pattern(texts, " ")
     rows = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
     found = pc.list_flatten(lists).dictionary_encode()
-    return rows.astype(np.int64), found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary
+    rows, codes = rows.astype(np.int64), found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    if whitespace and (blank := pc.index(found.dictionary, "").as_py()) >= 0:
+        rows, codes = rows[codes != blank], codes[codes != blank]
+    return rows, codes, found.dictionary
 
 
 def chunked(texts: pa.Array, whitespace: bool) -> tuple[np.ndarray, np.ndarray, list[str]]:

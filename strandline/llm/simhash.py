@@ -191,7 +191,8 @@ def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     near; one row stays.  Rows with a null id can't be told apart by id and stay.
     """
     found = near_duplicates(docs.select("doc_id", "text"), radius)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    kept = docs.join(keep, docs["doc_id"] == keep["__kept"]).drop("__kept")
-    first = kept.withColumn("__row", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.length("text"), F.xxhash64("text")))).where("__row = 1").drop("__row")
-    return first.unionByName(docs.where("doc_id is null"))
+    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
+    whole = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(F.length("text").alias("n"), F.xxhash64("text").alias("h")).alias("tie"), F.struct("*").alias("row"))
+    first = F.row_number().over(Window.partitionBy("id").orderBy("tie"))
+    kept = whole.join(keep, whole["id"] == keep["kept"]).withColumn("nth", first).where("nth = 1").select("row.*")
+    return kept.unionByName(docs.where("doc_id is null"))
