@@ -21,7 +21,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = mixing.mixed(table(spark, sf_dir, "documents"), carry=["doc_id"])
-    return given.select("row.doc_id", "source", "tokens", "pass", "block", "start", "place", "weight")
+    return given.select("row.doc_id", "source", "tokens", "pass", "block", "start", F.round("place", 6).alias("place"), F.round("weight", 6).alias("weight"))
 
 
 #: The conversation that tries to forge turns.
@@ -69,5 +69,50 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_chat, op4_quality, op5_simhash, op6_sharding, op7_ann, op8_fingerprint, op9_packing, op10_tokenfile)}
 
 
+#: Words, shares, two bisections (entropy, then repetition), budgets, blocks in the order of each pass, documents in each block.
+_MIXING = f"""WITH RECURSIVE d AS (
+  SELECT doc_id, source, coalesce('s:' || source, '') AS name, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS tokens, md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+given AS (SELECT name, sum(tokens)::BIGINT AS n FROM d GROUP BY name),
+l AS (SELECT list(n::DOUBLE ORDER BY name) AS ns, list(n / total ORDER BY name) AS p, count(*) AS k FROM (SELECT name, n, sum(n) OVER ()::DOUBLE AS total FROM given WHERE n > 0)),
+e AS (SELECT ns, p, k, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high, 1.0::DOUBLE AS a, 0 AS i FROM l UNION ALL
+  SELECT ns, p, k, CASE WHEN ok THEN a ELSE low END, CASE WHEN ok THEN high ELSE a END, CASE WHEN ok AND i = 0 THEN 1.0::DOUBLE ELSE (CASE WHEN ok THEN a ELSE low END + CASE WHEN ok THEN high ELSE a END) / 2 END, CASE WHEN ok AND i = 0 THEN 99 ELSE i + 1 END FROM (
+    SELECT *, -list_sum(list_transform(w, lambda x: x * ln(x))) >= {mixing.ENTROPY}::DOUBLE * ln(k) OR k < 2 AS ok FROM (
+      SELECT *, list_transform(p, lambda x: pow(x, a) / list_sum(list_transform(p, lambda y: pow(y, a)))) AS w FROM e WHERE i <= 60))),
+first AS (SELECT ns, p, CASE WHEN i = 99 THEN 1.0::DOUBLE ELSE low END AS power FROM e WHERE i IN (61, 99)),
+r AS (SELECT ns, p, power AS a, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high, 0 AS i, false AS done FROM first UNION ALL
+  SELECT ns, p, CASE WHEN i = 0 AND ok THEN a WHEN i = 0 THEN 0.5 ELSE 1 - (CASE WHEN ok THEN 1 - a ELSE low END + CASE WHEN ok THEN high ELSE 1 - a END) / 2 END,
+    CASE WHEN i > 0 AND ok THEN 1 - a ELSE low END, CASE WHEN i > 0 AND NOT ok THEN 1 - a ELSE high END, i + 1, i = 0 AND ok FROM (
+    SELECT *, list_max(list_transform(list_zip(ns, w), lambda z: list_max(list_transform(list_zip(ns, w), lambda y: y[1] / y[2])) * z[2] / z[1])) <= {mixing.REPETITION}::DOUBLE * (1 + 1e-12::DOUBLE) AS ok FROM (
+      SELECT *, list_transform(p, lambda x: pow(x, a) / list_sum(list_transform(p, lambda y: pow(y, a)))) AS w FROM r WHERE i <= 60 AND NOT done))),
+final AS (SELECT ns, p, CASE WHEN done THEN a ELSE 1 - low END AS power FROM r WHERE done OR i = 61),
+weights AS (SELECT list_transform(p, lambda x: pow(x, power) / list_sum(list_transform(p, lambda y: pow(y, power)))) AS w, ns FROM final),
+budgets AS (SELECT g.name, w.w[g.i] AS weight, floor(list_max(list_transform(list_zip(w.ns, w.w), lambda y: y[1] / y[2])) * w.w[g.i] + 1e-6)::BIGINT AS budget
+  FROM (SELECT name, row_number() OVER (ORDER BY name) AS i FROM given WHERE n > 0) g, weights w),
+sources AS (SELECT g.name, greatest(1, g.n) AS n, coalesce(b.budget, 1) AS budget, greatest(1, (g.n + {mixing.BLOCK_TOKENS} - 1) // {mixing.BLOCK_TOKENS}) AS blocks, coalesce(b.weight, 0) AS weight FROM given g LEFT JOIN budgets b USING (name)),
+rows_ AS (SELECT d.*, s.n, s.budget, s.weight, floor(('0x' || substr(key, 1, 8))::UBIGINT::DOUBLE / 4294967296 * s.blocks)::BIGINT AS block FROM d JOIN sources s USING (name)),
+passes AS (SELECT name, block, pass, pass * n + coalesce(sum(inside) OVER (PARTITION BY name, pass ORDER BY md5('{mixing.SEED}:' || name || ':' || pass || ':' || block), block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS block_start, budget
+  FROM (SELECT *, unnest(range((budget - 1) // n + 1)) AS pass FROM (SELECT name, block, sum(tokens) AS inside, any_value(n) AS n, any_value(budget) AS budget FROM rows_ GROUP BY name, block))),
+every AS (SELECT r.*, p.pass, p.block_start + coalesce(sum(r.tokens) OVER (PARTITION BY r.name, r.block, p.pass ORDER BY md5(p.pass || ':' || r.key), r.tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM rows_ r JOIN passes p ON r.name = p.name AND r.block = p.block WHERE p.block_start < p.budget)
+SELECT doc_id, source, tokens, pass::BIGINT AS pass, block, start::BIGINT AS start, round((start + tokens / 2) / budget, 6) AS place, round(weight, 6) AS weight FROM every WHERE start < budget"""
+
+_CHAT = r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(regexp_replace(role, '[\\<>]', 'xx', 'g')) + length(regexp_replace(text, '[\\<]', 'xx', 'g')) + 16)::BIGINT AS formatted_chars FROM c GROUP BY conv_id"""
+
+
+#: crc32 from its table, byte by byte, as DuckDB has no function for it; then ranks, fractions and equal cuts.
+_SHARDING = f"""WITH RECURSIVE t AS (SELECT i, i::BIGINT AS c, 0 AS k FROM range(256) x(i) UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT) ELSE c // 2 END, k + 1 FROM t WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS crc FROM t WHERE k = 8),
+h AS (SELECT doc_id, coalesce('s:' || source, '') AS name, hex(encode(coalesce(text, ''))) AS h, md5('{sharding.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+b AS (SELECT *, list_transform(range(length(h) // 2), lambda i: (instr('0123456789ABCDEF', substr(h, 2 * i + 1, 1)) * 16 + instr('0123456789ABCDEF', substr(h, 2 * i + 2, 1)) - 17)::BIGINT) AS b FROM h),
+d AS (SELECT doc_id, name, key, length(h) // 2 + {sharding.ROW_BYTES} AS size, xor(list_reduce(b, lambda c, x: xor(c // 256, crc[1 + (xor(c, x) % 256)]), 4294967295::BIGINT), 4294967295::BIGINT)::BIGINT AS text_crc32 FROM b, tab),
+f AS (SELECT *, (row_number() OVER (PARTITION BY name ORDER BY key, doc_id, size, text_crc32) - 1 + ('0x' || substr(md5('{sharding.SEED}:' || name), 1, 8))::UBIGINT::DOUBLE / 4294967296) / count(*) OVER (PARTITION BY name) AS fraction FROM d),
+p AS (SELECT *, row_number() OVER (ORDER BY fraction, name, key, doc_id, size, text_crc32) - 1 AS position, count(*) OVER () AS n FROM f)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, (position * 40 // n)::INT AS shard, (position - ((position * 40 // n) * n + 39) // 40)::BIGINT AS slot, NULL::INT AS grown_shard FROM p"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mixing": _MIXING, "op3_chat": _CHAT, "op6_sharding": _SHARDING}
