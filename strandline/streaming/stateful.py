@@ -1,4 +1,4 @@
-"""The order-dependent operators over streams: throttle and chunk emitter.
+"""The order-dependent operators over streams: throttle, chunk emitter, speakers and watchdog.
 
 State is one small value a key, kept by Spark's state store; each micro-batch
 is sorted within its key.  Rows of a key must come in order across batches.
@@ -6,6 +6,7 @@ is sorted within its key.  Rows of a key must come in order across batches.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.chunks import emissions, tail
 from ..operators.progress import ENDED, Throttle
+from ..operators.speakers import ASSIGNED, Settings, Speakers, direction, speaker_id
 from ..shipping import ship
 
 SEGMENT = "struct<start:double,end:double,text:string,speaker:string>"
@@ -28,7 +30,6 @@ def throttled(events: DataFrame, job: str, order: str, progress: str, seconds: s
     the job, and its state is a tombstone from then on.
     """
     ship(events.sparkSession)
-    kind = dict(events.dtypes)[job]
 
     def run(key, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         last, when, done = held.get if held.exists else (None, None, False)
@@ -42,7 +43,6 @@ def throttled(events: DataFrame, job: str, order: str, progress: str, seconds: s
         held.update((*(throttle.last or (None, None)), done))
         yield frame[keep]
 
-    assert kind
     return events.groupBy(job).applyInPandasWithState(run, events.schema, "last double, at double, done boolean", "append", GroupStateTimeout.NoTimeout)
 
 
@@ -88,3 +88,53 @@ def emitted(chunks: DataFrame, overlap: float) -> DataFrame:
 def observed_once(segments: DataFrame, time: str, delay: str, *key: str) -> DataFrame:
     """A stream without repeats of a key within the watermark."""
     return segments.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(key))
+
+
+def speakers(segments: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """A stream of observed segments (see operators.speakers.observations) with the labels they are emitted with, and those known by then.
+
+    ``recording_id``, ``seq``, ``chunk_index``, ``local_speaker``, ``seconds``,
+    ``vector``.  Later merges can rename; a batch pass over all gives the final
+    labels.
+    """
+    ship(segments.sparkSession)
+
+    def run(key, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        known = pickle.loads(held.get[0]) if held.exists else Speakers(settings)
+        frame = pd.concat(list(frames), ignore_index=True).sort_values("seq", kind="stable")
+        rows = []
+        for seq, chunk, local, seconds, vector in zip(*(frame[c].tolist() for c in ("seq", "chunk_index", "local_speaker", "seconds", "vector")), strict=True):
+            label = None if local is None else known.label(chunk, local)
+            unit = direction(vector) if seconds is not None and seconds == seconds and vector is not None else None
+            if unit is not None:
+                known.observe(chunk, local, unit, seconds)
+            number = None if local is None else known.named(chunk, local)
+            rows.append((key[0], seq, chunk, local, label, label if number is None else speaker_id(number)))
+        held.update((pickle.dumps(known),))
+        yield pd.DataFrame(rows, columns=["recording_id", "seq", "chunk_index", "local_speaker", "emitted_speaker", "speaker"])
+
+    return segments.groupBy("recording_id").applyInPandasWithState(run, ASSIGNED, "profiles binary", "append", GroupStateTimeout.NoTimeout)
+
+
+def heartbeats(events: DataFrame, job: str, state: str, seconds: float) -> DataFrame:
+    """(job, n): a row for each time that a job, begun and not ended, had no event for so long.
+
+    Without progress of their own, such rows always pass a throttle.
+    """
+    ship(events.sparkSession)
+    kind = dict(events.dtypes)[job]
+
+    def run(key, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        n, done = held.get if held.exists else (0, False)
+        if held.hasTimedOut:
+            n += 1
+            held.update((n, done))
+            held.setTimeoutDuration(int(seconds * 1000))
+            yield pd.DataFrame({job: [key[0]], "n": [n]})
+            return
+        done = done or any(frame[state].isin(ENDED).any() for frame in list(frames))
+        held.update((n, done))
+        if not done:
+            held.setTimeoutDuration(int(seconds * 1000))
+
+    return events.groupBy(job).applyInPandasWithState(run, f"`{job}` {kind}, n long", "n long, done boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
