@@ -23,6 +23,8 @@ from .common import text_or_empty, written
 WORDS = 3
 #: Mean number of documents that are ordered together.
 BUCKET_ROWS = 1024
+#: Ranges of ids at most, and rows of a range; the quantiles between them are all that the driver gets.
+RANGES, RANGE_ROWS = 1000, 50_000
 
 
 def _composed(text: Column) -> Column:
@@ -43,11 +45,28 @@ def digest(canon: Column, words: int = WORDS, bits: int = 64) -> Column:
     return F.concat(*(F.lpad(F.lower(F.hex(p)), 16, "0") for p in parts))
 
 
-def ordered_buckets(docs: DataFrame) -> DataFrame:
-    """Adds ``bucket``: consecutive ranges of doc_id with BUCKET_ROWS rows on average."""
-    low, high, rows = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
-    width = max(1, (high - low + 1) * BUCKET_ROWS // max(1, rows)) if rows else 1
-    return docs.withColumn("bucket", F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)), F.lit(-1)).cast("long"))
+def ordered_buckets(docs: DataFrame, bucket_rows: int = BUCKET_ROWS, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Adds ``bucket``: consecutive ranges of doc_id with about ``bucket_rows`` rows each; nulls have one before all.
+
+    Quantiles of the ids first divide them into ranges (at most RANGES, which
+    bounds what the driver gets), then each range is divided evenly, so gaps and
+    crowds in the ids don't make large buckets.
+    """
+    rows = docs.select(F.count("doc_id")).first()[0]
+    if not rows:
+        return docs.withColumn("bucket", F.lit(-1).cast("long"))
+    ranges = min(RANGES, -(-rows // range_rows))
+    inner = F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 100 * ranges) if ranges > 1 else F.array().cast("array<long>")
+    low, high, middle = docs.agg(F.min("doc_id"), F.max("doc_id"), inner).first()
+    edges = sorted({low, *middle})
+    widths = [max(1.0, (after - edge) * bucket_rows * len(edges) / rows) for edge, after in zip(edges, [*edges[1:], high + 1], strict=True)]
+    starts, steps = F.array(*map(F.lit, edges)), [1 << k for k in range(len(edges).bit_length() - 1, -1, -1)]
+    # A binary search: the last edge that isn't beyond the id.
+    at = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda p, s: F.when(F.coalesce(F.get(starts, p + s) <= F.col("doc_id"), F.lit(False)), p + s).otherwise(p))
+    found = docs.withColumn("edge", at)
+    offset = (F.col("doc_id").cast("double") - F.get(starts, F.col("edge")).cast("double")) / F.get(F.array(*map(F.lit, widths)), F.col("edge"))
+    bucket = F.col("edge").cast("long") * F.lit(1 << 32) + F.floor(offset)
+    return found.withColumn("bucket", F.coalesce(bucket, F.lit(-1)).cast("long")).drop("edge")
 
 
 def _with_next(docs: DataFrame, words: int, bits: int) -> DataFrame:

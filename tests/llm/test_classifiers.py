@@ -109,3 +109,13 @@ def test_logistic():
     x = np.r_[np.random.default_rng(0).normal(0, 1, (200, 1)), np.random.default_rng(1).normal(3, 1, (200, 1))]
     p = Logistic(x, np.r_[np.zeros(200), np.ones(200)])(x)
     assert ((p > 0.5) == np.r_[np.zeros(200), np.ones(200)]).mean() > 0.9
+
+
+def test_logistic_holds_on_classes_that_are_nearly_apart():
+    rng = np.random.default_rng(0)
+    y = (rng.random(20_000) < 0.1).astype(float)
+    common = rng.normal(0, 1, 20_000)
+    x = np.stack([y * rng.exponential(5, 20_000) + rng.normal(0, 1e-3, 20_000), y * 2 + 1e-3 * common, y * 7 + 1e-2 * common, common], axis=1)
+    x[:20] = 0
+    p = Logistic(x, y)(x)
+    assert ((p >= 0.3) == y).mean() > 0.999 and np.abs(Logistic(x, y).w).max() < 1e3

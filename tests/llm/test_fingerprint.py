@@ -1,7 +1,7 @@
 import hashlib
 import re
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -40,6 +40,16 @@ def test_equals_brute_force(sample, words, bits):
     assert found[rows[6][0]].near_next == 1.0
 
 
+def test_buckets_are_small_and_in_order(spark):
+    ids = [*range(3000), *range(10**12, 10**12 + 2000), -(2**63), 2**63 - 1, *(7**k for k in range(20))]
+    docs = spark.createDataFrame([(i,) for i in ids] + [(None,)], "doc_id long")
+    for range_rows in (50_000, 100):
+        rows = sorted((-(2**64) if r.doc_id is None else r.doc_id, r.bucket) for r in fingerprint.ordered_buckets(docs, 16, range_rows).collect())
+        assert [b for _, b in rows] == sorted(b for _, b in rows)
+    sizes = Counter(b for _, b in rows)
+    assert max(sizes.values()) <= 160 and sizes[-1] == 1
+
+
 def test_odd_documents(odd, nothing):
     found = fingerprint.fingerprints(odd).collect()
     assert len(found) == len(documents())
