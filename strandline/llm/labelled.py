@@ -16,27 +16,27 @@ def held_out(modulus: int, held: int, doc_id: str = "doc_id") -> Column:
     return remainder(doc_id, modulus) == held
 
 
-#: One labelled document in so many is for calibration: a model sees it, if at all, after that.
+#: One labelled document in so many is for calibration: models that are calibrated on it don't see it.
 CALIBRATION = 4
 
 
-def training(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, most: int | None = None, calibrating: bool = False) -> DataFrame:
-    """``text``, ``label`` (0 or 1) and ``calibrates`` of the documents that may be learned from.
+def training(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, most: int | None = None, calibrating: bool | None = None) -> DataFrame:
+    """``text`` and ``label`` (0 or 1) of the documents that may be learned from.
 
     Rows with a null id or label aren't labelled; of repeated labels the largest
     holds.  With ``most``, a sample of so many labelled ids at most, those with
-    the least hashes.  ``calibrating`` leaves those for calibration only.
+    the least hashes.  ``calibrating`` leaves those for calibration only, or
+    the others.
     """
     ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).where(~held_out(modulus, held))
     ids = ids.groupBy(F.col("doc_id").cast("long").alias("labelled")).agg(F.max(label).cast("int").alias("label"))
-    ids = ids.withColumn("calibrates", F.pmod(F.xxhash64(F.lit("calibrates"), "labelled"), F.lit(CALIBRATION)) == 0)
-    if calibrating:
-        ids = ids.where("calibrates")
+    if calibrating is not None:
+        ids = ids.where((F.pmod(F.xxhash64(F.lit("calibrates"), "labelled"), F.lit(CALIBRATION)) == 0) == F.lit(calibrating))
     if most is not None:
         ids = F.broadcast(ids.orderBy(F.xxhash64("labelled"), "labelled").limit(most))
     elif ids.count() <= BROADCAST_LABELS:
         ids = F.broadcast(ids)
-    return docs.select("doc_id", text_or_empty().alias("text")).join(ids, F.col("doc_id") == F.col("labelled")).select("text", "label", "calibrates")
+    return docs.select("doc_id", text_or_empty().alias("text")).join(ids, F.col("doc_id") == F.col("labelled")).select("text", "label")
 
 
 class Logistic:
