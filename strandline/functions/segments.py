@@ -93,9 +93,18 @@ def prepared(segments: Column) -> Column:
 
 
 def score(a: Column, b: Column) -> Column:
-    """Alignment score of two prepared segments."""
+    """Alignment score of two prepared segments.
+
+    Edit distance is what costs, so it's computed only if it can matter: not
+    between different speakers, nor where texts of so different lengths can't be
+    alike enough and the times aren't.
+    """
+    conflict = a["spk"].isNotNull() & b["spk"].isNotNull() & (a["spk"] != b["spk"])
+    shorter, longer = F.least(F.length(a["norm"]), F.length(b["norm"])), F.greatest(F.length(a["norm"]), F.length(b["norm"]))
+    apart = overlap_ratio(a["s"], a["e"], b["s"], b["e"]) < LEAST_EVIDENCE
     parts = F.struct(similarity_of_normalized(a["norm"], b["norm"]).alias("text"), overlap_ratio(a["s"], a["e"], b["s"], b["e"]).alias("time"))
-    return let(parts, lambda p: score_from(p["text"], p["time"], a["spk"], b["spk"]))
+    full = let(parts, lambda p: score_from(p["text"], p["time"], a["spk"], b["spk"]))
+    return F.when(conflict | (apart & (shorter < longer * LEAST_EVIDENCE)), F.lit(0.0)).otherwise(full)
 
 
 def percent(end: Column, finish: Column) -> Column:

@@ -45,9 +45,18 @@ def best_path(scores: Column) -> Column:
     return F.element_at(F.aggregate(lines, first, row), -1)["p"]
 
 
+def matrix(previous: Column, current: Column) -> Column:
+    """Alignment scores of prepared segments, a row for each previous one."""
+    return F.transform(previous, lambda a: F.transform(current, lambda b: score(a, b)))
+
+
+def path(scores: Column) -> Column:
+    """MATCHES of a matrix that may be empty."""
+    return let(scores, lambda s: F.when(F.size(F.coalesce(F.get(s, F.lit(0)), F.array().cast("array<double>"))) > 0, best_path(s)).otherwise(F.array().cast(MATCHES)))
+
+
 def aligned_prepared(previous: Column, current: Column) -> Column:
-    matrix = F.transform(previous, lambda a: F.transform(current, lambda b: score(a, b)))
-    return F.when((F.size(previous) > 0) & (F.size(current) > 0), best_path(matrix)).otherwise(F.array().cast(MATCHES))
+    return path(matrix(previous, current))
 
 
 def aligned(previous: Column, current: Column) -> Column:
@@ -71,7 +80,7 @@ def merged(previous: Column, current: Column, overlap_start: Column, overlap_end
     list gives the other one as it is.
     """
 
-    def decided(x: Column) -> Column:
+    def decided(x: Column, scores: Column) -> Column:
         """Places that go: p of previous, c of current."""
 
         def one(m: Column) -> Column:
@@ -80,26 +89,32 @@ def merged(previous: Column, current: Column, overlap_start: Column, overlap_end
             whole = more_complete_of_normalized(c["norm"], p["norm"]) | (~more_complete_of_normalized(p["norm"], c["norm"]) & later)
             return F.struct(((m["score"] >= SURE) & whole).alias("newer"), p["ix"].alias("p"), c["ix"].alias("c"))
 
-        made = F.transform(aligned_prepared(x["po"], x["co"]), one)
-        return F.struct(
-            F.transform(F.filter(made, lambda d: d["newer"]), lambda d: d["p"]).alias("p"),
-            F.transform(F.filter(made, lambda d: ~d["newer"]), lambda d: d["c"]).alias("c"),
+        return let(
+            F.transform(path(scores), one),
+            lambda made: F.struct(
+                F.transform(F.filter(made, lambda d: d["newer"]), lambda d: d["p"]).alias("p"),
+                F.transform(F.filter(made, lambda d: ~d["newer"]), lambda d: d["c"]).alias("c"),
+            ),
         )
 
-    def chosen(x: Column, gone: Column) -> Column:
-        kept = F.filter(x["po"], lambda p: ~F.array_contains(gone["p"], p["ix"]))
-        repeats = F.transform(F.filter(x["co"], lambda c: F.exists(kept, lambda p: score(p, c) >= SAME)), lambda c: c["ix"])
-        return F.transform(
-            _in_order([F.filter(x["a"], lambda p: ~F.array_contains(gone["p"], p["ix"])), F.filter(x["b"], lambda c: ~F.array_contains(gone["c"], c["ix"]) & ~F.array_contains(repeats, c["ix"]))]),
+    def chosen(x: Column, scores: Column, gone: Column) -> Column:
+        def repeated(j: Column) -> Column:
+            """Whether the j-th current segment is one that a kept previous one says already."""
+            column = F.transform(x["po"], lambda p, i: F.struct(p["ix"].alias("ix"), F.get(F.get(scores, i), j).alias("s")))
+            return F.exists(column, lambda t: (t["s"] >= SAME) & ~F.array_contains(gone["p"], t["ix"]))
+
+        repeats = F.transform(F.filter(x["co"], lambda c, j: repeated(j)), lambda c: c["ix"])
+        return let(repeats, lambda seen: F.transform(
+            _in_order([F.filter(x["a"], lambda p: ~F.array_contains(gone["p"], p["ix"])), F.filter(x["b"], lambda c: ~F.array_contains(gone["c"], c["ix"]) & ~F.array_contains(seen, c["ix"]))]),
             lambda y: y["seg"],
-        )
+        ))
 
     lists = F.struct(prepared(previous).alias("a"), prepared(current).alias("b"))
 
     def windowed(y: Column) -> Column:
         return F.struct(y["a"].alias("a"), y["b"].alias("b"), F.filter(y["a"], lambda s: s["e"] > overlap_start).alias("po"), F.filter(y["b"], lambda s: s["s"] < overlap_end).alias("co"))
 
-    both = let(lists, lambda y: let(windowed(y), lambda x: let(decided(x), lambda gone: chosen(x, gone))))
+    both = let(lists, lambda y: let(windowed(y), lambda x: let(matrix(x["po"], x["co"]), lambda m: let(decided(x, m), lambda gone: chosen(x, m, gone)))))
     return F.when(F.size(previous) == 0, current).when(F.size(current) == 0, previous).otherwise(both)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import audio, segments, settings, text, vectors
 from ..operators import alignment, chunks, interval, progress, speakers
 from ..sources import readers, writers
-from .timeline import LATER, LOST, OVERLAP_SECONDS, PACE, WINDOW_SECONDS, heard_again, pairs, table, timeline, windows
+from .timeline import LATER, LOST, OVERLAP_SECONDS, PACE, WINDOW_SECONDS, heard_again, pairs, spread, table, timeline, windows
 from .timeline import chunks as timeline_chunks
 
 _QUERIES: dict = {}
@@ -92,7 +92,7 @@ _ADJACENT = f"""n AS (SELECT conv_id AS recording_id, turn AS seg_idx, {_norm('t
 
 def _adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
     norm = text.normalized(F.col("text"))
-    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("recording_id"), F.col("turn").alias("seg_idx"), norm.alias("norm"))
+    rows = spread(table(spark, sf_dir, "conversations"), "conv_id").select(F.col("conv_id").alias("recording_id"), F.col("turn").alias("seg_idx"), norm.alias("norm"))
     return rows.withColumn("before", F.lag("norm").over(Window.partitionBy("recording_id").orderBy("seg_idx"))).where("before IS NOT NULL")
 
 

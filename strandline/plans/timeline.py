@@ -21,12 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows by key in as many partitions as shuffles have: what follows costs by the characters, not by the bytes that AQE would gather partitions by."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """recording_id, seg_idx, start, end, text, speaker."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     before = F.coalesce(F.sum(F.length("text")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("double")
     speaker = F.when(F.col("role") == "user", "SPEAKER_00").when(F.col("role") == "assistant", "SPEAKER_01")
-    return table(spark, sf_dir, "conversations").select(
+    return spread(table(spark, sf_dir, "conversations"), "conv_id").select(
         F.col("conv_id").alias("recording_id"), F.col("turn").alias("seg_idx"), (before / PACE).alias("start"),
         ((before + F.length("text")) / PACE).alias("end"), "text", speaker.alias("speaker"),
     )
@@ -57,7 +62,7 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = timeline(spark, sf_dir)
     both = first.withColumn("side", F.lit(0)).unionByName(heard_again(first).withColumn("side", F.lit(1)))
     rows = both.withColumn("window", F.floor(F.col("start") / WINDOW_SECONDS))
-    lists = rows.groupBy("recording_id", "window").agg(*(
+    lists = spread(rows, "recording_id", "window").groupBy("recording_id", "window").agg(*(
         F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == k, F.struct("seg_idx", "start", "end", "text", "speaker")))), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), s["speaker"].alias("speaker"))).alias(name)
         for k, name in enumerate(("previous", "current"))
     ))

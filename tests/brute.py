@@ -96,3 +96,25 @@ def emit(chunks, overlap):
             tail = [s for s in segs if s["end"] > tail_start]
         out.append(now)
     return out, tail
+
+
+def more(a, b):
+    a, b = norm(a), norm(b)
+    return bool(b) and len(a) > len(b) and similarity(a[: len(b)], b) >= 0.85
+
+
+def merge(previous, current, low, high):
+    if not previous or not current:
+        return previous or current
+    po, co = [s for s in previous if s["end"] > low], [s for s in current if s["start"] < high]
+    middle = lambda s: (s["start"] + s["end"]) / 2
+    scores = [[score(p, c) for c in co] for p in po]
+    gone_p, gone_c = [], []
+    for i, j in path(scores):
+        p, c = po[i], co[j]
+        newer = more(c["text"], p["text"]) or (not more(p["text"], c["text"]) and max(0, middle(c) - low) > max(0, high - middle(p)))
+        (gone_p if newer and scores[i][j] >= 0.55 else gone_c).append((p if newer and scores[i][j] >= 0.55 else c))
+    has = lambda s, gone: any(s is g for g in gone)
+    gone_c += [c for j, c in enumerate(co) if any(scores[i][j] >= 0.82 and not has(p, gone_p) for i, p in enumerate(po))]
+    kept = [p for p in previous if not has(p, gone_p)] + [c for c in current if not has(c, gone_c)]
+    return sorted(kept, key=lambda s: (s["start"], s["end"]))

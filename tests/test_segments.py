@@ -101,10 +101,12 @@ def random_windows(seed, n):
 
 def test_alignment_and_resolving_equal_brute_force(spark):
     rows = random_windows(1, 60)
-    got = cases(spark, rows).select(alignment.aligned(F.col("previous"), F.col("current")).alias("m"), alignment.resolved(F.col("previous"), F.col("current"), F.col("a"), F.col("b")).alias("r")).collect()
+    window = F.col("previous"), F.col("current"), F.col("a"), F.col("b")
+    got = cases(spark, rows).select(alignment.aligned(F.col("previous"), F.col("current")).alias("m"), alignment.resolved(*window).alias("r"), alignment.merged(*window).alias("g")).collect()
     for (p, c, a, b), r in zip(rows, got, strict=True):
         assert [(m.prev_idx, m.curr_idx) for m in r.m] == brute.path([[brute.score(x, y) for y in c] for x in p])
         assert [x.asDict() for x in r.r] == brute.resolve(p, c, a, b)
+        assert [x.asDict() for x in r.g] == brute.merge(p, c, a, b)
 
 
 def test_labels(spark):
