@@ -120,3 +120,22 @@ def status_payload(start: Column, end: Column, text: Column, speaker: Column, an
         F.struct(F.round(stop, 2).alias("current"), F.round(finish, 2).alias("finish"), F.lit("seconds").alias("units"), percent(stop, finish).alias("percent")).alias("progress"),
         F.struct(F.trim(F.coalesce(text, F.lit(""))).alias("text"), public_segment_speaker(speaker, annotated).alias("speaker"), F.round(start_of(start), 2).alias("start"), F.round(stop, 2).alias("end")).alias("utterance"),
     )
+
+
+def time_bounds(rows: Column) -> Column:
+    """(start of the first segment, end of the last), by place; zeros for an empty list."""
+    first, last = F.get(rows, F.lit(0)), F.try_element_at(rows, F.lit(-1))
+    return F.struct(F.coalesce(first["start"], F.lit(0.0)).alias("start"), F.coalesce(last["end"], last["start"], F.lit(0.0)).alias("end"))
+
+
+def summary(name: str, rows: Column, most: int = 5, width: int = 96) -> Column:
+    """A list of segments in one line for logs: the first few, shortened, and how many more."""
+
+    def one(s: Column) -> Column:
+        text = F.trim(F.regexp_replace(F.coalesce(s["text"], F.lit("")), r"\s+", " "))
+        short = F.when(F.length(text) > width, F.concat(F.substring(text, 1, width - 3), F.lit("..."))).otherwise(text)
+        times = F.format_string("%.2f-%.2f", start_of(s["start"]), end_of(s["start"], s["end"]))
+        return F.concat(times, F.lit(" "), F.coalesce(s["speaker"], F.lit("-")), F.lit(" "), short)
+
+    more = F.when(F.size(rows) > most, F.concat(F.lit(", and "), (F.size(rows) - most).cast("string"), F.lit(" more"))).otherwise(F.lit(""))
+    return F.concat(F.lit(f"{name}["), F.size(rows).cast("string"), F.lit("]: "), F.array_join(F.transform(F.slice(rows, 1, most), one), ", "), more)

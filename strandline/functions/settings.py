@@ -24,6 +24,11 @@ def layered(*values: Column) -> Column:
     return F.coalesce(*(F.nullif(F.trim(v.cast("string")), F.lit("")) for v in values))
 
 
+def overridden(base: str, job: str, fields: list[str]) -> Column:
+    """The fields of a base struct, each replaced where the job's struct sets it."""
+    return F.struct(*(F.coalesce(F.col(f"{job}.{f}"), F.col(f"{base}.{f}")).alias(f) for f in fields))
+
+
 def as_bool(value: Column, default: bool = False) -> Column:
     """Texts are read as such: "false" is false."""
     return F.coalesce(F.lower(F.trim(value.cast("string"))).isin(*TRUE), F.lit(default))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import audio, segments, settings, text, vectors
-from ..operators import alignment, chunks, interval, progress, speakers
+from ..operators import alignment, chunks, interval, nearest, progress, speakers
 from ..sources import readers, writers
 from .timeline import LATER, LOST, OVERLAP_SECONDS, PACE, WINDOW_SECONDS, heard_again, pairs, spread, table, timeline, windows
 from .timeline import chunks as timeline_chunks
@@ -384,29 +384,20 @@ def cosine_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(after, "vec_id").select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("before")), 6).alias("cosine"))
 
 
-def _centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean vector of each label, by component: a map-side aggregate."""
-    parts = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "v"))
-    means = parts.groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("v"))
-    return means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("centroid"))
-
-
-_LIKE = """c AS (SELECT label, list(v ORDER BY i) AS b FROM (SELECT label, i, avg(v) AS v FROM (SELECT label, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY label, i) GROUP BY label),
-like_ AS (SELECT e.vec_id, c.label, list_dot_product(e.a, c.b) / sqrt(list_dot_product(e.a, e.a)) / sqrt(list_dot_product(c.b, c.b)) AS cosine FROM (SELECT vec_id, embedding::DOUBLE[] AS a FROM embeddings) e, c),
+_MEANS = """c AS (SELECT label, list(v ORDER BY i) AS b FROM (SELECT label, i, avg(v) AS v FROM (SELECT label, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY label, i) GROUP BY label)"""
+_LIKE = _MEANS + """, like_ AS (SELECT e.vec_id, c.label, list_dot_product(e.a, c.b) / sqrt(list_dot_product(e.a, e.a)) / sqrt(list_dot_product(c.b, c.b)) AS cosine FROM (SELECT vec_id, embedding::DOUBLE[] AS a FROM embeddings) e, c),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, label) AS n FROM like_)"""
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each vector beside the centroids, of which there is one a label, best first."""
-    known = _centroids(spark, sf_dir).agg(F.collect_list(F.struct("label", "centroid")).alias("known"))
-    rows = table(spark, sf_dir, "embeddings").join(F.broadcast(known))  # one row, of as many centroids as labels
-    found = F.transform("known", lambda c: F.struct((-vectors.cosine(F.col("embedding"), c["centroid"])).alias("far"), c["label"].alias("label")))
-    return rows.select("vec_id", F.array_sort(found).alias("best"))
+    """Each vector beside the centroids of the labels, best first."""
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest.ranked_centroids(rows.select("vec_id", "embedding"), "embedding", nearest.means(rows, "label", "embedding"), "label").select("vec_id", "best")
 
 
 @query(f"""WITH {_LIKE} SELECT vec_id, label, round(cosine, 6) AS cosine FROM ranked WHERE n = 1""")
 def nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranked(spark, sf_dir).select("vec_id", F.col("best")[0]["label"].alias("label"), F.round(-F.col("best")[0]["far"], 6).alias("cosine"))
+    return _ranked(spark, sf_dir).select("vec_id", F.col("best")[0]["group"].alias("label"), F.round(-F.col("best")[0]["far"], 6).alias("cosine"))
 
 
 @query(f"""WITH {_LIKE} SELECT vec_id, round(max(cosine) FILTER (n = 1) - max(cosine) FILTER (n = 2), 6) AS margin FROM ranked GROUP BY vec_id""")
@@ -414,6 +405,15 @@ def top2_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(spark, sf_dir).select("vec_id", F.round(F.col("best")[1]["far"] - F.col("best")[0]["far"], 6).alias("margin"))
 
 
+@query(f"""WITH {_MEANS}, p AS (SELECT a.label AS speaker_id, b.label AS other, list_dot_product(a.b, b.b) / sqrt(list_dot_product(a.b, a.b)) / sqrt(list_dot_product(b.b, b.b)) AS score FROM c a JOIN c b ON a.label <> b.label AND a.label % 2 = b.label % 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY speaker_id ORDER BY score DESC, other) AS n, coalesce(lead(score) OVER (PARTITION BY speaker_id ORDER BY score DESC, other), -1) AS second FROM p)
+SELECT (speaker_id % 2)::INT AS recording_id, speaker_id, other, round(score, 6) AS score, round(score - greatest(second, -1), 6) AS margin FROM r WHERE n = 1""")
+def merge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as speakers, even and odd ones in different recordings."""
+    known = nearest.means(table(spark, sf_dir, "embeddings"), "label", "embedding").select((F.col("label") % 2).alias("recording_id"), F.col("label").alias("speaker_id"), "centroid", F.lit(10.0).alias("total_seconds"))
+    return nearest.merge_candidates(known, 8.0).withColumns({c: F.round(c, 6) for c in ("score", "margin")})
+
+
 @query("""WITH RECURSIVE e AS (SELECT label, embedding::DOUBLE[] AS x, 1 + vec_id % 4 AS d, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings),
 u AS (SELECT label, n, d::DOUBLE AS d, list_transform(x, lambda v: v / sqrt(list_dot_product(x, x))) AS x FROM e),
 f AS (SELECT label, n, x AS c, d AS total FROM u WHERE n = 1 UNION ALL SELECT label, n, list_transform(y, lambda v: v / sqrt(list_dot_product(y, y))), total FROM (

@@ -47,6 +47,20 @@ class Client:
         found = self.call("POST", reference, json.dumps(body).encode())
         return json.loads(found) if found else None
 
+    def create(self, kind: str, metadata: dict | None = None) -> dict | None:
+        return self.post("/api/jobs", {"type": kind, "metadata": metadata or {}})
+
+    def get(self, job_id: str) -> dict | None:
+        found = self.call("GET", f"/api/jobs/{job_id}")
+        return json.loads(found) if found else None
+
+    def cancel(self, job_id: str) -> None:
+        self.post(f"/api/jobs/{job_id}/cancel", {})
+
+    def channel(self) -> dict | None:
+        """A new transfer channel: channel_id, expires_at."""
+        return self.post("/api/transfer", {})
+
     def claim(self, types: list[str] | None = None, max_wait: float | None = None) -> dict | None:
         asked = {k: v for k, v in (("types", types), ("max_wait_seconds", max_wait)) if v is not None}
         return self.post("/api/jobs/claim", asked)
