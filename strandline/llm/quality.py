@@ -184,11 +184,13 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus:
     """Learns from a sample of the labelled documents that aren't held out."""
     spark = docs.sparkSession
     ship(spark)
-    found = training(docs, labels, label, modulus, held, sample).select(_features("text").alias("f"), "label").orderBy(F.xxhash64("f")).toArrow()
-    y = found.column("label").to_numpy()
+    found = training(docs, labels, label, modulus, held, sample).select(_features("text").alias("f"), "label").toArrow()
+    rows = sorted(zip(found.column("f").to_pylist(), found.column("label").to_pylist(), strict=True))  # the same fit whatever the order of tasks
+    np.random.default_rng(0).shuffle(rows)
+    y = np.array([label for _, label in rows], np.int64)
     if not 0 < y.sum() < len(y):
         return Scorer(spark, None)
-    return Scorer(spark, Model([np.frombuffer(b, "<u4").astype(np.int64) for b in found.column("f").to_pylist()], y))
+    return Scorer(spark, Model([np.frombuffer(b, "<u4").astype(np.int64) for b, _ in rows], y))
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
