@@ -1,4 +1,4 @@
-"""Makes the package importable in Python workers, wherever the driver found it."""
+"""Prepares a session: Python workers can import the package, and what they hold at once is bounded."""
 
 from __future__ import annotations
 
@@ -8,9 +8,14 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Bytes of a batch that goes to a Python worker, instead of Spark's 64 MB: long texts come in batches, too.
+BATCH, _BATCH_KEY, _BATCH_DEFAULT = "16m", "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "67108864", "64m", "64mb")
+
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package to the executors, once a SparkContext."""
+    """Sends the package to the executors, once a SparkContext; bounds batches unless the session does."""
+    if str(spark.conf.get(_BATCH_KEY)).lower() in _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_KEY, BATCH)
     context = spark.sparkContext
     if getattr(context, "_strandline_shipped", False):
         return
