@@ -1 +1 @@
-
+"""Column functions: pure rules, each written once."""

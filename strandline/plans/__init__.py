@@ -1 +1 @@
-
+"""Driver queries."""
