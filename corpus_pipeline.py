@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import mixing, packing, quality, simhash, toxicity
+from strandline.llm import mixing, nearcopies, packing, quality, toxicity
 from strandline.llm.common import table, written
 from strandline.llm.queries import tokenizer_file
 from strandline.shipping import ship
@@ -32,9 +32,9 @@ def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: that with the least doc_id."""
+    """One document of each group of near copies (five-word Jaccard of 0.8 or more) stays: that with the least doc_id."""
     ship(spark)
-    return simhash.deduplicated(docs)
+    return nearcopies.deduplicated(docs)
 
 
 def in_proportion(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
