@@ -379,9 +379,17 @@ _DOT = "list_dot_product(a::DOUBLE[], b::DOUBLE[])"
 SELECT vec_id, round(list_dot_product(a, b) / sqrt(list_dot_product(a, a)) / sqrt(list_dot_product(b, b)), 6) AS cosine FROM v WHERE b IS NOT NULL""")
 def cosine_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector and the one before it, joined by their places."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    after = rows.select((F.col("vec_id") + 1).alias("vec_id"), F.col("embedding").alias("before"))
-    return rows.join(after, "vec_id").select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("before")), 6).alias("cosine"))
+    return _beside(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def _beside(rows: DataFrame) -> DataFrame:
+    """Places are ranks by vec_id, whatever its gaps: within buckets of ids, after the sizes of the buckets before."""
+    rows = rows.withColumn("bucket", F.floor(F.col("vec_id") / 1024))
+    before = F.coalesce(F.sum("count").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = rows.groupBy("bucket").count().select("bucket", before.alias("offset"))
+    placed = rows.join(offsets, "bucket").withColumn("place", F.col("offset") + F.row_number().over(Window.partitionBy("bucket").orderBy("vec_id")))
+    after = placed.select((F.col("place") + 1).alias("place"), F.col("embedding").alias("before"))
+    return placed.join(after, "place").select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("before")), 6).alias("cosine"))
 
 
 _MEANS = """c AS (SELECT label, list(v ORDER BY i) AS b FROM (SELECT label, i, avg(v) AS v FROM (SELECT label, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY label, i) GROUP BY label)"""
