@@ -1,23 +1,33 @@
-"""Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
-
-No pair is missed.  With one order for all shingles, the first n - ceil(0.8 n)
-+ 1 of a set of n (its prefix) hold one that is in the prefix of every set as
-similar as that.  Prefixes are exchanged by shingle, and pairs that meet are
-candidates, unless their sizes or the places of the shingle rule them out; each
-is confirmed by its whole texts.  Shingles that are common in a sample come
-last in the order: that spares candidates and doesn't change what is found.
-
-Candidates are taken in two rounds: first neighbours by size in each shingle,
-then all pairs that the components of the first don't join already, so a large
-group of near copies costs little more than its members.  Equal sets are one
-class from the start.
-
-Shingles are compared by 64-bit hashes.  Fewer words than five are one shingle;
-texts without words are copies of each other.  Nulls count as empty texts.
+"""Near copies by SimHash: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+At that similarity fingerprints differ in some 15 % of their bits, too many to
+divide 64 bits by.  So fingerprints are ``64 * WORDS`` bits wide here, and a
+shard is the fingerprints with one value of a block of ``b`` bits chosen at
+random.  A pair at the least similarity agrees on a block with a probability of
+``AGREE ** b``; there are as many blocks as leave it apart in all of them with a
+probability of ``MISSED`` at most.  ``b`` follows from the number of distinct
+sets, so that unlike sets make shards of about ``SHARD_SETS``, and the search
+costs much less than the square of the corpus.  In each shard a BK-tree search
+follows the edges within ``RADIUS``; what it proposes is confirmed by the exact
+similarity of the whole texts.  So no unlike texts are joined, and the part of
+like ones that is missed is measured in the tests and in the README.
+
+Candidates are taken in two rounds: first neighbours in the order of each
+shard's fingerprints, then all pairs within the radius that the components of
+the first don't join already.  In a large group of near copies only those
+outside its main component search, so it costs little more than its members.
+Equal sets are one class from the start.  A shard beyond ``SLICE_ROWS`` is cut
+into slices with a tree each, and its queries go to all slices.
+
+Sets and their classes are told by 64-bit hashes.  Fewer words than five are one
+shingle; texts without words are copies of each other.  Nulls count as empty
+texts.  Rows with a null id are documents like others, and come last where one
+of several stays.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,14 +42,24 @@ from pyspark.sql.types import BooleanType
 from ..shipping import ship
 from .common import coded, slices, text_or_empty, written
 from .components import components
+from .simhash import Forest
 
 SHINGLE = 5
-#: Documents of the sample that tells common shingles, the least number of them that has one, and most shingles told.
-SAMPLE, COMMON, TOLD = 4_000, 3, 100_000
+#: 64-bit words of a fingerprint; bits that candidates differ in at most.
+WORDS, RADIUS = 4, 60
+#: Probability that a bit agrees at a similarity of 0.8 (cosine 8/9); that such a pair shares no block; unlike sets of a shard.
+AGREE, MISSED, SHARD_SETS = 0.848, 0.0005, 256
+#: Members of a tree at most.
+SLICE_ROWS = 50_000
 #: Bytes of text that are shingled at once.
 SLICE = 2 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Makes a shingle's hash another one for each word of a fingerprint.
+_SALTS = np.arange(1, WORDS + 1, dtype=np.uint64) * _ODD
+_LANES = np.uint64(0x0101010101010101)
+SIGNED = "doc_id long, h long, size long, key long, n long, code binary"
+SHARDED = "shard long, key long, n long, part long, code binary"
 
 
 def _stirred(x: np.ndarray) -> np.ndarray:
@@ -69,45 +89,165 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return rows[new], found[new]
 
 
-def _signatures(common):
-    """Function for mapInArrow over (doc_id, h, size, text): key of the set, its number of shingles, and its prefix."""
+def fingerprints(found: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A row of WORDS words for each set: ``n`` hashes of ``found`` each, one after another.
+
+    Eight bits are counted at once, a byte each, over runs of at most 255 hashes.
+    """
+    out = np.zeros((len(n), WORDS), np.uint64)
+    some = np.flatnonzero(n)
+    if not len(some):
+        return out
+    runs = -(-n[some] // 255)
+    first_run = np.cumsum(runs) - runs
+    start = np.cumsum(n)[some] - n[some]
+    at = np.repeat(start, runs) + 255 * (np.arange(int(runs.sum())) - np.repeat(first_run, runs))
+    ones = np.zeros((len(some), 64), np.int64)
+    for word in range(WORDS):
+        own = _stirred(found + _SALTS[word])
+        for bit in range(8):
+            lanes = np.add.reduceat((own >> np.uint64(bit)) & _LANES, at).view(np.uint8).reshape(-1, 8)
+            ones[:, bit::8] = np.add.reduceat(lanes, first_run, axis=0, dtype=np.int64)
+        out[some, word] = np.packbits(ones * 2 > n[some][:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return out
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes as a binary column."""
+    wide = rows.shape[1] * rows.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * wide), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _codes(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), WORDS)
+
+
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (doc_id, h, size, text): key of the set, its number of shingles, and its fingerprint."""
+    for batch in batches:
+        for lo, texts in slices(batch.column(3), SLICE):
+            rows, found = shingles(texts)
+            n = np.bincount(rows, minlength=len(texts)).astype(np.int64)
+            ends = np.cumsum(n)
+            sums = np.r_[np.zeros(1, np.uint64), np.cumsum(_stirred(found), dtype=np.uint64)]
+            key = _stirred(sums[ends] - sums[ends - n] + n.astype(np.uint64) * _ODD)
+            own = [batch.column(k).slice(lo, len(texts)) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(key.view(np.int64)), pa.array(n), _binary(fingerprints(found, n))], names=["doc_id", "h", "size", "key", "n", "code"])
+
+
+def blocks(sets: int) -> np.ndarray:
+    """Bits of each block, a row each, for so many distinct sets; spread evenly over the fingerprint."""
+    width = min(40, max(8, math.ceil(math.log2(max(1, sets) / SHARD_SETS))))
+    number = math.ceil(math.log(MISSED) / math.log(1 - AGREE**width))
+    rng, bits = np.random.default_rng(width), np.zeros(0, np.int64)
+    out = np.zeros((number, width), np.int64)
+    for k in range(number):
+        if len(bits) < width:  # what is left and a new order of all others
+            others = rng.permutation(64 * WORDS)
+            bits = np.r_[bits, others[~np.isin(others, bits)]]
+        out[k], bits = bits[:width], bits[width:]
+    return out
+
+
+def _sharded(chosen: np.ndarray):
+    """Function for mapInArrow over (key, n, part, code): SHARDED, a row a block.
+
+    Codes of a block are rotated alike: that leaves distances within a shard as
+    they are, and gives each block's shards another order.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told, times = common.value
+        weight = np.int64(1) << np.arange(chosen.shape[1], dtype=np.int64)
         for batch in batches:
-            for lo, texts in slices(batch.column(3), SLICE):
-                rows, found = shingles(texts)
-                n = np.bincount(rows, minlength=len(texts)).astype(np.int64)
-                ends = np.cumsum(n)
-                sums = np.r_[np.zeros(1, np.uint64), np.cumsum(_stirred(found), dtype=np.uint64)]
-                key = _stirred(sums[ends] - sums[ends - n] + n.astype(np.uint64) * _ODD)
-                at = np.searchsorted(told, found).clip(0, max(0, len(told) - 1))
-                rank = np.where(told[at] == found, times[at], 0) if len(told) else np.zeros(len(found), np.int64)
-                order = np.lexsort((found, rank, rows))
-                prefix = np.where(n > 0, n - (4 * n + 4) // 5 + 1, 0)
-                inside = np.arange(len(found)) - np.repeat(ends - n, n) < np.repeat(prefix, n)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(prefix)], pa.int32()), pa.array(found[order][inside].view(np.int64)))
-                own = [batch.column(k).slice(lo, len(texts)) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(key.view(np.int64)), pa.array(n), lists], names=["doc_id", "h", "size", "key", "n", "prefix"])
+            for lo in range(0, batch.num_rows, 4096):
+                rows = batch.slice(lo, 4096)
+                codes = _codes(rows.column(3)).view(np.uint8).reshape(rows.num_rows, -1)
+                bits = np.unpackbits(codes, axis=1, bitorder="little")
+                shard = np.stack([(np.int64(k) << np.int64(40)) + bits[:, c].astype(np.int64) @ weight for k, c in enumerate(chosen)], axis=1)
+                rotated = np.stack([np.roll(codes, -(k % codes.shape[1]), axis=1) for k in range(len(chosen))], axis=1).reshape(-1, codes.shape[1])
+                same = [pa.array(np.repeat(rows.column(c).to_numpy(zero_copy_only=False), len(chosen))) for c in (0, 1, 2)]
+                yield pa.RecordBatch.from_arrays([pa.array(shard.reshape(-1)), *same, _binary(rotated)], names=["shard", "key", "n", "part", "code"])
 
     return run
 
 
-def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sizes_allow(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return 5 * np.minimum(a, b) >= 4 * np.maximum(a, b)
+
+
+def _pair_rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["u", "v"])
+
+
+def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From SHARDED, sorted by shard and code: pairs of neighbours that may be similar."""
+    last = None
     for batch in batches:
-        for _, texts in slices(batch.column(0), SLICE):
-            yield pa.RecordBatch.from_arrays([pa.array(shingles(texts)[1].view(np.int64))], names=["shingle"])
+        now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)] + [_codes(batch.column(4))]
+        if last is not None:
+            now = [np.concatenate([a, b]) for a, b in zip(last, now, strict=True)]
+        shard, key, n, code = now
+        d = np.bitwise_count(code[1:] ^ code[:-1]).sum(axis=1)
+        hit = np.flatnonzero((shard[1:] == shard[:-1]) & (d <= RADIUS) & _sizes_allow(n[1:], n[:-1]))
+        yield _pair_rows(key[hit], key[hit + 1])
+        last = [a[-1:] for a in now]
 
 
-def _common(docs: DataFrame, sample: int):
-    """Broadcast: sorted hashes of shingles that are common in a sample, and in how many documents."""
-    every = max(1, docs.count() // max(1, sample))
-    seen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").mapInArrow(_distinct, "shingle long")
-    rows = seen.groupBy("shingle").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "shingle").limit(TOLD).toArrow()
-    told, times = (c.combine_chunks().to_numpy(zero_copy_only=False) for c in rows.columns)
-    told = told.view(np.uint64)
-    order = np.argsort(told)
-    return docs.sparkSession.sparkContext.broadcast((told[order], times[order]))
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From SHARDED and ``slice``, ``asks`` (0: in the slice's tree, 1: a query to it), sorted by shard, slice and asks.
+
+    Pairs within the radius whose components differ, found by the trees.  In a
+    shard of one slice its members are the queries.
+    """
+
+    def work(shard, key, n, part, slice_, asks, code) -> pa.RecordBatch:
+        group = np.cumsum(np.r_[0, (shard[1:] != shard[:-1]) | (slice_[1:] != slice_[:-1])])
+        member = asks == 0
+        forest = Forest(code[member], group[member])
+        heads, place = np.unique(group[member], return_inverse=True)
+        found = []
+
+        def kept(a: np.ndarray, b: np.ndarray) -> None:
+            ok = (part[a] != part[b]) & _sizes_allow(n[a], n[b])
+            found.append(np.stack([np.minimum(key[a[ok]], key[b[ok]]), np.maximum(key[a[ok]], key[b[ok]])], axis=1))
+
+        own = np.flatnonzero(member)
+        # Members of a slice's main component needn't ask: whom they would find asks for itself.
+        order = np.lexsort((part[own], place))
+        head = np.r_[True, (place[order][1:] != place[order][:-1]) | (part[own][order][1:] != part[own][order][:-1])] if len(own) else np.zeros(0, bool)
+        run = np.cumsum(head) - 1
+        size = np.bincount(run, minlength=0)
+        best = np.zeros(len(heads), np.int64)
+        np.maximum.at(best, place[order][head], size)
+        main = np.full(len(heads), np.iinfo(np.int64).min)
+        is_best = size == best[place[order][head]]
+        main[place[order][head][is_best]] = part[own][order][head][is_best]
+        alone = slice_[own] < 0
+        queries = np.flatnonzero((part[own] != main[place]) & alone)
+        for q, m, _ in forest.search(RADIUS, queries=queries):
+            kept(own[q], own[m])
+        asking = np.flatnonzero(~member)
+        if len(asking) and len(heads):
+            at = np.searchsorted(heads, group[asking])
+            there = (at < len(heads)) & (heads[at.clip(0, len(heads) - 1)] == group[asking])
+            asking, at = asking[there], at[there]
+            roots = forest.root[np.searchsorted(place, at)]
+            for q, m, _ in forest.search(RADIUS, of=code[asking], roots=roots):
+                kept(asking[q], own[m])
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+
+    held = None
+    for batch in batches:
+        now = [batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 3, 5, 6)] + [_codes(batch.column(4))]
+        held = now if held is None else [np.concatenate([a, b]) for a, b in zip(held, now, strict=True)]
+        if len(held[0]) >= SLICE_ROWS // 2:
+            last = np.flatnonzero((held[0] != held[0][-1]) | (held[4] != held[4][-1]))
+            if len(last):
+                yield work(*(a[: last[-1] + 1] for a in held))
+                held = [a[last[-1] + 1 :] for a in held]
+    if held is not None and len(held[0]):
+        yield work(*held)
 
 
 @arrow_udf(BooleanType())
@@ -123,62 +263,70 @@ def _similar(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         yield pa.array(5 * both >= 4 * (np.bincount(rows, minlength=len(a)) - both))
 
 
-def _possible(a: str, b: str):
-    """Whether sizes and the places of a shingle in both orders allow the similarity."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    rest = F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos"))
-    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * rest >= 4 * (n + m))
-
-
-def _confirmed(pairs: DataFrame, texts: DataFrame, label: str) -> DataFrame:
-    """(u, v) of the pairs that are as similar as asked."""
+def _confirmed(pairs: DataFrame, classes: DataFrame, named: DataFrame, label: str) -> DataFrame:
+    """(u, v) of the pairs that are as similar as asked, by whole texts of a row of each class."""
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct().join(classes.select("key", "t.*"), "key")
+    same = wanted["doc_id"].eqNullSafe(named["doc_id"]) & (wanted["h"] == named["h"]) & (wanted["size"] == named["size"])
+    texts = written(wanted.join(named, same).select("key", "text").dropDuplicates(["key"]), f"{label}_texts")
     left, right = (texts.select(F.col("key").alias(c), F.col("text").alias(f"{c}_text")) for c in "uv")
     return written(pairs.join(left, "u").join(right, "v").where(_similar("u_text", "v_text")).select("u", "v"), label)
 
 
 def _named(docs: DataFrame) -> DataFrame:
     """doc_id, h, size, text: hash and length stand for the text."""
-    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return named.select("doc_id", F.xxhash64("text").alias("h"), F.length("text").cast("long").alias("size"), "text")
 
 
-def near_copies(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, h, size, component of the rows with an id: components of documents (not of ids) over links of similar texts."""
+def _sliced(sharded: DataFrame, slice_rows: int) -> DataFrame:
+    """Adds ``slice`` (-1 - number, as the shard's own; or its number in a divided shard) and ``asks``."""
+    large = written(sharded.groupBy("shard").count().where(F.col("count") > slice_rows).select("shard", F.ceil(F.col("count") / slice_rows).cast("long").alias("cuts")), "large")
+    columns = ["shard", "key", "n", "part", "code"]
+    if large.isEmpty():
+        return sharded.select(*columns, F.lit(-1).cast("long").alias("slice"), F.lit(0).alias("asks"))
+    # The component that most members of a large shard have needn't ask.
+    tops = sharded.join(large, "shard").groupBy("shard", "part").count().groupBy("shard").agg(F.max_by("part", F.struct("count", "part")).alias("main"))
+    cut = sharded.join(large.join(tops, "shard"), "shard", "left")
+    members = cut.select(*columns, F.when(F.col("cuts").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("key"), F.col("cuts"))).cast("long").alias("slice"), F.lit(0).alias("asks"))
+    asking = cut.where("part <> main").select(*columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("slice"), F.lit(1).alias("asks"))
+    return members.unionByName(asking)
+
+
+def near_copies(docs: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """doc_id, h, size, component of every row: components of documents (not of ids) over links of similar texts."""
     ship(docs.sparkSession)
     named = _named(docs)
-    signed = written(named.mapInArrow(_signatures(_common(named, sample)), "doc_id long, h long, size long, key long, n long, prefix array<long>"), "signatures")
-    each = signed.dropDuplicates(["key"]).select("key", "n", F.posexplode("prefix").alias("pos", "shingle"))
-    by_shingle = Window.partitionBy("shingle")
-    shared = written(each.withColumn("times", F.count(F.lit(1)).over(by_shingle)).where("times > 1").drop("times"), "shared")
-    texts = shared.select("key").distinct().join(signed.groupBy("key").agg(F.min(F.struct("h", "size")).alias("t")), "key").select("key", "t.h", "t.size")
-    texts = written(named.select("h", "size", "text").join(texts, ["h", "size"]).select("key", "text").dropDuplicates(["key"]), "texts")
-
-    own = F.struct("key", "n", "pos")
-    beside = shared.select(own.alias("b"), F.lag(own).over(by_shingle.orderBy("n", "key")).alias("a")).where(_possible("a", "b"))
-    pairs = written(beside.select(F.least("a.key", "b.key").alias("u"), F.greatest("a.key", "b.key").alias("v")).distinct(), "neighbours")
-    links = _confirmed(pairs, texts, "links_of_neighbours")
+    signed = written(named.mapInArrow(_signatures, SIGNED), "signatures")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "size"))
+    classes = written(signed.groupBy("key").agg(F.min("n").alias("n"), F.min("code").alias("code"), least.alias("t")), "classes")
+    cut = _sharded(blocks(classes.count()))
+
+    shape = classes.select("key", "n", F.col("key").alias("part"), "code")
+    order = ["shard", "code"]
+    beside = shape.mapInArrow(cut, SHARDED).repartition("shard").sortWithinPartitions(*order).mapInArrow(_beside, "u long, v long")
+    pairs = written(beside.distinct(), "neighbours")
+    links = _confirmed(pairs, classes, named, "links_of_neighbours")
 
     joined = components(links)
-    parts = shared.join(joined, shared["key"] == joined["node"], "left").withColumn("part", F.coalesce("component", "key"))
-    parts = parts.withColumns({"low": F.min("part").over(by_shingle), "high": F.max("part").over(by_shingle)}).where("low < high").select("shingle", "part", own.alias("x"))
-    parts = written(parts, "parts")
-    left, right = (parts.select("shingle", F.col("part").alias(f"part_{c}"), F.col("x").alias(c)) for c in "ab")
-    rest = left.join(right, "shingle").where((F.col("a.key") < F.col("b.key")) & (F.col("part_a") != F.col("part_b")) & _possible("a", "b"))
-    rest = rest.select(F.col("a.key").alias("u"), F.col("b.key").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
-    links = links.unionByName(_confirmed(rest, texts, "links_of_others"))
+    parts = classes.join(joined, classes["key"] == joined["node"], "left").select("key", "n", F.coalesce("component", "key").alias("part"), "code")
+    sliced = _sliced(written(parts, "parts").mapInArrow(cut, SHARDED), slice_rows)
+    across = sliced.repartition("shard", "slice").sortWithinPartitions("shard", "slice", "asks").mapInArrow(_across, "u long, v long")
+    rest = written(across.distinct().join(pairs, ["u", "v"], "left_anti"), "others")
+    links = links.unionByName(_confirmed(rest, classes, named, "links_of_others"))
 
     joined = components(links)
     return signed.join(joined, signed["key"] == joined["node"], "left").select("doc_id", "h", "size", F.coalesce("component", "key").alias("component"))
 
 
-def deduplicated(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """``docs``, whole rows, with one document of each component: that with the least doc_id.
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """``docs``, whole rows, with one document of each component: that with the least doc_id (null ids last).
 
     Of rows that repeat an id and a text one stays; unlike texts under one id
-    are documents of their own.  Rows with a null id stay.
+    are documents of their own.
     """
-    least = near_copies(docs, sample).groupBy("component").agg(F.min(F.struct("doc_id", "size", "h")).alias("k")).select(F.col("k.doc_id").alias("id"), F.col("k.size").alias("size"), F.col("k.h").alias("h"))
-    whole = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.length(text_or_empty()).cast("long").alias("size"), F.xxhash64(text_or_empty()).alias("h"), F.struct("*").alias("row"))
-    nth = F.row_number().over(Window.partitionBy("id", "size", "h").orderBy("h"))
-    kept = whole.join(least, ["id", "size", "h"]).withColumn("nth", nth).where("nth = 1").select("row.*")
-    return kept.unionByName(docs.where("doc_id is null"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "size", "h")).alias("k")
+    least = near_copies(docs).groupBy("component").agg(first).select("k.doc_id", "k.size", "k.h").distinct()
+    whole = docs.select(F.col("doc_id").cast("long").alias("id"), F.length(text_or_empty()).cast("long").alias("size"), F.xxhash64(text_or_empty()).alias("h"), F.struct("*").alias("row"))
+    same = whole["id"].eqNullSafe(least["doc_id"]) & (whole["size"] == least["size"]) & (whole["h"] == least["h"])
+    nth = F.row_number().over(Window.partitionBy("id", whole["size"], whole["h"]).orderBy("id"))
+    return whole.join(least, same).withColumn("nth", nth).where("nth = 1").select("row.*")

@@ -65,12 +65,31 @@ def crowd(seed=1, n=1500):
 
 def test_links_connect_what_brute_force_connects(spark):
     codes = crowd()
-    classes = spark.createDataFrame([(signed(c), k) for k, c in codes.items()], "code long, rep long")
+    classes, name = spark.createDataFrame([(signed(c),) for c in codes.values()], "code long"), {signed(c): k for k, c in codes.items()}
     for radius, shard_rows in ((2, 100_000), (2, 5), (1, 5), (4, 40)):
-        got = joined([(r.u, r.v) for r in simhash.links(classes, radius, shard_rows).collect()], codes)
+        got = joined([(name[r.u], name[r.v]) for r in simhash.links(classes, radius, shard_rows).collect()], codes)
         assert got == joined(near(codes, radius), codes)
 
 
+def test_a_crowd_in_one_block_is_divided_until_it_is_small(spark):
+    rng = random.Random(3)
+    codes = {k: rng.getrandbits(20) | 0xABC << 40 for k in range(400)}  # two blocks are the same in all
+    codes = {k: c for k, c in codes.items() if c not in {codes[j] for j in range(k)}}
+    name = {signed(c): k for k, c in codes.items()}
+    data = spark.createDataFrame([(c,) for c in name], "code long")
+    got = joined([(name[r.u], name[r.v]) for r in simhash.links(data, 2, 12).collect()], codes)
+    assert got == joined(near(codes, 2), codes)
+
+
+def test_rows_without_an_id_link_others(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(simhash, "fingerprint_column", lambda text: F.conv(text, 16, 10).cast("long"))
+    rows = [(1, "0"), (None, "3"), (2, "F"), (None, "FF00"), (7, "FF000000000")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.code, r.component_id) for r in got) == [(0, 3, 1), (0, 0xFF00, None), (1, 0, 1), (2, 15, 1), (7, 0xFF000000000, 7)]
+
+
 @settings(deadline=None, max_examples=30)
 @given(st.lists(st.integers(0, 2**64 - 1) | st.integers(0, 255), min_size=1, max_size=60, unique=True), st.integers(0, 4))
 def test_trees_find_every_pair(codes, radius):
@@ -87,17 +106,20 @@ def test_components_of_chains_and_stars(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).collect() == []
 
 
+@settings(deadline=None, max_examples=30)
+@given(st.lists(st.tuples(st.integers(0, 2**64 - 1), st.integers(0, 3)), min_size=1, max_size=40, unique=True), st.integers(0, 90))
+def test_trees_of_wide_codes_answer_queries(codes, radius):
+    a = np.array([[c, c ^ x] for c, x in codes], np.uint64)
+    asked = a[:5] ^ np.uint64(5)
+    forest = simhash.Forest(a, np.zeros(len(a), np.int64))
+    want = {(i, j, d) for i in range(len(asked)) for j in range(len(a)) if (d := int(np.bitwise_count(asked[i] ^ a[j]).sum())) <= radius}
+    assert {t for q, m, d in forest.search(radius, of=asked, roots=np.zeros(len(asked), np.int64)) for t in zip(q.tolist(), m.tolist(), d.tolist(), strict=True)} == want
+    some = np.arange(0, len(a), 2)
+    want = {(int(i), j) for i in some for j in range(len(a)) if i != j and np.bitwise_count(a[i] ^ a[j]).sum() <= radius}
+    assert {t for q, m, _ in forest.search(radius, queries=some) for t in zip(q.tolist(), m.tolist(), strict=True)} == want
+
+
 def test_odd_documents(odd, nothing):
     found = simhash.near_duplicates(odd).collect()
     assert len(found) == len(documents())
-    kept = simhash.deduplicated(odd)
-    assert kept.columns == odd.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert len(set(ids) - {None}) == len([i for i in ids if i is not None]) and ids.count(None) == 2
-    assert {105, 104, 103} <= set(ids) and not {101, 102} <= set(ids)
-    assert simhash.near_duplicates(nothing).collect() == [] and simhash.deduplicated(nothing).collect() == []
-
-
-def test_deduplicated_keeps_one_of_each_component(sample):
-    components_ = {r.component_id for r in simhash.near_duplicates(sample).collect()}
-    assert sorted(r.doc_id for r in simhash.deduplicated(sample).select("doc_id").collect()) == sorted(components_)
+    assert simhash.near_duplicates(nothing).collect() == []
