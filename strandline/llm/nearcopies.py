@@ -1,15 +1,16 @@
 """Near copies by SimHash: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
 At that similarity fingerprints differ in some 15 % of their bits, too many to
-divide 64 bits by.  So fingerprints are ``64 * WORDS`` bits wide here, and a
-shard is the fingerprints with one value of a block of ``b`` bits chosen at
-random.  A pair at the least similarity agrees on a block with a probability of
+divide 64 bits by.  So fingerprints are ``64 * WORDS`` bits wide here, of which
+the first ``64 * TREE_WORDS`` divide and make the trees: a shard is the
+fingerprints with one value of a block of ``b`` of these bits.  A pair at the least similarity agrees on a block with a probability of
 ``AGREE ** b``; there are as many blocks as leave it apart in all of them with a
 probability of ``MISSED`` at most.  ``b`` follows from the number of distinct
 sets, so that unlike sets make shards of about ``SHARD_SETS``, and the search
 costs much less than the square of the corpus.  In each shard a BK-tree search
-follows the edges within ``RADIUS``; what it proposes is confirmed by the exact
-similarity of the whole texts.  So no unlike texts are joined, and the part of
+follows the edges within ``TREE_RADIUS``; what it proposes must be within
+``RADIUS`` in all bits and is confirmed by the exact similarity of the sets of
+the whole texts.  So no unlike texts are joined, and the part of
 like ones that is missed is measured in the tests and in the README.
 
 Candidates are taken in two rounds: first neighbours in the order of each
@@ -33,7 +34,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -45,8 +45,8 @@ from .components import components
 from .simhash import Forest
 
 SHINGLE = 5
-#: 64-bit words of a fingerprint; bits that candidates differ in at most.
-WORDS, RADIUS = 4, 60
+#: 64-bit words of a fingerprint, and of the part in trees; bits that candidates differ in at most, in all and in that part.
+WORDS, TREE_WORDS, RADIUS, TREE_RADIUS = 16, 4, 190, 56
 #: Probability that a bit agrees at a similarity of 0.8 (cosine 8/9); that such a pair shares no block; unlike sets of a shard.
 AGREE, MISSED, SHARD_SETS = 0.848, 0.0005, 256
 #: Members of a tree at most.
@@ -57,6 +57,7 @@ SLICE = 2 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Makes a shingle's hash another one for each word of a fingerprint.
 _SALTS = np.arange(1, WORDS + 1, dtype=np.uint64) * _ODD
+_PLACE = np.uint64(0xD6E8FEB86659FD93)
 _LANES = np.uint64(0x0101010101010101)
 SIGNED = "doc_id long, h long, size long, key long, n long, code binary"
 SHARDED = "shard long, key long, n long, part long, code binary"
@@ -67,12 +68,28 @@ def _stirred(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
 
 
+def _hashed(pieces: pa.Array) -> np.ndarray:
+    """64-bit hash of each distinct piece: the sum of a random word for each byte in its place."""
+    pieces = pieces.cast(pa.large_string())
+    ends = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset : pieces.offset + len(pieces) + 1]
+    data = np.frombuffer(pieces.buffers()[2], np.uint8)[ends[0] : ends[-1]].astype(np.uint64)
+    starts, width = ends[:-1] - ends[0], np.diff(ends)
+    place = np.arange(len(data)) - np.repeat(starts, width)
+    sums = np.r_[np.zeros(1, np.uint64), np.cumsum(_stirred((data + np.uint64(1)) * _ODD + place.astype(np.uint64) * _PLACE), dtype=np.uint64)]
+    return _stirred(sums[starts + width] - sums[starts] + width.astype(np.uint64))
+
+
+def _in_order(rows: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Order by row, then by hash, as far as 44 bits of it tell."""
+    return np.argsort(rows.astype(np.uint64) << np.uint64(44) | found >> np.uint64(20))
+
+
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of the distinct shingles of each text, in that order."""
+    """(row, hash) of the distinct shingles of each text, in that order; 2**20 texts at most."""
     rows, codes, pieces = coded(pc.ascii_lower(pc.fill_null(texts, "")), whitespace=True)
     if not len(rows):
         return rows, np.zeros(0, np.uint64)
-    of = np.fromiter((xxhash.xxh64_intdigest(p) for p in pieces.to_pylist()), np.uint64, len(pieces))[codes]
+    of = _hashed(pieces)[codes]
     first = np.r_[True, rows[1:] != rows[:-1]]
     starts = np.flatnonzero(first)
     ends = np.r_[starts[1:], len(rows)]
@@ -83,7 +100,7 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         found = np.where(left > k, _stirred(found * _ODD + later), found)
     whole = (left >= SHINGLE) | first
     rows, found = rows[whole], found[whole]
-    order = np.lexsort((found, rows))
+    order = _in_order(rows, found)
     rows, found = rows[order], found[order]
     new = np.r_[True, (rows[1:] != rows[:-1]) | (found[1:] != found[:-1])]
     return rows[new], found[new]
@@ -119,7 +136,9 @@ def _binary(rows: np.ndarray) -> pa.Array:
 
 
 def _codes(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), WORDS)
+    """Fingerprints, or their parts, of a binary column, a row each."""
+    flat = np.frombuffer(b"".join(column.to_pylist()), np.uint64)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, TREE_WORDS)
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,14 +162,14 @@ def blocks(sets: int) -> np.ndarray:
     out = np.zeros((number, width), np.int64)
     for k in range(number):
         if len(bits) < width:  # what is left and a new order of all others
-            others = rng.permutation(64 * WORDS)
+            others = rng.permutation(64 * TREE_WORDS)
             bits = np.r_[bits, others[~np.isin(others, bits)]]
         out[k], bits = bits[:width], bits[width:]
     return out
 
 
 def _sharded(chosen: np.ndarray):
-    """Function for mapInArrow over (key, n, part, code): SHARDED, a row a block.
+    """Function for mapInArrow over (key, n, part, code): SHARDED, a row a block, with the part of the code that trees have.
 
     Codes of a block are rotated alike: that leaves distances within a shard as
     they are, and gives each block's shards another order.
@@ -161,7 +180,7 @@ def _sharded(chosen: np.ndarray):
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
                 rows = batch.slice(lo, 4096)
-                codes = _codes(rows.column(3)).view(np.uint8).reshape(rows.num_rows, -1)
+                codes = np.ascontiguousarray(_codes(rows.column(3))[:, :TREE_WORDS]).view(np.uint8)
                 bits = np.unpackbits(codes, axis=1, bitorder="little")
                 shard = np.stack([(np.int64(k) << np.int64(40)) + bits[:, c].astype(np.int64) @ weight for k, c in enumerate(chosen)], axis=1)
                 rotated = np.stack([np.roll(codes, -(k % codes.shape[1]), axis=1) for k in range(len(chosen))], axis=1).reshape(-1, codes.shape[1])
@@ -188,7 +207,7 @@ def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             now = [np.concatenate([a, b]) for a, b in zip(last, now, strict=True)]
         shard, key, n, code = now
         d = np.bitwise_count(code[1:] ^ code[:-1]).sum(axis=1)
-        hit = np.flatnonzero((shard[1:] == shard[:-1]) & (d <= RADIUS) & _sizes_allow(n[1:], n[:-1]))
+        hit = np.flatnonzero((shard[1:] == shard[:-1]) & (d <= TREE_RADIUS) & _sizes_allow(n[1:], n[:-1]))
         yield _pair_rows(key[hit], key[hit + 1])
         last = [a[-1:] for a in now]
 
@@ -224,7 +243,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         main[place[order][head][is_best]] = part[own][order][head][is_best]
         alone = slice_[own] < 0
         queries = np.flatnonzero((part[own] != main[place]) & alone)
-        for q, m, _ in forest.search(RADIUS, queries=queries):
+        for q, m, _ in forest.search(TREE_RADIUS, queries=queries):
             kept(own[q], own[m])
         asking = np.flatnonzero(~member)
         if len(asking) and len(heads):
@@ -232,7 +251,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             there = (at < len(heads)) & (heads[at.clip(0, len(heads) - 1)] == group[asking])
             asking, at = asking[there], at[there]
             roots = forest.root[np.searchsorted(place, at)]
-            for q, m, _ in forest.search(RADIUS, of=code[asking], roots=roots):
+            for q, m, _ in forest.search(TREE_RADIUS, of=code[asking], roots=roots):
                 kept(asking[q], own[m])
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
@@ -250,26 +269,45 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield work(*held)
 
 
+@arrow_udf(BooleanType())
+def _near(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for a, b in pairs:
+        yield pa.array(np.bitwise_count(_codes(a) ^ _codes(b)).sum(axis=1) <= RADIUS)
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (key, text): key and its set's hashes."""
+    for batch in batches:
+        for lo, texts in slices(batch.column(1), SLICE):
+            rows, found = shingles(texts)
+            parts = np.split(found, np.searchsorted(rows, np.arange(1, len(texts))))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), pa.array([p.tobytes() for p in parts], pa.binary())], names=["key", "set"])
+
+
 @arrow_udf(BooleanType())
 def _similar(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for a, b in pairs:
         # Both sides' sets, one after another: what is twice in a row is in both.
-        (r1, h1), (r2, h2) = shingles(a), shingles(b)
-        rows, found = np.r_[r1, r2], np.r_[h1, h2]
-        order = np.lexsort((found, rows))
+        n = [pc.binary_length(c).to_numpy(zero_copy_only=False).astype(np.int64) // 8 for c in (a, b)]
+        rows = np.concatenate([np.repeat(np.arange(len(a)), k) for k in n])
+        found = np.frombuffer(b"".join([*a.to_pylist(), *b.to_pylist()]), np.uint64)
+        order = _in_order(rows, found)
         rows, found = rows[order], found[order]
         twice = (rows[1:] == rows[:-1]) & (found[1:] == found[:-1])
         both = np.bincount(rows[1:][twice], minlength=len(a))
-        yield pa.array(5 * both >= 4 * (np.bincount(rows, minlength=len(a)) - both))
+        yield pa.array(5 * both >= 4 * (n[0] + n[1] - both))
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, named: DataFrame, label: str) -> DataFrame:
-    """(u, v) of the pairs that are as similar as asked, by whole texts of a row of each class."""
+    """(u, v) of the pairs that are as similar as asked, by the whole text of a row of each class."""
+    left, right = (classes.select(F.col("key").alias(c), F.col("code").alias(f"{c}_code")) for c in "uv")
+    pairs = written(pairs.join(left, "u").join(right, "v").where(_near("u_code", "v_code")).select("u", "v"), f"{label}_near")
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct().join(classes.select("key", "t.*"), "key")
     same = wanted["doc_id"].eqNullSafe(named["doc_id"]) & (wanted["h"] == named["h"]) & (wanted["size"] == named["size"])
-    texts = written(wanted.join(named, same).select("key", "text").dropDuplicates(["key"]), f"{label}_texts")
-    left, right = (texts.select(F.col("key").alias(c), F.col("text").alias(f"{c}_text")) for c in "uv")
-    return written(pairs.join(left, "u").join(right, "v").where(_similar("u_text", "v_text")).select("u", "v"), label)
+    texts = wanted.join(named, same).select("key", "text").dropDuplicates(["key"])
+    sets = written(texts.mapInArrow(_sets, "key long, set binary"), f"{label}_sets")
+    left, right = (sets.select(F.col("key").alias(c), F.col("set").alias(f"{c}_set")) for c in "uv")
+    return written(pairs.join(left, "u").join(right, "v").where(_similar("u_set", "v_set")).select("u", "v"), label)
 
 
 def _named(docs: DataFrame) -> DataFrame:
