@@ -32,7 +32,7 @@ def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word Jaccard of 0.8 or more) stays: that with the least doc_id."""
+    """One document of each group of near copies stays, that with the least doc_id: SimHash, BK-trees, five-word Jaccard of 0.8 or more."""
     ship(spark)
     return nearcopies.deduplicated(docs)
 
