@@ -9,8 +9,9 @@ score is a logistic function of its evidence a word and of the part of it that
 exceeds what ordinary words show, both normalised by length.
 
 Counts are of three quarters of the labelled documents that may be learned
-from.  The model is bounded by ``NGRAMS``: beyond it, n-grams seen least go to
-the shared model.  The logistic function is fitted on the other quarter, which
+from, and no n-gram is left out.  A model of ``NGRAMS`` n-grams at most is
+broadcast; beyond that the same model stays in tables and words and texts are
+scored by joins (:mod:`.toxicity_tables`).  The logistic function is fitted on the other quarter, which
 the model hasn't seen (a bounded sample, ``SAMPLE`` rows at most), so that it
 meets evidence as new texts give it.
 
@@ -32,13 +33,14 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, DoubleType
 
 from ..shipping import ship
-from .common import chunked, slices, text_or_empty
+from .common import chunked, slices, text_or_empty, written
 from .labelled import Logistic, held_out, training
+from .toxicity_tables import Tables
 
 #: Rows whose crc32 leaves HELD modulo MODULUS are never learned from.
 MODULUS, HELD = 4, 2
-#: Bytes of context; n-grams of the model at most; least count of an n-gram.
-CONTEXT, NGRAMS, LEAST = 5, 2_000_000, 1
+#: Bytes of context; n-grams of a model that is broadcast.
+CONTEXT, NGRAMS = 5, 2_000_000
 #: Labelled rows for the logistic function at most; evidence of a word at most, and bounds beyond which it exceeds the ordinary.
 SAMPLE, CLIP, PLAIN = 20_000, 8.0, (3.0, 6.0)
 THRESHOLD = 0.3
@@ -47,6 +49,8 @@ THRESHOLD = 0.3
 SLICE = 2 << 20
 
 _WORD = re.compile(r"\w+")
+#: Features of a text: evidence a word, and three for each bound.
+FEATURES = 1 + 3 * len(PLAIN)
 #: Stands before and after each word; no word has it.
 _EDGE = 1
 
@@ -187,13 +191,31 @@ def counts(labelled: DataFrame) -> DataFrame:
     return found.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
-class Scorer:
-    """A fitted classifier: ``column`` scores texts."""
+def _words_of(piece: str) -> list[str]:
+    return _WORD.findall(piece.lower())
 
-    def __init__(self, spark: SparkSession, model: Model | None, logistic: Logistic | None):
-        self.shared = spark.sparkContext.broadcast((model, logistic))  # at most NGRAMS n-grams
 
-    def column(self, text: Column) -> Column:
+class Scorer:
+    """A fitted classifier; without one every score is 0."""
+
+    def __init__(self, spark: SparkSession, model: Model | Tables | None, logistic: Logistic | None):
+        self.model, self.logistic = model, logistic
+        self.shared = None if isinstance(model, Tables) else spark.sparkContext.broadcast((model, logistic))  # at most NGRAMS n-grams
+
+    def scored(self, rows: DataFrame) -> DataFrame:
+        """Adds ``score`` to rows that have a column ``text``."""
+        if self.shared is not None:
+            return rows.withColumn("score", self._column(F.col("text")))
+        found = self.model.features(rows.select("text"), ngrams, _words_of, PLAIN)
+        zeros = F.array(*(F.lit(0.0) for _ in range(FEATURES)))
+        found = rows.withColumn("sha", F.sha2("text", 256)).join(found, "sha", "left").withColumn("x", F.coalesce("x", zeros))
+        w = self.logistic.w
+        margin = F.lit(float(w[-1]))
+        for i in range(FEATURES):
+            margin = margin + (F.get("x", F.lit(i)) - F.lit(float(self.logistic.mean[i]))) / F.lit(float(self.logistic.scale[i])) * F.lit(float(w[i]))
+        return found.withColumn("score", 1 / (1 + F.exp(-F.greatest(F.least(margin, F.lit(30.0)), F.lit(-30.0))))).drop("sha", "x")
+
+    def _column(self, text: Column) -> Column:
         shared = self.shared
 
         @arrow_udf(DoubleType())
@@ -209,7 +231,7 @@ class Scorer:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = MODULUS, held: int = HELD, most: int = NGRAMS, sample: int = SAMPLE) -> Scorer:
-    """Learns from the labelled documents that aren't held out."""
+    """Learns from the labelled documents that aren't held out; a model of up to ``most`` n-grams is broadcast."""
     ship(docs.sparkSession)
     for fit, calibrate in ((False, True), (None, None)):  # all labels for both, if there are too few to keep some apart
         model = _model(training(docs, labels, label, modulus, held, calibrating=fit), most)
@@ -219,43 +241,45 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: in
     return Scorer(docs.sparkSession, None, None)
 
 
-def _model(labelled: DataFrame, most: int) -> Model | None:
+def _model(labelled: DataFrame, most: int) -> Model | Tables | None:
     """None without texts of both classes."""
-    seen = counts(labelled).withColumn("both", F.col("toxic") + F.col("ordinary")).where(F.col("both") >= LEAST).persist()
-    least, total = LEAST, 0
-    for b, n in sorted(((r["b"], r["count"]) for r in seen.groupBy(F.least("both", F.lit(1000)).alias("b")).count().collect()), reverse=True):
-        total += n
-        if total > most:
-            least = b + 1
-            break
-    rows = seen.where(F.col("both") >= least).select("gram", "toxic", "ordinary").toArrow()
-    seen.unpersist()
-    keys, toxic, ordinary = (c.combine_chunks().to_numpy(zero_copy_only=False) for c in rows.columns)
-    return Model(keys, toxic, ordinary) if len(keys) and toxic.sum() and ordinary.sum() else None
-
-
-def _calibration(labelled: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray] | None:
-    """Features and labels; None if they lack a class."""
-    shared = labelled.sparkSession.sparkContext.broadcast(model)
+    seen = written(counts(labelled), "ngrams")
+    n, toxic, ordinary = seen.agg(F.count(F.lit(1)), F.sum("toxic"), F.sum("ordinary")).first()
+    if not (toxic and ordinary):
+        return None
+    if n > most:
+        return Tables(seen, CONTEXT, CLIP)
+    return Model(*(c.combine_chunks().to_numpy(zero_copy_only=False) for c in seen.select("gram", "toxic", "ordinary").toArrow().columns))
 
-    @arrow_udf(ArrayType(DoubleType()))
-    def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([row for _, texts in slices(batch, SLICE) for row in shared.value.features(texts).tolist()], pa.list_(pa.float64()))
 
-    found = labelled.select(features("text").alias("x"), "label").toArrow()
+def _calibration(labelled: DataFrame, model: Model | Tables) -> tuple[np.ndarray, np.ndarray] | None:
+    """Features and labels; None if they lack a class."""
+    if isinstance(model, Tables):
+        labelled = written(labelled.select("text", "label"), "calibrating")  # a bounded sample
+        zeros = F.array(*(F.lit(0.0) for _ in range(FEATURES)))
+        found = model.features(labelled, ngrams, _words_of, PLAIN)
+        found = labelled.select(F.sha2("text", 256).alias("sha"), "label").join(found, "sha", "left").select(F.coalesce("x", zeros).alias("x"), "label").toArrow()
+    else:
+        shared = labelled.sparkSession.sparkContext.broadcast(model)
+
+        @arrow_udf(ArrayType(DoubleType()))
+        def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for batch in batches:
+                yield pa.array([row for _, texts in slices(batch, SLICE) for row in shared.value.features(texts).tolist()], pa.list_(pa.float64()))
+
+        found = labelled.select(features("text").alias("x"), "label").toArrow()
     x, y = np.array(found.column("x").to_pylist()), found.column("label").to_numpy().astype(float)
     return (x, y) if 0 < y.sum() < len(y) else None
 
 
-def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most: int = NGRAMS) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
-    scorer = fitted(docs, labels)
-    out = docs.select("doc_id", text_or_empty().alias("text")).select("doc_id", held_out(MODULUS, HELD).alias("held_out"), scorer.column(F.col("text")).alias("score"))
+    scorer = fitted(docs, labels, most=most)
+    out = scorer.scored(docs.select("doc_id", text_or_empty().alias("text"))).select("doc_id", held_out(MODULUS, HELD).alias("held_out"), "score")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def kept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents, whole rows, that score below the threshold."""
     scorer = fitted(docs, labels)
-    return docs.where(scorer.column(text_or_empty()) < threshold)
+    return scorer.scored(docs.select(F.struct("*").alias("row"), text_or_empty().alias("text"))).where(F.col("score") < threshold).select("row.*")

@@ -82,6 +82,69 @@ def test_kneser_ney_is_a_distribution():
     assert np.allclose(both.words(words), 0, atol=1e-6)
 
 
+def plain_kneser_ney(toxic, ordinary, context=toxicity.CONTEXT):
+    """Evidence of a word by dictionaries, straight from the definition."""
+    from collections import Counter
+
+    def grams(word):
+        data = b"\x01" + word.encode() + b"\x01"
+        return [(data[max(0, i - context) : i], data[i]) for i in range(1, len(data))]
+
+    counts = [Counter(g for w in words for g in grams(w)) for words in (toxic, ordinary)]
+
+    def discount(values):
+        once, twice = sum(v == 1 for v in values), sum(v == 2 for v in values)
+        return min(0.95, max(0.1, once / (once + 2 * twice))) if once + twice else 0.5
+
+    levels = [counts[0] + counts[1]]
+    for size in range(context - 1, -1, -1):
+        level = Counter()
+        for (before, byte), n in levels[-1].items():
+            short = before[-size:] if size else b""
+            level[short, byte] += n if short == before else 1
+        levels.append(level)
+
+    def shared(before, byte, depth=1):
+        if depth > context:
+            return 1 / 256
+        size, level = context - depth, levels[depth]
+        before = before[-size:] if size else b""
+        own = {b: n for (c, b), n in level.items() if c == before}
+        d = discount(level.values())
+        return max(own.get(byte, 0) - d, 0) / sum(own.values()) + d * len(own) / sum(own.values()) * shared(before, byte, depth + 1)
+
+    def log_likelihood(count, before, byte):
+        own = {b: n for (c, b), n in count.items() if c == before}
+        d, total = discount(count.values()), sum(own.values())
+        left = d * len(own) / total if total else 1.0
+        if (before, byte) in levels[0]:
+            return np.log((max(own.get(byte, 0) - d, 0) / total if total else 0) + left * shared(before, byte))
+        return np.log(left)  # of what neither class has seen only the backoff differs
+
+    return lambda word: np.clip(sum(log_likelihood(counts[0], *g) - log_likelihood(counts[1], *g) for g in grams(word)), -toxicity.CLIP, toxicity.CLIP)
+
+
+def test_evidence_equals_plain_kneser_ney():
+    rng = np.random.default_rng(4)
+    draw = lambda n, letters: ["".join(rng.choice(list(letters), rng.integers(1, 9))) for _ in range(n)]
+    toxic, ordinary = draw(60, "abcde"), draw(90, "bcdefg")
+    (kt, _), (ko, _) = toxicity.ngrams(toxic), toxicity.ngrams(ordinary)
+    keys = np.unique(np.r_[kt, ko])
+    model = toxicity.Model(keys, *(np.bincount(np.searchsorted(keys, k), minlength=len(keys)) for k in (kt, ko)))
+    words = toxic[:20] + ordinary[:20] + draw(40, "abcdefgh")
+    plain = plain_kneser_ney(toxic, ordinary)
+    assert model.words(words) == pytest.approx([plain(w) for w in words], abs=1e-4)
+
+
+def test_a_model_too_large_to_broadcast_scores_alike(spark, odd):
+    docs, labels = labelled(spark, 240)
+    docs = docs.unionByName(odd.select(docs.columns))
+    order = ["doc_id", "score"]
+    a, b = (toxicity.scored(docs, labels, most=most).orderBy(*order).collect() for most in (toxicity.NGRAMS, 10))
+    assert isinstance(toxicity.fitted(docs, labels, most=10).model, toxicity.Tables)
+    assert [r.doc_id for r in a] == [r.doc_id for r in b] and [r.score for r in a] == pytest.approx([r.score for r in b], abs=1e-4)
+
+
 def test_ngrams_stay_within_words():
     keys, word = toxicity.ngrams(["ab", "c"])
     assert word.tolist() == [0, 0, 0, 1, 1]
@@ -105,6 +168,30 @@ def test_dual_coordinate_descent_separates():
     assert all((w[f].sum() / 5**0.5 + w[-1]) * v > 0 for f, v in zip(features, y, strict=True))
 
 
+def test_ratios_and_dual_equal_plain_versions():
+    """Log-count ratios by counting; the dual's optimum by the primal objective of a plain subgradient search."""
+    rng = np.random.default_rng(2)
+    y = np.array([1, 0] * 30)
+    features = [np.unique(rng.choice(40, 8) + 10 * int(v)) for v in y]
+    ratio = quality.naive_bayes_ratio(features, y)
+    for f in range(60):
+        of = [sum(f in x for x, v in zip(features, y, strict=True) if v == k) + quality.SMOOTHING for k in (1, 0)]
+        total = [sum(len(x) for x, v in zip(features, y, strict=True) if v == k) + quality.SMOOTHING * quality.SIZE for k in (1, 0)]
+        assert ratio[f] == pytest.approx(np.log(of[0] / total[0]) - np.log(of[1] / total[1]))
+    values = [ratio[f] / np.linalg.norm(ratio[f]) for f in features]
+    sign, cost = np.where(y == 1, 1.0, -1.0), np.full(60, 0.7)
+    w = quality.dual_coordinate_descent(features, values, sign, cost, epochs=400)
+    x = np.zeros((60, 61))
+    for i, (f, v) in enumerate(zip(features, values, strict=True)):
+        x[i, f], x[i, 60] = v, 1.0
+    objective = lambda u: u @ u / 2 + (cost * np.maximum(0, 1 - sign * (x @ u))).sum()
+    u = best = np.zeros(61)
+    for k in range(1, 20_001):
+        u = u - (u - x.T @ (cost * sign * (sign * (x @ u) < 1))) / (k + 1)
+        best = min(best, u, key=objective)
+    assert objective(np.r_[w[:60], w[-1]]) <= objective(best) * (1 + 1e-3)
+
+
 def test_logistic():
     x = np.r_[np.random.default_rng(0).normal(0, 1, (200, 1)), np.random.default_rng(1).normal(3, 1, (200, 1))]
     p = Logistic(x, np.r_[np.zeros(200), np.ones(200)])(x)
