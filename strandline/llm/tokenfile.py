@@ -32,11 +32,13 @@ from .tokens import encoder
 END = 2
 #: Ids of a block, after which it ends with the document.
 BLOCK_IDS = 1 << 20
-#: A pair is frequent if it occurs so often; rounds; rules of a block; a round that shortens less is the last.
-FREQUENT, ROUNDS, RULES, LEAST_GAIN = 24, 8, 12_000, 0.01
+#: A pair is frequent if it occurs so often; a round that shortens less is the last; bits of a place in the table of pairs.
+FREQUENT, LEAST_GAIN, PLACES = 24, 0.002, 20
 FILE = "part int, block int, n_docs long, n_ids long, n_symbols long, doc_ids binary, doc_nulls binary, doc_lengths binary, terminals long, rules binary, rule_lengths binary, sequence binary"
 _FILE = pa.schema([(n, {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[t]) for n, t in (f.split() for f in FILE.split(", "))])
 
+_MIX, _HALF, _LOW = np.uint64(0x9E3779B97F4A7C15), np.uint64(32), np.uint64(0xFFFFFFFF)
+
 
 @dataclass
 class Grammar:
@@ -90,42 +92,35 @@ class Grammar:
         return self.expanded(self.sequence[lo:hi])[start - before : stop - before]
 
 
-def re_pair(ids: np.ndarray, frequent: int = FREQUENT, rounds: int = ROUNDS, most: int = RULES, least_gain: float = LEAST_GAIN) -> Grammar:
-    """A grammar for ids below 2**16 minus the rules it may take."""
+def re_pair(ids: np.ndarray, frequent: int = FREQUENT, least_gain: float = LEAST_GAIN) -> Grammar:
+    """A grammar for 32-bit ids: rounds go on until no pair is frequent, or one shortens the sequence by less than ``least_gain``."""
     terminals = int(ids.max()) + 1 if len(ids) else 0
-    if terminals + most > 1 << 16:
-        most = max(0, (1 << 16) - terminals)
     symbols, rules, count = ids.astype(np.uint32), [np.zeros((0, 2), np.uint32)], 0
-    for _ in range(rounds):
-        if len(symbols) < 2 or count >= most:
-            break
-        keys = (symbols[:-1] << np.uint32(16)) | symbols[1:]
-        mixed = ((keys * np.uint32(2654435769)) >> np.uint32(12)).astype(np.int64)
-        often = np.bincount(mixed, minlength=1 << 20) >= frequent
+    while len(symbols) > 1:
+        wide = symbols.astype(np.uint64)
+        keys = (wide[:-1] << _HALF) | wide[1:]
+        mixed = ((keys * _MIX) >> np.uint64(64 - PLACES)).view(np.int64)
+        often = np.bincount(mixed, minlength=1 << PLACES) >= frequent
         places = np.flatnonzero(often[mixed])
-        # Of pairs that share a place in the table one is counted now; the others can be in a later round.
+        # Of pairs that share a place in the table, that which stands last in the sequence is counted; a round that replaces it frees the place.
         mixed, keys = mixed[places], keys[places]
-        pairs = np.zeros(1 << 20, np.uint32)
+        pairs = np.zeros(1 << PLACES, np.uint64)
         pairs[mixed] = keys
         same = pairs[mixed] == keys
         places, mixed = places[same], mixed[same]
-        times = np.bincount(mixed, minlength=1 << 20)
+        times = np.bincount(mixed, minlength=1 << PLACES)
         candidates = np.flatnonzero(times >= frequent)
-        first, last, taken = bytearray(1 << 16), bytearray(1 << 16), []
-        for i in candidates[np.argsort(-times[candidates], kind="stable")].tolist():
-            a, b = int(pairs[i]) >> 16, int(pairs[i]) & 0xFFFF
-            if last[a] or first[b]:
+        candidates = candidates[np.argsort(-times[candidates], kind="stable")]
+        first, last, taken = set(), set(), []
+        for i, a, b in zip(candidates.tolist(), (pairs[candidates] >> _HALF).tolist(), (pairs[candidates] & _LOW).tolist(), strict=True):
+            if a in last or b in first or (a == b and (a in first or a in last)):
                 continue
-            if a == b:
-                if first[a] or last[a]:
-                    continue
-            first[a], last[b] = 1, 1
+            first.add(a)
+            last.add(b)
             taken.append(i)
-            if count + len(taken) >= most:
-                break
         if not taken:
             break
-        new = np.zeros(1 << 20, np.uint32)
+        new = np.zeros(1 << PLACES, np.uint32)
         new[taken] = terminals + count + np.arange(len(taken), dtype=np.uint32)
         named = new[mixed]
         places, named = places[named > 0], named[named > 0]
@@ -134,7 +129,7 @@ def re_pair(ids: np.ndarray, frequent: int = FREQUENT, rounds: int = ROUNDS, mos
         begin = np.maximum.accumulate(np.where(run, np.arange(len(places)), 0))
         hold = (np.arange(len(places)) - begin) % 2 == 0
         places, named = places[hold], named[hold]
-        rules.append(np.stack([pairs[taken] >> np.uint32(16), pairs[taken] & np.uint32(0xFFFF)], axis=1).astype(np.uint32))
+        rules.append(np.stack([pairs[taken] >> _HALF, pairs[taken] & _LOW], axis=1).astype(np.uint32))
         count += len(taken)
         symbols[places] = named
         keep = np.ones(len(symbols), bool)

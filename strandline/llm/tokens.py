@@ -8,6 +8,7 @@ of encoding each text alone.
 from __future__ import annotations
 
 import os
+import re
 from itertools import chain, repeat
 
 import numpy as np
@@ -36,7 +37,7 @@ def _spread(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndar
 class Encoder:
     """One tokenizer file. ``spaces``: its tokens begin at single spaces (byte-level); else white space only divides, and case is folded.
 
-    Strings of special tokens within a text are ordinary text.
+    Texts that hold the string of a special token are encoded whole, and it gives the token's id, as the library has it.
     """
 
     def __init__(self, path: str, spaces: bool):
@@ -44,8 +45,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.spaces = spaces
+        self.special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
         vocabulary = self.tokenizer.get_vocab()
         #: Ids that begin with a space (byte-level) or end a word, and the id that a divider alone gives.
         self.marks, self.divides = (np.zeros(max(vocabulary.values()) + 1, bool) for _ in range(2))
@@ -126,6 +127,8 @@ class Encoder:
         if len(self.known) > KEPT:
             self._forget()
         runs = pc.match_substring_regex(texts, _RUN).to_numpy(zero_copy_only=False) if self.spaces else np.zeros(len(texts), bool)
+        if self.special:
+            runs = runs | pc.match_substring_regex(texts, self.special, ignore_case=True).to_numpy(zero_copy_only=False)
         rows, codes, pieces = coded(pc.if_else(pa.array(runs), "", texts) if runs.any() else texts, whitespace=not self.spaces)
         if self.spaces:
             first = np.r_[True, rows[1:] != rows[:-1]]

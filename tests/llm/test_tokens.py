@@ -18,9 +18,7 @@ PIECE = st.sampled_from(["a", "Ab", "É", "don", "'s", " ", "  ", "\n", " \n", "
 
 
 def plain(name):
-    found = Tokenizer.from_file(public_tokenizers.path(name))
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(public_tokenizers.path(name))
 
 
 @pytest.mark.parametrize("name", FILES)
@@ -122,6 +120,70 @@ def test_token_file(sample):
         assert tokenfile.document_ids(block, nth).astype("<u4").tobytes() == ids[int(names[nth])][0]
 
 
+def test_special_strings_are_special_tokens():
+    for name, ids in (("byte_bpe_50k.json", [5303, 220, 50256, 612]), ("word_bpe_49k.json", [1883, 49407, 997])):
+        assert tokens.encoder(public_tokenizers.path(name), FILES[name]).encode(pa.array(["hi <|endoftext|> there"]))[0].tolist() == ids
+
+
+@pytest.mark.parametrize("lowest", [0, 70_000, 2**31])
+def test_a_repeat_becomes_a_few_symbols(lowest):
+    ids = np.tile(np.arange(4, dtype=np.uint32) + np.uint32(lowest), 5000)
+    grammar = tokenfile.re_pair(ids)
+    assert len(grammar.sequence) < 100 and (grammar.decoded() == ids).all() and (grammar.decoded(777, 1234) == ids[777:1234]).all()
+
+
+@settings(deadline=None, max_examples=40)
+@given(st.lists(st.integers(0, 3), max_size=400), st.integers(2, 8))
+def test_no_frequent_pair_is_left(symbols, frequent):
+    found = tokenfile.re_pair(np.array(symbols, np.uint32), frequent=frequent, least_gain=0.0).sequence.tolist()
+    at, seen = {}, Counter()
+    for i, pair in enumerate(zip(found, found[1:], strict=False)):
+        if at.get(pair) != i - 1 or pair[0] != pair[1]:  # occurrences that don't overlap
+            seen[pair] += 1
+            at[pair] = i
+        else:
+            at.pop(pair)
+    assert max(seen.values(), default=0) < max(frequent, 2) + 1
+
+
+def plain_best_two_fit(counts, capacity):
+    """Bins one by one, each piece and each two pieces tried."""
+    left, bins = sorted((n for n, c in counts.items() for _ in range(c)), reverse=True), []
+    while left:
+        own, gap = [], capacity
+        for n in list(left):
+            if n <= gap:
+                own.append(n)
+                left.remove(n)
+                gap -= n
+        while gap and len(own) > 1:
+            least = own[-1]
+            sums = [(a + b, a, b) for i, a in enumerate(left) for b in left[i + 1 :] if least < a + b <= gap + least]
+            if not sums:
+                break
+            best = max(s for s, *_ in sums)
+            two = max((a, b) for s, a, b in sums if s == best)
+            own.pop()
+            for n in two:
+                left.remove(n)
+            own = sorted([*own, *two], reverse=True)
+            gap = capacity - sum(own)
+            left = sorted([*left, least], reverse=True)
+        bins.append(tuple(own))
+    return bins
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.dictionaries(st.integers(1, 32), st.integers(1, 5), max_size=10))
+def test_plan_fills_bins_as_a_plain_best_two_fit(counts):
+    """The plan repeats a bin while its pieces last; a plain search makes its bins one by one and fills no fewer sequences by much."""
+    plan = [b for b, times in packing.best_two_fit(counts, 32) for _ in range(times)]
+    plain_bins = plain_best_two_fit(counts, 32)
+    if plan:
+        assert sum(plan[0]) == sum(plain_bins[0])
+    assert len(plan) <= len(plain_bins) * 1.1 + 1
+
+
 @settings(deadline=None, max_examples=60)
 @given(st.lists(st.integers(0, 5), max_size=300), st.integers(2, 6), st.data())
 def test_grammar_round_trip_and_random_access(symbols, frequent, data):
