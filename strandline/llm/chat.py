@@ -10,12 +10,15 @@ form a control string, and reading back undoes it exactly.
 Conversations are formatted in streams ordered by turn: a task holds one turn
 at a time, however long the conversation.  Nulls: a null text or role is empty,
 rows with a null conv_id are one conversation, null turns come first; rows of
-one turn are ordered by role and text.  Unknown part types are an error.
+one turn are ordered by role and text.  A part of an unknown type gives nothing
+but a note in ``errors``; sizes and times that aren't positive numbers count as
+not given, and so do parts that are null.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -30,11 +33,13 @@ from .common import written
 OPEN, OPENED, CLOSE = "<turn ", ">\n", "</turn>\n"
 #: Tokens that attachments expand to, unless their part says how large they are.
 PATCH, IMAGE_TOKENS, AUDIO_TOKENS_A_SECOND, PAGE_TOKENS = 28, 256, 25, 512
+#: Seconds of a clip at most: any number beyond is taken for that.
+LONGEST = 1e12
 #: The role whose text is learned.
 LEARNED = "assistant"
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 ATTACHMENTS = "array<struct<ordinal:int,type:string,ref:string,offset:long,tokens:long>>"
-FORMATTED = f"conv_id long, seq long, output string, loss array<struct<start:long,length:long>>, attachments {ATTACHMENTS}, expanded_tokens long"
+FORMATTED = f"conv_id long, seq long, output string, loss array<struct<start:long,length:long>>, attachments {ATTACHMENTS}, expanded_tokens long, errors array<string>"
 
 _SPECIAL, _SPECIAL_IN_ROLE = re.compile(r"[\\<]"), re.compile(r"[\\<>]")
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
@@ -55,15 +60,19 @@ class PartVisitor:
         self.ordinal = 0
 
     def turn(self, role: str, parts: list[dict]) -> tuple[str, list[dict], list[dict]]:
-        """Output of a turn, spans of its learned text and its attachments; places count code points of the output."""
-        self.pieces, self.at, self.loss, self.attachments = [], 0, [], []
+        """Output of a turn, spans of its learned text and its attachments; places count code points of the output.
+
+        ``errors`` has what couldn't be read of it.
+        """
+        self.pieces, self.at, self.loss, self.attachments, self.errors = [], 0, [], [], []
         self.learned = role == LEARNED
         self._put(OPEN + _SPECIAL_IN_ROLE.sub(r"\\\g<0>", role) + OPENED)
         for part in parts:
-            visit = getattr(self, f"visit_{part.get('type') or 'text'}", None)
-            if visit is None:
-                raise ValueError(f"unknown content part: {part.get('type')}")
-            visit(part)
+            visit = getattr(self, f"visit_{part.get('type') or 'text'}", None) if part else None
+            if visit is not None:
+                visit(part)
+            elif part:
+                self.errors.append(f"unknown content part: {part['type']}")
         self._put(CLOSE)
         return "".join(self.pieces), self.loss, self.attachments
 
@@ -83,11 +92,12 @@ class PartVisitor:
         self.ordinal += 1
 
     def visit_image(self, part: dict) -> None:
-        wide, high = part.get("width"), part.get("height")
-        self._attach(part, -(-wide // PATCH) * -(-high // PATCH) if wide and high else IMAGE_TOKENS)
+        wide, high = (part.get(k) or 0 for k in ("width", "height"))
+        self._attach(part, -(-wide // PATCH) * -(-high // PATCH) if wide > 0 and high > 0 else IMAGE_TOKENS)
 
     def visit_audio(self, part: dict) -> None:
-        self._attach(part, max(1, round((part.get("seconds") or 0.0) * AUDIO_TOKENS_A_SECOND)))
+        seconds = part.get("seconds") or 0.0
+        self._attach(part, max(1, round(min(seconds, LONGEST) * AUDIO_TOKENS_A_SECOND)) if 0 < seconds < math.inf else 1)
 
     def visit_document(self, part: dict) -> None:
         self._attach(part, max(1, part.get("pages") or 1) * PAGE_TOKENS)
@@ -111,12 +121,12 @@ def parsed(output: str) -> Iterator[tuple[str, list[tuple[str, str | int]]]]:
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, visitor, seq = object(), PartVisitor(), 0
     for batch in batches:
-        out = {k: [] for k in ("conv_id", "seq", "output", "loss", "attachments", "expanded_tokens")}
+        out = {k: [] for k in ("conv_id", "seq", "output", "loss", "attachments", "expanded_tokens", "errors")}
         for conv, role, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if conv != now:
                 now, visitor, seq = conv, PartVisitor(), 0
             text, loss, attachments = visitor.turn(role or "", parts or [])
-            for k, v in zip(out, (conv, seq, text, loss, attachments, sum(a["tokens"] for a in attachments)), strict=True):
+            for k, v in zip(out, (conv, seq, text, loss, attachments, sum(a["tokens"] for a in attachments), visitor.errors), strict=True):
                 out[k].append(v)
             seq += 1
         yield pa.RecordBatch.from_pydict(out, schema=_FORMATTED)
@@ -126,12 +136,12 @@ _FORMATTED = pa.schema([
     ("conv_id", pa.int64()), ("seq", pa.int64()), ("output", pa.string()),
     ("loss", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))),
     ("attachments", pa.list_(pa.struct([("ordinal", pa.int32()), ("type", pa.string()), ("ref", pa.string()), ("offset", pa.int64()), ("tokens", pa.int64())]))),
-    ("expanded_tokens", pa.int64()),
+    ("expanded_tokens", pa.int64()), ("errors", pa.list_(pa.string())),
 ])
 
 
 def formatted(conversations: DataFrame) -> DataFrame:
-    """One row a turn: conv_id, seq (from 0), output, loss (spans in it), attachments, expanded_tokens.
+    """One row a turn: conv_id, seq (from 0), output, loss (spans in it), attachments, expanded_tokens, errors.
 
     ``conversations`` has conv_id, turn, role and text, or instead of text
     ``parts``, an array of PART.

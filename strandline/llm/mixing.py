@@ -6,7 +6,8 @@ entropy, raised to the smallest that keeps every source within a repetition
 limit.  A source's weight times the token budget is what it may give.  It gives
 whole passes over its documents; in each pass its blocks, and the documents in
 each block, come in a new seeded order, and the last pass ends where the budget
-does.  A document is given if it begins within the budget.
+does.  A document is given if it begins within the budget; where no budget is
+set, the first pass gives every document.
 
 A token is a word by default.  Nulls: a null source is a source of its own, a
 null text has no tokens.  Documents without tokens are given with the block
@@ -25,10 +26,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import text_or_empty, with_sum_before, written
 
-#: Tokens of a block, on average at most.
-BLOCK_TOKENS = 1 << 18
+#: Tokens and rows of a block, on average at most.
+BLOCK_TOKENS, BLOCK_ROWS = 1 << 18, 20_000
 #: Of the entropy of equal weights; passes over a source at most.
 ENTROPY, REPETITION = 0.97, 2.0
 #: Sources up to so many are broadcast, a row each; more are joined by an exchange.
@@ -101,7 +102,7 @@ def mixture(tokens: dict, budget: float | None = None, entropy: float | None = E
     return Mixture(power, dict(zip(names, weights, strict=True)), {k: math.floor(whole * w + 1e-6) for k, w in zip(names, weights, strict=True)})
 
 
-def mixed(docs: DataFrame, tokens: Column | None = None, budget: float | None = None, entropy: float | None = ENTROPY, repetition: float | None = REPETITION, seed: str = SEED, block_tokens: int = BLOCK_TOKENS, carry: list[Column] | None = None) -> DataFrame:
+def mixed(docs: DataFrame, tokens: Column | None = None, budget: float | None = None, entropy: float | None = ENTROPY, repetition: float | None = REPETITION, seed: str = SEED, block_tokens: int = BLOCK_TOKENS, block_rows: int = BLOCK_ROWS, carry: list[Column] | None = None) -> DataFrame:
     """``row`` (a struct of ``carry``, by default all columns) of each document given, and how it came.
 
     source, tokens, pass (from 0), block, start (the source's tokens given
@@ -115,20 +116,27 @@ def mixed(docs: DataFrame, tokens: Column | None = None, budget: float | None =
         F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"),
         F.struct(*(carry or ["*"])).alias("row"),
     )
-    given = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
-    plan = mixture(given, budget, entropy, repetition)
-    known = [(s, max(1, n), plan.budgets.get(s, 1), max(1, -(-n // block_tokens)), plan.weights.get(s, 0.0)) for s, n in sorted(given.items())]
+    if carry:
+        rows = counted = written(rows, "counted")
+    else:  # whole rows aren't written again, only what places them
+        counted = written(rows.select("source", "tokens", "key"), "counted")
+    given = {r["source"]: (r["n"], r["count"]) for r in counted.groupBy("source").agg(F.sum("tokens").alias("n"), F.count(F.lit(1)).alias("count")).collect()}
+    plan = mixture({s: n for s, (n, _) in given.items()}, budget, entropy, repetition)
+    known = [(s, max(1, n), plan.budgets.get(s, 1), max(1, -(-n // block_tokens), -(-count // block_rows)), plan.weights.get(s, 0.0)) for s, (n, count) in sorted(given.items())]
     sources = docs.sparkSession.createDataFrame(known, "source string, of long, budget long, blocks long, weight double")
     if len(known) <= BROADCAST_SOURCES:
         sources = F.broadcast(sources)
-    blocked = rows.join(sources, "source").withColumn("block", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32)) * F.col("blocks")))
-    blocks = blocked.groupBy("source", "block").agg(F.sum("tokens").alias("in_block"), F.first("of").alias("of"), F.first("budget").alias("budget"))
+    block = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32)) * F.col("blocks"))
+    blocks = counted.join(sources, "source").groupBy("source", block.alias("block")).agg(F.sum("tokens").alias("in_block"), F.first("of").alias("of"), F.first("budget").alias("budget"))
     passes = blocks.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(budget - 1) div of"))))
-    turn = Window.partitionBy("source", "pass").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "source", "pass", "block")), "block").rowsBetween(Window.unboundedPreceding, -1)
-    passes = passes.withColumn("block_start", F.col("pass") * F.col("of") + F.coalesce(F.sum("in_block").over(turn), F.lit(0))).where("block_start < budget").select("source", "block", "pass", "block_start")
-    every = blocked.join(passes, ["source", "block"])
+    passes = passes.withColumn("turn", F.md5(F.concat_ws(":", F.lit(seed), "source", "pass", "block")))
+    passes = with_sum_before(passes, ["source", "pass"], F.substring("turn", 1, 3), ["turn", "block"], "in_block", "block_start")
+    passes = passes.withColumn("block_start", F.col("pass") * F.col("of") + F.col("block_start"))
+    all_once = F.lit(budget is None) & (F.col("pass") == 0)
+    passes = passes.where((F.col("block_start") < F.col("budget")) | all_once).select("source", "block", "pass", "block_start")
+    every = rows.join(sources, "source").withColumn("block", block).join(passes, ["source", "block"])
     turn = Window.partitionBy("source", "block", "pass").orderBy(F.md5(F.concat_ws(":", "pass", "key")), "tokens").rowsBetween(Window.unboundedPreceding, -1)
-    every = every.withColumn("start", F.col("block_start") + F.coalesce(F.sum("tokens").over(turn), F.lit(0))).where("start < budget")
+    every = every.withColumn("start", F.col("block_start") + F.coalesce(F.sum("tokens").over(turn), F.lit(0))).where((F.col("start") < F.col("budget")) | all_once)
     return every.select("row", F.when(F.col("source") != "", F.substring("source", 3, 1 << 30)).alias("source"), "tokens", "pass", "block", "start", ((F.col("start") + F.col("tokens") / 2) / F.col("budget")).alias("place"), "weight")
 
 

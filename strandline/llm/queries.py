@@ -72,7 +72,7 @@ def queries() -> dict:
 #: Words, shares, two bisections (entropy, then repetition), budgets, blocks in the order of each pass, documents in each block.
 _MIXING = f"""WITH RECURSIVE d AS (
   SELECT doc_id, source, coalesce('s:' || source, '') AS name, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS tokens, md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
-given AS (SELECT name, sum(tokens)::BIGINT AS n FROM d GROUP BY name),
+given AS (SELECT name, sum(tokens)::BIGINT AS n, count(*) AS docs FROM d GROUP BY name),
 l AS (SELECT list(n::DOUBLE ORDER BY name) AS ns, list(n / total ORDER BY name) AS p, count(*) AS k FROM (SELECT name, n, sum(n) OVER ()::DOUBLE AS total FROM given WHERE n > 0)),
 e AS (SELECT ns, p, k, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high, 1.0::DOUBLE AS a, 0 AS i FROM l UNION ALL
   SELECT ns, p, k, CASE WHEN ok THEN a ELSE low END, CASE WHEN ok THEN high ELSE a END, CASE WHEN ok AND i = 0 THEN 1.0::DOUBLE ELSE (CASE WHEN ok THEN a ELSE low END + CASE WHEN ok THEN high ELSE a END) / 2 END, CASE WHEN ok AND i = 0 THEN 99 ELSE i + 1 END FROM (
@@ -88,13 +88,13 @@ final AS (SELECT ns, p, CASE WHEN done THEN a ELSE 1 - low END AS power FROM r W
 weights AS (SELECT list_transform(p, lambda x: pow(x, power) / list_sum(list_transform(p, lambda y: pow(y, power)))) AS w, ns FROM final),
 budgets AS (SELECT g.name, w.w[g.i] AS weight, floor(list_max(list_transform(list_zip(w.ns, w.w), lambda y: y[1] / y[2])) * w.w[g.i] + 1e-6)::BIGINT AS budget
   FROM (SELECT name, row_number() OVER (ORDER BY name) AS i FROM given WHERE n > 0) g, weights w),
-sources AS (SELECT g.name, greatest(1, g.n) AS n, coalesce(b.budget, 1) AS budget, greatest(1, (g.n + {mixing.BLOCK_TOKENS} - 1) // {mixing.BLOCK_TOKENS}) AS blocks, coalesce(b.weight, 0) AS weight FROM given g LEFT JOIN budgets b USING (name)),
+sources AS (SELECT g.name, greatest(1, g.n) AS n, coalesce(b.budget, 1) AS budget, greatest(1, (g.n + {mixing.BLOCK_TOKENS} - 1) // {mixing.BLOCK_TOKENS}, (g.docs + {mixing.BLOCK_ROWS} - 1) // {mixing.BLOCK_ROWS}) AS blocks, coalesce(b.weight, 0) AS weight FROM given g LEFT JOIN budgets b USING (name)),
 rows_ AS (SELECT d.*, s.n, s.budget, s.weight, floor(('0x' || substr(key, 1, 8))::UBIGINT::DOUBLE / 4294967296 * s.blocks)::BIGINT AS block FROM d JOIN sources s USING (name)),
 passes AS (SELECT name, block, pass, pass * n + coalesce(sum(inside) OVER (PARTITION BY name, pass ORDER BY md5('{mixing.SEED}:' || name || ':' || pass || ':' || block), block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS block_start, budget
   FROM (SELECT *, unnest(range((budget - 1) // n + 1)) AS pass FROM (SELECT name, block, sum(tokens) AS inside, any_value(n) AS n, any_value(budget) AS budget FROM rows_ GROUP BY name, block))),
 every AS (SELECT r.*, p.pass, p.block_start + coalesce(sum(r.tokens) OVER (PARTITION BY r.name, r.block, p.pass ORDER BY md5(p.pass || ':' || r.key), r.tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM rows_ r JOIN passes p ON r.name = p.name AND r.block = p.block WHERE p.block_start < p.budget)
-SELECT doc_id, source, tokens, pass::BIGINT AS pass, block, start::BIGINT AS start, round((start + tokens / 2) / budget, 6) AS place, round(weight, 6) AS weight FROM every WHERE start < budget"""
+  FROM rows_ r JOIN passes p ON r.name = p.name AND r.block = p.block WHERE p.block_start < p.budget OR p.pass = 0)
+SELECT doc_id, source, tokens, pass::BIGINT AS pass, block, start::BIGINT AS start, round((start + tokens / 2) / budget, 6) AS place, round(weight, 6) AS weight FROM every WHERE start < budget OR pass = 0"""
 
 _CHAT = r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')

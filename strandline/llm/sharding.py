@@ -19,10 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import text_or_empty, with_sum_before, written
 
-#: Rows that are ranked together, on average at most.
-BUCKET_ROWS = 2_000
+#: Rows that are ranked together, on average at most; buckets whose counts are summed together.
+BUCKET_ROWS, RUN = 2_000, 4_096
 #: Bytes of a row besides its text.
 ROW_BYTES = 16
 SEED = "strandline"
@@ -34,9 +34,8 @@ def unit(text: Column) -> Column:
 
 
 def _before(counts: DataFrame, within: list[str]) -> DataFrame:
-    """Rows in the buckets before each one, and in all; ``counts`` has a row a bucket."""
-    w = Window.partitionBy(*within).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select("*", F.coalesce(F.sum("count").over(w), F.lit(0)).alias("before"), F.sum("count").over(Window.partitionBy(*within)).alias("total"))
+    """Rows in the buckets before each one; ``counts`` has a row a bucket, of which RUN are summed together."""
+    return with_sum_before(counts, within, F.floor(F.col("bucket") / RUN), ["bucket"], "count", "before")
 
 
 def interleaved(docs: DataFrame, seed: str = SEED, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -52,7 +51,8 @@ def interleaved(docs: DataFrame, seed: str = SEED, bucket_rows: int = BUCKET_ROW
     n = rows.count()
     buckets = max(1, -(-n // bucket_rows))
     part = rows.withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32)) * buckets))
-    offsets = _before(part.groupBy("source", "bucket").count(), ["source"])
+    sizes = part.groupBy("source", "bucket").count()
+    offsets = _before(sizes, ["source"]).join(sizes.groupBy("source").agg(F.sum("count").alias("total")), "source")
     inner = F.row_number().over(Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", "text_crc32"))
     ranked = part.withColumn("inner", inner).join(offsets, ["source", "bucket"])
     # Sources start at different points below one rank, so that small ones don't all fall on one place.
@@ -62,7 +62,7 @@ def interleaved(docs: DataFrame, seed: str = SEED, bucket_rows: int = BUCKET_ROW
     starts = _before(ranked.groupBy("bucket").count(), [])
     inner = F.row_number().over(Window.partitionBy("bucket").orderBy("fraction", "source", "key", "doc_id", "size", "text_crc32"))
     placed = ranked.withColumn("inner", inner).join(starts, "bucket")
-    return placed.select("doc_id", "source", "size", "text_crc32", "fraction", (F.col("before") + F.col("inner") - 1).alias("position"), F.col("total").alias("rows"))
+    return placed.select("doc_id", "source", "size", "text_crc32", "fraction", (F.col("before") + F.col("inner") - 1).alias("position"), F.lit(n).cast("long").alias("rows"))
 
 
 def shards(docs: DataFrame, count: int, seed: str = SEED, bucket_rows: int = BUCKET_ROWS) -> DataFrame:

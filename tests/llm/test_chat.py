@@ -1,6 +1,5 @@
 import hashlib
 
-import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -51,5 +50,13 @@ def test_typed_parts(spark):
     assert [chat.unescape(first.output[s.start : s.start + s.length]) for s in first.loss] == ["see <image 0>", "ok"]
     assert [a.ordinal for a in rows[1].attachments] == [3] and rows[1].loss == []
     assert list(chat.parsed(first.output)) == [("assistant", [("text", "see <image 0>"), ("image", 0), ("audio", 1), ("document", 2), ("text", "ok")])]
-    with pytest.raises(ValueError):
-        chat.PartVisitor().turn("user", [{"type": "video"}])
+
+
+def test_bad_parts_are_noted_and_end_nothing(spark):
+    nan, inf = float("nan"), float("inf")
+    parts = [("video", "x", "v", None, None, None, None), None, ("audio", None, None, None, None, nan, None), ("audio", None, None, None, None, inf, None), ("audio", None, None, None, None, -2.0, None), ("audio", None, None, None, None, 1e300, None), ("image", None, None, -28, 56, None, None), ("document", None, None, None, None, None, -3), (None, "t", None, None, None, None, None)]
+    data = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "user", None)], f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+    bad, none = chat.formatted(data).orderBy("seq").collect()
+    assert bad.errors == ["unknown content part: video"] and none.errors == [] and none.attachments == []
+    assert [a.tokens for a in bad.attachments] == [1, 1, 1, round(chat.LONGEST * 25), chat.IMAGE_TOKENS, chat.PAGE_TOKENS]
+    assert [p for _, p in chat.parsed(bad.output)][0][-1] == ("text", "t")

@@ -68,7 +68,7 @@ def test_mixture_meets_entropy_and_repetition():
     assert mixing.mixture(tokens, 1e9, None, 2.0).budgets == {k: 2 * n for k, n in tokens.items() if n}
 
 
-def brute_mixed(rows, plan, block_tokens):
+def brute_mixed(rows, plan, block_tokens, block_rows, all_once):
     """(doc_id, pass, start) of each document given; rows: (doc_id, source, tokens)."""
     md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
     out = []
@@ -77,12 +77,12 @@ def brute_mixed(rows, plan, block_tokens):
         of = sum(t for *_, t in own)
         blocks = defaultdict(list)
         for key, n, t in own:
-            blocks[int(int(key[:8], 16) / 2**32 * max(1, -(-of // block_tokens)))].append((key, n, t))
+            blocks[int(int(key[:8], 16) / 2**32 * max(1, -(-of // block_tokens), -(-len(own) // block_rows)))].append((key, n, t))
         for p in range((budget - 1) // of + 1):
             at = p * of
             for b in sorted(blocks, key=lambda b: (md5(f"strandline:{source}:{p}:{b}"), b)):
                 for _, t, n in sorted((md5(f"{p}:{key}"), t, n) for key, n, t in blocks[b]):
-                    if at < budget:
+                    if at < budget or (all_once and p == 0):
                         out.append((n, p, at))
                     at += t
     return out
@@ -96,15 +96,23 @@ def test_mixed_equals_brute_force(sample, budget, entropy, repetition):
     for _, s, t in rows:
         tokens[f"s:{s}"] += t
     plan = mixing.mixture(dict(tokens), budget, entropy, repetition)
-    got = mixing.mixed(docs, budget=budget, entropy=entropy, repetition=repetition, block_tokens=1500, carry=["doc_id"]).collect()
-    assert sorted((r.row.doc_id, r["pass"], r.start) for r in got) == sorted(brute_mixed(rows, plan, 1500))
-    assert all(r.place >= 0 and r.start < plan.budgets[f"s:{r.source}"] for r in got)
+    got = mixing.mixed(docs, budget=budget, entropy=entropy, repetition=repetition, block_tokens=1500, block_rows=9, carry=["doc_id"]).collect()
+    assert sorted((r.row.doc_id, r["pass"], r.start) for r in got) == sorted(brute_mixed(rows, plan, 1500, 9, budget is None))
+    assert all(r.place >= 0 and (r.start < plan.budgets[f"s:{r.source}"] or r.tokens == 0) for r in got)
     given = Counter()
     for r in got:
         given[f"s:{r.source}"] += r.tokens
     assert all(given[s] >= b for s, b in plan.budgets.items())
 
 
+def test_documents_without_tokens_come_once_and_in_many_blocks(spark):
+    rows = [(i, "some worded text" if i % 40 == 0 else "", "mixed") for i in range(1000)] + [(i, "", "empty") for i in range(1000, 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mixed(docs, block_rows=100).collect()
+    assert Counter(r.row.doc_id for r in got) == Counter(range(3000))
+    assert max(Counter((r.source, r.block) for r in got).values()) < 200
+
+
 def test_odd_mixing(odd, nothing):
     got = mixing.remixed(odd)
     assert got.columns == odd.columns
