@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 
 from strandline.llm import ann
 
@@ -32,6 +33,37 @@ def test_recall_and_scores(spark):
     assert hits / (20 * len(want)) >= 0.9
 
 
+def recall(spark, x, top=20, **options):
+    names = np.arange(len(x))
+    data = spark.createDataFrame(pa.table([pa.array(names), pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), x.shape[1]).cast(pa.list_(pa.float32()))], names=["vec_id", "embedding"]))
+    vectors = ann.usable(data, "embedding")
+    queries = vectors.where("id % 100 = 0")
+    made = ann.index(vectors, queries, top, **options)
+    got = {}
+    for r in ann.searched(made, queries, top).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = exact({i: x[i] for i in names}, names[::100].tolist(), top)
+    return made, np.mean([len(got[q] & {n for n, _ in found}) / top for q, found in want.items()])
+
+
+def test_recall_in_one_large_shard_with_copies(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(20_000, 24)).astype(np.float32)
+    x = np.concatenate([x, x[:300], np.repeat(x[:1], 400, axis=0)])
+    made, found = recall(spark, x, least_rows=20_000)
+    assert made.graphs.count() == 1 and found >= 0.9 and abs(found - made.recall) < 0.06
+
+
+def test_queries_ask_as_few_shards_as_hold_their_neighbours(spark):
+    rng = np.random.default_rng(6)
+    middles = 4 * rng.normal(size=(40, 16))
+    x = (middles[rng.integers(0, 40, 8_000)] + rng.normal(size=(8_000, 16))).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:3000] = middles[0] / np.linalg.norm(middles[0]) + 0.01 * rng.normal(size=(3000, 16))  # a hot cluster, whose shards are cut
+    made, found = recall(spark, x, least_rows=100, shard_rows=200)
+    assert found >= 0.9 and len(made.centres[16]) == 40 and made.probes[16] <= 20 and made.graphs.count() > 40
+
+
 def test_norms_matter():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 16)) * rng.uniform(0.1, 5, (3000, 1))
