@@ -25,6 +25,8 @@ WORDS = 3
 BUCKET_ROWS = 1024
 #: Ranges of ids at most, and rows of a range; the quantiles between them are all that the driver gets.
 RANGES, RANGE_ROWS = 1000, 50_000
+#: Hashes of texts that are broadcast, 8 bytes each; more are joined by an exchange.
+BROADCAST_ROWS = 1_000_000
 
 
 def _composed(text: Column) -> Column:
@@ -72,22 +74,30 @@ def ordered_buckets(docs: DataFrame, bucket_rows: int = BUCKET_ROWS, range_rows:
 def _with_next(docs: DataFrame, words: int, bits: int) -> DataFrame:
     """Each document beside the next one in ascending doc_id (after the last: the first).
 
-    One exchange of the texts, by bucket.  The last row of a bucket finds its
-    successor through the bucket heads, of which there are few.
+    One exchange of the texts, by bucket; rows without an id have buckets by
+    their digests.  The last row of a bucket finds its successor through the
+    bucket heads, of which there are few.
     """
     base = ordered_buckets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")))
     base = base.withColumn("h", digest(canonical(F.col("text")), words, bits))
+    base = base.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.conv(F.substring("h", 1, 4), 16, 10).cast("long") - (1 << 20)).otherwise(F.col("bucket")))
     w = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), "h", "text")
-    seen = base.select("*", F.lead("text").over(w).alias("next_text"), F.lead("h").over(w).alias("next_h"), F.lag("h").over(w).alias("prev_h"))
-    heads = seen.where(F.col("prev_h").isNull()).select(F.col("bucket").alias("head_bucket"), F.col("text").alias("head_text"), F.col("h").alias("head_h"))
-    order = Window.orderBy("bucket")
-    nexts = base.select("bucket").distinct().select("bucket", F.lead("bucket").over(order).alias("after"), F.min("bucket").over(Window.partitionBy()).alias("least"))
-    nexts = nexts.select("bucket", F.coalesce("after", "least").alias("head_bucket")).join(heads, "head_bucket").drop("head_bucket")
-    return seen.join(nexts, "bucket").select(
-        "bucket", "doc_id", "text", "h",
-        F.coalesce("next_text", "head_text").alias("next_text"),
-        F.coalesce("next_h", "head_h").alias("next_h"),
-    )
+    names = ("text", "h", "doc_id")
+    seen = base.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in names), F.lag("h").over(w).alias("prev_h"))
+    heads = seen.where(F.col("prev_h").isNull()).select(F.col("bucket").alias("head_bucket"), *(F.col(c).alias(f"head_{c}") for c in names))
+    nexts = _buckets_after(base.select("bucket").distinct()).join(heads, "head_bucket").drop("head_bucket")
+    last = F.col("next_h").isNull()
+    return seen.join(nexts, "bucket").select("doc_id", "text", "h", *(F.when(last, F.col(f"head_{c}")).otherwise(F.col(f"next_{c}")).alias(f"next_{c}") for c in names))
+
+
+def _buckets_after(buckets: DataFrame) -> DataFrame:
+    """bucket, head_bucket: the next one, of the last the first; ordered within ranges, of which there are RANGES + 1 at most."""
+    ranged = buckets.withColumn("edge", F.shiftright("bucket", 32))
+    firsts = ranged.groupBy("edge").agg(F.min("bucket").alias("first"))
+    order = Window.orderBy("edge")
+    firsts = firsts.select("edge", F.coalesce(F.lead("first").over(order), F.first("first").over(order)).alias("beyond"))
+    after = F.lead("bucket").over(Window.partitionBy("edge").orderBy("bucket"))
+    return ranged.select("bucket", "edge", after.alias("after")).join(firsts, "edge").select("bucket", F.coalesce("after", "beyond").alias("head_bucket"))
 
 
 def _edited(text: Column, following: Column) -> Column:
@@ -109,46 +119,72 @@ def fingerprints(docs: DataFrame, words: int = WORDS, bits: int = 64) -> DataFra
     same_edited = F.when(F.col("h") == e_h, canonical(F.col("text")) == F.col("edited_canon")).otherwise(False)
     found = written(
         edited.select(
-            "bucket", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+            "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
             "h", e_h.alias("edited_h"), same_edited.cast("double").alias("near_edited"), same_next.cast("double").alias("near_next"),
+            F.xxhash64("text").alias("raw"), F.col("next_doc_id"), F.xxhash64("next_text").alias("next_raw"),
         ),
         "digests",
     )
-    return _told_apart(found, edited, words, bits)
+    return _told_apart(found, docs, words, bits)
 
 
-def _told_apart(found: DataFrame, edited: DataFrame, words: int, bits: int) -> DataFrame:
+def _small(rows: DataFrame) -> DataFrame:
+    """A written table of hashes: broadcast if it is small, and joined by an exchange otherwise."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def _told_apart(found: DataFrame, docs: DataFrame, words: int, bits: int) -> DataFrame:
     """Compares the bytes of all texts that share a digest; suffixes where they differ.
 
-    Only rows in buckets of several are read again, and equal bytes collapse
-    before they are exchanged, so a large group of copies costs a row a task.
+    Only texts whose digest is shared are exchanged again, and equal bytes
+    collapse before that, so a large group of copies costs a row a task.  Of
+    edited texts those are made again that share a digest with another text
+    than their own.
     """
-    by_digest = found.select(F.explode(F.array("h", "edited_h")).alias("h")).groupBy("h").count().where("count > 1").select("h")
-    flagged = found.select("bucket", "doc_id", F.explode(F.array(F.struct(F.lit(False).alias("is_edited"), "h"), F.struct(F.lit(True).alias("is_edited"), F.col("edited_h").alias("h")))).alias("x"))
-    flagged = flagged.select("bucket", "doc_id", "x.h").join(by_digest, "h").groupBy("bucket").agg(F.collect_set("h").alias("shared"))
-    again = edited.select("bucket", "h", "text", "edited_canon").join(flagged, "bucket")
-    texts = again.select("shared", F.explode(F.array(F.struct("h", F.lit(None).cast("string").alias("canon"), F.col("text").alias("raw")), F.struct(digest(F.col("edited_canon"), words, bits).alias("h"), F.col("edited_canon").alias("canon"), F.lit("").alias("raw")))).alias("x"))
-    texts = texts.where(F.array_contains("shared", F.col("x.h"))).select(F.col("x.h").alias("h"), F.coalesce("x.canon", canonical(F.col("x.raw"))).alias("canon"))
-    clashing = written(texts.groupBy("h").agg(F.min("canon").alias("least"), F.max("canon").alias("most")).where("least < most").select("h"), "clashing")
+    shared = written(found.select(F.explode(F.array("h", "edited_h")).alias("h")).groupBy("h").count().where("count > 1").select("h"), "shared")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("raw", F.xxhash64("text"))
+    wanted = written(found.join(shared, "h").select("raw").distinct(), "wanted")
+    own = texts.join(_small(wanted), "raw", "left_semi").select(canonical(F.col("text")).alias("canon")).select(digest(F.col("canon"), words, bits).alias("h"), "canon")
+    # A text that its edit leaves as it is (near_edited) was compared when it was made.
+    flagged = found.where("near_edited = 0").join(shared.withColumnRenamed("h", "edited_h"), "edited_h", "left_semi")
+    other = _edits(flagged, texts).select(digest(F.col("canon"), words, bits).alias("h"), "canon")
+    several = own.unionByName(other).groupBy("h").agg(F.min("canon").alias("least"), F.max("canon").alias("most"))
+    clashing = written(several.where("least < most").select("h"), "clashing")
     columns = ["doc_id", "n_chars", "edited_sha256", F.col("h").alias("fingerprint"), F.col("edited_h").alias("edited_fingerprint"), "near_edited", "near_next"]
     if clashing.isEmpty():
         return found.select(*columns)
-    return _suffixed(found, edited, clashing, words, bits).select(*columns)
-
-
-def _suffixed(found: DataFrame, edited: DataFrame, clashing: DataFrame, words: int, bits: int) -> DataFrame:
-    """``found`` with a suffix on the digests that several canonical texts share: the rank of the text's bytes."""
-    row = F.struct("doc_id", "edited_h", "edited_sha256")
-    raw = edited.select(
-        F.struct("doc_id", digest(F.col("edited_canon"), words, bits).alias("edited_h"), F.sha2("edited", 256).alias("edited_sha256")).alias("row"),
-        F.explode(F.array(F.struct(F.lit(False).alias("is_edited"), F.col("h"), canonical(F.col("text")).alias("canon")), F.struct(F.lit(True).alias("is_edited"), digest(F.col("edited_canon"), words, bits).alias("h"), F.col("edited_canon").alias("canon")))).alias("x"),
-    ).select("row", "x.*").join(clashing, "h")
-    ranks = raw.select("h", "canon").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("h").orderBy("canon")))
-    ranked = raw.join(ranks, ["h", "canon"]).groupBy("row", "h").agg(F.max(F.when(~F.col("is_edited"), F.col("rank"))).alias("own"), F.max(F.when(F.col("is_edited"), F.col("rank"))).alias("other"))
-    out = found.withColumn("row", row)
-    for column, rank in (("h", "own"), ("edited_h", "other")):
-        part = ranked.where(F.col(rank).isNotNull()).select(F.col("row").alias("r"), F.col("h").alias("rh"), F.col(rank).alias("k"))
-        out = out.join(part, out["row"].eqNullSafe(part["r"]) & (out[column] == part["rh"]), "left").withColumn(column, F.concat(column, F.coalesce(F.concat(F.lit("-"), F.col("k").cast("string")), F.lit("")))).drop("r", "rh", "k")
+    return _suffixed(found, texts, clashing, words, bits).select(*columns)
+
+
+def _edits(flagged: DataFrame, texts: DataFrame) -> DataFrame:
+    """edited_sha256 and canon of the edited texts of rows of ``found``, made again from their two texts."""
+    pairs = written(flagged.select("edited_sha256", "raw", "next_raw").distinct(), "edits")
+    wanted = written(pairs.select(F.explode(F.array("raw", "next_raw")).alias("raw")).distinct(), "of_edits")
+    two = written(texts.join(_small(wanted), "raw", "left_semi").select("raw", "text").distinct(), "texts_of_edits")
+    both = pairs.join(two, "raw").join(two.select(F.col("raw").alias("next_raw"), F.col("text").alias("next_text")), "next_raw")
+    made = both.select("edited_sha256", _edited(F.col("text"), F.col("next_text")).alias("edited"))
+    # Texts whose short hashes agree by chance make an edit that nobody has.
+    return made.where(F.sha2("edited", 256) == F.col("edited_sha256")).select("edited_sha256", canonical(F.col("edited")).alias("canon"))
+
+
+def _suffixed(found: DataFrame, texts: DataFrame, clashing: DataFrame, words: int, bits: int) -> DataFrame:
+    """``found`` with a suffix on the digests that several canonical texts share: the rank of the text's bytes.
+
+    Clashes are chance events of a wide digest; they go by SHA-256 from here on.
+    """
+    clashing = clashing.withColumn("clashes", F.lit(True))
+    canon = canonical(F.col("text")).alias("canon")
+    # Raw texts of clashing digests, their edits, and the rank of each canonical text within its digest.
+    own = texts.join(_small(written(found.join(clashing, "h").select("raw").distinct(), "raw_clashing")), "raw", "left_semi").select("raw", "text", canon).distinct()
+    own = written(own.select("raw", F.sha2("text", 256).alias("sha"), digest(F.col("canon"), words, bits).alias("h"), "canon"), "own_clashing")
+    edits = written(_edits(found.join(clashing.withColumnRenamed("h", "edited_h"), "edited_h"), texts).distinct().select("edited_sha256", digest(F.col("canon"), words, bits).alias("edited_h"), "canon"), "edits_clashing")
+    every = own.select("h", "canon").unionByName(edits.select(F.col("edited_h").alias("h"), "canon")).distinct()
+    ranks = every.withColumn("rank", F.row_number().over(Window.partitionBy("h").orderBy("canon")))
+    of_own = own.join(ranks, ["h", "canon"]).select("raw", "h", F.col("rank").alias("own_rank")).dropDuplicates(["raw", "h"])
+    of_edit = edits.join(ranks.withColumnRenamed("h", "edited_h"), ["edited_h", "canon"]).select("edited_sha256", "edited_h", F.col("rank").alias("edit_rank")).dropDuplicates(["edited_sha256"])
+    out = found.join(of_own, ["raw", "h"], "left").join(of_edit, ["edited_sha256", "edited_h"], "left")
+    for column, rank in (("h", "own_rank"), ("edited_h", "edit_rank")):
+        out = out.withColumn(column, F.concat(column, F.coalesce(F.concat(F.lit("-"), F.col(rank).cast("string")), F.lit(""))))
     return out
 
 
