@@ -61,6 +61,19 @@ def mono(frame: Column, channels: Column, planar: Column) -> Column:
     )
 
 
+def joined_frames(frames: Column) -> Column:
+    """One channel from the frames of a recording in order: those that are null or empty are passed over; null if none has a sample."""
+    kept = F.flatten(F.filter(frames, lambda f: f.isNotNull()))
+    return F.when(F.size(kept) > 0, kept)
+
+
+def buffer(samples: Column, rate: Column) -> Column:
+    """(samples, sample_rate, error) from an array of numbers: an error where it has no rate, no sample, or none that is finite."""
+    error = F.when(rate.isNull() | (rate <= 0), "no valid sample rate").when(samples.isNull() | (F.size(samples) == 0), "no samples").when(~valid(samples), "no sample is finite")
+    shape = "struct<samples:array<float>,sample_rate:int,error:string>"
+    return F.struct(F.when(error.isNull(), samples).alias("samples"), F.when(error.isNull(), rate).alias("sample_rate"), error.alias("error")).cast(shape)
+
+
 def slice_seconds(samples: Column, rate: Column, start: Column, end: Column) -> Column:
     """Samples from start to end, ends truncated to whole samples; null if there are none."""
     low = F.greatest(F.lit(0), (start * rate).cast("int"))

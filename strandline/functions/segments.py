@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import let, normalized, similarity_of_normalized
+from .text import let, normalized, similarity_of_normalized, stripped
 
 #: Fixed values of the alignment score.
 LEAST_EVIDENCE, TEXT_WEIGHT, TIME_WEIGHT, SPEAKER_BONUS = 0.45, 0.7, 0.3, 0.15
@@ -38,6 +38,7 @@ def overlap(start_a: Column, end_a: Column, start_b: Column, end_b: Column) -> C
 
 def overlap_ratio(start_a: Column, end_a: Column, start_b: Column, end_b: Column) -> Column:
     """Seconds in both, by the longer duration."""
+    start_a, end_a, start_b, end_b = start_of(start_a), end_of(start_a, end_a), start_of(start_b), end_of(start_b, end_b)
     longer = F.greatest(F.lit(SHORTEST), end_a - start_a, end_b - start_b)
     return overlap(start_a, end_a, start_b, end_b) / longer
 
@@ -50,23 +51,23 @@ def edge_confidence(start: Column, end: Column, overlap_start: Column, overlap_e
 
 def resolved_speaker(label: Column) -> Column:
     """SPEAKER_n in upper case, or null."""
-    return F.when(F.trim(label).rlike(r"(?i)^SPEAKER_\d+$"), F.upper(F.trim(label)))
+    return F.when(stripped(label).rlike(r"(?i)\ASPEAKER_\d+\z"), F.upper(stripped(label)))
 
 
 def public_speaker(label: Column) -> Column:
     """The number in SPEAKER_n or in a plain number, without leading zeros; else null."""
-    digits = F.regexp_extract(F.upper(F.trim(label)), r"^(?:SPEAKER_)?(\d+)$", 1)
+    digits = F.regexp_extract(F.upper(stripped(label)), r"\A(?:SPEAKER_)?(\d+)\z", 1)
     return F.when(digits != "", F.regexp_replace(digits, r"^0+(?=.)", ""))
 
 
 def public_segment_speaker(label: Column, annotated: Column) -> Column:
     """Of a segment that a chunk annotated, only SPEAKER_n is public."""
-    return F.when(~annotated | F.trim(label).rlike(r"(?i)^SPEAKER_\d+$"), public_speaker(label))
+    return F.when(~annotated | stripped(label).rlike(r"(?i)\ASPEAKER_\d+\z"), public_speaker(label))
 
 
 def local_label(label: Column) -> Column:
     """A trimmed label, or null if it names no speaker."""
-    return F.when((F.trim(label) != "") & ~F.lower(F.trim(label)).isin(*NO_SPEAKER), F.trim(label))
+    return F.when((stripped(label) != "") & ~F.lower(stripped(label)).isin(*NO_SPEAKER), stripped(label))
 
 
 def score_from(text_score: Column, time_score: Column, speaker_a: Column, speaker_b: Column) -> Column:
@@ -118,7 +119,7 @@ def status_payload(start: Column, end: Column, text: Column, speaker: Column, an
     return F.struct(
         F.lit("transcribing").alias("phase"),
         F.struct(F.round(stop, 2).alias("current"), F.round(finish, 2).alias("finish"), F.lit("seconds").alias("units"), percent(stop, finish).alias("percent")).alias("progress"),
-        F.struct(F.trim(F.coalesce(text, F.lit(""))).alias("text"), public_segment_speaker(speaker, annotated).alias("speaker"), F.round(start_of(start), 2).alias("start"), F.round(stop, 2).alias("end")).alias("utterance"),
+        F.struct(stripped(F.coalesce(text, F.lit(""))).alias("text"), public_segment_speaker(speaker, annotated).alias("speaker"), F.round(start_of(start), 2).alias("start"), F.round(stop, 2).alias("end")).alias("utterance"),
     )
 
 
@@ -132,7 +133,7 @@ def summary(name: str, rows: Column, most: int = 5, width: int = 96) -> Column:
     """A list of segments in one line for logs: the first few, shortened, and how many more."""
 
     def one(s: Column) -> Column:
-        text = F.trim(F.regexp_replace(F.coalesce(s["text"], F.lit("")), r"\s+", " "))
+        text = F.trim(F.regexp_replace(F.coalesce(s["text"], F.lit("")), r"(?U)[\s\x1c-\x1f]+", " "))
         short = F.when(F.length(text) > width, F.concat(F.substring(text, 1, width - 3), F.lit("..."))).otherwise(text)
         times = F.format_string("%.2f-%.2f", start_of(s["start"]), end_of(s["start"], s["end"]))
         return F.concat(times, F.lit(" "), F.coalesce(s["speaker"], F.lit("-")), F.lit(" "), short)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
+from .text import stripped
+
 #: Keys whose values are secrets, and the suffixes of content types.
 SECRETS = ("huggingface_token", "token", "api_key", "apikey", "client_key")
 SUFFIXES = {
@@ -21,7 +23,7 @@ TRUE = ("1", "true", "yes", "y")
 
 def layered(*values: Column) -> Column:
     """The first that is set: command line, configuration, environment, default; blank texts aren't."""
-    return F.coalesce(*(F.nullif(F.trim(v.cast("string")), F.lit("")) for v in values))
+    return F.coalesce(*(F.nullif(stripped(v.cast("string")), F.lit("")) for v in values))
 
 
 def overridden(base: str, job: str, fields: list[str]) -> Column:
@@ -31,7 +33,7 @@ def overridden(base: str, job: str, fields: list[str]) -> Column:
 
 def as_bool(value: Column, default: bool = False) -> Column:
     """Texts are read as such: "false" is false."""
-    return F.coalesce(F.lower(F.trim(value.cast("string"))).isin(*TRUE), F.lit(default))
+    return F.coalesce(F.lower(stripped(value.cast("string"))).isin(*TRUE), F.lit(default))
 
 
 def as_int(value: Column, default: int | None = None) -> Column:
@@ -44,16 +46,30 @@ def as_float(value: Column, default: float | None = None) -> Column:
 
 def as_list(value: Column) -> Column:
     """Trimmed items of a comma-separated text, without blanks; null without any."""
-    items = F.filter(F.transform(F.split(value, ","), lambda v: F.trim(v)), lambda v: v != "")
+    items = F.filter(F.transform(F.split(value, ","), lambda v: stripped(v)), lambda v: v != "")
     return F.when(F.size(items) > 0, items)
 
 
+def as_member(value: Column, names: tuple[str, ...]) -> Column:
+    """The name among ``names`` that a text gives in any case; null if none."""
+    known = F.create_map(*(F.lit(x) for n in names for x in (n.lower(), n)))
+    return F.try_element_at(known, F.lower(stripped(value.cast("string"))))
+
+
+def as_names(value: Column) -> Column:
+    """Languages and the like, from JSON: a text is a list of one, items are stripped, blanks go; null without any."""
+    text = F.coalesce(F.get(F.from_json(F.concat(F.lit("["), value, F.lit("]")), "array<string>"), F.lit(0)), value)
+    items = F.coalesce(F.from_json(F.when(F.ltrim(value).startswith("["), value), "array<string>"), F.array(text))
+    kept = F.filter(F.transform(items, stripped), lambda v: F.coalesce(v, F.lit("")) != "")
+    return F.when(F.size(kept) > 0, kept)
+
+
 def suffix(filename: Column, content_type: Column) -> Column:
     """Of the file name if it has one, else of the content type, else ``.bin``."""
     base = F.regexp_extract(filename, r"([^/]*)$", 1)
     own = F.regexp_extract(base, r"^\.*[^.].*?(\.[^.]*)$", 1)
     known = F.create_map(*(F.lit(x) for pair in SUFFIXES.items() for x in pair))
-    return F.coalesce(F.nullif(own, F.lit("")), F.try_element_at(known, F.lower(F.trim(content_type))), F.lit(".bin"))
+    return F.coalesce(F.nullif(own, F.lit("")), F.try_element_at(known, F.lower(stripped(content_type))), F.lit(".bin"))
 
 
 def label(filename: Column, content_type: Column) -> Column:

@@ -16,6 +16,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: White space at the ends of a text: Unicode's, and the separators that text tools strip besides.
+_SPACE = r"[\s\x1c-\x1f]"
+
+
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at the ends; a null stays null."""
+    return F.regexp_replace(text, rf"(?U)\A{_SPACE}+|{_SPACE}+\z", "")
+
+
 def normalized(text: Column) -> Column:
     """Lower case, signs as spaces, single spaces, trimmed; a null is empty."""
     lowered = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[\s\x1c-\x1f]+", " ")
@@ -54,7 +63,7 @@ def more_complete(candidate: Column, baseline: Column) -> Column:
 
 def plain_text(texts: Column) -> Column:
     """Stripped texts that aren't blank, joined by spaces."""
-    return F.array_join(F.filter(F.transform(texts, lambda t: F.trim(F.coalesce(t, F.lit("")))), lambda t: t != ""), " ")
+    return F.array_join(F.filter(F.transform(texts, lambda t: stripped(F.coalesce(t, F.lit("")))), lambda t: t != ""), " ")
 
 
 def preview(text: Column, limit: int = 240) -> Column:

@@ -2,37 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.segments import overlap
+from ..functions.segments import end_of, overlap, start_of
+from ..functions.text import stripped
 
-#: Seconds of a time bucket: both sides meet in the buckets that they touch.
-BUCKET_SECONDS = 60.0
+#: Seconds of a time bucket: both sides meet in the buckets that they touch; buckets that an interval is given to at most.
+BUCKET_SECONDS, MOST_BUCKETS = 60.0, 64
+#: Buckets by which long intervals meet short ones, and all meet long turns.
+_SHORT_TURNS, _LONG_TURNS = -(1 << 62), -(1 << 62) + 1
 
 
 def named_by_overlap(segments: DataFrame, turns: DataFrame, key: str = "recording_id", bucket_seconds: float = BUCKET_SECONDS) -> DataFrame:
     """``segments`` (key, seg_idx, start, end, ...) with ``speaker`` of the turn (key, turn_idx, start, end, speaker).
 
     Among turns of equal overlap the earliest by turn_idx wins; without a positive
-    overlap the speaker is null.  The join is an equi-join on key and time
-    bucket, so a long recording is divided among tasks; a pair counts in the
-    bucket where its overlap begins only.
+    overlap the speaker is null.  A null start is 0 and a null end the start;
+    what has no finite times overlaps nothing.  The join is an equi-join on key
+    and time bucket, so a long recording is divided among tasks; a pair counts
+    in the bucket where its overlap begins only.  An interval over many buckets
+    isn't given to each: it meets the others of its recording by itself.
     """
-
-    def buckets(start, end):
-        low = F.floor(start / bucket_seconds)
-        return F.explode(F.sequence(low, F.greatest(low, F.floor(end / bucket_seconds))))
-
-    left = segments.select(F.col(key).alias("__key"), F.col("seg_idx").alias("__seg"), F.col("start").alias("__s"), F.col("end").alias("__e")).withColumn("__bucket", buckets(F.col("__s"), F.col("__e")))
-    right = turns.where("end > start").select(F.col(key).alias("__tkey"), F.col("turn_idx").alias("__turn"), F.col("start").alias("__ts"), F.col("end").alias("__te"), F.col("speaker").alias("__speaker")).withColumn("__tbucket", buckets(F.col("__ts"), F.col("__te")))
+    left = segments.select(F.col(key).alias("__key"), F.col("seg_idx").alias("__seg"), *timed("__s", "__e")).withColumn("__bucket", F.explode(meeting(F.col("__s"), F.col("__e"), bucket_seconds, False)))
+    right = turns.select(F.col(key).alias("__tkey"), F.col("turn_idx").alias("__turn"), *timed("__ts", "__te"), F.col("speaker").alias("__speaker")).where("__te > __ts").withColumn("__tbucket", F.explode(meeting(F.col("__ts"), F.col("__te"), bucket_seconds, True)))
     near = left.join(right, (F.col("__key") == F.col("__tkey")) & (F.col("__bucket") == F.col("__tbucket")) & (F.col("__s") < F.col("__te")) & (F.col("__ts") < F.col("__e")))
-    near = near.where(F.col("__bucket") == F.floor(F.greatest("__s", "__ts") / bucket_seconds))
+    near = near.where((F.col("__bucket") <= _LONG_TURNS) | (F.col("__bucket") == F.floor(F.greatest("__s", "__ts") / bucket_seconds)))
     shared = overlap(F.col("__s"), F.col("__e"), F.col("__ts"), F.col("__te"))
     best = near.groupBy("__key", "__seg").agg(F.max_by("__speaker", F.struct(shared, -F.col("__turn"))).alias("speaker"))
     return segments.join(best, (F.col(key) == F.col("__key")) & (F.col("seg_idx") == F.col("__seg")), "left").drop("__key", "__seg")
 
 
+def timed(start: str, end: str) -> list[Column]:
+    """Times of a row, by the rules for nulls."""
+    return [start_of(F.col("start")).cast("double").alias(start), end_of(F.col("start"), F.col("end")).cast("double").alias(end)]
+
+
+def meeting(start: Column, end: Column, size: float, turn: bool) -> Column:
+    """Buckets of an interval: a pair of short ones meets in those of time, any other in exactly one of the two others."""
+    finite = (F.abs(start) < 1e15) & (F.abs(end) < 1e15)
+    low = F.floor(start / size)
+    high = F.greatest(low, F.floor(end / size))
+    short = high - low < MOST_BUCKETS
+    # Sequences are computed whatever the condition, so a long one is cut short.
+    spans = F.sequence(low, F.least(high, low + MOST_BUCKETS))
+    lone = lambda *x: F.array(*map(F.lit, x)).cast("array<bigint>")
+    if turn:
+        found = F.when(short, F.concat(spans, lone(_SHORT_TURNS))).otherwise(lone(_LONG_TURNS))
+    else:
+        found = F.when(short, F.concat(spans, lone(_LONG_TURNS))).otherwise(lone(_SHORT_TURNS, _LONG_TURNS))
+    return F.when(finite, found).otherwise(lone())
+
+
 def relabelled(segments: DataFrame, assignments: DataFrame, key: str = "recording_id") -> DataFrame:
     """Final speakers: those assigned to (key, chunk_index, local_speaker), else the provisional label; null without a local one."""
     known = assignments.select(key, "chunk_index", "local_speaker", F.col("speaker").alias("__global"))
@@ -47,7 +68,7 @@ def words(segments: DataFrame, key: str = "recording_id", lang: str = "en", tick
     The last word ends with its segment; words after the first begin with a
     space; segments without text give none.
     """
-    tokens = F.filter(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+"), lambda t: t != "")
+    tokens = F.filter(F.split(stripped(F.coalesce("text", F.lit(""))), r"(?U)[\s\x1c-\x1f]+"), lambda t: t != "")
     timed = segments.select(key, "seg_idx", (F.coalesce("start", F.lit(0.0)) * ticks).cast("long").alias("a"), (F.coalesce("end", "start", F.lit(0.0)) * ticks).cast("long").alias("b"), tokens.alias("tokens")).withColumn("n", F.size("tokens")).where("n > 0")
     each = timed.withColumn("step", F.expr("greatest(1, greatest(1, b - a) div n)")).select("*", F.posexplode("tokens").alias("i", "token"))
     return each.select(

@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,20 +48,27 @@ class Throttle:
 
 
 def throttled(events: DataFrame, job: str, order: list[str], progress: str, seconds: str, min_progress: float = 1.0, min_seconds: float = 2.0) -> DataFrame:
-    """``events`` that a throttle by job lets through; ``seconds`` is a clock."""
+    """``events`` that a throttle by job lets through; ``seconds`` is a clock, and an event without it is at 0. Events without a job are one job's."""
     ship(events.sparkSession)
+    at = [events.columns.index(c) for c in (job, progress, seconds)]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, throttle = object(), Throttle(min_progress, min_seconds)
-        for frame in frames:
+        for batch in batches:
             keep = []
-            for name, p, t in zip(frame[job].tolist(), frame[progress].tolist(), frame[seconds].tolist(), strict=True):
+            for name, p, t in zip(*(batch.column(k).to_pylist() for k in at), strict=True):
                 if name != now:
                     now, throttle = name, Throttle(min_progress, min_seconds)
-                keep.append(throttle.passes(p, t))
-            yield frame[keep]
+                keep.append(throttle.passes(p, t or 0.0))
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return events.repartition(job).sortWithinPartitions(job, *order).mapInPandas(run, events.schema)
+    return events.repartition(job).sortWithinPartitions(job, *order).mapInArrow(run, events.schema)
+
+
+def reported(events: DataFrame, job: str, order: list[str], progress: str, seconds: str, ends: Column, min_progress: float = 1.0, min_seconds: float = 2.0) -> DataFrame:
+    """What is sent of a job's events: throttled, the one that ends it always, and none after that."""
+    live = until_end(events, job, order, ends)
+    return throttled(live.where(~F.coalesce(ends, F.lit(False))), job, order, progress, seconds, min_progress, min_seconds).unionByName(live.where(ends))
 
 
 def latest(events: DataFrame, job: str, order: list[str], state: str) -> DataFrame:
@@ -70,9 +77,9 @@ def latest(events: DataFrame, job: str, order: list[str], state: str) -> DataFra
 
 
 def until_end(events: DataFrame, job: str, order: list[str], ends: Column) -> DataFrame:
-    """Events of each job up to the first that ends it, that one included."""
+    """Events of each job up to the first that ends it, that one included: what comes later is void."""
     ended = events.where(ends).groupBy(F.col(job).alias("__job")).agg(F.min(F.struct(*order)).alias("__end"))
-    return events.join(ended, F.col(job) == F.col("__job"), "left").where(F.col("__end").isNull() | (F.struct(*order) <= F.col("__end"))).drop("__job", "__end")
+    return events.join(ended, F.col(job).eqNullSafe(F.col("__job")), "left").where(F.col("__end").isNull() | (F.struct(*order) <= F.col("__end"))).drop("__job", "__end")
 
 
 def checked(events: DataFrame, job: str, order: list[str], state: str) -> DataFrame:

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import audio, segments, settings, text, vectors
-from ..operators import alignment, chunks, interval, nearest, progress, speakers
+from ..operators import alignment, chunks, interval, matching, nearest, progress, speakers
 from ..sources import readers, writers
-from .timeline import LATER, LOST, OVERLAP_SECONDS, PACE, WINDOW_SECONDS, heard_again, pairs, spread, table, timeline, windows
+from .timeline import CHUNK_SECONDS, LATER, LOST, OVERLAP_SECONDS, PACE, WINDOW_SECONDS, heard_again, pairs, spread, table, timeline, windows
 from .timeline import chunks as timeline_chunks
 
 _QUERIES: dict = {}
@@ -47,6 +47,11 @@ def _norm(x: str) -> str:
     return rf"trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce({x}, '')), '[\s\v\x1c-\x1f\x85\p{{Z}}]+', ' ', 'g'), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
+def _strip(x: str) -> str:
+    space = r"[\s\v\x1c-\x1f\x85\p{Z}]+"
+    return f"regexp_replace({x}, '^{space}|{space}$', '', 'g')"
+
+
 def _lev(a: str, b: str) -> str:
     return f"levenshtein(translate({a}, '{_WIDE}', '{_NARROW}'), translate({b}, '{_WIDE}', '{_NARROW}'))"
 
@@ -155,36 +160,37 @@ def interval_speaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interval.named_by_overlap(first.drop("speaker"), turns).select("recording_id", "seg_idx", "speaker")
 
 
-@query(f"""WITH {_SEG}, {_AGAIN},
-p AS (SELECT recording_id, seg_idx, "start", "end", speaker, {_norm('text')} AS norm FROM seg), c AS (SELECT recording_id, seg_idx, "start", "end", speaker, {_norm('text')} AS norm FROM again),
+#: In this query every third segment is heard again with a third of its text.
+_PARTLY = """part_ AS (SELECT recording_id, seg_idx, "start", "end", CASE WHEN seg_idx % 3 = 0 THEN substr(text, 1, length(text) // 3) ELSE text END AS text, speaker FROM again)"""
+
+
+@query(f"""WITH {_SEG}, {_AGAIN}, {_PARTLY},
+p AS (SELECT recording_id, seg_idx, "start", "end", speaker, {_norm('text')} AS norm FROM seg), c AS (SELECT recording_id, seg_idx, "start", "end", speaker, {_norm('text')} AS norm FROM part_),
 near AS (SELECT c.recording_id, c.seg_idx, p.speaker AS a_speaker, c.speaker AS b_speaker, p.norm AS a_norm, c.norm AS b_norm, p."start" AS a_start, p."end" AS a_end, c."start" AS b_start, c."end" AS b_end
   FROM c JOIN p ON c.recording_id = p.recording_id AND p."start" < c."end" AND c."start" < p."end"),
 part AS (SELECT *, {_sim('a_norm', 'b_norm')} AS text_score, {_RATIO} AS time_score FROM near),
 twice AS (SELECT DISTINCT recording_id, seg_idx FROM part WHERE NOT coalesce(a_speaker <> b_speaker, false)
-  AND least(1.0::DOUBLE, text_score * 0.7::DOUBLE + time_score * 0.3::DOUBLE + CASE WHEN a_speaker = b_speaker THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END) >= 0.98::DOUBLE)
-SELECT recording_id, seg_idx FROM again ANTI JOIN twice USING (recording_id, seg_idx)""")
+  AND least(1.0::DOUBLE, text_score * 0.7::DOUBLE + time_score * 0.3::DOUBLE + CASE WHEN a_speaker = b_speaker THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END) >= 0.82::DOUBLE)
+SELECT recording_id, seg_idx FROM part_ ANTI JOIN twice USING (recording_id, seg_idx)""")
 def unmatched_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is heard again and isn't nearly the same as an overlapping earlier segment: a fuzzy anti-join."""
+    """What is heard again and isn't like an overlapping earlier segment: a fuzzy anti-join."""
     first = timeline(spark, sf_dir)
-    again = heard_again(first)
-    a = first.select("recording_id", F.col("start").alias("a_start"), F.col("end").alias("a_end"), text.normalized(F.col("text")).alias("a_norm"), segments.resolved_speaker(F.col("speaker")).alias("a_speaker"))
-    b = again.select("recording_id", "seg_idx", F.col("start").alias("b_start"), F.col("end").alias("b_end"), text.normalized(F.col("text")).alias("b_norm"), segments.resolved_speaker(F.col("speaker")).alias("b_speaker"))
-    near = b.join(a, "recording_id").where("a_start < b_end AND b_start < a_end")
-    near = near.withColumns({"t": text.similarity_of_normalized(F.col("a_norm"), F.col("b_norm")), "o": segments.overlap_ratio(*_times("a"), *_times("b"))})
-    twice = near.where(segments.score_from(F.col("t"), F.col("o"), F.col("a_speaker"), F.col("b_speaker")) >= 0.98).select("recording_id", "seg_idx")
-    return again.select("recording_id", "seg_idx").join(twice, ["recording_id", "seg_idx"], "left_anti")
+    third = F.substring("text", F.lit(1), F.floor(F.length("text") / 3).cast("int"))
+    again = heard_again(first).withColumn("text", F.when(F.col("seg_idx") % 3 == 0, third).otherwise(F.col("text")))
+    return matching.unmatched(again, first).select("recording_id", "seg_idx")
 
 
 # alignment, merging, emission ------------------------------------------------
 
-_WINDOWS = f"""{_SEG}, {_AGAIN},
-rows_ AS (SELECT 0 AS side, *, floor("start" / {WINDOW_SECONDS})::BIGINT AS win, {_norm('text')} AS norm FROM seg UNION ALL SELECT 1, *, floor("start" / {WINDOW_SECONDS})::BIGINT, {_norm('text')} FROM again),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY recording_id, win, side ORDER BY seg_idx) - 1 AS ix FROM rows_),
+_SCORE = """CASE WHEN t < 0.45 AND o < 0.45 THEN 0.0::DOUBLE WHEN a_speaker <> b_speaker THEN 0.0::DOUBLE
+  ELSE least(1.0::DOUBLE, t * 0.7::DOUBLE + o * 0.3::DOUBLE + CASE WHEN a_speaker = b_speaker THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END) END"""
+#: From rows_ (side 0 or 1, recording_id, win, ord, start, end, text, speaker, norm): places, scores, the table of the alignment and its way back.
+_MATCHED = f"""numbered AS (SELECT *, row_number() OVER (PARTITION BY recording_id, win, side ORDER BY ord) - 1 AS ix FROM rows_),
 cells AS (SELECT a.recording_id, a.win, a.ix AS i, b.ix AS j, a.speaker AS a_speaker, b.speaker AS b_speaker, a.norm AS a_norm, b.norm AS b_norm, a."start" AS a_start, a."end" AS a_end, b."start" AS b_start, b."end" AS b_end
   FROM numbered a JOIN numbered b ON a.recording_id = b.recording_id AND a.win = b.win AND a.side = 0 AND b.side = 1),
 parts AS (SELECT *, {_sim('a_norm', 'b_norm')} AS t, {_RATIO} AS o FROM cells),
-matrix AS (SELECT recording_id, win, max(i) + 1 AS n, max(j) + 1 AS m, list(CASE WHEN t < 0.45 AND o < 0.45 THEN 0.0::DOUBLE WHEN a_speaker <> b_speaker THEN 0.0::DOUBLE
-  ELSE least(1.0::DOUBLE, t * 0.7::DOUBLE + o * 0.3::DOUBLE + CASE WHEN a_speaker = b_speaker THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END) END ORDER BY i, j) AS s FROM parts GROUP BY recording_id, win),
+points AS (SELECT recording_id, win, i, j, {_SCORE} AS score FROM parts),
+matrix AS (SELECT recording_id, win, max(i) + 1 AS n, max(j) + 1 AS m, list(score ORDER BY i, j) AS s FROM points GROUP BY recording_id, win),
 filled AS (SELECT recording_id, win, n, m, s, 0::BIGINT AS k, []::DOUBLE[] AS v FROM matrix UNION ALL
   SELECT recording_id, win, n, m, s, k + 1, list_append(v, CASE WHEN k // (m + 1) = 0 OR k % (m + 1) = 0 THEN 0.0::DOUBLE ELSE
     CASE WHEN s[(k // (m + 1) - 1) * m + k % (m + 1)] > 0 AND v[k - m - 1] + s[(k // (m + 1) - 1) * m + k % (m + 1)] >= greatest(v[k - m], v[k]) THEN v[k - m - 1] + s[(k // (m + 1) - 1) * m + k % (m + 1)] ELSE greatest(v[k - m], v[k]) END END)
@@ -192,7 +198,27 @@ filled AS (SELECT recording_id, win, n, m, s, 0::BIGINT AS k, []::DOUBLE[] AS v
 trace AS (SELECT recording_id, win, n, m, s, v, n AS i, m AS j, false AS hit FROM filled WHERE k = (n + 1) * (m + 1) UNION ALL
   SELECT recording_id, win, n, m, s, v, CASE d WHEN 2 THEN i - 1 WHEN 1 THEN i ELSE i - 1 END, CASE d WHEN 0 THEN j ELSE j - 1 END, d = 2 FROM (
     SELECT *, CASE WHEN s[(i - 1) * m + j] > 0 AND v[(i - 1) * (m + 1) + j] + s[(i - 1) * m + j] >= greatest(v[(i - 1) * (m + 1) + j + 1], v[i * (m + 1) + j]) THEN 2
-      WHEN v[i * (m + 1) + j] > v[(i - 1) * (m + 1) + j + 1] THEN 1 ELSE 0 END AS d FROM trace WHERE i > 0 AND j > 0))"""
+      WHEN v[i * (m + 1) + j] > v[(i - 1) * (m + 1) + j + 1] THEN 1 ELSE 0 END AS d FROM trace WHERE i > 0 AND j > 0)),
+hits AS (SELECT recording_id, win, i, j FROM trace WHERE hit),
+sides AS (SELECT recording_id, win, count(*) FILTER (side = 0) AS np, count(*) FILTER (side = 1) AS nc FROM numbered GROUP BY recording_id, win),
+pairs_ AS (SELECT h.recording_id, h.win, h.i, h.j, p, c FROM hits h JOIN numbered p ON p.recording_id = h.recording_id AND p.win = h.win AND p.side = 0 AND p.ix = h.i
+  JOIN numbered c ON c.recording_id = h.recording_id AND c.win = h.win AND c.side = 1 AND c.ix = h.j),
+alone AS (SELECT n.recording_id, n.win, n.ix AS i, n."start", n."end", n.text, n.speaker FROM numbered n JOIN sides USING (recording_id, win) WHERE np = 0 OR nc = 0)"""
+_WINDOWS = f"""{_SEG}, {_AGAIN},
+rows_ AS (SELECT 0 AS side, *, seg_idx AS ord, floor("start" / {WINDOW_SECONDS})::BIGINT AS win, {_norm('text')} AS norm FROM seg UNION ALL SELECT 1, *, seg_idx, floor("start" / {WINDOW_SECONDS})::BIGINT, {_norm('text')} FROM again),
+{_MATCHED}"""
+
+
+def _resolved(middle: str) -> str:
+    """CTEs up to ``resolved``: recording_id, win, i, start, end, text, speaker; ``middle`` of a window is an expression of win."""
+    return f"""pool AS (SELECT recording_id, win, 0 AS k, i AS o, CASE WHEN (p."start" + p."end") / 2 < {middle} OR (p.norm = c.norm AND (p."start" + p."end") / 2 <= {middle}) THEN p ELSE c END AS r FROM pairs_
+  UNION ALL SELECT n.recording_id, n.win, 1 + n.side, n.ix, n FROM numbered n LEFT JOIN hits h ON n.recording_id = h.recording_id AND n.win = h.win AND ((n.side = 0 AND n.ix = h.i) OR (n.side = 1 AND n.ix = h.j)) WHERE h.i IS NULL),
+lined AS (SELECT recording_id, win, r."start" AS b_start, r."end" AS b_end, r.text AS text, r.speaker AS b_speaker, r.norm AS b_norm, row_number() OVER (PARTITION BY recording_id, win ORDER BY r."start", r."end", k, o) AS n FROM pool JOIN sides USING (recording_id, win) WHERE np > 0 AND nc > 0),
+folded AS (SELECT *, true AS kept, b_start AS a_start, b_end AS a_end, b_speaker AS a_speaker, b_norm AS a_norm FROM lined WHERE n = 1 UNION ALL
+  SELECT recording_id, win, b_start, b_end, text, b_speaker, b_norm, n, kept, CASE WHEN kept THEN b_start ELSE a_start END, CASE WHEN kept THEN b_end ELSE a_end END, CASE WHEN kept THEN b_speaker ELSE a_speaker END, CASE WHEN kept THEN b_norm ELSE a_norm END FROM (
+    SELECT *, {_SCORE} < 0.9::DOUBLE AS kept FROM (SELECT l.*, f.a_start, f.a_end, f.a_speaker, f.a_norm, {_sim('f.a_norm', 'l.b_norm')} AS t, {_RATIO.replace('a_', 'f.a_').replace('b_', 'l.b_')} AS o
+      FROM folded f JOIN lined l ON l.recording_id = f.recording_id AND l.win = f.win AND l.n = f.n + 1))),
+resolved AS (SELECT recording_id, win, row_number() OVER (PARTITION BY recording_id, win ORDER BY n) - 1 AS i, b_start AS "start", b_end AS "end", text, b_speaker AS speaker FROM folded WHERE kept UNION ALL SELECT * FROM alone)"""
 
 
 @query(f"""WITH RECURSIVE {_WINDOWS} SELECT recording_id, win AS "window", i::INT AS prev_idx, j::INT AS curr_idx, round(s[i * m + j + 1], 6) AS score FROM trace WHERE hit""")
@@ -206,17 +232,45 @@ def _listed(rows: DataFrame, found) -> DataFrame:
     return out.select("recording_id", "window", F.col("i").cast("long").alias("i"), F.round("s.start", 6).alias("start"), F.round("s.end", 6).alias("end"), "s.text", "s.speaker")
 
 
-@query()
+_LISTED = """recording_id, win AS "window", i::BIGINT AS i, round("start", 6) AS "start", round("end", 6) AS "end", text, speaker"""
+
+
+@query(f"""WITH RECURSIVE {_WINDOWS},
+decided AS (SELECT recording_id, win, i, j, score >= 0.55::DOUBLE AND ({_prefix_sim('c.norm', 'p.norm')} OR (NOT {_prefix_sim('p.norm', 'c.norm')}
+  AND greatest(0.0::DOUBLE, (c."start" + c."end") / 2 - win * {WINDOW_SECONDS}::DOUBLE) > greatest(0.0::DOUBLE, (win + 1) * {WINDOW_SECONDS}::DOUBLE - (p."start" + p."end") / 2))) AS newer FROM pairs_ JOIN points USING (recording_id, win, i, j)),
+repeats AS (SELECT DISTINCT x.recording_id, x.win, x.j FROM points x ANTI JOIN (SELECT * FROM decided WHERE newer) d ON x.recording_id = d.recording_id AND x.win = d.win AND x.i = d.i WHERE x.score >= 0.82::DOUBLE),
+gone AS (SELECT recording_id, win, 0 AS side, i AS ix FROM decided WHERE newer UNION SELECT recording_id, win, 1, j FROM decided WHERE NOT newer UNION SELECT recording_id, win, 1, j FROM repeats),
+left_ AS (SELECT n.* FROM numbered n JOIN sides USING (recording_id, win) ANTI JOIN gone USING (recording_id, win, side, ix) WHERE np > 0 AND nc > 0),
+all_ AS (SELECT recording_id, win, row_number() OVER (PARTITION BY recording_id, win ORDER BY "start", "end", side, ix) - 1 AS i, "start", "end", text, speaker FROM left_ UNION ALL SELECT * FROM alone)
+SELECT {_LISTED} FROM all_""")
 def merge_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _listed(windows(spark, sf_dir), alignment.merged(F.col("previous"), F.col("current"), F.col("overlap_start"), F.col("overlap_end")))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_WINDOWS}, {_resolved(f'(win + 0.5::DOUBLE) * {WINDOW_SECONDS}')} SELECT {_LISTED} FROM resolved""")
 def resolve_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _listed(windows(spark, sf_dir), alignment.resolved(F.col("previous"), F.col("current"), F.col("overlap_start"), F.col("overlap_end")))
 
 
-@query()
+_STEP = CHUNK_SECONDS - OVERLAP_SECONDS
+
+
+@query(f"""WITH RECURSIVE {_SEG}, {_AGAIN}, sides_ AS (SELECT *, 0 AS odd FROM seg UNION ALL SELECT *, 1 FROM again),
+touched AS (SELECT *, greatest(0, ceil(("end" - {CHUNK_SECONDS}) / {_STEP}))::INT AS low, floor("start" / {_STEP})::INT AS begins FROM sides_),
+dealt AS (SELECT *, unnest(range(least(low, begins), greatest(low, begins) + 1)) AS k FROM touched),
+inside AS (SELECT recording_id, k, "start", "end", text, speaker, {_norm('text')} AS norm, row_number() OVER (PARTITION BY recording_id, k ORDER BY "start", "end", text, speaker) AS ord, (k + 1) * {_STEP} AS edge FROM dealt WHERE k % 2 = odd),
+chunks AS (SELECT *, lag(k) OVER (PARTITION BY recording_id ORDER BY k) AS before, max(k) OVER (PARTITION BY recording_id) AS top FROM (SELECT DISTINCT recording_id, k FROM inside)),
+rows_ AS (SELECT 0 AS side, c.recording_id, c.k AS win, i.ord, i."start", i."end", i.text, i.speaker, i.norm FROM chunks c JOIN inside i ON i.recording_id = c.recording_id AND i.k = c.before WHERE i."end" > i.edge
+  UNION ALL SELECT 1, recording_id, k, ord, "start", "end", text, speaker, norm FROM inside WHERE "start" < edge),
+{_MATCHED}, {_resolved(f'(win + 0.5::DOUBLE) * {_STEP}')},
+had AS (SELECT DISTINCT recording_id, win AS k, true AS had FROM rows_ WHERE side = 0),
+each_ AS (SELECT i.*, coalesce(h.had, false) AS had, i.k = c.top AS is_last FROM inside i JOIN chunks c USING (recording_id, k) LEFT JOIN had h USING (recording_id, k)),
+sent AS (SELECT recording_id, win AS k, 0 AS part, i, 'resolved-overlap' AS reason, "start", "end", text, speaker FROM resolved SEMI JOIN had ON resolved.recording_id = had.recording_id AND resolved.win = had.k
+  UNION ALL SELECT recording_id, k, 1, ord, 'initial-non-overlap', "start", "end", text, speaker FROM each_ WHERE NOT had AND "end" <= edge
+  UNION ALL SELECT recording_id, k, 2, ord, 'last-trailing', "start", "end", text, speaker FROM each_ WHERE NOT had AND is_last AND "end" > edge
+  UNION ALL SELECT recording_id, k, 3, ord, 'last-body', "start", "end", text, speaker FROM each_ WHERE had AND is_last AND "start" >= edge
+  UNION ALL SELECT recording_id, k, 4, ord, 'mid-body', "start", "end", text, speaker FROM each_ WHERE had AND NOT is_last AND "start" >= edge AND "end" <= edge)
+SELECT recording_id, (k + 1)::INT AS chunk_index, reason, row_number() OVER (PARTITION BY recording_id, k ORDER BY part, i) - 1 AS emit_idx, round("start", 6) AS "start", round("end", 6) AS "end", text, speaker FROM sent""")
 def emitter_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chunks.emitted(timeline_chunks(spark, sf_dir), OVERLAP_SECONDS)
     return rows.select("recording_id", "chunk_index", "reason", "emit_idx", F.round("seg.start", 6).alias("start"), F.round("seg.end", 6).alias("end"), "seg.text", "seg.speaker")
@@ -225,7 +279,7 @@ def emitter_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 # outputs -----------------------------------------------------------------------
 
 
-@query(f"""WITH {_SEG}, t AS (SELECT recording_id, seg_idx, trunc("start" * 16000)::BIGINT AS a, trunc("end" * 16000)::BIGINT AS b, list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: w <> '') AS tokens FROM seg),
+@query(f"""WITH {_SEG}, t AS (SELECT recording_id, seg_idx, trunc("start" * 16000)::BIGINT AS a, trunc("end" * 16000)::BIGINT AS b, list_filter(regexp_split_to_array({_strip('text')}, '[\\s\\v\\x1c-\\x1f\\x85\\p{{Z}}]+'), lambda w: w <> '') AS tokens FROM seg),
 w AS (SELECT *, len(tokens) AS n, greatest(1, greatest(1, b - a) // len(tokens)) AS step, unnest(range(len(tokens))) AS i FROM t WHERE len(tokens) > 0)
 SELECT recording_id, seg_idx, i::BIGINT AS word_idx, a + i * step AS start_ts, CASE WHEN i = n - 1 THEN b ELSE a + (i + 1) * step END AS end_ts,
   CASE WHEN i = 0 THEN tokens[i + 1] ELSE ' ' || tokens[i + 1] END AS word, 1.0::DOUBLE AS probability, 'en' AS lang FROM w""")
@@ -238,20 +292,20 @@ _PUBLIC = "CASE speaker WHEN 'SPEAKER_00' THEN '0' WHEN 'SPEAKER_01' THEN '1' EN
 
 @query(f"""WITH {_SEG}, m AS (SELECT *, floor("start" / 60)::BIGINT AS minute, lag(floor("start" / 60)::BIGINT) OVER (PARTITION BY recording_id ORDER BY seg_idx) AS before FROM seg)
 SELECT recording_id, seg_idx, concat_ws(chr(10), CASE WHEN before IS NULL OR before <> minute THEN '[' || CASE WHEN minute < 100 THEN lpad(minute::VARCHAR, 2, '0') ELSE minute::VARCHAR END || ':00]' END,
-  CASE WHEN trim(text) <> '' THEN '[' || coalesce({_PUBLIC}, 'SPEAKER') || '] ' || trim(text) END) AS lines FROM m""")
+  CASE WHEN {_strip('text')} <> '' THEN '[' || coalesce({_PUBLIC}, 'SPEAKER') || '] ' || {_strip('text')} END) AS lines FROM m""")
 def minute_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writers.text_lines(timeline(spark, sf_dir), F.lit(False), "recording_id", "seg_idx")
 
 
 @query(f"""WITH {_SEG}, m AS (SELECT *, floor("start" / 60)::BIGINT AS minute, lag(floor("start" / 60)::BIGINT) OVER (PARTITION BY recording_id ORDER BY seg_idx) AS before FROM seg),
 l AS (SELECT recording_id, seg_idx, concat_ws(chr(10), CASE WHEN before IS NULL OR before <> minute THEN '[' || CASE WHEN minute < 100 THEN lpad(minute::VARCHAR, 2, '0') ELSE minute::VARCHAR END || ':00]' END,
-  CASE WHEN trim(text) <> '' THEN '[' || coalesce({_PUBLIC}, 'SPEAKER') || '] ' || trim(text) END) AS lines FROM m)
-SELECT recording_id, trim(string_agg(lines, chr(10) ORDER BY seg_idx) FILTER (lines <> '')) AS document FROM l GROUP BY recording_id""")
+  CASE WHEN {_strip('text')} <> '' THEN '[' || coalesce({_PUBLIC}, 'SPEAKER') || '] ' || {_strip('text')} END) AS lines FROM m)
+SELECT recording_id, {_strip("string_agg(lines, chr(10) ORDER BY seg_idx) FILTER (lines <> '')")} AS document FROM l GROUP BY recording_id""")
 def text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writers.text_documents(timeline(spark, sf_dir), F.lit(False), "recording_id", "seg_idx")
 
 
-@query(f"""WITH {_SEG} SELECT recording_id, seg_idx, {_PUBLIC} AS speaker, round("start", 6) AS "start", round("end", 6) AS "end", trim(text) AS text FROM seg""")
+@query(f"""WITH {_SEG} SELECT recording_id, seg_idx, {_PUBLIC} AS speaker, round("start", 6) AS "start", round("end", 6) AS "end", {_strip('text')} AS text FROM seg""")
 def jsonl_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The JSON lines read back, as number formats differ between engines."""
     lines = writers.jsonl_lines(timeline(spark, sf_dir), F.lit(False), "recording_id", "seg_idx")
@@ -259,11 +313,16 @@ def jsonl_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("recording_id", "seg_idx", back).select("recording_id", "seg_idx", "x.speaker", F.round("x.start", 6).alias("start"), F.round("x.end", 6).alias("end"), "x.text")
 
 
-@query(f"""WITH {_SEG} SELECT recording_id, trim(string_agg(text, '' ORDER BY seg_idx)) AS text, count(*)::BIGINT AS n FROM seg GROUP BY recording_id""")
+@query(f"""WITH {_SEG}, d AS (SELECT recording_id, {_strip("string_agg(text, '' ORDER BY seg_idx)")} AS document, count(*)::BIGINT AS n FROM seg GROUP BY recording_id)
+SELECT recording_id, md5(document) AS document_md5, n, row_number() OVER (PARTITION BY recording_id ORDER BY seg_idx) - 1 AS i, round("start", 6) AS "start", round("end", 6) AS "end", text, {_PUBLIC} AS speaker, 'turn ' || seg_idx AS note
+FROM seg JOIN d USING (recording_id)""")
 def json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = writers.json_documents(timeline(spark, sf_dir), F.lit(False), "recording_id", "seg_idx")
-    back = F.from_json("document", "text string, segments array<struct<start:double,end:double,text:string,speaker:string>>")
-    return found.select("recording_id", back.alias("x")).select("recording_id", "x.text", F.size("x.segments").cast("long").alias("n"))
+    """The documents read back, a row for each segment; a further column of the segments comes with them."""
+    rows = timeline(spark, sf_dir).withColumn("note", F.concat(F.lit("turn "), F.col("seg_idx").cast("string")))
+    found = writers.json_documents(rows, F.lit(False), "recording_id", "seg_idx")
+    back = F.from_json("document", "text string, segments array<struct<start:double,end:double,text:string,speaker:string,note:string>>")
+    each = found.select("recording_id", back.alias("x")).select("recording_id", F.md5("x.text").alias("document_md5"), F.size("x.segments").cast("long").alias("n"), F.posexplode("x.segments").alias("i", "s"))
+    return each.select("recording_id", "document_md5", "n", F.col("i").cast("long").alias("i"), F.round("s.start", 6).alias("start"), F.round("s.end", 6).alias("end"), "s.text", "s.speaker", "s.note")
 
 
 @query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN (user_id::VARCHAR) WHEN 1 THEN (user_id::VARCHAR) WHEN 2 THEN NULL WHEN 3 THEN NULL WHEN 4 THEN (user_id::VARCHAR) ELSE NULL END AS public,
@@ -280,11 +339,11 @@ def public_speaker(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_SEG}, f AS (SELECT *, max("end") OVER (PARTITION BY recording_id) AS finish FROM seg)
-SELECT recording_id, seg_idx, 'transcribing' AS phase, round("end" / finish * 100, 1) AS percent, {_PUBLIC} AS speaker, trim(text) AS text FROM f""")
+SELECT recording_id, seg_idx, 'transcribing' AS phase, round("end", 2) AS current, round(finish, 2) AS finish, 'seconds' AS units, round("end" / finish * 100, 1) AS percent, {_PUBLIC} AS speaker, {_strip('text')} AS text, round("start", 2) AS "start", round("end", 2) AS "end" FROM f""")
 def status_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = timeline(spark, sf_dir).withColumn("finish", F.max("end").over(Window.partitionBy("recording_id")))
     status = segments.status_payload(F.col("start"), F.col("end"), F.col("text"), F.col("speaker"), F.lit(False), F.col("finish"))
-    return rows.select("recording_id", "seg_idx", status.alias("x")).select("recording_id", "seg_idx", "x.phase", "x.progress.percent", "x.utterance.speaker", "x.utterance.text")
+    return rows.select("recording_id", "seg_idx", status.alias("x")).select("recording_id", "seg_idx", "x.phase", "x.progress.*", "x.utterance.*")
 
 
 # events ----------------------------------------------------------------------
@@ -339,12 +398,11 @@ def sse_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "event", readers.event_payload(F.col("data"), "k long").alias("x")).select("event_id", "event", F.col("x.payload.k").alias("k"), F.col("x.raw").alias("raw"))
 
 
-@query("""SELECT event_type AS route, count(*)::BIGINT AS n, sum((props::JSON ->> 'k')::BIGINT)::BIGINT AS k FROM events WHERE event_type IN ('click', 'view', 'error') GROUP BY event_type""")
+@query("""SELECT event_type AS route, count(*)::BIGINT AS n, sum((props::JSON ->> 'k')::BIGINT)::BIGINT AS k FROM events GROUP BY event_type""")
 def props_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("event"), F.get_json_object("props", "$.k").try_cast("long").alias("k"))
-    total = lambda part: part.groupBy(F.col("event").alias("route")).agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k"))
-    parts = list(readers.routed(rows, {kind: total for kind in ("click", "view", "error")}).values())
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """What each event type's handler would count; one pass, as all of them count the same."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("route"), F.get_json_object("props", "$.k").try_cast("long").alias("k"))
+    return rows.groupBy("route").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k"))
 
 
 @query("""SELECT DISTINCT user_id, event_type, round(value, 2) AS "start", round(value + 1, 2) AS "end" FROM events""")
@@ -432,16 +490,15 @@ def centroid_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding", (F.col("vec_id") % 4 + 1).cast("double").alias("seconds"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, profile = None, None
+        now, voice = None, None
         for frame in frames:
             for label, vector, seconds in zip(frame["label"].tolist(), frame["embedding"], frame["seconds"].tolist(), strict=True):
-                if profile is None or label != now:
-                    if profile is not None:
-                        yield done(now, profile)
-                    now, profile = label, speakers.Profile()
-                profile.add(speakers.direction(vector), seconds)
-        if profile is not None:
-            yield done(now, profile)
+                if voice is not None and label != now:
+                    yield done(now, voice)
+                    voice = None
+                now, voice = label, speakers.joined(voice, speakers.utterance(speakers.direction(vector), seconds))
+        if voice is not None:
+            yield done(now, voice)
 
     def done(label, p) -> pd.DataFrame:
         return pd.DataFrame([(label, p.seconds, p.count, round(p.centroid[0], 6), round(p.centroid[-1], 6))], columns=["label", "total_seconds", "embedding_count", "first", "last"])

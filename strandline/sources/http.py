@@ -12,10 +12,18 @@ from __future__ import annotations
 import json
 import urllib.error
 import urllib.request
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 
+#: States that end a job.
+ENDED = ("completed", "failed", "canceled")
+
+
 class Canceled(RuntimeError):
     """The service says that the job was canceled."""
 
@@ -54,6 +62,13 @@ class Client:
         found = self.call("GET", f"/api/jobs/{job_id}")
         return json.loads(found) if found else None
 
+    def ended(self, job_id: str) -> bool:
+        """Whether the service knows the job in a state that ends it."""
+        try:
+            return ((self.get(job_id) or {}).get("state") or "") in ENDED
+        except urllib.error.HTTPError:
+            return False
+
     def cancel(self, job_id: str) -> None:
         self.post(f"/api/jobs/{job_id}/cancel", {})
 
@@ -78,24 +93,25 @@ class Client:
 
 
 class JobsReader(SimpleDataSourceStreamReader):
+    """Claims jobs. Those of a batch are in its end offset, which Spark writes before they count, so a restart finds them."""
+
     def __init__(self, options: dict):
         self.client = Client(options["url"], options.get("key"))
         self.types = [t for t in options.get("types", "").split(",") if t] or None
-        self.most, self.wait = int(options.get("maxjobspertrigger", 100)), float(options.get("maxwaitseconds", 0))
-        self.seen: list[tuple] = []
+        self.most, self.wait = int(options.get("maxjobspertrigger", 100)), float(options.get("maxwaitseconds", 30))
 
     def initialOffset(self) -> dict:
-        return {"claimed": 0}
+        return {"claimed": 0, "jobs": []}
 
     def read(self, start: dict):
-        rows = []
-        while len(rows) < self.most and (job := self.client.claim(self.types, self.wait)):
+        rows: list[tuple] = []
+        # The service holds the first call until there is a job; the others take what there is.
+        while len(rows) < self.most and (job := self.client.claim(self.types, 0 if rows else self.wait)):
             rows.append((str(job.get("job_id") or job.get("id")), job.get("type"), json.dumps(job.get("metadata") or {})))
-        self.seen += rows
-        return iter(rows), {"claimed": start["claimed"] + len(rows)}
+        return iter(rows), {"claimed": start["claimed"] + len(rows), "jobs": [list(row) for row in rows]}
 
     def readBetweenOffsets(self, start: dict, end: dict):
-        return iter(self.seen[start["claimed"] : end["claimed"]])
+        return iter([tuple(row) for row in end["jobs"]])
 
 
 class Jobs(DataSource):
@@ -112,24 +128,74 @@ class Jobs(DataSource):
         return JobsReader({k.lower(): v for k, v in self.options.items()})
 
 
-def handled(client: Client, handler, content_type: str = "application/json"):
+def handled(client: Client, handler, content_type: str = "application/json", on_state=None):
     """A foreachBatch function that runs ``handler(job, payload) -> bytes`` for each job on the executors and reports its states.
 
-    A failing job is reported as failed and stops nothing; a canceled one is left.
+    A job is claimed, waits for its payload, runs, waits for its result's
+    channel and is completed; ``on_state(job_id, state)`` hears of each.  A
+    failing job is reported as failed and stops nothing; a canceled one is left.
+    A job that has ended already, as one whose task is tried again, is left too.
     """
 
     def one(row) -> None:
+        def reached(state: str, post: bool = True, **more) -> None:
+            if post:
+                client.status(row.job_id, state, more or None)
+            if on_state is not None:
+                on_state(row.job_id, state)
+
         try:
-            client.status(row.job_id, "running")
-            client.result(row.job_id, handler(row.asDict(), client.payload(row.job_id)), content_type)
-            client.status(row.job_id, "completed")
+            if client.ended(row.job_id):
+                return
+            reached("claimed")
+            reached("awaiting_payload", post=False)
+            payload = client.payload(row.job_id)
+            reached("running")
+            found = handler(row.asDict(), payload)
+            reached("awaiting_result", post=False)
+            client.result(row.job_id, found, content_type)
+            reached("completed")
         except Canceled:
             return
         except Exception as error:
             code = "http_error" if isinstance(error, urllib.error.URLError) else "handler_error"
-            client.status(row.job_id, "failed", {"error": {"code": code, "message": str(error) or type(error).__name__}})
+            try:
+                reached("failed", error={"code": code, "message": str(error) or type(error).__name__})
+            except (Canceled, urllib.error.URLError, ConnectionError, TimeoutError):
+                return  # the service can't be told; its claim runs out
 
     def each(frame, _batch: int) -> None:
         frame.foreach(one)
 
     return each
+
+
+DOWNLOADED = "reference string, content binary, error string"
+
+
+def downloaded(references: DataFrame, client: Client, column: str = "reference") -> DataFrame:
+    """DOWNLOADED: what each reference (a URL, a path or a transfer's id) holds; one that fails has an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for reference in batch.column(0).to_pylist():  # a row at a time: contents can be large
+                try:
+                    row = (reference, client.call("GET", reference) or b"", None)
+                except Exception as error:  # one transfer's failure is its own
+                    row = (reference, None, str(error) or type(error).__name__)
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.string(), pa.binary(), pa.string()), strict=True)], names=["reference", "content", "error"])
+
+    return references.select(F.col(column).cast("string").alias("reference")).mapInArrow(run, DOWNLOADED)
+
+
+def uploaded(client: Client, content_type: str = "application/octet-stream"):
+    """A foreachBatch function that posts ``content`` to ``reference``, or to a new channel where that is null, a row at a time on the executors."""
+
+    def one(row) -> None:
+        reference = row.reference or (client.channel() or {})["channel_id"]
+        client.call("POST", reference, bytes(row.content or b""), content_type)
+
+    def each(frame, _batch: int) -> None:
+        frame.select("reference", "content").foreach(one)
+
+    return each

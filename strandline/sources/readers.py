@@ -85,6 +85,7 @@ def _wav(content: bytes, rate: int) -> tuple[np.ndarray | None, str | None]:
         return None, f"not a readable WAV file: {error}"
     if source <= 0:
         return None, "no valid sample rate"
+    frames = frames[: len(frames) // width * width]  # a cut file may end within a sample
     if width == 3:
         raw = np.frombuffer(frames, np.uint8).reshape(-1, 3).astype(np.int32)
         values = ((raw[:, 0] | raw[:, 1] << 8 | raw[:, 2] << 16) << 8 >> 8) / float(1 << 23)
@@ -98,13 +99,20 @@ def _wav(content: bytes, rate: int) -> tuple[np.ndarray | None, str | None]:
     return resampled(mono, source, rate), None
 
 
+def _decoded(content, rate: int) -> tuple[np.ndarray | None, str | None]:
+    try:
+        return _wav(bytes(content) if content is not None else b"", rate)
+    except Exception as error:  # one file's fault is its own
+        return None, f"not a readable WAV file: {error}"
+
+
 def audio(files: DataFrame, rate: int = 16_000) -> DataFrame:
     """AUDIO of (path, content) rows: WAV files as one channel at ``rate``. What can't be read has an error; it never fails the query."""
     ship(files.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found = [_wav(bytes(c) if c is not None else b"", rate) for c in frame["content"]]
+            found = [_decoded(c, rate) for c in frame["content"]]
             yield pd.DataFrame({"path": frame["path"], "samples": [s for s, _ in found], "sample_rate": rate, "error": [e for _, e in found]})
 
     return files.select("path", "content").mapInPandas(run, AUDIO)
@@ -127,6 +135,23 @@ def recognised(recordings: DataFrame, recognise: Callable[[np.ndarray, int], lis
     return recordings.select(key, "samples", "sample_rate").mapInPandas(run, f"{key} string, seg_idx long, start double, end double, text string, speaker string, error string")
 
 
+def diarised(recordings: DataFrame, diarise: Callable[[np.ndarray, int], list[dict]], key: str = "path") -> DataFrame:
+    """Turns (key, turn_idx, start, end, speaker) from a model outside the engine, in its order; a failure gives a row with ``error``."""
+    ship(recordings.sparkSession)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for name, samples, rate in zip(frame[key], frame["samples"], frame["sample_rate"], strict=True):
+                try:
+                    rows += [(name, i, float(t["start"]), float(t["end"]), str(t["speaker"]), None) for i, t in enumerate(diarise(np.asarray(samples, np.float32), int(rate)))]
+                except Exception as error:
+                    rows.append((name, None, None, None, None, str(error) or type(error).__name__))
+            yield pd.DataFrame(rows, columns=[key, "turn_idx", "start", "end", "speaker", "error"]).astype({"turn_idx": "Int64"})
+
+    return recordings.select(key, "samples", "sample_rate").mapInPandas(run, f"{key} string, turn_idx long, start double, end double, speaker string, error string")
+
+
 def settings(path: str) -> dict:
     """A mapping from a JSON or YAML file; empty if the file is absent, an error if it holds something else."""
     file = Path(path)

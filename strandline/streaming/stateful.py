@@ -20,6 +20,7 @@ from ..operators.speakers import ASSIGNED, Settings, Speakers, direction, speake
 from ..shipping import ship
 
 SEGMENT = "struct<start:double,end:double,text:string,speaker:string>"
+_EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 CHUNK = f"recording_id string, chunk_index int, chunk_start double, chunk_end double, is_last boolean, segments array<{SEGMENT}>"
 
 
@@ -34,16 +35,20 @@ def throttled(events: DataFrame, job: str, order: str, progress: str, seconds: s
     def run(key, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         last, when, done = held.get if held.exists else (None, None, False)
         throttle = Throttle(min_progress, min_seconds)
-        throttle.last = None if last is None else (last, when)
-        frame = pd.concat(list(frames), ignore_index=True).sort_values(order, kind="stable")
+        throttle.last = None if last is None or last != last else (last, when)
+        frame = pd.concat(list(frames), ignore_index=True).sort_values("order", kind="stable")
         keep = []
-        for p, t, s in zip(frame[progress].tolist(), frame[seconds].tolist(), frame[state].tolist() if state else [None] * len(frame), strict=True):
-            keep.append(not done and (s in ENDED or throttle.passes(p, t)))
+        for p, t, s in zip(frame["progress"].tolist(), frame["seconds"].tolist(), frame["state"].tolist(), strict=True):
+            keep.append(not done and (s in ENDED or throttle.passes(p, 0.0 if t is None or t != t else t)))
             done = done or s in ENDED
         held.update((*(throttle.last or (None, None)), done))
-        yield frame[keep]
+        yield frame.loc[keep, ["row"]]
 
-    return events.groupBy(job).applyInPandasWithState(run, events.schema, "last double, at double, done boolean", "append", GroupStateTimeout.NoTimeout)
+    # Whole rows pass as JSON: frames would make numbers of a column with nulls inexact.
+    row = F.to_json(F.struct(*events.columns), _EXACT).alias("row")
+    rows = events.select(F.col(job).alias("job"), F.col(order).alias("order"), F.col(progress).cast("double").alias("progress"), F.col(seconds).cast("double").alias("seconds"), (F.col(state) if state else F.lit(None)).cast("string").alias("state"), row)
+    kept = rows.groupBy("job").applyInPandasWithState(run, "row string", "last double, at double, done boolean", "append", GroupStateTimeout.NoTimeout)
+    return kept.select(F.from_json("row", events.schema, _EXACT).alias("r")).select("r.*")
 
 
 def chained(chunks: DataFrame) -> DataFrame:
@@ -98,6 +103,7 @@ def speakers(segments: DataFrame, settings: Settings = Settings()) -> DataFrame:
     labels.
     """
     ship(segments.sparkSession)
+    assigned = ASSIGNED.format(kind=dict(segments.dtypes)["recording_id"])
 
     def run(key, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         known = pickle.loads(held.get[0]) if held.exists else Speakers(settings)
@@ -113,28 +119,30 @@ def speakers(segments: DataFrame, settings: Settings = Settings()) -> DataFrame:
         held.update((pickle.dumps(known),))
         yield pd.DataFrame(rows, columns=["recording_id", "seq", "chunk_index", "local_speaker", "emitted_speaker", "speaker"])
 
-    return segments.groupBy("recording_id").applyInPandasWithState(run, ASSIGNED, "profiles binary", "append", GroupStateTimeout.NoTimeout)
+    return segments.groupBy("recording_id").applyInPandasWithState(run, assigned, "profiles binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def heartbeats(events: DataFrame, job: str, state: str, seconds: float) -> DataFrame:
-    """(job, n): a row for each time that a job, begun and not ended, had no event for so long.
+    """(job, n, state): a row every so many seconds from a job's first event until one ends it, whatever else comes in between.
 
-    Without progress of their own, such rows always pass a throttle.
+    ``state`` is the last one known.  Without progress of their own, such rows
+    always pass a throttle.
     """
     ship(events.sparkSession)
-    kind = dict(events.dtypes)[job]
+    kind, step = dict(events.dtypes)[job], int(seconds * 1000)
 
     def run(key, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        n, done = held.get if held.exists else (0, False)
-        if held.hasTimedOut:
-            n += 1
-            held.update((n, done))
-            held.setTimeoutDuration(int(seconds * 1000))
-            yield pd.DataFrame({job: [key[0]], "n": [n]})
-            return
-        done = done or any(frame[state].isin(ENDED).any() for frame in list(frames))
-        held.update((n, done))
+        now = held.getCurrentProcessingTimeMs()
+        n, due, last, done = held.get if held.exists else (0, now + step, None, False)
+        if not held.hasTimedOut:
+            seen = [s for frame in list(frames) for s in frame[state].tolist()]
+            done = done or any(s in ENDED for s in seen)
+            last = next((s for s in reversed(seen) if isinstance(s, str)), last)
+        late = [] if done else list(range(due, now + 1, step))
+        beats = len(late)
+        held.update((n + beats, due + beats * step, last, done))
         if not done:
-            held.setTimeoutDuration(int(seconds * 1000))
+            held.setTimeoutDuration(max(1, due + beats * step - now))
+        yield pd.DataFrame({job: [key[0]] * beats, "n": list(range(n + 1, n + beats + 1)), "state": [last] * beats})
 
-    return events.groupBy(job).applyInPandasWithState(run, f"`{job}` {kind}, n long", "n long, done boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy(job).applyInPandasWithState(run, f"`{job}` {kind}, n long, state string", "n long, due long, last string, done boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)

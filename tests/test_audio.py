@@ -32,6 +32,15 @@ def test_mono_of_what_fits_no_layout(spark):
     assert one(spark, "f array<array<float>>", ([[]],), audio.mono(F.col("f"), F.lit(2), F.lit(None).cast("boolean")))[0] is None
 
 
+def test_frames_and_buffers(spark):
+    frames = one(spark, "f array<array<float>>, n array<array<float>>", ([[1.0, 2.0], None, [], [3.0]], [None, []]), audio.joined_frames(F.col("f")), audio.joined_frames(F.col("n")))
+    assert frames[0] == [1.0, 2.0, 3.0] and frames[1] is None
+    rows = [([1.0], 8_000), ([1.0], None), ([], 8_000), (None, 8_000), ([float("nan")], 8_000), ([1.0], 0)]
+    got = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, x array<float>, r int").orderBy("i").select(audio.buffer(F.col("x"), F.col("r")).alias("b")).collect()
+    assert [r.b.error for r in got] == [None, "no valid sample rate", "no samples", "no samples", "no sample is finite", "no valid sample rate"]
+    assert (got[0].b.samples, got[0].b.sample_rate) == ([1.0], 8_000) and got[4].b.samples is None
+
+
 def wav(values, rate, channels=1):
     out = io.BytesIO()
     with wave.open(out, "wb") as file:
@@ -54,9 +63,11 @@ def test_audio_source(spark, tmp_path):
     stereo = np.stack([np.full(800, 0.5), np.full(800, -0.25)], axis=1).reshape(-1)
     (tmp_path / "a.wav").write_bytes(wav(stereo, 8_000, 2))
     (tmp_path / "c.wav").write_bytes(b"no audio")
+    (tmp_path / "d.wav").write_bytes(wav(stereo, 8_000, 2)[:-1])
     files = readers.payloads(spark, str(tmp_path), "*.wav").select("path", "content").unionByName(spark.createDataFrame([("b.wav", bytearray())], "path string, content binary"))
     rows = {r.path[-5:]: r for r in readers.audio(files, 8_000).collect()}
     assert rows["a.wav"].samples == pytest.approx([0.125] * 800, abs=1e-4) and rows["a.wav"].error is None
+    assert rows["d.wav"].samples == pytest.approx([0.125] * 799, abs=1e-4) and rows["d.wav"].error is None
     assert rows["b.wav"].samples is None and "empty" in rows["b.wav"].error and rows["c.wav"].error
 
 
@@ -70,5 +81,8 @@ def test_models_behind_columns(spark):
             raise RuntimeError
         return [{"start": 0.0, "end": len(x) / rate, "text": "hm"}]
 
+    data = spark.createDataFrame([("a", [1.0, 1.0], 2), ("b", [-1.0], 2)], "path string, samples array<float>, sample_rate int")
+    turns = readers.diarised(data, lambda x, rate: [{"start": 0, "end": len(x) / rate, "speaker": 3}, {"start": 1, "end": 2, "speaker": "b"}][: 2 if x[0] > 0 else 1 / 0]).orderBy("path", "turn_idx").collect()
+    assert [(t.path, t.turn_idx, t.start, t.end, t.speaker) for t in turns[:2]] == [("a", 0, 0.0, 1.0, "3"), ("a", 1, 1.0, 2.0, "b")] and turns[2].error == "division by zero"
     found = readers.recognised(spark.createDataFrame([("a", [1.0, 1.0], 2), ("b", [-1.0], 2)], "path string, samples array<float>, sample_rate int"), recognise).orderBy("path").collect()
     assert (found[0].text, found[0].end, found[0].error) == ("hm", 1.0, None) and found[1].error == "RuntimeError"

@@ -16,22 +16,22 @@ def emitted(spark, rows, overlap, **more):
     return [(r.chunk_index, r.reason, r.seg.text) for r in found]
 
 
-OPENING, TAIL, BODY = seg(0, 20, "Opening section."), seg(70, 110, "Tail overlap from previous chunk."), seg(130, 150, "Chunk two body.")
+FIRST, HELD, LATER = seg(4, 33, "We cast off at six"), seg(81, 117, "The wind turns to the west"), seg(141, 163, "Land on the starboard side")
 
 
 def test_delayed_overlap(spark):
-    again = seg(60, 90, "Tail overlap from previous chunk.")
-    got = emitted(spark, [("r", 1, 0.0, 120.0, False, [OPENING, TAIL]), ("r", 2, 60.0, 180.0, True, [again, BODY])], 60.0)
-    assert [(k, t) for k, _, t in got] == [(1, OPENING["text"]), (2, TAIL["text"]), (2, BODY["text"])]
+    again = seg(78, 115, "The wind turns to the west")
+    got = emitted(spark, [("r", 1, 0.0, 120.0, False, [FIRST, HELD]), ("r", 2, 60.0, 180.0, True, [again, LATER])], 60.0)
+    assert [(k, t) for k, _, t in got] == [(1, FIRST["text"]), (2, HELD["text"]), (2, LATER["text"])]
 
 
 def test_without_overlap_last_and_finalize(spark):
-    assert [t for _, _, t in emitted(spark, [("r", 1, 0.0, 120.0, False, [OPENING, TAIL])], 0.0)] == [OPENING["text"], TAIL["text"]]
-    a, b, c = seg(0, 10, "A"), seg(60, 90, "B"), seg(130, 150, "C")
-    assert [t for _, _, t in emitted(spark, [("r", 1, 0.0, 120.0, False, [a]), ("r", 2, 60.0, 180.0, True, [b, c])], 60.0)] == ["A", "B", "C"]
-    four = [seg(i * 300, i * 300 + 200, f"part {i}") for i in range(3)] + [seg(1128.78, 1200, "tail")]
-    got = emitted(spark, [("r", 1, 0.0, 1200.0, False, four)], 60.0)
-    assert [(r, t) for _, r, t in got] == [("initial-non-overlap", f"part {i}") for i in range(3)] + [("finalize-tail", "tail")]
+    assert [t for _, _, t in emitted(spark, [("r", 1, 0.0, 120.0, False, [FIRST, HELD])], 0.0)] == [FIRST["text"], HELD["text"]]
+    x, y, z = seg(7, 21, "bow"), seg(64, 80, "mast"), seg(122, 139, "stern")
+    assert [t for _, _, t in emitted(spark, [("r", 1, 0.0, 120.0, False, [x]), ("r", 2, 60.0, 180.0, True, [y, z])], 60.0)] == ["bow", "mast", "stern"]
+    bells = [seg(i * 110, i * 110 + 70, f"bell {i}") for i in range(5)] + [seg(561.5, 600, "the last bell")]
+    got = emitted(spark, [("r", 1, 0.0, 600.0, False, bells)], 40.0)
+    assert [(r, t) for _, r, t in got] == [("initial-non-overlap", f"bell {i}") for i in range(5)] + [("finalize-tail", "the last bell")]
 
 
 def test_long_segment_comes_twice_unless_asked_otherwise(spark):

@@ -1,4 +1,3 @@
-import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import segments, settings
@@ -9,6 +8,9 @@ def test_canonical_ids_and_order(spark):
     merges = spark.createDataFrame([("SPEAKER_03", "SPEAKER_02"), ("SPEAKER_02", "SPEAKER_01"), ("SPEAKER_01", "SPEAKER_00"), ("x", "x"), ("SPEAKER_09", "SPEAKER_07")], "loser string, winner string")
     got = {r.loser: r.canonical for r in nearest.canonical_ids(merges).collect()}
     assert got == {"SPEAKER_03": "SPEAKER_00", "SPEAKER_02": "SPEAKER_00", "SPEAKER_01": "SPEAKER_00", "SPEAKER_09": "SPEAKER_07"}
+    circle = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("e", "f")] + [(f"n{k}", f"n{k + 1}") for k in range(40)], "loser string, winner string")
+    got = {r.loser: r.canonical for r in nearest.canonical_ids(circle).collect()}
+    assert got == {**dict.fromkeys("abcd"), "e": "f", **{f"n{k}": "n40" for k in range(40)}}
     names = spark.createDataFrame([("SPEAKER_10",), ("SPEAKER_9",), ("guest",)], "s string").orderBy(nearest.id_order(F.col("s"))).collect()
     assert [r.s for r in names] == ["SPEAKER_9", "SPEAKER_10", "guest"]
 
@@ -21,8 +23,9 @@ def test_nearest_and_candidates(spark):
     known = profiles.where("recording_id = 1").select(F.col("speaker_id").alias("name"), "centroid")
     best = [r.best for r in nearest.ranked_centroids(rows, "v", known, "name").collect()]
     assert [x.group for x in best[0]][:2] == ["d", "a"] and best[1] == []
-    with pytest.raises(ValueError):
-        nearest.ranked_centroids(rows, "v", known, "name", most=2)
+    for top in (1, 2, 3):
+        one, many = ([[(x.group, x.far) for x in r.best] for r in nearest.ranked_centroids(rows, "v", known, "name", top, most).orderBy("v").collect()] for most in (10_000, 2))
+        assert one == many and [len(b) for b in one] == [0, top]
 
 
 def test_bounds_summary_and_overrides(spark):

@@ -3,7 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.functions import settings
+from strandline.functions import segments as labels
+from strandline.functions import settings, text
 from strandline.sources import readers, writers
 
 SEG = "recording_id string, seg_idx long, start double, end double, text string, speaker string, annotated boolean"
@@ -20,12 +21,35 @@ def test_json_lines(spark):
 
 
 def test_documents(spark):
-    text = writers.text_documents(segments(spark), F.col("annotated"), "recording_id", "seg_idx").first().document
-    assert text == "[00:00]\n[2] Hello\n[01:00]\n[SPEAKER] é\n[02:00]\n[3] End"
+    whole = writers.text_documents(segments(spark), F.col("annotated"), "recording_id", "seg_idx").first().document
+    assert whole == "[00:00]\n[2] Hello\n[01:00]\n[SPEAKER] é\n[02:00]\n[3] End"
     found = json.loads(writers.json_documents(segments(spark), F.col("annotated"), "recording_id", "seg_idx").first().document)
     assert len(found["segments"]) == 4 and found["text"].startswith("Hello") and "é" in found["text"]
 
 
+def test_white_space_of_any_kind_is_stripped(spark):
+    odd = " \t\n\x0b\x1c\x1f\x85\xa0\u2003\u3000"
+    rows = [("r", 0, 0.0, 1.0, f"{odd}hi\n", "SPEAKER_1\t", False, 7), ("r", 1, 2.0, 3.0, "\n", "\tnoise\n", False, 8), ("r", 2, 61.0, 62.0, odd, None, False, 9)]
+    data = spark.createDataFrame(rows, SEG + ", note int")
+    lines = [json.loads(r.line) for r in writers.jsonl_lines(data, F.lit(False), "seg_idx").orderBy("seg_idx").collect()]
+    assert [(x["text"], x["speaker"]) for x in lines] == [("hi", "1"), ("", None), ("", None)]
+    assert writers.text_documents(data, F.lit(False), "recording_id", "seg_idx").first().document == "[00:00]\n[1] hi\n[01:00]"
+    found = json.loads(writers.json_documents(data, F.lit(False), "recording_id", "seg_idx").first().document)
+    assert found["text"] == "hi" and [s["note"] for s in found["segments"]] == [7, 8, 9] and [s["text"] for s in found["segments"]] == [r[4] for r in rows]
+    assert set(found["segments"][0]) == {"start", "end", "text", "speaker", "note", "annotated"}
+    got = data.select(text.plain_text(F.array("text")).alias("p"), labels.local_label(F.col("speaker")).alias("l"), labels.public_speaker(F.col("speaker")).alias("n")).collect()
+    assert [tuple(r) for r in got] == [("hi", "SPEAKER_1", "1"), ("", None, None), ("", None, None)]
+    samples = [odd, f"a{odd}b", f"{odd}a b{odd}", "", "\u200bx\u200b"]
+    got = spark.createDataFrame([(i, s) for i, s in enumerate(samples)], "i int, s string").orderBy("i").select(text.stripped(F.col("s"))).collect()
+    assert [r[0] for r in got] == [s.strip() for s in samples]
+
+
+def test_names_of_members_and_languages(spark):
+    row = spark.createDataFrame([(" Greedy\n", "none of them", "en", '["de", " fr ", ""]', " ", "[]", '"it"')], "a string, b string, c string, d string, e string, f string, g string")
+    got = row.select(settings.as_member(F.col("a"), ("GREEDY", "BEAM")), settings.as_member(F.col("b"), ("GREEDY",)), *(settings.as_names(F.col(c)) for c in "cdefg")).first()
+    assert tuple(got) == ("GREEDY", None, ["en"], ["de", "fr"], None, None, ["it"])
+
+
 def test_write_lines(spark, tmp_path):
     writers.write_lines(writers.jsonl_lines(segments(spark), F.lit(False)), str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).count() == 4

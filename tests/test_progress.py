@@ -3,7 +3,8 @@ import os
 
 from pyspark.sql import functions as F
 
-from strandline.operators import interval, progress
+from strandline.functions import segments
+from strandline.operators import interval, matching, progress
 from strandline.streaming import stateful
 
 EVENT = "job string, n long, progress double, at double, state string"
@@ -18,6 +19,18 @@ def test_throttle(spark):
     assert sorted((r.job, r.n) for r in got) == [("a", 0), ("a", 2), ("a", 4), ("a", 5), ("a", 7), ("b", 0), ("b", 1)]
 
 
+def test_throttle_keeps_ids_and_rows_without_a_job(spark):
+    big = 9_007_199_254_740_993
+    data = spark.createDataFrame([(None, 0, 1.0, 0.0, big), (None, 1, 1.1, 0.1, None), (None, 2, 1.2, 0.2, 5), (1, 0, 1.0, None, big + 2), (1, 1, None, None, None)], "job long, n long, progress double, at double, id long")
+    got = progress.throttled(data, "job", ["n"], "progress", "at").collect()
+    assert sorted((r.job or 0, r.n, r.id or 0) for r in got) == [(0, 0, big), (1, 0, big + 2), (1, 1, 0)]
+
+
+def test_nothing_is_reported_after_the_end(spark):
+    got = progress.reported(spark.createDataFrame(rows(), EVENT), "job", ["n"], "progress", "at", F.col("state") == "completed").collect()
+    assert sorted((r.job, r.n) for r in got) == [("a", 0), ("a", 2), ("a", 4), ("a", 5), ("a", 6), ("b", 0), ("b", 1)]
+
+
 def test_throttle_stream_with_tombstone(spark, tmp_path):
     for k in range(2):
         path = tmp_path / f"in/{k}.json"
@@ -53,6 +66,23 @@ def test_interval_join(spark):
         assert got == {("r", 0): "first", ("r", 1): "most", ("r", 2): "most", ("s", 0): None}
 
 
+def test_times_that_are_null_endless_or_very_long(spark):
+    inf, nan = float("inf"), float("nan")
+    segs = spark.createDataFrame([("r", 0, None, 5.0), ("r", 1, 0.0, inf), ("r", 2, nan, 3.0), ("r", 3, 10.0, 1e12), ("r", 4, 1e9, 1e9 + 1), ("r", 5, 7.0, None)], "recording_id string, seg_idx long, start double, end double")
+    turns = spark.createDataFrame([("r", 0, 0.0, 4.0, "a"), ("r", 1, 100.0, 200.0, "b"), ("r", 2, 5e8, 2e9, "long"), ("r", 3, 0.0, inf, "endless"), ("r", 4, None, 1.0, "early")], "recording_id string, turn_idx long, start double, end double, speaker string")
+    got = {r.seg_idx: r.speaker for r in interval.named_by_overlap(segs, turns).collect()}
+    assert got == {0: "a", 1: None, 2: None, 3: "long", 4: "long", 5: None}
+    ratio = segs.where("seg_idx IN (0, 5)").orderBy("seg_idx").select(segments.overlap_ratio(F.col("start"), F.col("end"), F.lit(0.0), F.lit(None).cast("double"))).collect()
+    assert [r[0] for r in ratio] == [0.0, 0.0]
+
+
+def test_unmatched(spark):
+    row = "recording_id string, seg_idx long, start double, end double, text string, speaker string"
+    before = spark.createDataFrame([("r", 0, 0.0, 10.0, "The harbour opens at nine.", "SPEAKER_00"), ("r", 1, 10.0, 20.0, "Boats leave soon after.", None), ("s", 0, 0.0, 1e6, "A long one", None)], row)
+    now = spark.createDataFrame([("r", 0, 0.2, 10.1, "the harbour opens at nine", "SPEAKER_00"), ("r", 1, 0.2, 10.1, "the harbour opens at nine", "SPEAKER_01"), ("r", 2, 10.0, 20.0, "Nobody came.", None), ("r", 3, 500.0, 501.0, "Boats leave soon after.", None), ("s", 0, 0.0, 1e6, "a long one", None), ("s", 1, None, None, None, None)], row)
+    assert sorted((r.recording_id, r.seg_idx) for r in matching.unmatched(now, before).collect()) == [("r", 1), ("r", 2), ("r", 3), ("s", 1)]
+
+
 def test_words(spark):
     data = spark.createDataFrame([("r", 0, 0.0, 1.0, " one two  three "), ("r", 1, 1.0, 1.0, "x"), ("r", 2, 2.0, 3.0, "  ")], "recording_id string, seg_idx long, start double, end double, text string")
     got = [(r.seg_idx, r.word, r.start_ts, r.end_ts) for r in interval.words(data).orderBy("seg_idx", "word_idx").collect()]

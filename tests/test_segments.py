@@ -23,16 +23,16 @@ def texts(row):
     return [s["text"] for s in row]
 
 
-TWO = [seg(1140, 1145, "Alice introduces the quarterly numbers."), seg(1145, 1152, "Bob asks about revenue guidance.")]
-TWO_AGAIN = [seg(1140.3, 1145.4, "Alice introduces quarterly numbers."), seg(1145.2, 1152.3, "Bob asks about the revenue guidance.")]
+FERRY = [seg(50, 58, "The ferry to the island leaves from pier four."), seg(58, 63, "Is there a later one on Sundays?")]
+FERRY_AGAIN = [seg(50.4, 58.1, "Ferry to the island leaves from the pier four."), seg(58.3, 63.2, "Is there later one on Sundays")]
 
 
 def test_similarity(spark):
-    pairs = [("Thank you for your attention. We wish you a pleasant flight.", "thank you for your attention we wish you a very pleasant flight"), ("", None), ("", "a"), ("é", "e"), ("A  B!", "a b"), ("x_1", "x 1")]
+    pairs = [("Mind the gap, please: doors close on the left!", "mind the gap please doors are closed on the left"), ("", None), ("", "a"), ("é", "e"), ("A  B!", "a b"), ("x_1", "x 1")]
     rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").orderBy("i")
     got = [r[0] for r in rows.select(text.similarity(F.col("a"), F.col("b"))).collect()]
     assert got == pytest.approx([brute.similarity(a, b) for a, b in pairs])
-    assert got[0] == pytest.approx(0.92063, abs=1e-5)
+    assert 0.8 < got[0] < 0.95
 
 
 def test_normalized_unicode(spark):
@@ -42,14 +42,14 @@ def test_normalized_unicode(spark):
 
 
 def test_monotonic_pairs_and_scores(spark):
-    row = cases(spark, [(TWO, TWO_AGAIN, 0.0, 0.0)]).select(alignment.aligned(F.col("previous"), F.col("current")).alias("m")).first().m
+    row = cases(spark, [(FERRY, FERRY_AGAIN, 0.0, 0.0)]).select(alignment.aligned(F.col("previous"), F.col("current")).alias("m")).first().m
     assert [(m.prev_idx, m.curr_idx) for m in row] == [(0, 0), (1, 1)]
-    assert [m.score for m in row] == pytest.approx([0.9028, 0.9073], abs=1e-4)
+    assert [m.score for m in row] == pytest.approx([brute.score(a, b) for a, b in zip(FERRY, FERRY_AGAIN, strict=True)]) and min(m.score for m in row) > 0.8
 
 
 def test_speaker_conflict_and_unresolved_labels(spark):
-    conflict = ([seg(10, 11, "Yes.", "SPEAKER_00"), seg(11, 12, "Yes.", "SPEAKER_01")], [seg(10, 11, "Yes.", "SPEAKER_01"), seg(11, 12, "Yes.", "SPEAKER_00")], 0.0, 0.0)
-    free = ([seg(10, 12, "Moving on to the next item.", "chunk1:0")], [seg(10.04, 12, "Moving on to the next item.", "chunk2:7")], 0.0, 0.0)
+    conflict = ([seg(3, 5, "Go left", "SPEAKER_04"), seg(5, 7, "Go left", "SPEAKER_09")], [seg(3, 5, "Go left", "SPEAKER_09"), seg(5, 7, "Go left", "SPEAKER_04")], 0.0, 0.0)
+    free = ([seg(20, 26, "The kettle is on again", "chunk3:2")], [seg(20.5, 26, "The kettle is on again", "chunk4:0")], 0.0, 0.0)
     found = [r.m for r in cases(spark, [conflict, free]).select(alignment.aligned(F.col("previous"), F.col("current")).alias("m")).collect()]
     assert [(m.prev_idx, m.curr_idx) for m in found[0]] in ([(1, 0)], [(0, 1)])
     assert found[0][0].score == pytest.approx(0.85)
@@ -65,27 +65,27 @@ def test_empty_sides(spark):
 
 
 def test_merge_fixtures(spark):
-    answers = seg(1152, 1160, "Alice answers with a cautious outlook.")
-    same = (TWO + [seg(1100, 1110, "Earlier remark.")][:0], TWO_AGAIN + [answers], 1140.0, 1200.0)
-    cut = ([seg(1140, 1143, "Alice introduces the quar")], [seg(1140.2, 1145, "Alice introduces the quarterly numbers."), seg(1150, 1152, "Next.")], 1140.0, 1200.0)
-    okay = ([seg(1140, 1141, "Okay.", "SPEAKER_00"), seg(1142, 1143, "Okay.", "SPEAKER_01")], [seg(1140.1, 1141, "Okay.", "SPEAKER_00"), seg(1142.1, 1143, "Okay.", "SPEAKER_01"), seg(1146, 1147, "Moving on.", "SPEAKER_00")], 1140.0, 1145.0)
-    got = [r.m for r in cases(spark, [same, cut, okay]).select(alignment.merged(F.col("previous"), F.col("current"), F.col("a"), F.col("b")).alias("m")).collect()]
-    assert texts(got[0]) == [s["text"] for s in TWO] + [answers["text"]]
-    assert texts(got[1]) == ["Alice introduces the quarterly numbers.", "Next."]
-    assert [(s["text"], s["speaker"]) for s in got[2]] == [("Okay.", "SPEAKER_00"), ("Okay.", "SPEAKER_01"), ("Moving on.", "SPEAKER_00")]
+    tickets = seg(63.5, 70, "Only until the end of September.")
+    same = (FERRY, [*FERRY_AGAIN, tickets], 50.0, 110.0)
+    cut = ([seg(12, 15, "Please keep your tick")], [seg(12.3, 17, "Please keep your tickets ready."), seg(21, 22, "Thanks.")], 10.0, 40.0)
+    brief = ([seg(80, 82, "Right", "SPEAKER_05"), seg(83, 84, "Right", "SPEAKER_02")], [seg(80.2, 82, "Right", "SPEAKER_05"), seg(83.1, 84, "Right", "SPEAKER_02"), seg(91, 93, "Off we go", "SPEAKER_05")], 80.0, 88.0)
+    got = [r.m for r in cases(spark, [same, cut, brief]).select(alignment.merged(F.col("previous"), F.col("current"), F.col("a"), F.col("b")).alias("m")).collect()]
+    assert [x for x in got[0]][-1]["text"] == tickets["text"] and [[s.asDict() for s in m] for m in got] == [brute.merge(*x) for x in (same, cut, brief)]
+    assert texts(got[1]) == ["Please keep your tickets ready.", "Thanks."]
+    assert [(s["text"], s["speaker"]) for s in got[2]] == [("Right", "SPEAKER_05"), ("Right", "SPEAKER_02"), ("Off we go", "SPEAKER_05")]
 
 
 def test_midpoint_rule_and_unmatched(spark):
-    half = ([seg(1140, 1150, "First remark here."), seg(1170, 1180, "Second remark there.")], [seg(1140.2, 1150, "First remark here!"), seg(1170.2, 1180, "Second remark, there.")], 1140.0, 1200.0)
-    apart = ([seg(1172, 1178, "Late words from before.")], [seg(1142, 1144, "Entirely different speech.")], 1140.0, 1200.0)
+    half = ([seg(0, 4, "A gull on the roof"), seg(25, 31, "Rain before noon")], [seg(0.1, 4, "Gull on the roof"), seg(25.2, 31, "Rain, before the noon")], 0.0, 36.0)
+    apart = ([seg(30, 33, "Close the hatch")], [seg(5, 9, "Somebody whistles a tune")], 0.0, 36.0)
     got = [r.m for r in cases(spark, [half, apart]).select(alignment.resolved(F.col("previous"), F.col("current"), F.col("a"), F.col("b")).alias("m")).collect()]
-    assert [s["start"] for s in got[0]] == [1140.0, 1170.2]
-    assert texts(got[1]) == ["Entirely different speech.", "Late words from before."]
+    assert [s["start"] for s in got[0]] == [0.0, 25.2]
+    assert texts(got[1]) == ["Somebody whistles a tune", "Close the hatch"]
 
 
 def random_windows(seed, n):
     rng = random.Random(seed)
-    words = ["okay", "yes", "the quarterly numbers", "revenue", "guidance", "thanks a lot", ""]
+    words = ["aye", "go on", "two knots north", "harbour", "anchor", "well said all", ""]
 
     def some():
         at, out = 0.0, []

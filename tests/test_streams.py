@@ -6,8 +6,10 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from strandline.operators import speakers
-from strandline.sources import http
+from strandline.sources import events, http, readers
 from strandline.streaming import stateful
 
 from .test_speakers import ROW
@@ -43,11 +45,31 @@ def test_heartbeats_until_the_end(spark, tmp_path):
         until = time.time() + 60
         while time.time() < until and not spark.table("beats").count():
             time.sleep(0.5)
-        assert {r.job for r in spark.table("beats").collect()} == {"a"}
+        # Other events in between don't put a beat off.
+        for k in range(1, 9):
+            write(k, [{"job": "a", "state": f"running {k}"}])
+            time.sleep(0.4)
+        until = time.time() + 30
+        while time.time() < until and spark.table("beats").count() < 6:
+            time.sleep(0.5)
+        beats = spark.table("beats").orderBy("n").collect()
+        assert {r.job for r in beats} == {"a"} and [r.n for r in beats] == list(range(1, len(beats) + 1)) and len(beats) >= 6
+        assert beats[0].state == "running" and beats[-1].state.startswith("running ")
     finally:
         query.stop()
 
 
+def test_throttle_stream_keeps_whole_rows(spark, tmp_path):
+    import datetime as dt
+
+    big, when = 9_007_199_254_740_993, dt.datetime(2026, 1, 2, 3, 4, 5, 678901)
+    data = spark.createDataFrame([(1, 0, 1.0, 0.0, big, when), (1, 1, 1.1, 0.1, None, when), (None, 0, 2.0, 0.0, big + 2, None), (None, 1, 9.0, 0.1, None, when)], "job long, n long, progress double, at double, id long, ts timestamp")
+    data.write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(data.schema).parquet(str(tmp_path / "in"))
+    run(stateful.throttled(source, "job", "n", "progress", "at"), "whole", tmp_path).awaitTermination(120)
+    assert sorted((r.job or 0, r.n, r.id, r.ts) for r in spark.table("whole").collect()) == [(0, 0, big + 2, None), (0, 1, None, when), (1, 0, big, when)]
+
+
 class Service(BaseHTTPRequestHandler):
     jobs: list = []
     said: list = []
@@ -56,6 +78,15 @@ class Service(BaseHTTPRequestHandler):
         pass
 
     def do_GET(self):
+        part = self.path.split("/")
+        if part[-1] == "events":
+            after = int(self.headers.get("Last-Event-ID") or 0)
+            body = "".join(f"id: {k}\nevent: status\ndata: {{\"k\":\ndata: {k}}}\n\n" for k in range(after + 1, 6)) + ": a comment\n\ndata: never ended"
+            return self.answer(body.encode())
+        if part[2] == "jobs":
+            return self.answer(json.dumps({"job_id": part[3], "state": "completed" if part[3] == "4" else "claimed"}).encode())
+        if part[-1] == "gone":
+            return self.answer(b"", 404)
         self.answer(b"payload of " + self.path.rsplit("/", 1)[1].encode())
 
     def do_POST(self):
@@ -70,6 +101,8 @@ class Service(BaseHTTPRequestHandler):
             return self.answer(json.dumps(job).encode())
         if part[-1] == "status" and part[-2] == "3":
             return self.answer(b"", 409)
+        if part[-1] == "status" and part[-2] == "2" and b"failed" in body:
+            return self.answer(b"", 500)
         self.said.append((self.path, body.decode()))
         return self.answer(json.dumps({"url": part[-2], "reader_url": f"/api/transfer/{part[-2]}"}).encode())
 
@@ -82,7 +115,7 @@ class Service(BaseHTTPRequestHandler):
 
 @pytest.fixture
 def service():
-    Service.jobs, Service.said = [{"job_id": str(k), "type": "asr" if k else "other", "metadata": {"k": k}} for k in range(4)], []
+    Service.jobs, Service.said = [{"job_id": str(k), "type": "asr" if k else "other", "metadata": {"k": k}} for k in range(5)], []
     server = ThreadingHTTPServer(("127.0.0.1", 0), Service)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     yield f"http://127.0.0.1:{server.server_port}/"
@@ -101,12 +134,61 @@ def test_jobs_over_http(spark, service, tmp_path):
     query = jobs.writeStream.foreachBatch(http.handled(http.Client(service), work)).option("checkpointLocation", str(tmp_path / "state")).start()
     try:
         until = time.time() + 90
-        while time.time() < until and len([p for p, _ in Service.said if p.endswith("status")]) < 4:
+        while time.time() < until and len([p for p, _ in Service.said if p.endswith("status")]) < 5:
             time.sleep(0.3)
     finally:
         query.stop()
     states = [(p.split("/")[3], json.loads(b)) for p, b in Service.said if p.endswith("status")]
-    assert sorted((k, s["state"]) for k, s in states) == [("1", "completed"), ("1", "running"), ("2", "failed"), ("2", "running")]
-    assert next(s["error"] for k, s in states if s["state"] == "failed") == {"code": "handler_error", "message": "ValueError"}
+    # Job 2 fails and the service doesn't take that; 3 is canceled; 4 has ended before.
+    assert [(k, s["state"]) for k, s in sorted(states, key=lambda x: x[0])] == [("1", "claimed"), ("1", "running"), ("1", "completed"), ("2", "claimed"), ("2", "running")]
     assert ("/api/transfer/1", "PAYLOAD OF 1") in Service.said
     assert [j["job_id"] for j in Service.jobs] == ["0"]
+
+
+def test_a_failing_job_says_so(service):
+    heard = []
+    row = type("Row", (), {"job_id": "1", "asDict": lambda self: {"job_id": "2"}})()
+    frame = type("Frame", (), {"foreach": lambda self, f: f(row)})()
+    http.handled(http.Client(service), work, on_state=lambda *x: heard.append(x))(frame, 0)
+    assert [s for _, s in heard] == ["claimed", "awaiting_payload", "running", "failed"]
+    assert json.loads(Service.said[-1][1])["error"] == {"code": "handler_error", "message": "ValueError"}
+
+
+def test_claims_are_in_the_offset(service):
+    reader = http.JobsReader({"url": service, "types": "asr", "maxwaitseconds": "0", "maxjobspertrigger": "2"})
+    rows, end = reader.read(reader.initialOffset())
+    rows = list(rows)
+    again = http.JobsReader({"url": service})  # after a restart only the written offset is left
+    assert [r[0] for r in rows] == ["1", "2"] and list(again.readBetweenOffsets({"claimed": 0}, json.loads(json.dumps(end)))) == rows
+    assert [r[0] for r in reader.read(end)[0]] == ["3", "4"]
+
+
+def test_events_over_http(spark, service, tmp_path):
+    spark.dataSource.register(events.Events)
+    source = spark.readStream.format("strandline_events").option("url", f"{service}api/jobs/1/events").option("maxEventsPerTrigger", 2).option("maxWaitSeconds", 2).load()
+    query = run(source, "events", tmp_path, processingTime="1 second")
+    try:
+        until = time.time() + 60
+        while time.time() < until and spark.table("events").count() < 5:
+            time.sleep(0.3)
+    finally:
+        query.stop()
+    rows = spark.table("events").orderBy("seq").collect()
+    assert [(r.seq, r.id, r.event) for r in rows] == [(k, str(k + 1), "status") for k in range(5)]
+    parsed = spark.table("events").select("seq", readers.event_payload(F.col("data"), "k int").alias("x")).orderBy("seq").collect()
+    assert [r.x.payload.k for r in parsed] == [1, 2, 3, 4, 5]
+
+
+def test_event_blocks():
+    lines = [b": hello\n", b"data: a\r\n", b"data:b\r\n", b"\r\n", b"\n", b"event: x\n", b"\n", b"id: 7\n", b"event: y\n", b"data\n", b"\n", b"data: lost\n"]
+    assert list(events.event_blocks(lines)) == [(None, "message", "a\nb"), ("7", "y", "")]
+
+
+def test_transfers(spark, service):
+    client = http.Client(service)
+    references = spark.createDataFrame([("abc",), ("/api/transfer/def",), ("gone",)], "reference string")
+    got = {r.reference: r for r in http.downloaded(references, client).collect()}
+    assert bytes(got["abc"].content) == b"payload of abc" and bytes(got["/api/transfer/def"].content) == b"payload of def"
+    assert got["gone"].content is None and "404" in got["gone"].error
+    http.uploaded(client)(spark.createDataFrame([("xyz", bytearray(b"content"))], "reference string, content binary"), 0)
+    assert ("/api/transfer/xyz", "content") in Service.said
