@@ -13,12 +13,16 @@ follows the edges within ``TREE_RADIUS``; what it proposes must be within
 the whole texts.  So no unlike texts are joined, and the part of
 like ones that is missed is measured in the tests and in the README.
 
-Candidates are taken in two rounds: first neighbours in the order of each
-shard's fingerprints, then all pairs within the radius that the components of
-the first don't join already.  In a large group of near copies only those
-outside its main component search, so it costs little more than its members.
-Equal sets are one class from the start.  A shard beyond ``SLICE_ROWS`` is cut
-into slices with a tree each, and its queries go to all slices.
+Candidates are taken in two rounds.  In the first a member proposes all it
+finds if these are ``FEW``; in a crowd, only the one of its finds that has most
+finds itself, which in a group of near copies is the text that they were made
+from, or the nearest to it.  In the second round only crowds search again, for
+all pairs within the radius that the components of the first don't join
+already, and those of a crowd's main component needn't ask.  So a large group
+costs little more than its members, and no pair that was found goes untested
+unless it is joined.  Equal sets are one class from the start.  A shard beyond
+``SLICE_ROWS`` is a crowd; it is cut into slices with a tree each, and its
+queries go to all slices.
 
 Sets and their classes are told by 64-bit hashes.  Fewer words than five are one
 shingle; texts without words are copies of each other.  Nulls count as empty
@@ -30,6 +34,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +54,8 @@ SHINGLE = 5
 WORDS, TREE_WORDS, RADIUS, TREE_RADIUS = 16, 4, 190, 56
 #: Probability that a bit agrees at a similarity of 0.8 (cosine 8/9); that such a pair shares no block; unlike sets of a shard.
 AGREE, MISSED, SHARD_SETS = 0.848, 0.0005, 256
-#: Members of a tree at most.
-SLICE_ROWS = 50_000
+#: Members of a tree at most; finds of a member that is in no crowd at most; finds of a shard that are held, and else searched for twice.
+SLICE_ROWS, FEW, HELD = 50_000, 8, 2_000_000
 #: Bytes of text that are shingled at once.
 SLICE = 2 << 20
 
@@ -60,7 +65,7 @@ _SALTS = np.arange(1, WORDS + 1, dtype=np.uint64) * _ODD
 _PLACE = np.uint64(0xD6E8FEB86659FD93)
 _LANES = np.uint64(0x0101010101010101)
 SIGNED = "doc_id long, h long, size long, key long, n long, code binary"
-SHARDED = "shard long, key long, n long, part long, code binary"
+SHARDED = "shard long, key long, n long, code binary"
 
 
 def _stirred(x: np.ndarray) -> np.ndarray:
@@ -169,23 +174,18 @@ def blocks(sets: int) -> np.ndarray:
 
 
 def _sharded(chosen: np.ndarray):
-    """Function for mapInArrow over (key, n, part, code): SHARDED, a row a block, with the part of the code that trees have.
-
-    Codes of a block are rotated alike: that leaves distances within a shard as
-    they are, and gives each block's shards another order.
-    """
+    """Function for mapInArrow over (key, n, code): SHARDED, a row a block, with the part of the code that trees have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = np.int64(1) << np.arange(chosen.shape[1], dtype=np.int64)
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
                 rows = batch.slice(lo, 4096)
-                codes = np.ascontiguousarray(_codes(rows.column(3))[:, :TREE_WORDS]).view(np.uint8)
+                codes = np.ascontiguousarray(_codes(rows.column(2))[:, :TREE_WORDS]).view(np.uint8)
                 bits = np.unpackbits(codes, axis=1, bitorder="little")
                 shard = np.stack([(np.int64(k) << np.int64(40)) + bits[:, c].astype(np.int64) @ weight for k, c in enumerate(chosen)], axis=1)
-                rotated = np.stack([np.roll(codes, -(k % codes.shape[1]), axis=1) for k in range(len(chosen))], axis=1).reshape(-1, codes.shape[1])
-                same = [pa.array(np.repeat(rows.column(c).to_numpy(zero_copy_only=False), len(chosen))) for c in (0, 1, 2)]
-                yield pa.RecordBatch.from_arrays([pa.array(shard.reshape(-1)), *same, _binary(rotated)], names=["shard", "key", "n", "part", "code"])
+                same = [pa.array(np.repeat(rows.column(c).to_numpy(zero_copy_only=False), len(chosen))) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(shard.reshape(-1)), *same, _binary(np.repeat(codes, len(chosen), axis=0))], names=["shard", "key", "n", "code"])
 
     return run
 
@@ -194,79 +194,113 @@ def _sizes_allow(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 5 * np.minimum(a, b) >= 4 * np.maximum(a, b)
 
 
-def _pair_rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["u", "v"])
+def _first_met(shard: np.ndarray, a: np.ndarray, b: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Whether two codes in a shard share no earlier block: of all shards that have both, one answers for them."""
+    apart = np.unpackbits(np.ascontiguousarray(a[:, :TREE_WORDS] ^ b[:, :TREE_WORDS]).view(np.uint8), axis=1, bitorder="little")
+    own, first = shard >> 40, np.ones(len(shard), bool)
+    for block in range(int(own.max(initial=0))):
+        first &= (own <= block) | apart[:, chosen[block]].any(axis=1)
+    return first
 
 
-def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From SHARDED, sorted by shard and code: pairs of neighbours that may be similar."""
-    last = None
-    for batch in batches:
-        now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)] + [_codes(batch.column(4))]
-        if last is not None:
-            now = [np.concatenate([a, b]) for a, b in zip(last, now, strict=True)]
-        shard, key, n, code = now
-        d = np.bitwise_count(code[1:] ^ code[:-1]).sum(axis=1)
-        hit = np.flatnonzero((shard[1:] == shard[:-1]) & (d <= TREE_RADIUS) & _sizes_allow(n[1:], n[:-1]))
-        yield _pair_rows(key[hit], key[hit + 1])
-        last = [a[-1:] for a in now]
+def _by_shard(work, columns: int):
+    """Function for mapInArrow over rows sorted by their first two columns: ``work`` of whole groups; the code is the last of ``columns``."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(columns - 1)] + [_codes(batch.column(columns - 1))]
+            held = now if held is None else [np.concatenate([a, b]) for a, b in zip(held, now, strict=True)]
+            if len(held[0]) >= SLICE_ROWS // 2:
+                last = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))
+                if len(last):
+                    yield work(*(a[: last[-1] + 1] for a in held))
+                    held = [a[last[-1] + 1 :] for a in held]
+        if held is not None and len(held[0]):
+            yield work(*held)
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From SHARDED and ``slice``, ``asks`` (0: in the slice's tree, 1: a query to it), sorted by shard, slice and asks.
+    return run
 
-    Pairs within the radius whose components differ, found by the trees.  In a
-    shard of one slice its members are the queries.
-    """
 
-    def work(shard, key, n, part, slice_, asks, code) -> pa.RecordBatch:
-        group = np.cumsum(np.r_[0, (shard[1:] != shard[:-1]) | (slice_[1:] != slice_[:-1])])
-        member = asks == 0
-        forest = Forest(code[member], group[member])
-        heads, place = np.unique(group[member], return_inverse=True)
-        found = []
-
-        def kept(a: np.ndarray, b: np.ndarray) -> None:
-            ok = (part[a] != part[b]) & _sizes_allow(n[a], n[b])
-            found.append(np.stack([np.minimum(key[a[ok]], key[b[ok]]), np.maximum(key[a[ok]], key[b[ok]])], axis=1))
-
-        own = np.flatnonzero(member)
-        # Members of a slice's main component needn't ask: whom they would find asks for itself.
-        order = np.lexsort((part[own], place))
-        head = np.r_[True, (place[order][1:] != place[order][:-1]) | (part[own][order][1:] != part[own][order][:-1])] if len(own) else np.zeros(0, bool)
-        run = np.cumsum(head) - 1
-        size = np.bincount(run, minlength=0)
-        best = np.zeros(len(heads), np.int64)
-        np.maximum.at(best, place[order][head], size)
-        main = np.full(len(heads), np.iinfo(np.int64).min)
-        is_best = size == best[place[order][head]]
-        main[place[order][head][is_best]] = part[own][order][head][is_best]
-        alone = slice_[own] < 0
-        queries = np.flatnonzero((part[own] != main[place]) & alone)
-        for q, m, _ in forest.search(TREE_RADIUS, queries=queries):
-            kept(own[q], own[m])
-        asking = np.flatnonzero(~member)
-        if len(asking) and len(heads):
-            at = np.searchsorted(heads, group[asking])
-            there = (at < len(heads)) & (heads[at.clip(0, len(heads) - 1)] == group[asking])
-            asking, at = asking[there], at[there]
-            roots = forest.root[np.searchsorted(place, at)]
-            for q, m, _ in forest.search(TREE_RADIUS, of=code[asking], roots=roots):
-                kept(asking[q], own[m])
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
-
-    held = None
-    for batch in batches:
-        now = [batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 3, 5, 6)] + [_codes(batch.column(4))]
-        held = now if held is None else [np.concatenate([a, b]) for a, b in zip(held, now, strict=True)]
-        if len(held[0]) >= SLICE_ROWS // 2:
-            last = np.flatnonzero((held[0] != held[0][-1]) | (held[4] != held[4][-1]))
-            if len(last):
-                yield work(*(a[: last[-1] + 1] for a in held))
-                held = [a[last[-1] + 1 :] for a in held]
-    if held is not None and len(held[0]):
-        yield work(*held)
+PROPOSED = "u long, v long, shard long"
+
+
+def _proposed(chosen, shard, slice_, key, n, code) -> pa.RecordBatch:
+    """PROPOSED: pairs to be tested, or, with ``shard``, members ``u`` of its crowd; of (shard, slice, key, n, code)."""
+    group = np.cumsum(np.r_[0, (shard[1:] != shard[:-1]) | (slice_[1:] != slice_[:-1])])
+    forest = Forest(code, group)
+    cut = slice_ >= 0
+    finds, held, total = np.where(cut, FEW + 1, 0), [], 0
+
+    def hits():
+        for q, m, _ in forest.search(TREE_RADIUS):
+            ok = _sizes_allow(n[q], n[m])
+            yield q[ok].astype(np.int32), m[ok].astype(np.int32)
+
+    for q, m in hits():
+        np.add.at(finds, q, 1)
+        np.add.at(finds, m, 1)
+        total += len(q)
+        held = [*held, (q, m)] if total <= HELD else []
+    pairs, hub = [np.zeros((0, 2), np.int64)], np.full(len(key), -1, np.int64)
+    for q, m in held if total <= HELD else hits():
+        few = (finds[q] <= FEW) | (finds[m] <= FEW)
+        x, y = q[few], m[few]
+        met = _first_met(shard[x], code[x], code[y], chosen)
+        pairs.append(np.stack([key[x[met]], key[y[met]]], axis=1))
+        for own, other in ((q, m), (m, q)):  # who has most finds, the first of them
+            np.maximum.at(hub, own, finds[other] << 32 | ((1 << 32) - 1 - other.astype(np.int64)))
+    crowd = np.flatnonzero(finds > FEW)
+    led = crowd[hub[crowd] >= 0]
+    pairs.append(np.stack([key[led], key[(1 << 32) - 1 - (hub[led] & ((1 << 32) - 1))]], axis=1))
+    both = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
+    u, v = np.r_[both[:, 0], key[crowd]], np.r_[both[:, 1], key[crowd]]
+    of = pa.array(np.r_[np.zeros(len(both), np.int64), shard[crowd]], mask=np.r_[np.ones(len(both), bool), np.zeros(len(crowd), bool)])
+    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), of], names=["u", "v", "shard"])
+
+
+def _across(chosen, shard, slice_, key, n, part, asks, code) -> pa.RecordBatch:
+    """Pairs within the radius whose components differ, of (shard, slice, key, n, part, asks, code); asks is 0 in a slice's tree, 1 of a query to it.
+
+    In a shard of one slice its members are the queries.  Trees are of whole
+    fingerprints here, so they propose less than those of the first round.
+    """
+    group = np.cumsum(np.r_[0, (shard[1:] != shard[:-1]) | (slice_[1:] != slice_[:-1])])
+    member = asks == 0
+    forest = Forest(code[member], group[member])
+    heads, place = np.unique(group[member], return_inverse=True)
+    found = []
+
+    def kept(a: np.ndarray, b: np.ndarray) -> None:
+        ok = np.flatnonzero((part[a] != part[b]) & _sizes_allow(n[a], n[b]))
+        ok = ok[_first_met(shard[a[ok]], code[a[ok]], code[b[ok]], chosen)]
+        found.append(np.stack([np.minimum(key[a[ok]], key[b[ok]]), np.maximum(key[a[ok]], key[b[ok]])], axis=1))
+
+    own = np.flatnonzero(member)
+    # Members of a slice's main component needn't ask: whom they would find asks for itself.
+    order = np.lexsort((part[own], place))
+    head = np.r_[True, (place[order][1:] != place[order][:-1]) | (part[own][order][1:] != part[own][order][:-1])] if len(own) else np.zeros(0, bool)
+    run = np.cumsum(head) - 1
+    size = np.bincount(run, minlength=0)
+    best = np.zeros(len(heads), np.int64)
+    np.maximum.at(best, place[order][head], size)
+    main = np.full(len(heads), np.iinfo(np.int64).min)
+    is_best = size == best[place[order][head]]
+    main[place[order][head][is_best]] = part[own][order][head][is_best]
+    alone = slice_[own] < 0
+    queries = np.flatnonzero((part[own] != main[place]) & alone)
+    for q, m, _ in forest.search(RADIUS, queries=queries):
+        kept(own[q], own[m])
+    asking = np.flatnonzero(~member)
+    if len(asking) and len(heads):
+        at = np.searchsorted(heads, group[asking])
+        there = (at < len(heads)) & (heads[at.clip(0, len(heads) - 1)] == group[asking])
+        asking, at = asking[there], at[there]
+        roots = forest.root[np.searchsorted(place, at)]
+        for q, m, _ in forest.search(RADIUS, of=code[asking], roots=roots):
+            kept(asking[q], own[m])
+    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
 
 @arrow_udf(BooleanType())
@@ -302,7 +336,8 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, named: DataFrame, label: st
     """(u, v) of the pairs that are as similar as asked, by the whole text of a row of each class."""
     left, right = (classes.select(F.col("key").alias(c), F.col("code").alias(f"{c}_code")) for c in "uv")
     pairs = written(pairs.join(left, "u").join(right, "v").where(_near("u_code", "v_code")).select("u", "v"), f"{label}_near")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct().join(classes.select("key", "t.*"), "key")
+    keys = pairs.select(F.col("u").alias("key")).distinct().unionByName(pairs.select(F.col("v").alias("key")).distinct()).distinct()
+    wanted = keys.join(classes.select("key", "t.*"), "key")
     same = wanted["doc_id"].eqNullSafe(named["doc_id"]) & (wanted["h"] == named["h"]) & (wanted["size"] == named["size"])
     texts = wanted.join(named, same).select("key", "text").dropDuplicates(["key"])
     sets = written(texts.mapInArrow(_sets, "key long, set binary"), f"{label}_sets")
@@ -316,18 +351,40 @@ def _named(docs: DataFrame) -> DataFrame:
     return named.select("doc_id", F.xxhash64("text").alias("h"), F.length("text").cast("long").alias("size"), "text")
 
 
-def _sliced(sharded: DataFrame, slice_rows: int) -> DataFrame:
-    """Adds ``slice`` (-1 - number, as the shard's own; or its number in a divided shard) and ``asks``."""
-    large = written(sharded.groupBy("shard").count().where(F.col("count") > slice_rows).select("shard", F.ceil(F.col("count") / slice_rows).cast("long").alias("cuts")), "large")
-    columns = ["shard", "key", "n", "part", "code"]
-    if large.isEmpty():
-        return sharded.select(*columns, F.lit(-1).cast("long").alias("slice"), F.lit(0).alias("asks"))
-    # The component that most members of a large shard have needn't ask.
-    tops = sharded.join(large, "shard").groupBy("shard", "part").count().groupBy("shard").agg(F.max_by("part", F.struct("count", "part")).alias("main"))
-    cut = sharded.join(large.join(tops, "shard"), "shard", "left")
-    members = cut.select(*columns, F.when(F.col("cuts").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("key"), F.col("cuts"))).cast("long").alias("slice"), F.lit(0).alias("asks"))
-    asking = cut.where("part <> main").select(*columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("slice"), F.lit(1).alias("asks"))
-    return members.unionByName(asking)
+def _cuts(sharded: DataFrame, slice_rows: int) -> DataFrame:
+    """shard, cuts of the shards that are too large for a tree."""
+    return written(sharded.groupBy("shard").count().where(F.col("count") > slice_rows).select("shard", F.ceil(F.col("count") / slice_rows).cast("long").alias("cuts")), "cuts")
+
+
+def _sliced(sharded: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Adds ``slice``: -1 in a shard of one, else one of its numbers."""
+    if cuts.isEmpty():
+        return sharded.withColumn("slice", F.lit(-1).cast("long"))
+    number = F.when(F.col("cuts").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("key"), F.col("cuts"))).cast("long")
+    return sharded.join(cuts, "shard", "left").withColumn("slice", number)
+
+
+def _first_round(classes: DataFrame, chosen: np.ndarray, slice_rows: int) -> DataFrame:
+    sharded = classes.select("key", "n", "code").mapInArrow(_sharded(chosen), SHARDED)
+    dealt = _sliced(sharded, _cuts(sharded, slice_rows)).select("shard", "slice", "key", "n", "code")
+    return written(dealt.repartition("shard", "slice").sortWithinPartitions("shard", "slice").mapInArrow(_by_shard(partial(_proposed, chosen), 5), PROPOSED), "proposed")
+
+
+def _second_round(crowds: DataFrame, parts: DataFrame, chosen: np.ndarray, slice_rows: int) -> DataFrame:
+    """(u, v) across components, of crowds (shard, key) and parts (key, n, part, code)."""
+    rows = written(crowds.join(parts, "key").select("shard", "key", "n", "part", "code"), "crowds")
+    several = rows.groupBy("shard").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("shard")
+    rows = rows.join(several, "shard", "left_semi")
+    cuts = _cuts(rows, slice_rows)
+    shape = ["shard", "slice", "key", "n", "part", "asks", "code"]
+    members = _sliced(rows, cuts).withColumn("asks", F.lit(0)).select(*shape)
+    if not cuts.isEmpty():
+        # The component that most members of a large shard have needn't ask.
+        large = rows.join(cuts, "shard")
+        tops = large.groupBy("shard", "part").count().groupBy("shard").agg(F.max_by("part", F.struct("count", "part")).alias("main"))
+        asking = large.join(tops, "shard").where("part <> main").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
+        members = members.unionByName(asking.withColumn("asks", F.lit(1)).select(*shape))
+    return members.repartition("shard", "slice").sortWithinPartitions("shard", "slice", "asks").mapInArrow(_by_shard(partial(_across, chosen), 7), "u long, v long")
 
 
 def near_copies(docs: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
@@ -337,19 +394,16 @@ def near_copies(docs: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     signed = written(named.mapInArrow(_signatures, SIGNED), "signatures")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "size"))
     classes = written(signed.groupBy("key").agg(F.min("n").alias("n"), F.min("code").alias("code"), least.alias("t")), "classes")
-    cut = _sharded(blocks(classes.count()))
 
-    shape = classes.select("key", "n", F.col("key").alias("part"), "code")
-    order = ["shard", "code"]
-    beside = shape.mapInArrow(cut, SHARDED).repartition("shard").sortWithinPartitions(*order).mapInArrow(_beside, "u long, v long")
-    pairs = written(beside.distinct(), "neighbours")
-    links = _confirmed(pairs, classes, named, "links_of_neighbours")
+    chosen = blocks(classes.count())
+    proposed = _first_round(classes, chosen, slice_rows)
+    pairs = written(proposed.where("shard is null").select("u", "v").distinct(), "pairs")
+    links = _confirmed(pairs, classes, named, "links")
 
     joined = components(links)
     parts = classes.join(joined, classes["key"] == joined["node"], "left").select("key", "n", F.coalesce("component", "key").alias("part"), "code")
-    sliced = _sliced(written(parts, "parts").mapInArrow(cut, SHARDED), slice_rows)
-    across = sliced.repartition("shard", "slice").sortWithinPartitions("shard", "slice", "asks").mapInArrow(_across, "u long, v long")
-    rest = written(across.distinct().join(pairs, ["u", "v"], "left_anti"), "others")
+    crowds = proposed.where("shard is not null").select("shard", F.col("u").alias("key"))
+    rest = written(_second_round(crowds, parts, chosen, slice_rows).distinct().join(pairs, ["u", "v"], "left_anti"), "others")
     links = links.unionByName(_confirmed(rest, classes, named, "links_of_others"))
 
     joined = components(links)
