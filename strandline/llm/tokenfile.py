@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .common import slices, text_or_empty, written
-from .tokens import encoder
+from .tokens import encoder, spread
 
 END = 2
 #: Ids of a block, after which it ends with the document.
@@ -70,16 +70,30 @@ class Grammar:
             yield lo, hi
             lo = hi
 
+    def _table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All rules' ids, one rule after another, and where each begins and how many it has.
+
+        The rules of a round stand for parts of the sequence that don't overlap,
+        each several times, so a round adds less than the sequence has.
+        """
+        counts = self.lengths
+        starts = np.cumsum(counts) - counts
+        flat = np.zeros(0, np.uint32)
+        for lo, hi in self._layers():
+            flat = np.r_[flat, self._ids(self.rules[lo:hi].reshape(-1), flat, starts, counts)]
+        return flat, starts, counts
+
+    def _ids(self, symbols: np.ndarray, flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        at = symbols.astype(np.int64) - self.terminals
+        rule = at >= 0
+        if not rule.any():
+            return symbols
+        at = np.where(rule, at, 0)
+        return spread(np.r_[flat, symbols], np.where(rule, starts[at], len(flat) + np.arange(len(symbols))), np.where(rule, counts[at], 1))
+
     def expanded(self, symbols: np.ndarray) -> np.ndarray:
         """Ids of a run of symbols."""
-        while len(at := np.flatnonzero(symbols >= self.terminals)):
-            widths = np.ones(len(symbols), np.int64)
-            widths[at] = 2
-            first = np.cumsum(widths) - widths
-            pairs = self.rules[symbols[at].astype(np.int64) - self.terminals]
-            symbols = np.repeat(symbols, widths)
-            symbols[first[at]], symbols[first[at] + 1] = pairs[:, 0], pairs[:, 1]
-        return symbols
+        return self._ids(symbols, *self._table())
 
     def decoded(self, start: int = 0, stop: int | None = None, lengths: np.ndarray | None = None) -> np.ndarray:
         """Ids from start to stop; only symbols that hold some of them are expanded."""

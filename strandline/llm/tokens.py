@@ -28,7 +28,7 @@ _PLAIN = r"^(?P<word> ?[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]+)(?P<sign
 _DIVIDER, _RUN_PIECES = "\x00", 1000
 
 
-def _spread(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def spread(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Runs of ``flat``, one after another."""
     ends = np.cumsum(counts)
     return flat[np.repeat(starts - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)]
@@ -103,7 +103,7 @@ class Encoder:
 
     def _ids(self, slots: np.ndarray) -> np.ndarray:
         """Ids of kept pieces, one after another."""
-        return _spread(self.flat, self.starts[slots], self.counts[slots])
+        return spread(self.flat, self.starts[slots], self.counts[slots])
 
     def _slots(self, pieces: list[str]) -> np.ndarray:
         slots = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
@@ -145,7 +145,7 @@ class Encoder:
         table = self._ids(np.stack([words, marks], axis=1).reshape(-1))
         widths = self.counts[words] + self.counts[marks]
         counts = widths[codes]
-        ids = _spread(table, (np.cumsum(widths) - widths)[codes], counts)
+        ids = spread(table, (np.cumsum(widths) - widths)[codes], counts)
         ends = np.r_[0, np.cumsum(counts)]
         out = np.split(ids, ends[np.searchsorted(rows, np.arange(1, len(texts)))])
         if runs.any():
