@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, fingerprint, mixing, packing, quality, sharding, simhash, tokenfile, toxicity
+from . import ann, chat, fingerprint, mixing, packing, quality, repair, sharding, simhash, tokenfile, toxicity
 from .common import table
 
 
@@ -65,8 +65,12 @@ def op10_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_back(tokenfile.stored(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")))
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired_after_damage(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_chat, op4_quality, op5_simhash, op6_sharding, op7_ann, op8_fingerprint, op9_packing, op10_tokenfile)}
+    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_chat, op4_quality, op5_simhash, op6_sharding, op7_ann, op8_fingerprint, op9_packing, op10_tokenfile, op13_repair)}
 
 
 #: Words, shares, two bisections (entropy, then repetition), budgets, blocks in the order of each pass, documents in each block.
@@ -114,5 +118,55 @@ p AS (SELECT *, row_number() OVER (ORDER BY fraction, name, key, doc_id, size, t
 SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, (position * 40 // n)::INT AS shard, (position - ((position * 40 // n) * n + 39) // 40)::BIGINT AS slot, NULL::INT AS grown_shard FROM p"""
 
 
+
+def _least(state: int, *ways: str) -> str:
+    """The least of the ways into a state: a list (cost, audit, rows); null where there is none."""
+    return f"list_sort(list_filter([{', '.join(ways)}], lambda x: x IS NOT NULL))[1] AS v{state}"
+
+
+def _way(state: str, cost: str, letter: str, written: str | None = None) -> str:
+    out = f"list_append({state}.out, {written})" if written else f"{state}.out"
+    return f"CASE WHEN {state} IS NOT NULL THEN {{'cost': {state}.cost + {cost}, 'audit': {state}.audit || '{letter}', 'out': {out}}} END"
+
+
+def _kept(role: str, way: str) -> str:
+    return f"CASE WHEN NOT gone AND i = '{role}' THEN {way} END"
+
+
+def _inserted(*states: str) -> str:
+    """One insertion at most into each state."""
+    return f"{states[0]} AS v0, {states[1]} AS v1, {_least(2, states[2], _way(states[0], '5', 'I', chr(39) + 'user:' + chr(39)), _way(states[1], '5', 'I', chr(39) + 'user:' + chr(39)), _way(states[3], '5', 'I', chr(39) + 'user:' + chr(39)))}, {_least(3, states[3], _way(states[2], '5', 'I', chr(39) + 'assistant:' + chr(39)))}"
+
+
+def _other(way: str) -> str:
+    return f"CASE WHEN NOT gone THEN {way} END"
+
+
+_OWN, _U, _A = "role || ':' || text", "'user:' || text", "'assistant:' || text"
+#: crc32 byte by byte, faults, then for each row and grammar state the least cost with the least audit, by (cost, audit).
+_REPAIR = rf"""WITH RECURSIVE t AS (SELECT i, i::BIGINT AS c, 0 AS k FROM range(256) x(i) UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT) ELSE c // 2 END, k + 1 FROM t WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS crc FROM t WHERE k = 8),
+g AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+h AS (SELECT g.*, xor(list_reduce(list_transform(range(length(key)), lambda j: ascii(substr(key, j + 1, 1))::BIGINT), lambda c, x: xor(c // 256, crc[1 + (xor(c, x) % 256)]), 4294967295::BIGINT), 4294967295::BIGINT) % 20 AS kind FROM g, tab),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS again FROM h),
+n AS (SELECT conv_id, coalesce(conv_id::VARCHAR, '') AS conv, turn, role, text, substr(role, 1, 1) AS i, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth FROM d),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 'truncated' ELSE 'none' END AS fault,
+  lag(i) OVER (PARTITION BY conv ORDER BY n) AS before FROM n),
+r AS (SELECT *, fault IN ('blank', 'duplicate') AS gone, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS x, before IS NOT NULL AND before || i NOT IN ('su', 'ua', 'au') AS illegal FROM f),
+stats AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank')::BIGINT AS blank, count(*) FILTER (fault = 'duplicate')::BIGINT AS duplicate,
+  count(*) FILTER (fault = 'truncated')::BIGINT AS truncated, count(*) FILTER (illegal)::BIGINT AS illegal FROM r GROUP BY conv_id),
+w AS (SELECT DISTINCT conv, 1::BIGINT AS n, {{'cost': 0::BIGINT, 'audit': '', 'out': []::VARCHAR[]}} AS v0, NULL::STRUCT(cost BIGINT, audit VARCHAR, "out" VARCHAR[]) AS v1, NULL::STRUCT(cost BIGINT, audit VARCHAR, "out" VARCHAR[]) AS v2, NULL::STRUCT(cost BIGINT, audit VARCHAR, "out" VARCHAR[]) AS v3 FROM r UNION ALL
+  SELECT conv, n + 1, {_least(0, _way("v0", "2", "D"))},
+    {_least(1, _way("v1", "2", "D"), _kept("s", _way("v0", "x", "K", _OWN)))},
+    {_least(2, _way("v2", "2", "D"), *(_kept("u", _way(v, "x", "K", _OWN)) for v in ("v0", "v1", "v3")), *(_other(_way(v, "x + 1", "R", _U)) for v in ("v0", "v1", "v3")))},
+    {_least(3, _way("v3", "2", "D"), _kept("a", _way("v2", "x", "K", _OWN)), _other(_way("v2", "x + 1", "R", _A)))}
+  FROM (SELECT conv, n, {_inserted("v0", "v1", "v2", "v3")}, role, text, i, x, gone FROM (SELECT w.conv, w.n, {_inserted("w.v0", "w.v1", "w.v2", "w.v3")}, r.role, r.text, r.i, r.x, r.gone FROM w JOIN r ON w.conv = r.conv AND w.n = r.n))),
+ended AS (SELECT conv, {_inserted("v0", "v1", "v2", "v3")} FROM (SELECT conv, {_inserted("v0", "v1", "v2", "v3")} FROM (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY conv ORDER BY n DESC) = 1))),
+best AS (SELECT conv, list_sort(list_filter([v0, v3], lambda x: x IS NOT NULL))[1] AS b FROM ended)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(b.cost, 0) AS cost, coalesce(b.audit, '') AS audit,
+  sha256(coalesce(array_to_string(b.out, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) e LEFT JOIN stats s ON e.conv_id IS NOT DISTINCT FROM s.conv_id LEFT JOIN best ON s.conv_id IS NOT DISTINCT FROM e.conv_id AND best.conv = coalesce(e.conv_id::VARCHAR, '')"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": _MIXING, "op3_chat": _CHAT, "op6_sharding": _SHARDING}
+    return {"op2_mixing": _MIXING, "op3_chat": _CHAT, "op6_sharding": _SHARDING, "op13_repair": _REPAIR}
