@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, fingerprint, mixing, packing, quality, repair, sharding, simhash, tokenfile, toxicity
+from . import ann, chat, fingerprint, mixing, negatives, packing, quality, repair, sharding, simhash, tokenfile, toxicity
 from .common import table
 
 
@@ -65,12 +65,16 @@ def op10_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_back(tokenfile.stored(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.of_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repaired_after_damage(table(spark, sf_dir, "conversations"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_chat, op4_quality, op5_simhash, op6_sharding, op7_ann, op8_fingerprint, op9_packing, op10_tokenfile, op13_repair)}
+    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_chat, op4_quality, op5_simhash, op6_sharding, op7_ann, op8_fingerprint, op9_packing, op10_tokenfile, op11_negatives, op13_repair)}
 
 
 #: Words, shares, two bisections (entropy, then repetition), budgets, blocks in the order of each pass, documents in each block.
@@ -150,7 +154,9 @@ g AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS
 h AS (SELECT g.*, xor(list_reduce(list_transform(range(length(key)), lambda j: ascii(substr(key, j + 1, 1))::BIGINT), lambda c, x: xor(c // 256, crc[1 + (xor(c, x) % 256)]), 4294967295::BIGINT), 4294967295::BIGINT) % 20 AS kind FROM g, tab),
 d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS again FROM h),
 n AS (SELECT conv_id, coalesce(conv_id::VARCHAR, '') AS conv, turn, role, text, substr(role, 1, 1) AS i, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth FROM d),
-f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 'truncated' ELSE 'none' END AS fault,
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 'truncated' ELSE 'none' END AS fault,
   lag(i) OVER (PARTITION BY conv ORDER BY n) AS before FROM n),
 r AS (SELECT *, fault IN ('blank', 'duplicate') AS gone, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS x, before IS NOT NULL AND before || i NOT IN ('su', 'ua', 'au') AS illegal FROM f),
 stats AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank')::BIGINT AS blank, count(*) FILTER (fault = 'duplicate')::BIGINT AS duplicate,
@@ -168,5 +174,14 @@ SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM (SELECT DISTINCT conv_id FROM conversations) e LEFT JOIN stats s ON e.conv_id IS NOT DISTINCT FROM s.conv_id LEFT JOIN best ON s.conv_id IS NOT DISTINCT FROM e.conv_id AND best.conv = coalesce(e.conv_id::VARCHAR, '')"""
 
 
+#: All pairs of an anchor and another row; positives, then negatives in each one's window.
+_NEGATIVES = """WITH e AS (SELECT DISTINCT vec_id AS id, (CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END)::BIGINT AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.id AS anchor_id, a.label AS anchor_label, b.id, b.label, list_dot_product(a.v, b.v)::BIGINT AS score FROM e a JOIN e b ON a.id % 50 = 0 AND a.id <> b.id),
+near AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM p WHERE label = anchor_label QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY p.score DESC, p.id))::INT AS rank, p.id AS negative_id, positive_score, p.score AS negative_score
+FROM near JOIN p USING (anchor_id) WHERE p.label <> anchor_label AND 50 * positive_score <= 100 * p.score AND 100 * p.score <= 95 * positive_score QUALIFY rank <= 3"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": _MIXING, "op3_chat": _CHAT, "op6_sharding": _SHARDING, "op13_repair": _REPAIR}
+    return {"op2_mixing": _MIXING, "op3_chat": _CHAT, "op6_sharding": _SHARDING, "op11_negatives": _NEGATIVES, "op13_repair": _REPAIR}
