@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, fingerprint, mixing, negatives, packing, quality, repair, sharding, simhash, tokenfile, toxicity
+from . import ann, chat, fingerprint, mixing, negatives, ngramjoin, packing, quality, repair, sharding, simhash, tokenfile, toxicity
 from .common import table
 
 
@@ -69,12 +69,16 @@ def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.of_embeddings(table(spark, sf_dir, "embeddings"))
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.joined(table(spark, sf_dir, "documents"))
+
+
 def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repaired_after_damage(table(spark, sf_dir, "conversations"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_chat, op4_quality, op5_simhash, op6_sharding, op7_ann, op8_fingerprint, op9_packing, op10_tokenfile, op11_negatives, op13_repair)}
+    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_chat, op4_quality, op5_simhash, op6_sharding, op7_ann, op8_fingerprint, op9_packing, op10_tokenfile, op11_negatives, op12_ngram_join, op13_repair)}
 
 
 #: Words, shares, two bisections (entropy, then repetition), budgets, blocks in the order of each pass, documents in each block.
