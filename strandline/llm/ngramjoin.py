@@ -9,6 +9,9 @@ and of frequent ones each two of a class are one, so l of a class stand for
 l - 1.  Of two like sets, that whose prefix ends first has a signature with all
 its shingles in the other's prefix, too; so none is missed.  What is indexed of
 frequent passages is pairs of shingles that stand together in few other texts.
+Prefixes of sets of ``EXTENDED`` shingles or more go on for ``SHARED - 1`` further
+signatures, so that two of them have ``SHARED`` in common: texts that share less,
+as one passage or line, are never compared.
 
 Classes of frequent shingles are as many as make few pairs: a quarter of the
 least size of the set's band (sizes of one bit length).  As like sets can be in
@@ -54,6 +57,8 @@ from .nearcopies import SLICE, _sets, _similar, _stirred, shingles
 RARE, FREQUENT = 64, 1 << 18
 #: Text of a range of cells, shingles whose cells are sent at once, and members of a signature that meet at once in the second round.
 RANGE_BYTES, CELLS, MEET = 32 << 20, 1 << 20, 2000
+#: Signatures that similar sets have in common at least, if both have so many shingles; else one.
+SHARED, EXTENDED = 4, 16
 #: Least similarity, as parts of five.
 _PARTS, _OF = 4, 5
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -136,7 +141,7 @@ def frequent_cells(texts: DataFrame, rare: int = RARE, most: int = FREQUENT) ->
 def signatures(rows: np.ndarray, found: np.ndarray, n: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, signature) of sets: ``found`` by row and hash, ``n`` of each row, whether each is ``frequent``."""
     size = n[rows]
-    need = lacking(n) + 1
+    need = lacking(n) + np.where(n >= EXTENDED, SHARED, 1)
     rare = ~frequent
     first = np.cumsum(n) - n
     before = np.cumsum(rare) - rare
@@ -202,12 +207,18 @@ def _alike(a: Column, b: Column) -> Column:
     return F.least(a, b) * _OF >= F.greatest(a, b) * _PARTS
 
 
+def _enough(met: DataFrame) -> DataFrame:
+    """(u, v) of those pairs (mark, u, un, v, vn) that meet in as many signatures as similar sets do."""
+    met = met.where(_alike(F.col("un"), F.col("vn"))).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.least("un", "vn").alias("n"))
+    return met.groupBy("u", "v").agg(F.count(F.lit(1)).alias("shared"), F.min("n").alias("n")).where((F.col("n") < EXTENDED) | (F.col("shared") >= SHARED)).select("u", "v")
+
+
 def _stars(live: DataFrame) -> DataFrame:
-    """(u, v): each member of a signature, and that of its members with most candidates in all."""
+    """(u, v): each member of signatures, and that of their members with most candidates in all."""
     weights = live.groupBy("key").agg(F.sum("members").alias("weight"))
     hubs = live.join(weights, "key").groupBy("mark").agg(F.max(F.struct("weight", "key", "n")).alias("hub"))
-    pairs = live.join(hubs, "mark").where((F.col("key") != F.col("hub.key")) & _alike(F.col("n"), F.col("hub.n")))
-    return pairs.select(F.least("key", "hub.key").alias("u"), F.greatest("key", "hub.key").alias("v")).distinct()
+    pairs = live.join(hubs, "mark").where(F.col("key") != F.col("hub.key"))
+    return _enough(pairs.select("mark", F.col("key").alias("u"), F.col("n").alias("un"), F.col("hub.key").alias("v"), F.col("hub.n").alias("vn")))
 
 
 def _across(live: DataFrame, joined: DataFrame, meet: int) -> DataFrame:
@@ -219,11 +230,16 @@ def _across(live: DataFrame, joined: DataFrame, meet: int) -> DataFrame:
     one = rows.select("mark", F.col("own").alias("a"), F.explode(F.sequence("own", F.col("groups") - 1)).alias("b"), F.col("key").alias("u"), F.col("n").alias("un"), F.col("part").alias("up"))
     two = rows.select("mark", F.explode(F.sequence(F.lit(0), "own")).alias("a"), F.col("own").alias("b"), F.col("key").alias("v"), F.col("n").alias("vn"), F.col("part").alias("vp"))
     once = (F.col("a") < F.col("b")) | (F.col("u") < F.col("v"))
-    met = one.join(two, ["mark", "a", "b"]).where(once & (F.col("up") != F.col("vp")) & _alike(F.col("un"), F.col("vn")))
-    return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    met = one.join(two, ["mark", "a", "b"]).where(once & (F.col("up") != F.col("vp")))
+    return _enough(met.select("mark", "u", "un", "v", "vn"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, named: DataFrame, label: str) -> DataFrame:
+    """(u, v) of the similar pairs, by the sets of the whole text of a row of each class."""
+    keys = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
+    wanted = classes.join(keys, "key", "left_semi").select("key", "t.doc_id", "t.h", "t.size")
+    same = wanted["doc_id"].eqNullSafe(named["doc_id"]) & (wanted["h"] == named["h"]) & (wanted["size"] == named["size"])
+    sets = written(wanted.join(named, same).select("key", "text").dropDuplicates(["key"]).mapInArrow(_sets, "key long, set binary"), f"{label}_sets")
     left, right = (sets.select(F.col("key").alias(c), F.col("set").alias(f"{c}_set")) for c in "uv")
     return written(pairs.join(left, "u").join(right, "v").where(_similar("u_set", "v_set")).select("u", "v"), label)
 
@@ -244,12 +260,9 @@ def joined(docs: DataFrame, rare: int = RARE, most: int = FREQUENT, meet: int =
     live = written(marked.join(shared.hint("shuffle_hash"), "mark").select("mark", "key", "n", "members"), "live")
 
     pairs = written(_stars(live), "pairs")
-    wanted = classes.join(live.select("key").distinct(), "key", "left_semi").select("key", "t.doc_id", "t.h", "t.size")
-    same = wanted["doc_id"].eqNullSafe(named["doc_id"]) & (wanted["h"] == named["h"]) & (wanted["size"] == named["size"])
-    sets = written(wanted.join(named, same).select("key", "text").dropDuplicates(["key"]).mapInArrow(_sets, "key long, set binary"), "sets")
-    links = _verified(pairs, sets, "links")
+    links = _verified(pairs, classes, named, "links")
     rest = written(_across(live, components(links), meet).join(pairs, ["u", "v"], "left_anti"), "others")
-    links = links.unionByName(_verified(rest, sets, "links_of_others"))
+    links = links.unionByName(_verified(rest, classes, named, "links_of_others"))
 
     found = components(links)
     parts = classes.join(found, classes["key"] == found["node"], "left").select("key", F.coalesce("component", "key").alias("part"), "rep")
