@@ -24,12 +24,17 @@ with the corpus.  What is broadcast is the list of frequent cells, ``FREQUENT``
 most: beyond it only the more frequent ones count as such.  Any division into
 rare and frequent gives the same links.
 
-Candidates are taken in two rounds, as components are asked for.  Each member of
-a signature is verified with one of its other members, that with most candidates:
-in a group of near copies that is the text that they were made from, or one like
-it.  Then all pairs of a signature that are in different components are.  So a
-group costs little more than its members, and no link between texts that aren't
-joined goes untested.  Verification compares whole sets.
+Candidates are taken in rounds, as components are asked for.  First each member of a
+signature is compared with one of its other members, its hub, that with most
+candidates: in a group of near copies that is the text that they were made from,
+or one like it.  Then members of one hub in different components are compared by
+what sets them apart from it: with the shingles of the hub that two sets lack or
+add to it, and those of these that they have in common, their overlap is known.
+So the rest of a large group is settled within blocks of its members, by short
+lists instead of whole sets, and what goes on is one link between components.
+Last, pairs of a signature that are in different components and weren't compared
+through a hub are compared by whole sets.  So no link between texts that aren't
+joined goes untested, and a group's pairs aren't rows.
 
 Sets and shingles are told by 64-bit hashes.  Nulls are empty texts; without
 words, a text is linked with nothing.  Rows with a null id are documents like
@@ -55,8 +60,8 @@ from .nearcopies import SLICE, _sets, _similar, _stirred, shingles
 
 #: Texts that have a rare shingle at most, and frequent cells that are broadcast at most.
 RARE, FREQUENT = 64, 1 << 18
-#: Text of a range of cells, shingles whose cells are sent at once, and members of a signature that meet at once in the second round.
-RANGE_BYTES, CELLS, MEET = 32 << 20, 1 << 20, 2000
+#: Text of a range of cells, shingles whose cells are sent at once, and members of a hub or signature that meet at once, of each of two groups.
+RANGE_BYTES, CELLS, MEET = 32 << 20, 1 << 20, 1000
 #: Signatures that similar sets have in common at least, if both have so many shingles; else one.
 SHARED, EXTENDED = 4, 16
 #: Least similarity, as parts of five.
@@ -207,41 +212,131 @@ def _alike(a: Column, b: Column) -> Column:
     return F.least(a, b) * _OF >= F.greatest(a, b) * _PARTS
 
 
-def _enough(met: DataFrame) -> DataFrame:
-    """(u, v) of those pairs (mark, u, un, v, vn) that meet in as many signatures as similar sets do."""
-    met = met.where(_alike(F.col("un"), F.col("vn"))).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.least("un", "vn").alias("n"))
-    return met.groupBy("u", "v").agg(F.count(F.lit(1)).alias("shared"), F.min("n").alias("n")).where((F.col("n") < EXTENDED) | (F.col("shared") >= SHARED)).select("u", "v")
+_ENOUGH = f"n < {EXTENDED} OR shared >= {SHARED}"
 
 
-def _stars(live: DataFrame) -> DataFrame:
-    """(u, v): each member of signatures, and that of their members with most candidates in all."""
+def _hubs(live: DataFrame) -> DataFrame:
+    """mark, hub, hub_n: of its members that with most candidates in all."""
     weights = live.groupBy("key").agg(F.sum("members").alias("weight"))
-    hubs = live.join(weights, "key").groupBy("mark").agg(F.max(F.struct("weight", "key", "n")).alias("hub"))
-    pairs = live.join(hubs, "mark").where(F.col("key") != F.col("hub.key"))
-    return _enough(pairs.select("mark", F.col("key").alias("u"), F.col("n").alias("un"), F.col("hub.key").alias("v"), F.col("hub.n").alias("vn")))
-
-
-def _across(live: DataFrame, joined: DataFrame, meet: int) -> DataFrame:
-    """(u, v): all pairs of a signature whose components differ; a crowd's members meet in groups."""
-    parts = joined.select(F.col("node").alias("key"), "component")
-    rows = written(live.join(parts, "key", "left").select("mark", "key", "n", F.coalesce("component", "key").alias("part")), "parts")
-    several = rows.groupBy("mark").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("members")).where("low < high")
-    rows = rows.join(several.select("mark", F.ceil(F.col("members") / meet).cast("int").alias("groups")), "mark").withColumn("own", F.pmod(F.xxhash64("key"), F.col("groups")).cast("int"))
-    one = rows.select("mark", F.col("own").alias("a"), F.explode(F.sequence("own", F.col("groups") - 1)).alias("b"), F.col("key").alias("u"), F.col("n").alias("un"), F.col("part").alias("up"))
-    two = rows.select("mark", F.explode(F.sequence(F.lit(0), "own")).alias("a"), F.col("own").alias("b"), F.col("key").alias("v"), F.col("n").alias("vn"), F.col("part").alias("vp"))
-    once = (F.col("a") < F.col("b")) | (F.col("u") < F.col("v"))
-    met = one.join(two, ["mark", "a", "b"]).where(once & (F.col("up") != F.col("vp")))
-    return _enough(met.select("mark", "u", "un", "v", "vn"))
-
-
-def _verified(pairs: DataFrame, classes: DataFrame, named: DataFrame, label: str) -> DataFrame:
-    """(u, v) of the similar pairs, by the sets of the whole text of a row of each class."""
-    keys = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
+    best = live.join(weights, "key").groupBy("mark").agg(F.max(F.struct("weight", "key", "n")).alias("hub"))
+    return best.select("mark", F.col("hub.key").alias("hub"), F.col("hub.n").alias("hub_n"))
+
+
+def _sets_of(pairs: DataFrame, columns: tuple[str, str], classes: DataFrame, named: DataFrame, label: str) -> DataFrame:
+    """The pairs with the sets of both, from the whole text of a row of each class."""
+    keys = pairs.select(F.explode(F.array(*columns)).alias("key")).distinct()
     wanted = classes.join(keys, "key", "left_semi").select("key", "t.doc_id", "t.h", "t.size")
     same = wanted["doc_id"].eqNullSafe(named["doc_id"]) & (wanted["h"] == named["h"]) & (wanted["size"] == named["size"])
     sets = written(wanted.join(named, same).select("key", "text").dropDuplicates(["key"]).mapInArrow(_sets, "key long, set binary"), f"{label}_sets")
-    left, right = (sets.select(F.col("key").alias(c), F.col("set").alias(f"{c}_set")) for c in "uv")
-    return written(pairs.join(left, "u").join(right, "v").where(_similar("u_set", "v_set")).select("u", "v"), label)
+    for c in columns:
+        pairs = pairs.join(sets.select(F.col("key").alias(c), F.col("set").alias(f"{c}_set")), c)
+    return pairs
+
+
+_COMPARED = pa.schema([("hub", pa.int64()), ("key", pa.int64()), ("similar", pa.bool_()), ("whole", pa.int64()), ("n", pa.int64()), ("lacks", pa.int64()), ("apart", pa.list_(pa.int64()))])
+
+
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (hub, key, sets of both): whether they are similar, sizes of both, shingles of the hub that the other lacks, and all that sets them apart, unless that is over half the hub."""
+    for batch in batches:
+        out = []
+        for hub, key, one, two in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            one, two = np.frombuffer(one, np.int64), np.frombuffer(two, np.int64)
+            lacks, adds = np.setdiff1d(one, two, True), np.setdiff1d(two, one, True)
+            similar = _OF * (len(one) - len(lacks)) >= _PARTS * (len(one) + len(adds))
+            short = len(lacks) + len(adds) <= len(one) // 2
+            out.append((hub, key, similar, len(one), len(two), len(lacks), np.r_[lacks, adds] if short else None))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _COMPARED.types, strict=True)] if out else [pa.array([], t) for t in _COMPARED.types], schema=_COMPARED)
+
+
+def _met(key, whole, n, lacks, part, own, cross: bool, apart: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Links between components of one hub's members: of each member, one to each other component that it is similar to a member of.
+
+    Two sets overlap by what of the hub neither lacks, ``whole - lacks - lacks``,
+    and by what of their lists they have in common.
+    """
+    size = np.diff(apart.offsets.to_numpy())
+    of = np.repeat(np.arange(len(key)), size)
+    _, token = np.unique(apart.flatten().to_numpy(), return_inverse=True)
+    order = np.argsort(token, kind="stable")
+    posted, first = of[order], np.searchsorted(token[order], np.arange(int(token.max(initial=-1)) + 2))
+    start = np.cumsum(size) - size
+    cost = 4 * n + 9 * lacks
+    parts, of_part, count = np.unique(part, return_inverse=True, return_counts=True)
+    u, v = [], []
+    for x in np.flatnonzero(of_part != count.argmax()):  # those of the largest one needn't ask
+        mine = token[start[x] : start[x] + size[x]]
+        width = first[mine + 1] - first[mine]
+        at = np.repeat(first[mine] - (np.cumsum(width) - width), width) + np.arange(int(width.sum()))
+        both = np.bincount(posted[at], minlength=len(key))
+        hit = (9 * both >= cost + cost[x] - 9 * whole[x]) & (of_part != of_part[x])
+        if cross:
+            hit &= own != own[x]
+        hits = np.flatnonzero(hit)
+        hits = hits[np.unique(of_part[hits], return_index=True)[1]]
+        u.append(np.full(len(hits), key[x]))
+        v.append(key[hits])
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(u or none), np.concatenate(v or none)
+
+
+def _met_by_hub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (hub, a, b, key, whole, n, lacks, part, own, apart), sorted by the first three: (u, v)."""
+
+    def done(rows: pa.Table) -> pa.RecordBatch:
+        a, b = rows.column(1)[0].as_py(), rows.column(2)[0].as_py()
+        columns = [rows.column(k).to_numpy() for k in range(3, 9)]
+        u, v = _met(*columns, a != b, rows.column(9).combine_chunks())
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = pa.Table.from_batches([batch])
+        ends = [0, *(np.flatnonzero(np.any([np.diff(batch.column(k).to_numpy(zero_copy_only=False)) != 0 for k in range(3)], axis=0)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(ends, ends[1:], strict=False):
+            rows = now.slice(lo, hi - lo)
+            if held is not None and any(held.column(k)[0] != rows.column(k)[0] for k in range(3)):
+                yield done(held)
+                held = None
+            held = rows if held is None else pa.concat_tables([held, rows])
+    if held is not None:
+        yield done(held)
+
+
+def _in_groups(rows: DataFrame, by: str, members: str, meet: int) -> DataFrame:
+    """Each row for the pairs of groups (a <= b) of its ``by`` that its own group is in; a group has about ``meet`` members."""
+    rows = rows.withColumn("groups", F.ceil(F.col(members) / meet).cast("int")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("groups")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("groups") - 1))
+    return rows.withColumn("other", other).withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")}).drop("groups", "other")
+
+
+def _through_hubs(compared: DataFrame, parts: DataFrame, meet: int) -> DataFrame:
+    """(u, v): links between components among members of a hub that differ little from it."""
+    near = compared.where("apart is not null").join(parts, "key", "left").withColumn("part", F.coalesce("component", "key"))
+    several = near.groupBy("hub").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("members")).where("low < high").select("hub", "members")
+    rows = _in_groups(near.join(several, "hub"), "hub", "members", meet).select("hub", "a", "b", "key", "whole", "n", "lacks", "part", "own", "apart")
+    return rows.repartition("hub", "a", "b").sortWithinPartitions("hub", "a", "b").mapInArrow(_met_by_hub, "u long, v long").distinct()
+
+
+def _others(live: DataFrame, hubs: DataFrame, compared: DataFrame, parts: DataFrame, meet: int) -> DataFrame:
+    """(u, v): pairs of a signature whose components differ and that weren't compared through its hub."""
+    through = compared.where("apart is not null").select("hub", "key", F.lit(True).alias("through"))
+    rows = live.join(parts, "key", "left").select("mark", "key", "n", F.coalesce("component", "key").alias("part"))
+    several = rows.groupBy("mark").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("members")).where("low < high").select("mark", "members")
+    rows = rows.join(several, "mark").join(hubs.select("mark", "hub"), "mark").join(through, ["hub", "key"], "left").withColumn("through", F.coalesce("through", F.lit(False)))
+    rows = written(rows.select("mark", "key", "n", "part", "members", "through"), "parts")
+    # A signature whose members were all compared through the hub has no pairs left.
+    left = rows.groupBy("mark").agg(F.min("through").alias("all")).where("not all").select("mark")
+    rows = _in_groups(rows.join(left, "mark"), "mark", "members", meet)
+    one = rows.select("mark", "a", "b", "own", F.col("key").alias("u"), F.col("n").alias("un"), F.col("part").alias("up"), "through")
+    two = rows.where("not through").select("mark", "a", "b", F.col("own").alias("vo"), F.col("key").alias("v"), F.col("n").alias("vn"), F.col("part").alias("vp"))
+    # Of two that both weren't, one order is enough; across groups a pair is met in one place only.
+    once = (F.col("through") | (F.col("u") < F.col("v"))) & ((F.col("a") == F.col("b")) | (F.col("own") != F.col("vo")))
+    met = one.join(two, ["mark", "a", "b"]).where(once & (F.col("up") != F.col("vp")) & _alike(F.col("un"), F.col("vn")))
+    met = met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.least("un", "vn").alias("n"))
+    return met.groupBy("u", "v").agg(F.count(F.lit(1)).alias("shared"), F.min("n").alias("n")).where(_ENOUGH).select("u", "v")
 
 
 def joined(docs: DataFrame, rare: int = RARE, most: int = FREQUENT, meet: int = MEET) -> DataFrame:
@@ -259,10 +354,19 @@ def joined(docs: DataFrame, rare: int = RARE, most: int = FREQUENT, meet: int =
     shared = marked.groupBy("mark").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     live = written(marked.join(shared.hint("shuffle_hash"), "mark").select("mark", "key", "n", "members"), "live")
 
-    pairs = written(_stars(live), "pairs")
-    links = _verified(pairs, classes, named, "links")
-    rest = written(_across(live, components(links), meet).join(pairs, ["u", "v"], "left_anti"), "others")
-    links = links.unionByName(_verified(rest, classes, named, "links_of_others"))
+    hubs = written(_hubs(live), "hubs")
+    stars = live.join(hubs, "mark").where((F.col("key") != F.col("hub")) & _alike(F.col("n"), F.col("hub_n"))).groupBy("hub", "key").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("n", "hub_n")).alias("n")).where(_ENOUGH)
+    stars = written(stars.select("hub", "key"), "stars")
+    both = _sets_of(stars, ("hub", "key"), classes, named, "stars").select("hub", "key", "hub_set", "key_set")
+    compared = written(both.mapInArrow(_apart, "hub long, key long, similar boolean, whole long, n long, lacks long, apart array<long>"), "compared")
+    links = compared.where("similar").select(F.col("hub").alias("u"), F.col("key").alias("v"))
+
+    named_part = lambda: components(links).select(F.col("node").alias("key"), "component")
+    links = links.unionByName(written(_through_hubs(compared, named_part(), meet), "through_hubs"))
+    done = compared.select(F.least("hub", "key").alias("u"), F.greatest("hub", "key").alias("v"))
+    others = written(_others(live, hubs, compared, named_part(), meet).join(done, ["u", "v"], "left_anti"), "others")
+    similar = _sets_of(others, ("u", "v"), classes, named, "others").where(_similar("u_set", "v_set"))
+    links = links.unionByName(written(similar.select("u", "v"), "links_of_others"))
 
     found = components(links)
     parts = classes.join(found, classes["key"] == found["node"], "left").select("key", F.coalesce("component", "key").alias("part"), "rep")
