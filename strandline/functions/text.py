@@ -32,20 +32,60 @@ def normalized(text: Column) -> Column:
     return F.trim(F.regexp_replace(plain, r"(?U)\s+", " "))
 
 
+#: Steps by which the length of a common beginning is found; beyond their sum it's not looked for.
+_STEPS = [1 << k for k in range(17, -1, -1)]
+
+
+def _common_start(a: Column, b: Column) -> Column:
+    """Length of the common beginning of two texts, by halving steps."""
+    least = F.least(F.length(a), F.length(b))
+    same = lambda n, step: (n + step <= least) & (F.substring(a, n + 1, step) == F.substring(b, n + 1, step))
+    return F.aggregate(F.array(*map(F.lit, _STEPS)), F.lit(0), lambda n, step: F.when(same(n, step), n + step).otherwise(n))
+
+
+def _apart(a: Column, b: Column) -> Column:
+    """Struct of both texts without their common beginning and end, backwards: as far apart as the texts."""
+    def cut(x: Column, n: Column) -> Column:
+        return F.substring(x, n + 1, F.greatest(F.lit(0), F.length(x) - n))
+
+    rest = let(_common_start(a, b), lambda n: F.struct(F.reverse(cut(a, n)).alias("a"), F.reverse(cut(b, n)).alias("b")))
+    return let(rest, lambda r: let(_common_start(r["a"], r["b"]), lambda n: F.struct(cut(r["a"], n).alias("a"), cut(r["b"], n).alias("b"))))
+
+
 def edit_distance(a: Column, b: Column) -> Column:
-    return F.levenshtein(a, b)
+    """Edit distance.  Texts that were heard twice begin and end alike mostly: only what is between is compared."""
+    return let(_apart(a, b), lambda r: F.levenshtein(r["a"], r["b"]))
 
 
-def similarity_of_normalized(a: Column, b: Column) -> Column:
-    """1 less the edit distance a character of the longer one; two blanks agree, one doesn't with anything."""
+def edit_distance_within(a: Column, b: Column, most: Column) -> Column:
+    """Edit distance if it is ``most`` at most, else -1: computed in a band of that width, and not at all if lengths differ by more."""
+    able = (most >= 0) & (F.abs(F.length(a) - F.length(b)) <= most)
+    found = let(_apart(a, b), lambda r: F.call_function("levenshtein", r["a"], r["b"], F.greatest(F.lit(0), most)))
+    return F.when(able, found).otherwise(F.lit(-1))
+
+
+def _similarity(a: Column, b: Column, distance: Column) -> Column:
     longest = F.greatest(F.length(a), F.length(b))
     return (
         F.when(a == b, F.lit(1.0))
         .when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0.0))
-        .otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - F.levenshtein(a, b) / longest))
+        .otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - distance / longest))
     )
 
 
+def similarity_of_normalized(a: Column, b: Column) -> Column:
+    """1 less the edit distance a character of the longer one; two blanks agree, one doesn't with anything."""
+    return _similarity(a, b, edit_distance(a, b))
+
+
+def similarity_within(a: Column, b: Column, least: Column) -> Column:
+    """The similarity of normalised texts if it can be ``least`` or more; else 0 or the similarity."""
+    longest = F.greatest(F.length(a), F.length(b))
+    # One more than the bound, so that rounding loses nothing.
+    most = F.least(longest, F.floor((F.lit(1.0) - least) * longest) + 1).cast("int")
+    return _similarity(a, b, let(edit_distance_within(a, b, most), lambda d: F.when(d < 0, longest).otherwise(d)))
+
+
 def similarity(a: Column, b: Column) -> Column:
     return similarity_of_normalized(normalized(a), normalized(b))
 

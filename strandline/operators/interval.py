@@ -8,28 +8,24 @@ from pyspark.sql import functions as F
 from ..functions.segments import end_of, overlap, start_of
 from ..functions.text import stripped
 
-#: Seconds of a time bucket: both sides meet in the buckets that they touch; buckets that an interval is given to at most.
-BUCKET_SECONDS, MOST_BUCKETS = 60.0, 64
-#: Buckets by which long intervals meet short ones, and all meet long turns.
-_SHORT_TURNS, _LONG_TURNS = -(1 << 62), -(1 << 62) + 1
+#: Seconds of a cell of the first level; how many times longer a cell of the next one is; seconds beyond which times aren't times.
+CELL_SECONDS, STEP, FAR = 16.0, 4, 1e15
+#: Rows that ask in one place, about; times the mean that a cell's rows are taken to be.
+PLACE_ROWS, UNEVEN = 4096, 4
 
 
-def named_by_overlap(segments: DataFrame, turns: DataFrame, key: str = "recording_id", bucket_seconds: float = BUCKET_SECONDS) -> DataFrame:
+def named_by_overlap(segments: DataFrame, turns: DataFrame, key: str = "recording_id", cell_seconds: float = CELL_SECONDS) -> DataFrame:
     """``segments`` (key, seg_idx, start, end, ...) with ``speaker`` of the turn (key, turn_idx, start, end, speaker).
 
     Among turns of equal overlap the earliest by turn_idx wins; without a positive
     overlap the speaker is null.  A null start is 0 and a null end the start;
-    what has no finite times overlaps nothing.  The join is an equi-join on key
-    and time bucket, so a long recording is divided among tasks; a pair counts
-    in the bucket where its overlap begins only.  An interval over many buckets
-    isn't given to each: it meets the others of its recording by itself.
+    what has no finite times overlaps nothing.  See :func:`overlapping` for how
+    a long recording is divided among tasks.
     """
-    left = segments.select(F.col(key).alias("__key"), F.col("seg_idx").alias("__seg"), *timed("__s", "__e")).withColumn("__bucket", F.explode(meeting(F.col("__s"), F.col("__e"), bucket_seconds, False)))
-    right = turns.select(F.col(key).alias("__tkey"), F.col("turn_idx").alias("__turn"), *timed("__ts", "__te"), F.col("speaker").alias("__speaker")).where("__te > __ts").withColumn("__tbucket", F.explode(meeting(F.col("__ts"), F.col("__te"), bucket_seconds, True)))
-    near = left.join(right, (F.col("__key") == F.col("__tkey")) & (F.col("__bucket") == F.col("__tbucket")) & (F.col("__s") < F.col("__te")) & (F.col("__ts") < F.col("__e")))
-    near = near.where((F.col("__bucket") <= _LONG_TURNS) | (F.col("__bucket") == F.floor(F.greatest("__s", "__ts") / bucket_seconds)))
+    left = segments.select(F.col(key).alias("__key"), F.col("seg_idx").alias("__seg"), *timed("__s", "__e"))
+    right = turns.select(F.col(key).alias("__tkey"), F.col("turn_idx").alias("__turn"), *timed("__ts", "__te"), F.col("speaker").alias("__speaker")).where("__te > __ts")
     shared = overlap(F.col("__s"), F.col("__e"), F.col("__ts"), F.col("__te"))
-    best = near.groupBy("__key", "__seg").agg(F.max_by("__speaker", F.struct(shared, -F.col("__turn"))).alias("speaker"))
+    best = overlapping(left, right, cell_seconds).groupBy("__key", "__seg").agg(F.max_by("__speaker", F.struct(shared, -F.col("__turn"))).alias("speaker"))
     return segments.join(best, (F.col(key) == F.col("__key")) & (F.col("seg_idx") == F.col("__seg")), "left").drop("__key", "__seg")
 
 
@@ -38,20 +34,57 @@ def timed(start: str, end: str) -> list[Column]:
     return [start_of(F.col("start")).cast("double").alias(start), end_of(F.col("start"), F.col("end")).cast("double").alias(end)]
 
 
-def meeting(start: Column, end: Column, size: float, turn: bool) -> Column:
-    """Buckets of an interval: a pair of short ones meets in those of time, any other in exactly one of the two others."""
-    finite = (F.abs(start) < 1e15) & (F.abs(end) < 1e15)
-    low = F.floor(start / size)
-    high = F.greatest(low, F.floor(end / size))
-    short = high - low < MOST_BUCKETS
-    # Sequences are computed whatever the condition, so a long one is cut short.
-    spans = F.sequence(low, F.least(high, low + MOST_BUCKETS))
-    lone = lambda *x: F.array(*map(F.lit, x)).cast("array<bigint>")
-    if turn:
-        found = F.when(short, F.concat(spans, lone(_SHORT_TURNS))).otherwise(lone(_LONG_TURNS))
-    else:
-        found = F.when(short, F.concat(spans, lone(_LONG_TURNS))).otherwise(lone(_SHORT_TURNS, _LONG_TURNS))
-    return F.when(finite, found).otherwise(lone())
+def overlapping(left: DataFrame, right: DataFrame, cell_seconds: float = CELL_SECONDS) -> DataFrame:
+    """Pairs of ``left`` (__key, __s, __e, ...) and ``right`` (__tkey, __ts, __te, ...) of one key, where each begins before the other ends.
+
+    Intervals have levels: at each, time is cut into cells, ``STEP`` times longer
+    than those of the level before, and an interval's own level is the first
+    whose cells are as long as itself, so it is in two of them at most.  A pair
+    meets at the coarser of its levels, in the cell where its overlap begins: the
+    one whose level that is stands in its own cells, and the other asks there by
+    the cells that it is in at each coarser level that the other side has in this
+    recording.  The join is an equi-join on key, level, cell and place.  A long
+    cell has one place for about ``PLACE_ROWS`` rows that ask, by how many rows
+    the recording has and how much of its time they fill; who asks goes to one of
+    them by a hash, and who stands there, mostly few, to all.  So neither long
+    intervals nor long recordings make a key that many rows share.
+    """
+    left = left.where((F.abs("__s") < FAR) & (F.abs("__e") < FAR)).withColumn("__level", _level(F.col("__e") - F.col("__s"), cell_seconds))
+    right = right.where((F.abs("__ts") < FAR) & (F.abs("__te") < FAR)).withColumn("__level", _level(F.col("__te") - F.col("__ts"), cell_seconds))
+    sides = left.select(F.col("__key").alias("__k"), F.lit(True).alias("l"), "__level", F.col("__s").alias("t")).unionByName(right.select(F.col("__tkey").alias("__k"), F.lit(False).alias("l"), "__level", F.col("__ts").alias("t")))
+    stats = sides.groupBy("__k").agg(*(x for own, name in ((F.col("l"), "__l"), (~F.col("l"), "__r")) for x in (
+        F.bit_or(F.when(own, F.pow(2.0, "__level").cast("long"))).alias(f"{name}bits"), F.count(F.when(own, 1)).alias(f"{name}rows"),
+        F.approx_count_distinct(F.when(own, F.floor(F.col("t") / cell_seconds))).alias(f"{name}cells"),
+    ))).where("__lbits IS NOT NULL AND __rbits IS NOT NULL")
+
+    def places(level: str, side: str) -> str:
+        """Places of a cell of the level for the rows of a side that ask there."""
+        return f"greatest(1L, cast(ceil({side}rows * least(1.0D, {UNEVEN} * power({STEP}.0D, {level}) / greatest(1L, {side}cells)) / {PLACE_ROWS}) AS bigint))"
+
+    def put(rows: DataFrame, key: str, start: str, end: str, own: str, other: str, first: bool, name: str) -> DataFrame:
+        """Rows by all places (level, asked by the left, cell, place) where they ask or stand; of a pair of one level the left one asks."""
+        rows = rows.withColumn("__row", F.xxhash64(*rows.columns)).join(stats, F.col(key) == F.col("__k"))
+        above = f"__level + {0 if first else 1}"
+        levels = f"filter(sequence(0, 61), l -> l >= {above} AND ({other}bits & shiftleft(1L, l)) <> 0)"
+        asks = f"transform({levels}, l -> named_struct('level', l, 'left', {first}, 'spots', array(pmod(__row, {places('l', own)}))))"
+        stands = f"array(named_struct('level', __level, 'left', {not first}, 'spots', sequence(0L, {places('__level', other)} - 1)))"
+        stands = f"filter({stands}, x -> ({other}bits & (shiftleft(1L, {above}) - 1)) <> 0)"
+        size = f"({cell_seconds}D * power({STEP}.0D, m.level))"
+        spot = "transform(m.spots, p -> named_struct('level', m.level, 'left', m.left, 'cell', c, 'place', p))"
+        cells = f"transform(sequence(floor({start} / {size}), greatest(floor({start} / {size}), floor({end} / {size}))), c -> {spot})"
+        found = rows.withColumn(name, F.explode(F.expr(f"flatten(transform(concat({asks}, {stands}), m -> flatten({cells})))")))
+        return found.drop("__k", "__level", "__row", *(f"{x}{c}" for x in ("__l", "__r") for c in ("bits", "rows", "cells")))
+
+    one = put(left, "__key", "__s", "__e", "__l", "__r", True, "__at")
+    two = put(right, "__tkey", "__ts", "__te", "__r", "__l", False, "__tat")
+    pairs = one.join(two, (F.col("__key") == F.col("__tkey")) & (F.col("__at") == F.col("__tat")) & (F.col("__s") < F.col("__te")) & (F.col("__ts") < F.col("__e")))
+    begins = F.expr(f"floor(greatest(__s, __ts) / ({cell_seconds}D * power({STEP}.0D, __at.level)))")
+    return pairs.where(F.col("__at.cell") == begins).drop("__at", "__tat")
+
+
+def _level(duration: Column, cell_seconds: float) -> Column:
+    """The first level whose cells are as long as the interval."""
+    return F.when(duration <= cell_seconds, 0).otherwise(F.ceil(F.log(float(STEP), F.when(duration > cell_seconds, duration).otherwise(cell_seconds) / cell_seconds))).cast("int")
 
 
 def relabelled(segments: DataFrame, assignments: DataFrame, key: str = "recording_id") -> DataFrame:

@@ -5,26 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.segments import overlap_ratio, prepared, score
-from ..functions.text import let
+from ..functions.segments import SPEAKER_BONUS, TEXT_WEIGHT, TIME_WEIGHT, overlap_ratio, prepared, score_from
+from ..functions.text import let, similarity_within
 from .alignment import SAME
-from .interval import BUCKET_SECONDS, meeting, timed
+from .interval import CELL_SECONDS, overlapping, timed
 
 
-def unmatched(current: DataFrame, previous: DataFrame, key: str = "recording_id", least: float = SAME, bucket_seconds: float = BUCKET_SECONDS) -> DataFrame:
+def unmatched(current: DataFrame, previous: DataFrame, key: str = "recording_id", least: float = SAME, cell_seconds: float = CELL_SECONDS) -> DataFrame:
     """``current`` segments that score less than ``least`` with each ``previous`` one of their recording that overlaps them.
 
-    Both have key, seg_idx, start, end, text, speaker.  Pairs meet by key and
-    time bucket, so a long recording is divided among tasks, and an edit
-    distance is only computed where it can matter.  What overlaps nothing stays.
+    Both have key, seg_idx, start, end, text, speaker.  Pairs meet by key, level
+    and cell of time (see :func:`.interval.overlapping`).  From the times and
+    speakers follows how alike the texts must be, so an edit distance is computed
+    in a band only, where lengths allow one at all.  What overlaps nothing stays.
     """
     seg = F.struct("start", "end", "text", "speaker")
     one = lambda side: F.element_at(prepared(F.array(seg)), 1).alias(side)
-    left = current.select(F.col(key).alias("__key"), F.col("seg_idx").alias("__seg"), *timed("__s", "__e"), one("b")).withColumn("__bucket", F.explode(meeting(F.col("__s"), F.col("__e"), bucket_seconds, False)))
-    right = previous.select(F.col(key).alias("__pkey"), *timed("__ps", "__pe"), one("a")).withColumn("__pbucket", F.explode(meeting(F.col("__ps"), F.col("__pe"), bucket_seconds, True)))
-    near = left.join(right, (F.col("__key") == F.col("__pkey")) & (F.col("__bucket") == F.col("__pbucket")) & (F.col("__s") < F.col("__pe")) & (F.col("__ps") < F.col("__e")))
-    # Without words in common only times count, and these alone never make a match.
-    able = overlap_ratio(F.col("__ps"), F.col("__pe"), F.col("__s"), F.col("__e")) * 0.3 + 0.7 * F.least(F.length("a.norm"), F.length("b.norm")) / F.greatest(F.lit(1), F.length("a.norm"), F.length("b.norm")) + 0.15 >= least
-    found = near.where(let(F.struct(F.col("a"), F.col("b"), able.alias("able")), lambda x: F.when(x["able"] | (x["a"]["norm"] == x["b"]["norm"]), score(x["a"], x["b"])).otherwise(F.lit(0.0))) >= least)
+    left = current.select(F.col(key).alias("__key"), F.col("seg_idx").alias("__seg"), *timed("__s", "__e"), one("b"))
+    right = previous.select(F.col(key).alias("__tkey"), *timed("__ts", "__te"), one("a"))
+    near = overlapping(left, right, cell_seconds)
+    both = F.col("a.spk").isNotNull() & F.col("b.spk").isNotNull()
+    time = overlap_ratio(F.col("__ts"), F.col("__te"), F.col("__s"), F.col("__e"))
+    needed = (F.lit(least) - time * TIME_WEIGHT - F.when(both, F.lit(SPEAKER_BONUS)).otherwise(0.0)) / TEXT_WEIGHT
+    near = near.where(~both | (F.col("a.spk") == F.col("b.spk"))).withColumn("__time", time).withColumn("__needed", needed)
+    text = similarity_within(F.col("a.norm"), F.col("b.norm"), F.col("__needed"))
+    found = near.where(let(text, lambda t: score_from(t, F.col("__time"), F.col("a.spk"), F.col("b.spk"))) >= least)
     matched = found.select(F.col("__key"), F.col("__seg")).distinct()
     return current.join(matched, (F.col(key) == F.col("__key")) & (F.col("seg_idx") == F.col("__seg")), "left_anti")

@@ -130,9 +130,9 @@ def overlap_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_SCORED} SELECT recording_id, a_seg_idx, b_seg_idx, round(score, 6) AS score FROM scored""")
 def alignment_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pairs(spark, sf_dir).withColumns({"text_score": text.similarity(F.col("a_text"), F.col("b_text")), "time_score": segments.overlap_ratio(*_times("a"), *_times("b"))})
-    found = segments.score_from(F.col("text_score"), F.col("time_score"), segments.resolved_speaker(F.col("a_speaker")), segments.resolved_speaker(F.col("b_speaker")))
-    return rows.select("recording_id", "a_seg_idx", "b_seg_idx", F.round(found, 6).alias("score"))
+    one = lambda p: F.element_at(segments.prepared(F.array(F.struct(*(F.col(f"{p}_{c}").alias(c) for c in ("start", "end", "text", "speaker"))))), 1).alias(p)
+    rows = pairs(spark, sf_dir).select("recording_id", "a_seg_idx", "b_seg_idx", one("a"), one("b"))
+    return rows.select("recording_id", "a_seg_idx", "b_seg_idx", F.round(segments.score(F.col("a"), F.col("b")), 6).alias("score"))
 
 
 @query(f"""WITH {_PAIR} SELECT recording_id, a_seg_idx, b_seg_idx, {_prefix_sim('a_norm', 'b_norm')} AS a_more, {_prefix_sim('b_norm', 'a_norm')} AS b_more FROM pair""")

@@ -1,6 +1,8 @@
 import json
 import os
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import segments
@@ -62,7 +64,7 @@ def test_interval_join(spark):
     segs = spark.createDataFrame([("r", 0, 0.0, 10.0), ("r", 1, 100.0, 200.0), ("r", 2, 300.0, 310.0), ("s", 0, 0.0, 1.0)], "recording_id string, seg_idx long, start double, end double")
     turns = spark.createDataFrame([("r", 0, 0.0, 5.0, "first"), ("r", 1, 5.0, 10.0, "tie"), ("r", 2, 90.0, 130.0, "less"), ("r", 3, 130.0, 400.0, "most"), ("r", 4, 5.0, 5.0, "none")], "recording_id string, turn_idx long, start double, end double, speaker string")
     for size in (60.0, 3.0, 1e6):
-        got = {(r.recording_id, r.seg_idx): r.speaker for r in interval.named_by_overlap(segs, turns, bucket_seconds=size).collect()}
+        got = {(r.recording_id, r.seg_idx): r.speaker for r in interval.named_by_overlap(segs, turns, cell_seconds=size).collect()}
         assert got == {("r", 0): "first", ("r", 1): "most", ("r", 2): "most", ("s", 0): None}
 
 
@@ -76,6 +78,56 @@ def test_times_that_are_null_endless_or_very_long(spark):
     assert [r[0] for r in ratio] == [0.0, 0.0]
 
 
+def plain_pairs(segs, turns):
+    """For each segment the turn of the greatest overlap, by all pairs."""
+    out = {}
+    for key, i, s, e in segs:
+        near = [(min(e, te) - max(s, ts), -k, name) for other, k, ts, te, name in turns if other == key and te > ts and s < te and ts < e]
+        out[key, i] = max(near)[2] if near else None
+    return out
+
+
+@pytest.mark.parametrize(("seed", "cell"), [(1, 16.0), (2, 1.0), (3, 300.0)])
+def test_interval_levels(spark, seed, cell):
+    """Lengths over nine orders of magnitude, in a few recordings, against all pairs."""
+    rng = random.Random(seed)
+
+    def some(n):
+        for k in range(n):
+            start = rng.choice([rng.uniform(-500, 5000), float(rng.randrange(0, 4096, 16))])
+            yield rng.choice("rst"), k, start, start + rng.choice([0.5, 3.0, 16.0, 64.0, rng.uniform(0, 40), 10 ** rng.uniform(0, 9)])
+
+    segs = list(some(400))
+    turns = [(key, k, s, e, f"t{k}") for key, k, s, e in some(300)]
+    left = spark.createDataFrame(segs, "recording_id string, seg_idx long, start double, end double")
+    right = spark.createDataFrame(turns, "recording_id string, turn_idx long, start double, end double, speaker string")
+    got = {(r.recording_id, r.seg_idx): r.speaker for r in interval.named_by_overlap(left, right, cell_seconds=cell).collect()}
+    assert got == plain_pairs(segs, turns)
+
+
+def test_interval_cells_hold_few_rows(spark, monkeypatch):
+    """100,000 segments of one recording, a few of them as long as it: no join key holds more than a cell's rows."""
+    n = 100_000
+    rows = spark.range(n).select(F.lit("r").alias("__key"), F.col("id").alias("__seg"), (F.col("id") * 4.0).alias("__s"), F.when(F.col("id") % 10_000 == 0, n * 4.0).otherwise(F.col("id") * 4.0 + 3.0).alias("__e"))
+    other = rows.select(F.col("__key").alias("__tkey"), F.col("__seg").alias("__turn"), (F.col("__s") + 1).alias("__ts"), (F.col("__e") + 1).alias("__te"))
+    seen = []
+    join = type(rows).join
+
+    def spied(self, right, on=None, how=None):
+        seen.extend((side, c) for side in (self, right) for c in ("__at", "__tat") if c in side.columns)
+        return join(self, right, on, how) if how else join(self, right, on)
+
+    monkeypatch.setattr(type(rows), "join", spied)
+    pairs = interval.overlapping(rows, other)
+    monkeypatch.undo()
+    assert len(seen) == 2
+    for side, c in seen:
+        most = side.groupBy(side.columns[0], c).count().agg(F.max("count"), F.sum("count")).first()
+        assert most[0] < 1.2 * interval.PLACE_ROWS and most[1] < 5 * n
+    short = pairs.where("__e - __s < 10 AND __te - __ts < 10").count()
+    assert short == n - 10
+
+
 def test_unmatched(spark):
     row = "recording_id string, seg_idx long, start double, end double, text string, speaker string"
     before = spark.createDataFrame([("r", 0, 0.0, 10.0, "The harbour opens at nine.", "SPEAKER_00"), ("r", 1, 10.0, 20.0, "Boats leave soon after.", None), ("s", 0, 0.0, 1e6, "A long one", None)], row)

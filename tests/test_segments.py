@@ -113,3 +113,26 @@ def test_labels(spark):
     rows = [("SPEAKER_00", "0", "0", "SPEAKER_00"), ("1", "1", None, "1"), ("UNKNOWN", None, None, None), ("chunk2:7", None, None, "chunk2:7"), (" Noise ", None, None, None), ("[silence]", None, None, None), ("007", "7", None, "007"), ("", None, None, None), (None, None, None, None), ("SPEAKER_03", "3", "3", "SPEAKER_03")]
     got = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "i int, l string").orderBy("i").select(segments.public_speaker(F.col("l")), segments.public_segment_speaker(F.col("l"), F.lit(True)), segments.local_label(F.col("l"))).collect()
     assert [tuple(r) for r in got] == [r[1:] for r in rows]
+
+
+def test_edit_distance_of_parts(spark):
+    """Trimmed and banded distances against the plain one."""
+    import random
+
+    from .brute import distance as levenshtein
+
+    rng = random.Random(5)
+    rows = []
+    for _ in range(300):
+        a = "".join(rng.choice("abcé ") for _ in range(rng.randrange(0, 40)))
+        b = list(a)
+        for _ in range(rng.randrange(0, 6)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = rng.choice(["", "x", "ab"])
+        rows.append((a, "".join(b) if rng.random() < 0.8 else a[::-1], rng.randrange(-1, 20), levenshtein(a, "".join(b))))
+    rows = [(a, b, most, levenshtein(a, b)) for a, b, most, _ in rows]
+    df = spark.createDataFrame(rows, "a string, b string, most int, plain int")
+    found = df.select("*", text.edit_distance(F.col("a"), F.col("b")).alias("d"), text.edit_distance_within(F.col("a"), F.col("b"), F.col("most")).alias("w")).collect()
+    assert all(r.d == r.plain and r.w == (r.plain if r.plain <= r.most else -1) for r in found)
+    same = df.select(text.similarity_of_normalized(F.col("a"), F.col("b")).alias("s"), *(text.similarity_within(F.col("a"), F.col("b"), F.lit(x)).alias(f"x{x * 100:.0f}") for x in (0.3, 0.82, 1.0))).collect()
+    assert all((r[f"x{k}"] >= k / 100) == (r.s >= k / 100) and (r.s < k / 100 or r[f"x{k}"] == r.s) for r in same for k in (30, 82, 100))
