@@ -68,7 +68,7 @@ def test_stream_equals_batch(spark, tmp_path):
         (tmp_path / f"in/{k}.json").write_text("".join(json.dumps(dict(zip(names, x, strict=True))) + "\n" for x in rows if x[1] == k))
         os.utime(tmp_path / f"in/{k}.json", (1_700_000_000 + k * 60,) * 2)
     source = spark.readStream.schema(CHUNK).option("maxFilesPerTrigger", 1).option("latestFirst", "false").json(str(tmp_path / "in"))
-    query = stateful.emitted(source, 2.0).writeStream.format("memory").queryName("emitted").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query = stateful.emitted(source, 2.0, patience_seconds=None).writeStream.format("memory").queryName("emitted").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     query.awaitTermination(180)
     got = sorted((r.recording_id, r.chunk_index, r.emit_idx, r.seg.text) for r in spark.table("emitted").collect())
     batch = chunks.emitted(spark.createDataFrame(rows, CHUNK), 2.0).where("reason <> 'finalize-tail'").collect()

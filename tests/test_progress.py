@@ -40,7 +40,7 @@ def test_throttle_stream_with_tombstone(spark, tmp_path):
         path.write_text("".join(json.dumps(dict(zip(("job", "n", "progress", "at", "state"), r, strict=True))) + "\n" for r in rows() if (r[1] >= 4) == bool(k)))
         os.utime(path, (1_700_000_000 + 60 * k,) * 2)
     source = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
-    query = stateful.throttled(source, "job", "n", "progress", "at", "state").writeStream.format("memory").queryName("throttled").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query = stateful.throttled(source, "job", "n", "progress", "at", "state", keep_seconds=None).writeStream.format("memory").queryName("throttled").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted((r.job, r.n) for r in spark.table("throttled").collect()) == [("a", 0), ("a", 2), ("a", 4), ("a", 5), ("a", 6), ("b", 0), ("b", 1)]
 

@@ -1,5 +1,6 @@
 import json
 import os
+import random
 import threading
 import time
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
@@ -8,7 +9,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from strandline.operators import speakers
+from strandline.operators import chunks, speakers
 from strandline.sources import events, http, readers
 from strandline.streaming import stateful
 
@@ -66,10 +67,101 @@ def test_throttle_stream_keeps_whole_rows(spark, tmp_path):
     data = spark.createDataFrame([(1, 0, 1.0, 0.0, big, when), (1, 1, 1.1, 0.1, None, when), (None, 0, 2.0, 0.0, big + 2, None), (None, 1, 9.0, 0.1, None, when)], "job long, n long, progress double, at double, id long, ts timestamp")
     data.write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(data.schema).parquet(str(tmp_path / "in"))
-    run(stateful.throttled(source, "job", "n", "progress", "at"), "whole", tmp_path).awaitTermination(120)
+    run(stateful.throttled(source, "job", "n", "progress", "at", keep_seconds=None), "whole", tmp_path).awaitTermination(120)
     assert sorted((r.job or 0, r.n, r.id, r.ts) for r in spark.table("whole").collect()) == [(0, 0, big + 2, None), (0, 1, None, when), (1, 0, big, when)]
 
 
+def given(folder, k, rows):
+    folder.mkdir(exist_ok=True)
+    (folder / f"{k}.json").write_text("".join(json.dumps(r) + "\n" for r in rows))
+    os.utime(folder / f"{k}.json", (1_700_000_000 + 60 * k,) * 2)
+
+
+def waited(condition, seconds=90):
+    until = time.time() + seconds
+    while time.time() < until and not condition():
+        time.sleep(0.3)
+    assert condition()
+
+
+def test_tombstones_and_last_values_go(spark, tmp_path):
+    """Before its time is over an ended job's later events are void; then its state is gone, and it's a new job."""
+    schema, folder = "job string, n long, progress double, at double, state string", tmp_path / "in"
+    event = lambda job, n, progress, state: {"job": job, "n": n, "progress": progress, "at": 0.0, "state": state}
+    given(folder, 0, [event("a", 0, 1.0, "running"), event("a", 1, 9.0, "completed"), event("b", 0, 1.0, "running")])
+    source = spark.readStream.schema(schema).json(str(folder))
+    query = run(stateful.throttled(source, "job", "n", "progress", "at", "state", keep_seconds=20), "tombs", tmp_path, processingTime="500 milliseconds")
+    state = lambda name: spark.read.format("statestore").option("path", str(tmp_path / "state-tombs")).option("stateVarName", name).load()
+    try:
+        waited(lambda: spark.table("tombs").count() >= 3)
+        given(folder, 1, [event("a", 2, 50.0, "running"), event("b", 1, 1.1, "running"), event("c", 0, 1.0, "running")])
+        waited(lambda: spark.table("tombs").where("job = 'c'").count() == 1)
+        assert sorted((r.job, r.n) for r in spark.table("tombs").collect()) == [("a", 0), ("a", 1), ("b", 0), ("c", 0)]
+        assert {r.key["__key"] for r in state("ended").collect()} == {"ka"} and {r.key["__key"] for r in state("last").collect()} == {"kb", "kc"}
+        time.sleep(22)
+        given(folder, 2, [event("a", 3, 1.0, "running"), event("d", 0, 1.0, "running")])
+        waited(lambda: spark.table("tombs").where("n = 3").count() == 1)
+        waited(lambda: state("ended").count() == 0 and {r.key["__key"] for r in state("last").collect()} == {"ka", "kd"})
+    finally:
+        query.stop()
+
+
+def chunk(recording, index, last=False):
+    start = 2.0 * index
+    return {"recording_id": recording, "chunk_index": index, "chunk_start": start, "chunk_end": start + 4.0, "is_last": last, "segments": [{"start": start + 0.5, "end": start + 2.0, "text": f"first of {index}", "speaker": None}, {"start": start + 2.5, "end": start + 4.0, "text": f"second of {index}", "speaker": "SPEAKER_00"}]}
+
+
+def test_chunks_in_any_order(spark, tmp_path):
+    """Over any split and order of arrival, the stream emits what the batch does."""
+    rows = [chunk(r, k, k == 6) for r in ("r0", "r1", None) for k in range(1, 7)]
+    random.Random(7).shuffle(rows)
+    for k in range(4):
+        given(tmp_path / "in", k, rows[k::4])
+    source = spark.readStream.schema(stateful.CHUNK).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    run(stateful.emitted(source, 2.0, patience_seconds=None), "shuffled", tmp_path).awaitTermination(180)
+    shape = lambda df: sorted((str(r.recording_id), r.chunk_index, r.emit_idx, r.reason, r.seg.text) for r in df.collect())
+    batch = chunks.emitted(spark.createDataFrame([json.dumps(r) for r in rows], "string").select(F.from_json("value", stateful.CHUNK).alias("c")).select("c.*"), 2.0)
+    assert shape(spark.table("shuffled")) == shape(batch.where("reason <> 'finalize-tail'"))
+
+
+def test_a_missing_chunk_is_not_waited_for_forever(spark, tmp_path):
+    given(tmp_path / "in", 0, [chunk("r", 1), chunk("r", 3), chunk("r", 4)])
+    source = spark.readStream.schema(stateful.CHUNK).json(str(tmp_path / "in"))
+    query = run(stateful.chained(source, patience_seconds=12).select(F.col("c.chunk_index").alias("i"), F.col("b.chunk_index").alias("before")), "patient", tmp_path, processingTime="500 milliseconds")
+    seen = lambda: [(r.i, r.before) for r in spark.table("patient").collect()]
+    try:
+        waited(lambda: len(seen()) >= 1)
+        assert seen() == [(1, None)]  # 3 and 4 wait for 2
+        waited(lambda: len(seen()) >= 3)
+        assert sorted(seen()) == [(1, None), (3, 1), (4, 3)]
+        given(tmp_path / "in", 1, [chunk("r", 2), chunk("r", 5)])
+        waited(lambda: len(seen()) >= 5)
+        assert sorted(seen())[1:] == [(2, None), (3, 1), (4, 3), (5, 4)] or sorted(seen(), key=lambda x: x[0]) == [(1, None), (2, None), (3, 1), (4, 3), (5, 4)]
+    finally:
+        query.stop()
+
+
+def test_speakers_go_on_from_a_batch(spark, tmp_path):
+    """The first half in a batch, the rest in a stream of several parts: the labels and the profiles of one pass."""
+    rng = random.Random(3)
+    voices = [[1.0, 0.1, 0.0], [0.0, 1.0, 0.1], [0.1, 0.0, 1.0], [0.9, 0.3, 0.0]]
+    rows = [(None if k % 5 == 0 else f"r{k % 2}", k, 1 + k // 8, str(k % 3), k * 3.0, k * 3.0 + rng.choice([1.0, 2.0, 2.5]), "words", [x + rng.gauss(0, 0.05) for x in rng.choice(voices)]) for k in range(60)]
+    settings = speakers.Settings(seed_seconds=2.0, merge_seed_seconds=4.0, merge_similarity_threshold=0.8, merge_margin=0.02)
+    data = spark.createDataFrame(rows, ROW.replace("recording_id long", "recording_id string"))
+    observed = speakers.observations(data, settings).select("recording_id", "seq", "chunk_index", "local_speaker", "seconds", "vector")
+    later = sorted((r for r in observed.collect() if r.seq >= 30), key=lambda r: r.seq)
+    for k in range(2):
+        given(tmp_path / "in", k, [r.asDict() for r in later[15 * k : 15 * k + 15]])
+    source = spark.readStream.schema(observed.schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    memory = speakers.memory(data.where("seq < 30"), settings)
+    run(stateful.speakers(source, settings, memory), "continued", tmp_path).awaitTermination(180)
+    got = {r.seq: (r.recording_id, r.emitted_speaker) for r in spark.table("continued").collect()}
+    whole = speakers.resolved_speakers(data, settings).collect()
+    assert got == {r.seq: (r.recording_id, r.emitted_speaker) for r in whole if r.seq >= 30} and len(got) == 30
+    shape = lambda df: sorted((str(r.recording_id), r.speaker_id, r.embedding_count, round(r.total_seconds, 6), [round(x, 6) for x in r.centroid or []], len(r.exemplars)) for r in df.collect())
+    assert shape(stateful.profiles_of(spark, str(tmp_path / "state-continued"))) == shape(speakers.profiles(data, settings))
+
+
 class Service(BaseHTTPRequestHandler):
     jobs: list = []
     said: list = []
