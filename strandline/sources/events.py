@@ -4,6 +4,10 @@ Registered as data source ``strandline_events``.  A read takes what arrives
 within a time, or so many events; the events are part of the offset that Spark
 writes before they count, so a restart reads the same batch again, and the
 connection goes on after the last event's id.
+
+A connection that is cut, or a server that can't answer now (5xx), ends a read
+with what has come; ``maxFailures`` such reads in a row without an event fail the
+query.  What the server refuses (4xx) fails it at once.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ import time
 import urllib.error
 import urllib.request
 from collections.abc import Iterable, Iterator
+from http.client import HTTPException
 
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
@@ -40,6 +45,7 @@ class EventsReader(SimpleDataSourceStreamReader):
     def __init__(self, options: dict):
         self.url, self.key = options["url"], options.get("key")
         self.most, self.seconds = int(options.get("maxeventspertrigger", 1000)), float(options.get("maxwaitseconds", 5))
+        self.failures, self.most_failures = 0, int(options.get("maxfailures", 10))
 
     def initialOffset(self) -> dict:
         return {"n": 0, "id": None, "skip": 0, "events": []}
@@ -57,8 +63,15 @@ class EventsReader(SimpleDataSourceStreamReader):
                     last = name or last
                     if len(rows) >= self.most or time.monotonic() > until:
                         break
-        except (TimeoutError, urllib.error.URLError, ConnectionError):
-            pass  # what has come so far is this read's
+            self.failures = 0
+        except TimeoutError:
+            self.failures = 0  # nothing more for now
+        except (urllib.error.URLError, ConnectionError, HTTPException) as error:
+            waited = isinstance(getattr(error, "reason", None), TimeoutError)
+            refused = isinstance(error, urllib.error.HTTPError) and error.code < 500
+            self.failures = 0 if rows or waited else self.failures + 1
+            if refused or self.failures >= self.most_failures:
+                raise
         skip = skip + len(rows) if last is None else 0
         return iter(rows), {"n": start["n"] + len(rows), "id": last, "skip": skip, "events": [list(row) for row in rows]}
 
@@ -67,7 +80,7 @@ class EventsReader(SimpleDataSourceStreamReader):
 
 
 class Events(DataSource):
-    """Options: url, key, maxEventsPerTrigger, maxWaitSeconds."""
+    """Options: url, key, maxEventsPerTrigger, maxWaitSeconds, maxFailures."""
 
     @classmethod
     def name(cls) -> str:

@@ -13,6 +13,7 @@ import json
 import urllib.error
 import urllib.request
 from collections.abc import Iterator
+from http.client import HTTPException
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,9 +38,9 @@ class Client:
             return reference
         return f"{self.base}{reference}" if "/" in reference else f"{self.base}/api/transfer/{reference}"
 
-    def call(self, method: str, reference: str, body: bytes | None = None, content_type: str = "application/json") -> bytes | None:
+    def call(self, method: str, reference: str, body: bytes | None = None, content_type: str = "application/json", headers: dict | None = None) -> bytes | None:
         """The answer's content, None if there is none."""
-        request = urllib.request.Request(self.url(reference), data=body, method=method)
+        request = urllib.request.Request(self.url(reference), data=body, method=method, headers=headers or {})
         request.add_header("Content-Type", content_type)
         if self.key:
             request.add_header("Authorization", f"Bearer {self.key}")
@@ -106,7 +107,15 @@ class JobsReader(SimpleDataSourceStreamReader):
     def read(self, start: dict):
         rows: list[tuple] = []
         # The service holds the first call until there is a job; the others take what there is.
-        while len(rows) < self.most and (job := self.client.claim(self.types, 0 if rows else self.wait)):
+        while len(rows) < self.most:
+            try:
+                job = self.client.claim(self.types, 0 if rows else self.wait)
+            except (OSError, HTTPException, ValueError):
+                if not rows:
+                    raise
+                break  # what is claimed must come into the offset; the next read meets the failure, if it lasts
+            if not job:
+                break
             rows.append((str(job.get("job_id") or job.get("id")), job.get("type"), json.dumps(job.get("metadata") or {})))
         return iter(rows), {"claimed": start["claimed"] + len(rows), "jobs": [list(row) for row in rows]}
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.operators import chunks, speakers
-from strandline.sources import events, http, readers
+from strandline.sources import events, http, posting, readers, writers
 from strandline.streaming import stateful
 
 from .test_speakers import ROW
@@ -284,3 +284,142 @@ def test_transfers(spark, service):
     assert got["gone"].content is None and "404" in got["gone"].error
     http.uploaded(client)(spark.createDataFrame([("xyz", bytearray(b"content"))], "reference string, content binary"), 0)
     assert ("/api/transfer/xyz", "content") in Service.said
+
+
+def test_claims_before_a_failure_are_kept(service, monkeypatch):
+    reader = http.JobsReader({"url": service, "types": "asr", "maxwaitseconds": "0"})
+    claim, calls = reader.client.claim, []
+
+    def failing(*x):
+        calls.append(x)
+        if len(calls) >= 3:
+            raise ConnectionResetError
+        return claim(*x)
+
+    monkeypatch.setattr(reader.client, "claim", failing)
+    rows, end = reader.read(reader.initialOffset())
+    assert [r[0] for r in rows] == ["1", "2"] and [j[0] for j in end["jobs"]] == ["1", "2"]
+    with pytest.raises(ConnectionResetError):  # nothing is lost by this one
+        reader.read(end)
+
+
+class Answers(BaseHTTPRequestHandler):
+    """Answers by the path's first part; counts posts by their idempotency key."""
+
+    counted: dict = {}
+    tries: list = []
+
+    def log_message(self, *_):
+        pass
+
+    def do_GET(self):
+        part = self.path.split("/")[1]
+        if part == "cut":
+            body = b"id: 1\ndata: one\n\ndata: two"
+            self.send_response(200)
+            self.send_header("Transfer-Encoding", "chunked")
+            self.end_headers()
+            self.wfile.write(b"%x\r\n" % len(body) + body + b"\r\n50\r\nand")  # the next chunk isn't whole
+            self.close_connection = True
+            return
+        self.told(int(part))
+
+    def do_POST(self):
+        body = self.rfile.read(int(self.headers.get("Content-Length") or 0)).decode()
+        key = self.headers.get("Idempotency-Key")
+        Answers.tries.append(key)
+        first = Answers.tries.count(key) == 1
+        if self.path == "/refused":
+            return self.told(403)
+        if self.path == "/canceled":
+            return self.told(409)
+        if self.path == "/busy" and first:
+            return self.told(503)
+        Answers.counted.setdefault(key, (self.path, body))
+        if self.path == "/lost" and first:  # taken, but the answer doesn't arrive
+            self.close_connection = True
+            return None
+        return self.told(200)
+
+    def told(self, status):
+        self.send_response(status)
+        self.send_header("Content-Length", "0")
+        self.end_headers()
+
+
+@pytest.fixture
+def answers():
+    Answers.counted, Answers.tries = {}, []
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Answers)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def test_events_that_fail(answers):
+    reader = lambda path: events.EventsReader({"url": f"{answers}/{path}", "maxwaitseconds": "1", "maxfailures": "3"})
+    for code in (401, 404):
+        with pytest.raises(OSError):
+            one = reader(code)
+            one.read(one.initialOffset())
+    one = reader(500)
+    assert [list(one.read(one.initialOffset())[0]) for _ in range(2)] == [[], []]
+    with pytest.raises(OSError):
+        one.read(one.initialOffset())
+    one = reader("cut")
+    assert list(one.read(one.initialOffset())[0]) == [(0, "1", "message", "one")]
+
+
+def as_rows(rows):
+    return iter([type("Row", (), {"asDict": lambda self, r=r: r})() for r in rows])
+
+
+def test_each_result_is_posted_once(spark, answers, tmp_path):
+    """Answers that are lost, a busy service, a task tried again and a replayed batch: one post a result."""
+    spark.dataSource.register(posting.Posts)
+    rows = [{"reference": f"/{kind}", "body": f"result {k}", "post_id": str(k)} for k, kind in enumerate(["plain", "lost", "busy", "canceled"] * 5)]
+    given(tmp_path / "in", 0, rows[:10])
+    given(tmp_path / "in", 1, rows[10:])
+    source = spark.readStream.schema("reference string, body string, post_id string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    stream = source.writeStream.format("strandline_posts").option("url", answers).option("name", "results").option("report", "/report").option("pauseSeconds", 0.01)
+    stream.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(120)
+    posted = {k: v for k, v in Answers.counted.items() if v[0] != "/report"}
+    assert posted == {f"results:{r['post_id']}": (r["reference"], r["body"]) for r in rows if r["reference"] != "/canceled"}
+    reports = [json.loads(v[1]) for v in Answers.counted.values() if v[0] == "/report"]
+    assert sorted((r["batch"], r["state"], r["posts"], r["canceled"]) for r in reports) == [(0, "committed", 8, 2), (1, "committed", 7, 3)]
+    # A task that is tried again sends its rows again; as do rows without an id.
+    writer = posting.StreamPosting({"url": answers, "name": "results", "pauseseconds": "0"})
+    before = len(Answers.counted)
+    assert writer.write(as_rows([*rows[:10], *[{"reference": "/plain", "body": "no id"}] * 2])) == posting.Posted(10, 2)
+    assert len(Answers.counted) == before + 1
+    with pytest.raises(OSError):
+        writer.write(as_rows([{"reference": "/refused", "body": ""}]))
+
+
+def test_posts_of_a_batch(spark, answers):
+    spark.dataSource.register(posting.Posts)
+    spark.createDataFrame([("/plain", f"{k}") for k in range(9)], "reference string, body string").write.format("strandline_posts").mode("append").option("url", answers).save()
+    assert sorted(v[1] for v in Answers.counted.values()) == sorted(str(k) for k in range(9))
+
+
+def test_job_calls(service):
+    """What a client creates, cancels and opens."""
+    client = http.Client(service)
+    client.create("asr", {"k": 1})
+    client.cancel("7")
+    client.channel()
+    assert [(p, json.loads(b)) for p, b in Service.said] == [("/api/jobs", {"type": "asr", "metadata": {"k": 1}}), ("/api/jobs/7/cancel", {}), ("/api/transfer", {})]
+
+
+def test_routing_by_event(spark):
+    rows = spark.createDataFrame([(k, ["status", "result", "other"][k % 3]) for k in range(12)], "k int, event string")
+    found = readers.routed(rows, {"status": lambda df: df.select("k"), "result": lambda df: df.select((F.col("k") * 10).alias("k"))})
+    assert {n: sorted(r.k for r in df.collect()) for n, df in found.items()} == {"status": [0, 3, 6, 9], "result": [10, 40, 70, 100]}
+
+
+def test_post_each_in_groups(spark, tmp_path):
+    def post(rows):
+        (tmp_path / f"{rows[0]['k']}.json").write_text(json.dumps(rows))
+
+    writers.post_each(post, 4)(spark.range(10).selectExpr("id AS k").coalesce(1), 0)
+    assert sorted(len(json.loads(f.read_text())) for f in tmp_path.glob("*.json")) == [2, 4, 4]
