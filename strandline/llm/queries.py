@@ -157,8 +157,8 @@ tab AS (SELECT list(c ORDER BY i) AS crc FROM t WHERE k = 8),
 g AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
 h AS (SELECT g.*, xor(list_reduce(list_transform(range(length(key)), lambda j: ascii(substr(key, j + 1, 1))::BIGINT), lambda c, x: xor(c // 256, crc[1 + (xor(c, x) % 256)]), 4294967295::BIGINT), 4294967295::BIGINT) % 20 AS kind FROM g, tab),
 d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS again FROM h),
-n AS (SELECT conv_id, coalesce(conv_id::VARCHAR, '') AS conv, turn, role, text, substr(role, 1, 1) AS i, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth FROM d),
-f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+n AS (SELECT conv_id, coalesce(conv_id::VARCHAR, '') AS conv, turn, role, text, substr(role, 1, 1) AS i, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM d),
+f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) AS nth, CASE WHEN NOT regexp_matches(text, '[^ 	-
 ]') THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][ 	-
 ]*\z') THEN 'truncated' ELSE 'none' END AS fault,
   lag(i) OVER (PARTITION BY conv ORDER BY n) AS before FROM n),
