@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, FloatType
+from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
 
 def duration_seconds(samples: Column, rate: Column) -> Column:
@@ -107,25 +107,52 @@ def resample(samples: pd.Series, source: pd.Series, target: pd.Series) -> pd.Ser
     return pd.Series([None if x is None or not a or not b else resampled(np.asarray(x, np.float64), int(a), int(b)) for x, a, b in zip(samples, source, target, strict=True)])
 
 
-def embedder(embed, initialize=None):
-    """A column function (samples, rate) -> vector around ``embed``, set up once a Python worker.
+#: Models that this Python worker has set up, by name: None, or why that failed.
+_READY: dict[str, str | None] = {}
 
-    ``embed`` is a model outside the engine; a null or an error gives null.
-    """
 
-    @pandas_udf(ArrayType(FloatType()))
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        if initialize is not None:
+def _set_up(name: str, initialize) -> str | None:
+    """Sets a model up once a worker process, whatever its tasks; a failure is remembered, too."""
+    if name not in _READY:
+        try:
             initialize()
+            _READY[name] = None
+        except Exception as error:
+            _READY[name] = str(error) or type(error).__name__
+    return _READY[name]
+
+
+def embedder(embed, initialize=None, name: str | None = None, errors: bool = False):
+    """A column function (samples, rate) -> vector around ``embed``, a model outside the engine.
 
-        def one(x, rate):
-            try:
-                found = embed(np.asarray(x, np.float32), int(rate))
-            except Exception:  # a model's failure is a row without a vector
-                return None
-            return None if found is None else np.asarray(found, np.float32)
+    ``initialize`` runs once a Python worker for each ``name`` (its own, unless
+    given).  A null gives null, as does an error; with ``errors`` the result is a
+    struct of vector and error, which says why.
+    """
+    shape = ArrayType(FloatType())
+    name = name or (f"{initialize.__module__}.{initialize.__qualname__}" if initialize is not None else "")
+
+    def one(x, rate, broken: str | None) -> tuple:
+        if x is None or broken is not None:
+            return None, broken
+        try:
+            found = embed(np.asarray(x, np.float32), int(rate))
+        except Exception as error:  # a model's failure is a row without a vector
+            return None, str(error) or type(error).__name__
+        return (None if found is None else np.asarray(found, np.float32)), None
+
+    def found(samples: pd.Series, rates: pd.Series) -> list[tuple]:
+        broken = None if initialize is None else _set_up(name, initialize)
+        return [one(x, r, broken) for x, r in zip(samples, rates, strict=True)]
+
+    @pandas_udf(shape)
+    def vectors(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for samples, rates in batches:
+            yield pd.Series([v for v, _ in found(samples, rates)])
 
+    @pandas_udf(StructType([StructField("vector", shape), StructField("error", StringType())]))
+    def with_errors(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for samples, rates in batches:
-            yield pd.Series([None if x is None else one(x, r) for x, r in zip(samples, rates, strict=True)])
+            yield pd.DataFrame(found(samples, rates), columns=["vector", "error"])
 
-    return run
+    return with_errors if errors else vectors

@@ -506,7 +506,33 @@ def centroid_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.repartition("label").sortWithinPartitions("label", "vec_id").mapInPandas(run, "label int, total_seconds double, embedding_count int, first double, last double")
 
 
-@query()
+_UNIT = "list_transform({x}, lambda y: y / sqrt(list_dot_product({x}, {x})))"
+#: Per recording and utterance: profiles p (number, centroid, seconds), labels a, numbers given; a label's number is replaced when its profile is merged.
+_RESOLVER = f"""WITH RECURSIVE u AS (SELECT vec_id // 64 AS rec, vec_id AS seq, ((vec_id % 64) // 8 + 1)::INT AS chunk, label::VARCHAR AS local, 2.0::DOUBLE + vec_id % 4 AS s, {_UNIT.format(x='embedding::DOUBLE[]')} AS v,
+  row_number() OVER (PARTITION BY vec_id // 64 ORDER BY vec_id) AS k FROM embeddings),
+f AS (SELECT DISTINCT rec, 0::BIGINT AS k, []::STRUCT(n BIGINT, c DOUBLE[], s DOUBLE)[] AS p, []::STRUCT(chunk INT, local VARCHAR, n BIGINT)[] AS a, 0::BIGINT AS numbers, NULL::BIGINT AS seq, NULL::INT AS chunk, NULL::VARCHAR AS local, NULL::VARCHAR AS emitted FROM u UNION ALL
+  SELECT rec, k, CASE WHEN stays IS NULL THEN p ELSE list_append(list_filter(p, lambda x: x.n <> stays AND x.n <> goes), {{'n': stays, 'c': {_UNIT.format(x='mean')}, 's': ps.s + pg.s}}) END,
+    CASE WHEN stays IS NULL THEN a ELSE list_transform(a, lambda x: {{'chunk': x.chunk, 'local': x.local, 'n': CASE WHEN x.n = goes THEN stays ELSE x.n END}}) END, numbers, seq, chunk, local, emitted FROM (
+    SELECT *, CASE WHEN ps IS NULL THEN own.c ELSE list_transform(list_zip(ps.c, pg.c), lambda z: z[1] * ps.s + z[2] * pg.s) END AS mean FROM (
+      SELECT *, list_filter(p, lambda x: x.n = stays)[1] AS ps, list_filter(p, lambda x: x.n = goes)[1] AS pg FROM (
+        SELECT *, CASE WHEN same THEN least(own.n, near[1].n) END AS stays, CASE WHEN same THEN greatest(own.n, near[1].n) END AS goes FROM (
+          SELECT *, coalesce(own.s >= 4 AND -near[1].d >= 0.5 AND -near[1].d - coalesce(-near[2].d, -1) >= 0.02, false) AS same FROM (
+            SELECT * EXCLUDE (p), list_append(p, own) AS p, list_sort(list_transform(list_filter(p, lambda x: x.s >= 4), lambda x: {{'d': -list_dot_product(x.c, own.c), 'n': x.n}})) AS near FROM (
+              SELECT * EXCLUDE (p, a), list_filter(p, lambda x: x.n <> number) AS p, CASE WHEN cur IS NULL THEN list_append(a, {{'chunk': chunk, 'local': local, 'n': number}}) ELSE a END AS a,
+                {{'n': number, 'c': {_UNIT.format(x='mixed')}, 's': coalesce(old.s, 0) + s}} AS own FROM (
+                SELECT *, CASE WHEN old IS NULL THEN v ELSE list_transform(list_zip(old.c, v), lambda z: z[1] * old.s + z[2] * s) END AS mixed FROM (
+                  SELECT *, list_filter(p, lambda x: x.n = number)[1] AS old FROM (
+                    SELECT * EXCLUDE (numbers), coalesce(given, CASE WHEN like_ THEN ready[1].n ELSE numbers END) AS number, numbers + CASE WHEN given IS NULL AND NOT like_ THEN 1 ELSE 0 END AS numbers FROM (
+                      SELECT *, coalesce(-ready[1].d >= 0.2, false) AS like_, CASE WHEN given IS NULL THEN 'chunk' || chunk || ':' || local ELSE 'SPEAKER_' || lpad(given::VARCHAR, 2, '0') END AS emitted FROM (
+                        SELECT * EXCLUDE (numbers), coalesce(cur, CASE WHEN chunk = 1 THEN numbers END) AS given, numbers + CASE WHEN cur IS NULL AND chunk = 1 THEN 1 ELSE 0 END AS numbers,
+                          list_sort(list_transform(list_filter(p, lambda x: x.s >= 2), lambda x: {{'d': -list_dot_product(x.c, v), 'n': x.n}})) AS ready FROM (
+                          SELECT f.rec, u.k, f.p, f.a, f.numbers, u.seq, u.chunk, u.local, u.s, u.v, list_filter(f.a, lambda x: x.chunk = u.chunk AND x.local = u.local)[1].n AS cur FROM f JOIN u ON f.rec = u.rec AND u.k = f.k + 1))))))))))))),
+last AS (SELECT rec, unnest(a) AS a FROM f QUALIFY k = max(k) OVER (PARTITION BY rec))
+SELECT f.rec AS recording_id, f.seq, f.chunk AS chunk_index, f.local AS local_speaker, f.emitted AS emitted_speaker, 'SPEAKER_' || lpad(l.a.n::VARCHAR, 2, '0') AS speaker
+FROM f JOIN last l ON f.rec = l.rec AND f.chunk = l.a.chunk AND f.local = l.a.local WHERE f.k > 0"""
+
+
+@query(_RESOLVER)
 def speaker_resolver(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors as utterances of 2 to 5 seconds, a recording for every 64 of them, in chunks of 8 with local labels."""
     n = F.col("vec_id")

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.functions import vectors
+from strandline.functions import audio, vectors
 from strandline.operators import speakers
 
 ROW = "recording_id long, seq long, chunk_index int, speaker string, start double, end double, text string, vector array<float>"
@@ -134,3 +134,42 @@ def test_fold_column_equals_profile(spark):
 def test_vectors(spark):
     row = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0], [0.0, 0.0])], "a array<float>, b array<float>, z array<float>").select(vectors.cosine(F.col("a"), F.col("b")), vectors.unit(F.col("a")), vectors.unit(F.col("z")), vectors.cosine(F.col("a"), F.col("z"))).first()
     assert row[0] == pytest.approx(0.96) and row[1] == pytest.approx([0.6, 0.8]) and row[2] is None and row[3] is None
+
+
+def test_a_failure_ends_the_learning(spark):
+    """From the first failed embedding on, labels are given but nothing is learnt; other recordings go on."""
+    rows = [(r, k, 1 + k // 4, "x" if k % 2 else "y", k * 3.0, k * 3.0 + 2.0, "words", A if k % 2 else [0.0, 1.0, 0.0][: len(A)], r == 1 and k == 5) for r in (1, 2) for k in range(12)]
+    data = spark.createDataFrame(rows, ROW + ", failed boolean")
+    settings = speakers.Settings(seed_seconds=2.0)
+    got = {(r.recording_id, r.seq): r.speaker for r in speakers.resolved_speakers(data, settings).collect()}
+    without = {(r.recording_id, r.seq): r.speaker for r in speakers.resolved_speakers(data.drop("failed"), settings).collect()}
+    cut = {(r.recording_id, r.seq): r.speaker for r in speakers.resolved_speakers(data.drop("failed").withColumn("vector", F.expr("if(recording_id = 1 and seq >= 5, null, vector)")), settings).collect()}
+    assert got == cut and {k: v for k, v in got.items() if k[0] == 2} == {k: v for k, v in without.items() if k[0] == 2} and got != without
+
+
+SET_UP: list = []
+
+
+def set_up():
+    SET_UP.append(1)
+
+
+def broken():
+    SET_UP.append(1)
+    raise RuntimeError("no such model")
+
+
+def test_a_model_is_set_up_once(spark, tmp_path):
+    def embed(samples, rate):
+        if len(samples) == 3:
+            raise ValueError("too short")
+        return [1.0, float(rate)]
+
+    data = spark.createDataFrame([([0.0] * n, 16) for n in (2, 3, 4)] + [(None, 16)], "samples array<float>, rate int")
+    rows = data.repartition(1).select(audio.embedder(embed, set_up, errors=True)("samples", "rate").alias("e"), F.size("samples").alias("n")).collect()
+    assert {r.n: (r.e.vector, r.e.error) for r in rows if r.n in (2, 3, 4)} == {2: ([1.0, 16.0], None), 3: (None, "too short"), 4: ([1.0, 16.0], None)}
+    assert [r.x for r in data.select(audio.embedder(embed, broken)("samples", "rate").alias("x")).collect()] == [None] * 4
+    assert {r.x.error for r in data.select(audio.embedder(embed, broken, errors=True)("samples", "rate").alias("x")).collect()} == {"no such model"}
+    audio._READY.clear()
+    SET_UP.clear()
+    assert [audio._set_up("one", broken) for _ in range(3)] == ["no such model"] * 3 and len(SET_UP) == 1
