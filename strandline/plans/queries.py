@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import audio, segments, settings, text, vectors
-from ..operators import alignment, chunks, interval, matching, nearest, progress, speakers
+from ..operators import alignment, chunks, interval, likeness, matching, nearest, progress, speakers
 from ..sources import readers, writers
 from .timeline import CHUNK_SECONDS, LATER, LOST, OVERLAP_SECONDS, PACE, WINDOW_SECONDS, heard_again, pairs, spread, table, timeline, windows
 from .timeline import chunks as timeline_chunks
@@ -400,9 +399,11 @@ def sse_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_type AS route, count(*)::BIGINT AS n, sum((props::JSON ->> 'k')::BIGINT)::BIGINT AS k FROM events GROUP BY event_type""")
 def props_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each event type's handler would count; one pass, as all of them count the same."""
-    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("route"), F.get_json_object("props", "$.k").try_cast("long").alias("k"))
-    return rows.groupBy("route").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k"))
+    """What each event type's handler counts of the events that are routed to it."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("event"), F.get_json_object("props", "$.k").try_cast("long").alias("k"))
+    count = lambda kind: lambda df: df.groupBy().agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k")).select(F.lit(kind).alias("route"), "n", "k").where("n > 0")
+    found = readers.routed(rows, {kind: count(kind) for kind in _AS_STATE})
+    return functools.reduce(DataFrame.unionByName, found.values())
 
 
 @query("""SELECT DISTINCT user_id, event_type, round(value, 2) AS "start", round(value + 1, 2) AS "end" FROM events""")
@@ -436,18 +437,25 @@ _DOT = "list_dot_product(a::DOUBLE[], b::DOUBLE[])"
 @query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS a, lag(embedding::DOUBLE[]) OVER (ORDER BY vec_id) AS b FROM embeddings)
 SELECT vec_id, round(list_dot_product(a, b) / sqrt(list_dot_product(a, a)) / sqrt(list_dot_product(b, b)), 6) AS cosine FROM v WHERE b IS NOT NULL""")
 def cosine_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each vector and the one before it, joined by their places."""
-    return _beside(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    """Each vector and the one before it."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("place"), "embedding")
+    found = vectors_before(rows).where("before IS NOT NULL")
+    return found.select(F.col("place").alias("vec_id"), F.round(vectors.cosine(F.col("embedding"), F.col("before")), 6).alias("cosine"))
 
 
-def _beside(rows: DataFrame) -> DataFrame:
-    """Places are ranks by vec_id, whatever its gaps: within buckets of ids, after the sizes of the buckets before."""
-    rows = rows.withColumn("bucket", F.floor(F.col("vec_id") / 1024))
-    before = F.coalesce(F.sum("count").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = rows.groupBy("bucket").count().select("bucket", before.alias("offset"))
-    placed = rows.join(offsets, "bucket").withColumn("place", F.col("offset") + F.row_number().over(Window.partitionBy("bucket").orderBy("vec_id")))
-    after = placed.select((F.col("place") + 1).alias("place"), F.col("embedding").alias("before"))
-    return placed.join(after, "place").select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("before")), 6).alias("cosine"))
+def vectors_before(rows: DataFrame, levels: int = 2) -> DataFrame:
+    """Adds ``before`` to rows (place, embedding): the embedding of the place before, whatever the gaps.
+
+    Within buckets of places it's a lag; a bucket's first one has the last of
+    the bucket before, which is found in the same way among buckets.  So each
+    row is exchanged once, and no task orders more than a bucket's rows.
+    """
+    if not levels:
+        return rows.withColumn("before", F.lag("embedding").over(Window.orderBy("place")))
+    inside = rows.withColumn("bucket", F.floor(F.col("place") / 1024)).withColumn("before", F.lag("embedding").over(Window.partitionBy("bucket").orderBy("place")))
+    last = inside.groupBy("bucket").agg(F.max_by("embedding", "place").alias("embedding")).select(F.col("bucket").alias("place"), "embedding")
+    earlier = vectors_before(last, levels - 1).select(F.col("place").alias("bucket"), F.col("before").alias("earlier"))
+    return inside.join(earlier, "bucket").withColumn("before", F.coalesce("before", "earlier")).drop("earlier", "bucket")
 
 
 _MEANS = """c AS (SELECT label, list(v ORDER BY i) AS b FROM (SELECT label, i, avg(v) AS v FROM (SELECT label, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY label, i) GROUP BY label)"""
@@ -480,30 +488,25 @@ def merge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.merge_candidates(known, 8.0).withColumns({c: F.round(c, 6) for c in ("score", "margin")})
 
 
+@query("""WITH v AS (SELECT vec_id, list_transform(x, lambda y: y / sqrt(list_dot_product(x, x))) AS u FROM (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings) WHERE list_dot_product(x, x) > 0),
+p AS (SELECT a.vec_id, b.vec_id AS other, round(list_dot_product(a.u, b.u), 9) AS cosine FROM v a JOIN v b ON a.vec_id <> b.vec_id)
+SELECT vec_id, (row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, other))::INT AS rank, other, round(cosine, 6) AS cosine FROM p QUALIFY rank <= 2""")
+def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two vectors most like each one."""
+    found = likeness.most_alike(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return found.select(F.col("id").alias("vec_id"), "rank", "other", F.round("cosine", 6).alias("cosine"))
+
+
 @query("""WITH RECURSIVE e AS (SELECT label, embedding::DOUBLE[] AS x, 1 + vec_id % 4 AS d, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings),
 u AS (SELECT label, n, d::DOUBLE AS d, list_transform(x, lambda v: v / sqrt(list_dot_product(x, x))) AS x FROM e),
 f AS (SELECT label, n, x AS c, d AS total FROM u WHERE n = 1 UNION ALL SELECT label, n, list_transform(y, lambda v: v / sqrt(list_dot_product(y, y))), total FROM (
   SELECT u.label, u.n, list_transform(list_zip(f.c, u.x), lambda p: (p[1] * f.total + p[2] * u.d) / (f.total + u.d)) AS y, f.total + u.d AS total FROM f JOIN u ON f.label = u.label AND u.n = f.n + 1))
-SELECT label, total AS total_seconds, n::INT AS embedding_count, round(c[1], 6) AS first, round(c[64], 6) AS last FROM f WHERE n = (SELECT max(n) FROM u WHERE u.label = f.label)""")
+SELECT label, total AS total_seconds, n::INT AS embedding_count, unnest(range(len(c)))::INT AS i, round(unnest(c), 6) AS value FROM f WHERE n = (SELECT max(n) FROM u WHERE u.label = f.label)""")
 def centroid_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The profile of a label from its vectors in order, 1 to 4 seconds each; a streamed fold."""
+    """The profile of a label from its vectors in order, 1 to 4 seconds each, component by component."""
     rows = table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding", (F.col("vec_id") % 4 + 1).cast("double").alias("seconds"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, voice = None, None
-        for frame in frames:
-            for label, vector, seconds in zip(frame["label"].tolist(), frame["embedding"], frame["seconds"].tolist(), strict=True):
-                if voice is not None and label != now:
-                    yield done(now, voice)
-                    voice = None
-                now, voice = label, speakers.joined(voice, speakers.utterance(speakers.direction(vector), seconds))
-        if voice is not None:
-            yield done(now, voice)
-
-    def done(label, p) -> pd.DataFrame:
-        return pd.DataFrame([(label, p.seconds, p.count, round(p.centroid[0], 6), round(p.centroid[-1], 6))], columns=["label", "total_seconds", "embedding_count", "first", "last"])
-
-    return rows.repartition("label").sortWithinPartitions("label", "vec_id").mapInPandas(run, "label int, total_seconds double, embedding_count int, first double, last double")
+    found = speakers.folded(rows, "label", "vec_id", "embedding", "seconds")
+    return found.select("label", "total_seconds", "embedding_count", F.posexplode("centroid").alias("i", "value")).withColumn("value", F.round("value", 6))
 
 
 _UNIT = "list_transform({x}, lambda y: y / sqrt(list_dot_product({x}, {x})))"
