@@ -52,10 +52,14 @@ def overlapping(left: DataFrame, right: DataFrame, cell_seconds: float = CELL_SE
     left = left.where((F.abs("__s") < FAR) & (F.abs("__e") < FAR)).withColumn("__level", _level(F.col("__e") - F.col("__s"), cell_seconds))
     right = right.where((F.abs("__ts") < FAR) & (F.abs("__te") < FAR)).withColumn("__level", _level(F.col("__te") - F.col("__ts"), cell_seconds))
     sides = left.select(F.col("__key").alias("__k"), F.lit(True).alias("l"), "__level", F.col("__s").alias("t")).unionByName(right.select(F.col("__tkey").alias("__k"), F.lit(False).alias("l"), "__level", F.col("__ts").alias("t")))
-    stats = sides.groupBy("__k").agg(*(x for own, name in ((F.col("l"), "__l"), (~F.col("l"), "__r")) for x in (
-        F.bit_or(F.when(own, F.pow(2.0, "__level").cast("long"))).alias(f"{name}bits"), F.count(F.when(own, 1)).alias(f"{name}rows"),
-        F.approx_count_distinct(F.when(own, F.floor(F.col("t") / cell_seconds))).alias(f"{name}cells"),
-    ))).where("__lbits IS NOT NULL AND __rbits IS NOT NULL")
+    # Rows and levels of both sides, and the cells of the first level that each fills: counted by cell, then by recording.
+    own = {"__l": "l", "__r": "NOT l"}
+    by_cell = sides.withColumn("bit", F.expr("shiftleft(1L, __level)")).groupBy("__k", F.expr(f"floor(t / {cell_seconds}D)").alias("c")).agg(*(
+        F.expr(x) for name, side in own.items() for x in (f"bit_or(CASE WHEN {side} THEN bit ELSE 0L END) AS {name}bits", f"sum(CASE WHEN {side} THEN 1L ELSE 0L END) AS {name}rows")
+    ))
+    stats = by_cell.groupBy("__k").agg(*(
+        F.expr(x) for name in own for x in (f"bit_or({name}bits) AS {name}bits", f"sum({name}rows) AS {name}rows", f"sum(CASE WHEN {name}rows > 0 THEN 1L ELSE 0L END) AS {name}cells")
+    )).where("__lbits <> 0 AND __rbits <> 0")
 
     def places(level: str, side: str) -> str:
         """Places of a cell of the level for the rows of a side that ask there."""
