@@ -132,6 +132,88 @@ def test_a_repeat_becomes_a_few_symbols(lowest):
     assert len(grammar.sequence) < 100 and (grammar.decoded() == ids).all() and (grammar.decoded(777, 1234) == ids[777:1234]).all()
 
 
+def places(pair):
+    return ((pair[0] << 32 | pair[1]) * int(tokenfile._MIX) % 2**64) >> (64 - tokenfile.PLACES)
+
+
+def test_pairs_that_share_a_place_are_counted_apart():
+    wanted = places((7, 8))
+    rare = next((a, b) for a in range(10, 4000) for b in range(4000, 6000) if places((a, b)) == wanted)
+    common = np.tile(np.array([7, 8], np.uint32), 2000)
+    grammar = tokenfile.re_pair(np.r_[common, np.array(rare, np.uint32)])
+    assert len(grammar.rules) and len(grammar.sequence) < 100
+    # Two frequent pairs in one place: both are found, with their numbers.
+    keys = np.array([7 << 32 | 8] * 30 + [rare[0] << 32 | rare[1]] * 25 + [1 << 32 | 2] * 3, np.uint64)
+    pairs, times, at, index = tokenfile._pairs(keys, 24)
+    assert {int(pairs[i]): int(times[i]) for i in index} == {7 << 32 | 8: 30, rare[0] << 32 | rare[1]: 25} and len(at) == 55
+
+
+def plain_re_pair(ids, frequent):
+    """One pair at a time, the most frequent by occurrences that don't overlap. Returns symbols and rules."""
+    symbols, rules, name = list(ids), 0, max(ids) + 1
+    while True:
+        at, seen = {}, Counter()
+        for i, pair in enumerate(zip(symbols, symbols[1:], strict=False)):
+            if at.get(pair, -2) != i - 1:
+                seen[pair] += 1
+                at[pair] = i
+        if not seen or max(seen.values()) < frequent:
+            return len(symbols), rules
+        best, out, i = max(seen, key=seen.get), [], 0
+        while i < len(symbols):
+            hit = i + 1 < len(symbols) and (symbols[i], symbols[i + 1]) == best
+            out.append(name if hit else symbols[i])
+            i += 2 if hit else 1
+        symbols, rules, name = out, rules + 1, name + 1
+
+
+def test_as_short_as_a_plain_re_pair(sample):
+    coder = tokens.encoder(public_tokenizers.path("word_bpe_49k.json"), False)
+    texts = [r.text or "" for r in sample.orderBy("doc_id").limit(60).collect()]
+    ids = np.concatenate(coder.encode(pa.array(texts)))[:20_000]
+    grammar = tokenfile.re_pair(ids, frequent=20, least_gain=0.0)
+    symbols, rules = plain_re_pair(ids.tolist(), 20)
+    assert len(grammar.sequence) + 2 * len(grammar.rules) <= 1.02 * (symbols + 2 * rules)
+
+
+def test_access_reads_what_the_span_needs(monkeypatch):
+    ids = np.random.default_rng(5).zipf(1.3, 300_000).clip(0, 5000).astype(np.uint32)
+    grammar = tokenfile.re_pair(ids)
+    lengths, expanded, read = grammar.lengths, tokenfile.Grammar.expanded, []
+    marks = grammar.marks(lengths)
+    monkeypatch.setattr(tokenfile.Grammar, "_table", None)
+    monkeypatch.setattr(tokenfile.Grammar, "expanded", lambda self, symbols: read.append(len(symbols)) or expanded(self, symbols))
+    for start, stop in ((0, 1), (5, 5), (150_000, 150_003), (299_990, 300_000), (1000, 21_000)):
+        assert (grammar.decoded(start, stop, lengths, marks) == ids[start:stop]).all()
+        assert read.pop() <= stop - start + 1
+    assert (grammar.decoded(299_000, None, lengths, marks) == ids[299_000:]).all()
+
+
+def test_documents_longer_than_a_block_and_one_id(spark):
+    rows = [(1, "short one"), (2, "many words here " * 700), (2, "other words there " * 300), (None, "a b c " * 900), (3, None), (3, "x"), (3, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    file = tokenfile.stored(docs, path, block_ids=100)
+    assert max(r.n_ids for r in file.collect()) <= 200
+    got = tokenfile.read_back(file).collect()
+    assert sorted((r.doc_id or -1, r.n_tokens, r.ids_crc32) for r in got) == sorted((k or -1, len(b) // 4, zlib.crc32(b)) for k, v in expected("word_bpe_49k.json", rows).items() for b in v)
+    got.sort(key=lambda r: r.start)
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(len(got))] and [r.doc_id for r in got] == [None, 1, 2, 2, 3, 3, 3]
+
+
+def test_rows_of_one_id_are_divided(spark):
+    """Null ids throughout, a third of the texts equal: still several ranges (small ranges are left as they are here)."""
+    one = spark.range(20_000).selectExpr("cast(null as long) doc_id", "if(id % 3 = 0, 'the same', concat('text ', id)) text")
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")
+    try:
+        file = tokenfile.stored(one, public_tokenizers.path("word_bpe_49k.json"), block_ids=500)
+    finally:
+        spark.conf.unset(setting)
+    parts = [r[1] for r in file.groupBy("part").agg({"n_docs": "sum"}).collect()]
+    assert sum(parts) == 20_000 and max(parts) < 1.2 * 20_000 / len(parts) and len(parts) > 1
+
+
 @settings(deadline=None, max_examples=40)
 @given(st.lists(st.integers(0, 3), max_size=400), st.integers(2, 8))
 def test_no_frequent_pair_is_left(symbols, frequent):
@@ -196,3 +278,4 @@ def test_grammar_round_trip_and_random_access(symbols, frequent, data):
         a = data.draw(st.integers(0, len(ids) - 1))
         b = data.draw(st.integers(a + 1, len(ids)))
         assert (grammar.decoded(a, b) == ids[a:b]).all()
+        assert (grammar.decoded(a, b, lengths, grammar.marks(lengths)) == ids[a:b]).all()
