@@ -81,24 +81,48 @@ def slice_seconds(samples: Column, rate: Column, start: Column, end: Column) ->
     return F.when(high > low, F.slice(samples, low + 1, F.greatest(high - low, F.lit(0))))
 
 
-def resampled(samples: np.ndarray, source: int, target: int, zeros: int = 10) -> np.ndarray:
-    """Polyphase resampling by a windowed sinc filter; the length is that of the same time, rounded up."""
+def _ratio(source: int, target: int) -> tuple[int, int]:
+    common = int(np.gcd(source, target))
+    return target // common, source // common
+
+
+def resampled_length(count: int, source: int, target: int) -> int:
+    """Samples after resampling: those of the same time, rounded up."""
+    up, down = _ratio(source, target)
+    return -(-count * up // down)
+
+
+def resampled_from(start: int, stop: int, count: int, source: int, target: int, zeros: int = 10) -> tuple[int, int]:
+    """The range of ``count`` source samples on which the target samples from start to stop depend."""
+    up, down = _ratio(source, target)
+    width = 0 if up == down else zeros * max(up, down)
+    return max(0, -(-(start * down - width) // up)), min(count, ((stop - 1) * down + width) // up + 1)
+
+
+def resampled(samples: np.ndarray, source: int, target: int, zeros: int = 10, start: int = 0, stop: int | None = None, first: int = 0, count: int | None = None) -> np.ndarray:
+    """Polyphase resampling by a windowed sinc filter; the length is that of the same time, rounded up.
+
+    With ``start`` and ``stop`` a piece of the result; then ``samples`` may be
+    the part, from ``first``, of ``count`` samples that :func:`resampled_from`
+    names.  Pieces are the same, sample by sample, as in one pass.
+    """
+    count = len(samples) if count is None else count
+    stop = resampled_length(count, source, target) if stop is None else stop
     if source == target or not len(samples):
-        return samples.astype(np.float32)
-    common = np.gcd(source, target)
-    up, down = target // common, source // common
+        return samples[start - first : stop - first].astype(np.float32)
+    up, down = _ratio(source, target)
     width = zeros * max(up, down)
     taps = np.arange(-width, width + 1)
     kernel = np.sinc(taps / max(up, down)) * np.kaiser(2 * width + 1, 5.0)
     kernel *= up / kernel.sum()
-    places = np.arange(-(-len(samples) * up // down)) * down  # in the upsampled signal
+    places = np.arange(start, stop) * down  # in the upsampled signal
     out = np.zeros(len(places))
-    first = -(-(places - width) // up)
+    lowest = -(-(places - width) // up)
     for k in range(2 * width // up + 1):
-        at = first + k
+        at = lowest + k
         tap = places - at * up + width
-        inside = (at >= 0) & (at < len(samples)) & (tap >= 0) & (tap <= 2 * width)
-        out[inside] += samples[at[inside]] * kernel[tap[inside]]
+        inside = (at >= 0) & (at < count) & (tap >= 0) & (tap <= 2 * width)
+        out[inside] += samples[at[inside] - first] * kernel[tap[inside]]
     return out.astype(np.float32)
 
 

@@ -75,6 +75,19 @@ def routed(events: DataFrame, handlers: dict[str, Callable[[DataFrame], DataFram
     return {kind: handler(events.where(F.col("event") == kind)) for kind, handler in handlers.items()}
 
 
+def channel(frames: bytes, channels: int, width: int) -> np.ndarray:
+    """Mean of the channels of each whole frame, from -1 to 1."""
+    frames = frames[: len(frames) // (width * channels) * width * channels]  # a cut file may end within a frame
+    if width == 3:
+        raw = np.frombuffer(frames, np.uint8).reshape(-1, 3).astype(np.int32)
+        values = ((raw[:, 0] | raw[:, 1] << 8 | raw[:, 2] << 16) << 8 >> 8) / float(1 << 23)
+    elif width == 1:
+        values = (np.frombuffer(frames, np.uint8).astype(np.float64) - 128) / 128
+    else:
+        values = np.frombuffer(frames, f"<i{width}") / float(1 << (8 * width - 1))
+    return values.reshape(-1, channels).mean(axis=1)
+
+
 def _wav(content: bytes, rate: int) -> tuple[np.ndarray | None, str | None]:
     if not content:
         return None, "the payload is empty"
@@ -85,17 +98,9 @@ def _wav(content: bytes, rate: int) -> tuple[np.ndarray | None, str | None]:
         return None, f"not a readable WAV file: {error}"
     if source <= 0:
         return None, "no valid sample rate"
-    frames = frames[: len(frames) // width * width]  # a cut file may end within a sample
-    if width == 3:
-        raw = np.frombuffer(frames, np.uint8).reshape(-1, 3).astype(np.int32)
-        values = ((raw[:, 0] | raw[:, 1] << 8 | raw[:, 2] << 16) << 8 >> 8) / float(1 << 23)
-    elif width == 1:
-        values = (np.frombuffer(frames, np.uint8).astype(np.float64) - 128) / 128
-    else:
-        values = np.frombuffer(frames, f"<i{width}") / float(1 << (8 * width - 1))
-    if len(values) < channels:
+    mono = channel(frames, channels, width)
+    if not len(mono):
         return None, "no audio frames"
-    mono = values[: len(values) // channels * channels].reshape(-1, channels).mean(axis=1)
     return resampled(mono, source, rate), None
 
 

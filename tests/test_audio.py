@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import audio
-from strandline.sources import readers
+from strandline.sources import readers, recordings
 
 
 def one(spark, schema, row, *columns):
@@ -86,3 +86,47 @@ def test_models_behind_columns(spark):
     assert [(t.path, t.turn_idx, t.start, t.end, t.speaker) for t in turns[:2]] == [("a", 0, 0.0, 1.0, "3"), ("a", 1, 1.0, 2.0, "b")] and turns[2].error == "division by zero"
     found = readers.recognised(spark.createDataFrame([("a", [1.0, 1.0], 2), ("b", [-1.0], 2)], "path string, samples array<float>, sample_rate int"), recognise).orderBy("path").collect()
     assert (found[0].text, found[0].end, found[0].error) == ("hm", 1.0, None) and found[1].error == "RuntimeError"
+
+
+@pytest.mark.parametrize("source, target", [(44_100, 16_000), (8_000, 16_000), (1_000, 1_600), (16_000, 16_000), (11_025, 8_000)])
+def test_pieces_of_a_resampled_signal_are_those_of_one_pass(source, target):
+    signal = np.random.default_rng(3).normal(size=5_003)
+    whole = audio.resampled(signal, source, target)
+    assert len(whole) == audio.resampled_length(len(signal), source, target)
+    for step in (1, 37, 700):
+        for start in range(0, len(whole), step)[:50]:
+            stop = min(len(whole), start + step)
+            low, high = audio.resampled_from(start, stop, len(signal), source, target)
+            piece = audio.resampled(signal[low:high], source, target, start=start, stop=stop, first=low, count=len(signal))
+            assert (piece == whole[start:stop]).all()
+
+
+def test_an_hour_in_many_tasks(spark, tmp_path):
+    signal = np.sin(np.arange(3_600_000) ** 1.1 / 900) * 0.9
+    (tmp_path / "an hour.wav").write_bytes(wav(signal, 1_000))
+    rows = recordings.pieces(spark, str(tmp_path), rate=1_600, seconds=60).withColumn("task", F.spark_partition_id()).orderBy("piece").collect()
+    whole = readers._wav((tmp_path / "an hour.wav").read_bytes(), 1_600)[0]
+    assert [r.piece for r in rows] == list(range(60)) and [r.start for r in rows] == [96_000 * k for k in range(60)]
+    assert len({r.task for r in rows}) == spark.sparkContext.defaultParallelism
+    assert max(len(r.samples) for r in rows) == 96_000 and (np.concatenate([r.samples for r in rows]).astype(np.float32) == whole).all()
+
+
+def test_pieces_overlap_and_odd_files(spark, tmp_path):
+    stereo = np.stack([np.linspace(-0.5, 0.5, 805), np.full(805, 0.25)], axis=1).reshape(-1)
+    (tmp_path / "a.wav").write_bytes(wav(stereo, 800, 2))
+    (tmp_path / "cut.wav").write_bytes(wav(stereo, 800, 2)[:-3])
+    (tmp_path / "empty.wav").write_bytes(b"")
+    (tmp_path / "noise.wav").write_bytes(b"no audio at all")
+    (tmp_path / "silent.wav").write_bytes(wav([], 800))
+    rows = {}
+    for r in recordings.pieces(spark, str(tmp_path), rate=800, seconds=0.5, overlap=0.25).orderBy("path", "piece").collect():
+        rows.setdefault(r.path.rsplit("/", 1)[1], []).append(r)
+    whole = readers._wav((tmp_path / "a.wav").read_bytes(), 800)[0]
+    assert [(r.start, len(r.samples)) for r in rows["a.wav"]] == [(0, 600), (400, 405), (800, 5)]
+    assert all((np.array(r.samples, np.float32) == whole[r.start : r.start + len(r.samples)]).all() for r in rows["a.wav"])
+    assert [len(r.samples) for r in rows["cut.wav"]] == [600, 404, 4]
+    assert "empty.wav" not in rows  # Spark passes it over
+    for name in ("noise.wav", "silent.wav"):
+        assert len(rows[name]) == 1 and rows[name][0].samples is None and rows[name][0].error
+    (tmp_path / "none").mkdir()
+    assert recordings.pieces(spark, str(tmp_path / "none")).collect() == []
