@@ -12,7 +12,7 @@ set, the first pass gives every document.
 A token is a word by default.  Nulls: a null source is a source of its own, a
 null text has no tokens.  Documents without tokens are given with the block
 they fall in.  Sources without tokens give one pass.  Repeated rows are rows
-like others.  An empty table gives an empty result.
+like others; rows of one id, or of none, are shuffled by their texts.  An empty table gives an empty result.
 
 One row a source is gathered to the driver, nothing else.
 """
@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, with_sum_before, written
+from .common import shuffled, text_or_empty, with_sum_before, written
 
 #: Tokens and rows of a block, on average at most.
 BLOCK_TOKENS, BLOCK_ROWS = 1 << 18, 20_000
@@ -113,7 +113,7 @@ def mixed(docs: DataFrame, tokens: Column | None = None, budget: float | None =
     rows = docs.select(
         name.alias("source"),
         (words(text_or_empty()) if tokens is None else F.coalesce(tokens, F.lit(0))).cast("long").alias("tokens"),
-        F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"),
+        shuffled(seed).alias("key"),
         F.struct(*(carry or ["*"])).alias("row"),
     )
     if carry:

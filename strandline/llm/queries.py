@@ -83,7 +83,7 @@ def queries() -> dict:
 
 #: Words, shares, two bisections (entropy, then repetition), budgets, blocks in the order of each pass, documents in each block.
 _MIXING = f"""WITH RECURSIVE d AS (
-  SELECT doc_id, source, coalesce('s:' || source, '') AS name, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS tokens, md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+  SELECT doc_id, source, coalesce('s:' || source, '') AS name, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS tokens, md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS key FROM documents),
 given AS (SELECT name, sum(tokens)::BIGINT AS n, count(*) AS docs FROM d GROUP BY name),
 l AS (SELECT list(n::DOUBLE ORDER BY name) AS ns, list(n / total ORDER BY name) AS p, count(*) AS k FROM (SELECT name, n, sum(n) OVER ()::DOUBLE AS total FROM given WHERE n > 0)),
 e AS (SELECT ns, p, k, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high, 1.0::DOUBLE AS a, 0 AS i FROM l UNION ALL
@@ -118,7 +118,7 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
 #: crc32 from its table, byte by byte, as DuckDB has no function for it; then ranks, fractions and equal cuts.
 _SHARDING = f"""WITH RECURSIVE t AS (SELECT i, i::BIGINT AS c, 0 AS k FROM range(256) x(i) UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT) ELSE c // 2 END, k + 1 FROM t WHERE k < 8),
 tab AS (SELECT list(c ORDER BY i) AS crc FROM t WHERE k = 8),
-h AS (SELECT doc_id, coalesce('s:' || source, '') AS name, hex(encode(coalesce(text, ''))) AS h, md5('{sharding.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+h AS (SELECT doc_id, coalesce('s:' || source, '') AS name, hex(encode(coalesce(text, ''))) AS h, md5('{sharding.SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS key FROM documents),
 b AS (SELECT *, list_transform(range(length(h) // 2), lambda i: (instr('0123456789ABCDEF', substr(h, 2 * i + 1, 1)) * 16 + instr('0123456789ABCDEF', substr(h, 2 * i + 2, 1)) - 17)::BIGINT) AS b FROM h),
 d AS (SELECT doc_id, name, key, length(h) // 2 + {sharding.ROW_BYTES} AS size, xor(list_reduce(b, lambda c, x: xor(c // 256, crc[1 + (xor(c, x) % 256)]), 4294967295::BIGINT), 4294967295::BIGINT)::BIGINT AS text_crc32 FROM b, tab),
 f AS (SELECT *, (row_number() OVER (PARTITION BY name ORDER BY key, doc_id, size, text_crc32) - 1 + ('0x' || substr(md5('{sharding.SEED}:' || name), 1, 8))::UBIGINT::DOUBLE / 4294967296) / count(*) OVER (PARTITION BY name) AS fraction FROM d),

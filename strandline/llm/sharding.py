@@ -10,7 +10,7 @@ small buckets of keys, and bucket counts give what lies before.  Texts are
 read for their size and checksum and never exchanged.
 
 Nulls: a null source is a source of its own, a null text has no bytes, a null
-id is shuffled as the empty text.  Rows that are equal in all that is returned
+id is the empty text; rows that share an id are shuffled by their texts.  Rows that are equal in all that is returned
 are interchangeable.  An empty table gives an empty result.
 """
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, with_sum_before, written
+from .common import shuffled, text_or_empty, with_sum_before, written
 
 #: Rows that are ranked together, on average at most; buckets whose counts are summed together.
 BUCKET_ROWS, RUN = 2_000, 4_096
@@ -45,7 +45,7 @@ def interleaved(docs: DataFrame, seed: str = SEED, bucket_rows: int = BUCKET_ROW
         F.coalesce(F.concat(F.lit("s:"), F.col("source").cast("string")), F.lit("")).alias("source"),
         (F.octet_length(text_or_empty()) + ROW_BYTES).cast("long").alias("size"),
         F.crc32(text_or_empty()).alias("text_crc32"),
-        F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"),
+        shuffled(seed).alias("key"),
     )
     rows = written(rows, "sizes")
     n = rows.count()

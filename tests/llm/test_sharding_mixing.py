@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.llm import mixing, sharding
+from strandline.llm.common import shuffled
 
 from .conftest import documents
 
@@ -15,11 +16,19 @@ def unit(text):
     return int(hashlib.md5(text.encode()).hexdigest()[:8], 16) / 2**32
 
 
+def sharding_bucket(key):
+    return F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+
+
+def key_of(name, text):
+    return hashlib.md5(f"strandline:{'' if name is None else name}:{hashlib.md5((text or '').encode()).hexdigest()}".encode()).hexdigest()
+
+
 def brute_shards(rows, count):
     """rows: (doc_id, source, text)."""
     sources = defaultdict(list)
     for name, source, text in rows:
-        key = hashlib.md5(f"strandline:{'' if name is None else name}".encode()).hexdigest()
+        key = key_of(name, text)
         sources[f"s:{source}" if source is not None else ""].append((key, name, len((text or "").encode()) + 16, zlib.crc32((text or "").encode())))
     placed = []
     for source, own in sources.items():
@@ -69,11 +78,11 @@ def test_mixture_meets_entropy_and_repetition():
 
 
 def brute_mixed(rows, plan, block_tokens, block_rows, all_once):
-    """(doc_id, pass, start) of each document given; rows: (doc_id, source, tokens)."""
+    """(doc_id, pass, start) of each document given; rows: (doc_id, source, tokens, key)."""
     md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
     out = []
     for source, budget in plan.budgets.items():
-        own = [(md5(f"strandline:{n}"), n, t) for n, s, t in rows if f"s:{s}" == source]
+        own = [(key, n, t) for n, s, t, key in rows if f"s:{s}" == source]
         of = sum(t for *_, t in own)
         blocks = defaultdict(list)
         for key, n, t in own:
@@ -91,9 +100,9 @@ def brute_mixed(rows, plan, block_tokens, block_rows, all_once):
 @pytest.mark.parametrize("budget, entropy, repetition", [(None, 0.97, 2.0), (60_000, 0.99, 5.0), (20_000, None, None)])
 def test_mixed_equals_brute_force(sample, budget, entropy, repetition):
     docs = sample.withColumn("source", F.when(F.col("doc_id") % 3 == 0, "hot").otherwise(F.col("source")))
-    rows = [(r.doc_id, r.source, len(r.text.encode().split())) for r in docs.collect()]
+    rows = [(r.doc_id, r.source, len(r.text.encode().split()), key_of(r.doc_id, r.text)) for r in docs.collect()]
     tokens = Counter()
-    for _, s, t in rows:
+    for _, s, t, _ in rows:
         tokens[f"s:{s}"] += t
     plan = mixing.mixture(dict(tokens), budget, entropy, repetition)
     got = mixing.mixed(docs, budget=budget, entropy=entropy, repetition=repetition, block_tokens=1500, block_rows=9, carry=["doc_id"]).collect()
@@ -113,6 +122,18 @@ def test_documents_without_tokens_come_once_and_in_many_blocks(spark):
     assert max(Counter((r.source, r.block) for r in got).values()) < 200
 
 
+@pytest.mark.parametrize("name", ["cast(null as long)", "7L"])
+def test_rows_of_one_id_are_spread(spark, name):
+    """100,000 rows of one id, or of none: no bucket and no block holds more than twice its bound."""
+    docs = spark.range(100_000).selectExpr(f"{name} doc_id", "concat('text ', id) text", "'one' source")
+    keys = sharding.interleaved(docs, bucket_rows=1000)
+    assert keys.count() == 100_000 and keys.select("position").distinct().count() == 100_000
+    spread = docs.select(shuffled("strandline").alias("key")).groupBy(F.floor(sharding_bucket(F.col("key")) * 100)).count()
+    assert spread.agg(F.max("count")).first()[0] < 2_000
+    blocks = mixing.mixed(docs, block_rows=1000, carry=["doc_id"]).groupBy("block").count()
+    assert blocks.agg(F.max("count")).first()[0] < 2_000
+
+
 def test_odd_mixing(odd, nothing):
     got = mixing.remixed(odd)
     assert got.columns == odd.columns
