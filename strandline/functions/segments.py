@@ -109,8 +109,12 @@ def score(a: Column, b: Column) -> Column:
 
 
 def percent(end: Column, finish: Column) -> Column:
-    """Part of the whole in percent, within 0 and 100, with one decimal; null without a whole."""
-    return F.when(finish > 0, F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), end / finish * 100.0)), 1))
+    """Part of the whole in percent, within 0 and 100, with one decimal; null without a whole.
+
+    Tenths are rounded, as SQL engines do: 0.45 that came out as 0.44999999999999996 is 0.5.
+    """
+    part = F.greatest(F.lit(0.0), F.least(F.lit(100.0), end / finish * 100.0))
+    return F.when(finish > 0, F.round(part * 10.0) / 10.0)
 
 
 def status_payload(start: Column, end: Column, text: Column, speaker: Column, annotated: Column, finish: Column) -> Column:
