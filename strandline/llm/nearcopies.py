@@ -15,9 +15,11 @@ like ones that is missed is measured in the tests and in the README.
 
 Candidates are taken in two rounds.  In the first a member proposes all it
 finds if these are ``FEW``; in a crowd, only the one of its finds that has most
-finds itself, which in a group of near copies is the text that they were made
-from, or the nearest to it.  In the second round only crowds search again, for
-all pairs within the radius that the components of the first don't join
+finds itself, its hub, which in a group of near copies is the text that they were
+made from, or the nearest to it.  Members that have one hub in the end, that which
+most name of those that each has, are settled through it (``hubs``): exactly, and
+without a row a pair.  In the second round only crowds search again, for
+all pairs within the radius that have no common hub and that components don't join
 already, and those of a crowd's main component needn't ask.  So a large group
 costs little more than its members, and no pair that was found goes untested
 unless it is joined.  Equal sets are one class from the start.  A shard beyond
@@ -47,6 +49,7 @@ from pyspark.sql.types import BooleanType
 from ..shipping import ship
 from .common import coded, slices, text_or_empty, written
 from .components import components
+from .hubs import COMPARED, apart_from_hub, through_hubs
 from .simhash import Forest
 
 SHINGLE = 5
@@ -54,8 +57,8 @@ SHINGLE = 5
 WORDS, TREE_WORDS, RADIUS, TREE_RADIUS = 16, 4, 190, 56
 #: Probability that a bit agrees at a similarity of 0.8 (cosine 8/9); that such a pair shares no block; unlike sets of a shard.
 AGREE, MISSED, SHARD_SETS = 0.848, 0.0005, 256
-#: Members of a tree at most; finds of a member that is in no crowd at most; finds of a shard that are held, and else searched for twice.
-SLICE_ROWS, FEW, HELD = 50_000, 8, 2_000_000
+#: Members of a tree at most; finds of a member that is in no crowd at most; finds of a shard that are held, and else searched for twice; members of a hub that meet at once, of each of two groups.
+SLICE_ROWS, FEW, HELD, MEET = 50_000, 8, 2_000_000, 1000
 #: Bytes of text that are shingled at once.
 SLICE = 2 << 20
 
@@ -226,7 +229,7 @@ PROPOSED = "u long, v long, shard long"
 
 
 def _proposed(chosen, shard, slice_, key, n, code) -> pa.RecordBatch:
-    """PROPOSED: pairs to be tested, or, with ``shard``, members ``u`` of its crowd; of (shard, slice, key, n, code)."""
+    """PROPOSED: pairs to be tested, or, with ``shard``, members ``u`` of its crowd and their hubs ``v``, themselves without one; of (shard, slice, key, n, code)."""
     group = np.cumsum(np.r_[0, (shard[1:] != shard[:-1]) | (slice_[1:] != slice_[:-1])])
     forest = Forest(code, group)
     cut = slice_ >= 0
@@ -252,15 +255,17 @@ def _proposed(chosen, shard, slice_, key, n, code) -> pa.RecordBatch:
             np.maximum.at(hub, own, finds[other] << 32 | ((1 << 32) - 1 - other.astype(np.int64)))
     crowd = np.flatnonzero(finds > FEW)
     led = crowd[hub[crowd] >= 0]
-    pairs.append(np.stack([key[led], key[(1 << 32) - 1 - (hub[led] & ((1 << 32) - 1))]], axis=1))
+    to = key.copy()
+    to[led] = key[(1 << 32) - 1 - (hub[led] & ((1 << 32) - 1))]
+    pairs.append(np.stack([key[led], to[led]], axis=1))
     both = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
-    u, v = np.r_[both[:, 0], key[crowd]], np.r_[both[:, 1], key[crowd]]
+    u, v = np.r_[both[:, 0], key[crowd]], np.r_[both[:, 1], to[crowd]]
     of = pa.array(np.r_[np.zeros(len(both), np.int64), shard[crowd]], mask=np.r_[np.ones(len(both), bool), np.zeros(len(crowd), bool)])
     return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), of], names=["u", "v", "shard"])
 
 
-def _across(chosen, shard, slice_, key, n, part, asks, code) -> pa.RecordBatch:
-    """Pairs within the radius whose components differ, of (shard, slice, key, n, part, asks, code); asks is 0 in a slice's tree, 1 of a query to it.
+def _across(chosen, shard, slice_, key, n, part, asks, hub, code) -> pa.RecordBatch:
+    """Pairs within the radius whose components and hubs differ, of (shard, slice, key, n, part, asks, hub, code); asks is 0 in a slice's tree, 1 of a query to it.
 
     In a shard of one slice its members are the queries.  Trees are of whole
     fingerprints here, so they propose less than those of the first round.
@@ -272,7 +277,7 @@ def _across(chosen, shard, slice_, key, n, part, asks, code) -> pa.RecordBatch:
     found = []
 
     def kept(a: np.ndarray, b: np.ndarray) -> None:
-        ok = np.flatnonzero((part[a] != part[b]) & _sizes_allow(n[a], n[b]))
+        ok = np.flatnonzero((part[a] != part[b]) & (hub[a] != hub[b]) & _sizes_allow(n[a], n[b]))
         ok = ok[_first_met(shard[a[ok]], code[a[ok]], code[b[ok]], chosen)]
         found.append(np.stack([np.minimum(key[a[ok]], key[b[ok]]), np.maximum(key[a[ok]], key[b[ok]])], axis=1))
 
@@ -345,6 +350,17 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, named: DataFrame, label: st
     return written(pairs.join(left, "u").join(right, "v").where(_similar("u_set", "v_set")).select("u", "v"), label)
 
 
+def _sets_of(pairs: DataFrame, columns: tuple[str, str], classes: DataFrame, named: DataFrame, label: str) -> DataFrame:
+    """The pairs with the sets of both, from the whole text of a row of each class."""
+    keys = pairs.select(F.explode(F.array(*columns)).alias("key")).distinct()
+    wanted = classes.join(keys, "key", "left_semi").select("key", "t.doc_id", "t.h", "t.size")
+    same = wanted["doc_id"].eqNullSafe(named["doc_id"]) & (wanted["h"] == named["h"]) & (wanted["size"] == named["size"])
+    sets = written(wanted.join(named, same).select("key", "text").dropDuplicates(["key"]).mapInArrow(_sets, "key long, set binary"), f"{label}_sets")
+    for c in columns:
+        pairs = pairs.join(sets.select(F.col("key").alias(c), F.col("set").alias(f"{c}_set")), c)
+    return pairs
+
+
 def _named(docs: DataFrame) -> DataFrame:
     """doc_id, h, size, text: hash and length stand for the text."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
@@ -371,12 +387,12 @@ def _first_round(classes: DataFrame, chosen: np.ndarray, slice_rows: int) -> Dat
 
 
 def _second_round(crowds: DataFrame, parts: DataFrame, chosen: np.ndarray, slice_rows: int) -> DataFrame:
-    """(u, v) across components, of crowds (shard, key) and parts (key, n, part, code)."""
-    rows = written(crowds.join(parts, "key").select("shard", "key", "n", "part", "code"), "crowds")
+    """(u, v) across components and hubs, of crowds (shard, key) and parts (key, n, part, hub, code)."""
+    rows = written(crowds.join(parts, "key").select("shard", "key", "n", "part", "hub", "code"), "crowds")
     several = rows.groupBy("shard").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("shard")
     rows = rows.join(several, "shard", "left_semi")
     cuts = _cuts(rows, slice_rows)
-    shape = ["shard", "slice", "key", "n", "part", "asks", "code"]
+    shape = ["shard", "slice", "key", "n", "part", "asks", "hub", "code"]
     members = _sliced(rows, cuts).withColumn("asks", F.lit(0)).select(*shape)
     if not cuts.isEmpty():
         # The component that most members of a large shard have needn't ask.
@@ -384,7 +400,22 @@ def _second_round(crowds: DataFrame, parts: DataFrame, chosen: np.ndarray, slice
         tops = large.groupBy("shard", "part").count().groupBy("shard").agg(F.max_by("part", F.struct("count", "part")).alias("main"))
         asking = large.join(tops, "shard").where("part <> main").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
         members = members.unionByName(asking.withColumn("asks", F.lit(1)).select(*shape))
-    return members.repartition("shard", "slice").sortWithinPartitions("shard", "slice", "asks").mapInArrow(_by_shard(partial(_across, chosen), 7), "u long, v long")
+    return members.repartition("shard", "slice").sortWithinPartitions("shard", "slice", "asks").mapInArrow(_by_shard(partial(_across, chosen), 8), "u long, v long")
+
+
+def _links_of(joined: DataFrame) -> DataFrame:
+    """(u, v) that join the components (node, component): a link a node."""
+    return joined.select(F.col("node").alias("u"), F.col("component").alias("v"))
+
+
+def _compared(crowds: DataFrame, joined: DataFrame, classes: DataFrame, named: DataFrame) -> DataFrame:
+    """COMPARED: members of crowds (shard, key, hub) and one hub each, that of their hubs that most name, where a hub's members are of several components."""
+    named_by = crowds.where("hub <> key").groupBy("hub").agg(F.count(F.lit(1)).alias("weight"))
+    stars = crowds.join(named_by, "hub").where("hub <> key").groupBy("key").agg(F.max(F.struct("weight", "hub")).alias("top")).select("top.hub", "key")
+    stars = written(stars.join(joined, F.col("key") == F.col("node"), "left").select("hub", "key", F.coalesce("component", "key").alias("part")), "stars")
+    several = stars.groupBy("hub").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("hub")
+    both = _sets_of(stars.join(several, "hub", "left_semi").select("hub", "key"), ("hub", "key"), classes, named, "stars")
+    return written(both.select("hub", "key", "hub_set", "key_set").mapInArrow(apart_from_hub, COMPARED), "compared")
 
 
 def near_copies(docs: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
@@ -401,12 +432,17 @@ def near_copies(docs: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     links = _confirmed(pairs, classes, named, "links")
 
     joined = components(links)
-    parts = classes.join(joined, classes["key"] == joined["node"], "left").select("key", "n", F.coalesce("component", "key").alias("part"), "code")
-    crowds = proposed.where("shard is not null").select("shard", F.col("u").alias("key"))
-    rest = written(_second_round(crowds, parts, chosen, slice_rows).distinct().join(pairs, ["u", "v"], "left_anti"), "others")
-    links = links.unionByName(_confirmed(rest, classes, named, "links_of_others"))
+    crowds = proposed.where("shard is not null").select("shard", F.col("u").alias("key"), F.col("v").alias("hub"))
+    compared = _compared(crowds, joined, classes, named)
+    similar = compared.where("similar").select(F.col("hub").alias("u"), F.col("key").alias("v"))
+    through = written(through_hubs(compared, joined.select(F.col("node").alias("key"), "component"), MEET), "through_hubs")
 
-    joined = components(links)
+    joined = components(_links_of(joined).unionByName(similar).unionByName(through))
+    hubs = compared.where("apart is not null").select("key", "hub")
+    parts = classes.join(joined, classes["key"] == joined["node"], "left").select("key", "n", F.coalesce("component", "key").alias("part"), "code")
+    parts = parts.join(hubs, "key", "left").withColumn("hub", F.coalesce("hub", "key"))
+    rest = written(_second_round(crowds.select("shard", "key"), parts, chosen, slice_rows).distinct().join(pairs, ["u", "v"], "left_anti"), "others")
+    joined = components(_links_of(joined).unionByName(_confirmed(rest, classes, named, "links_of_others")))
     return signed.join(joined, signed["key"] == joined["node"], "left").select("doc_id", "h", "size", F.coalesce("component", "key").alias("component"))
 
 
