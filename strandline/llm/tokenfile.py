@@ -39,7 +39,7 @@ from .tokens import encoder, spread
 END = 2
 #: Ids of a block, after which it ends with the document.
 BLOCK_IDS = 1 << 20
-#: A pair is frequent if it occurs so often; a round that shortens less is the last; bits of a place in the table of pairs.
+#: A pair is frequent if it occurs so often; a round that shortens less is the last; bits of a place in the table of pairs, at most.
 FREQUENT, LEAST_GAIN, PLACES = 24, 0.002, 20
 #: Symbols between two places whose number of ids before is stored.
 MARK = 1024
@@ -144,25 +144,28 @@ def _pairs(keys: np.ndarray, frequent: int) -> tuple[np.ndarray, np.ndarray, np.
     A table place that is met less often holds no such pair.  Of the pairs that
     share another place one is shown there and counted by it; the others are sorted.
     """
-    mixed = ((keys * _MIX) >> np.uint64(64 - PLACES)).view(np.int64)
-    places = np.flatnonzero((np.bincount(mixed, minlength=1 << PLACES) >= frequent)[mixed])
+    bits = min(max(len(keys).bit_length(), 1), PLACES)
+    mixed = ((keys * _MIX) >> np.uint64(64 - bits)).view(np.int64)
+    places = np.flatnonzero((np.bincount(mixed, minlength=1 << bits) >= frequent)[mixed])
     mixed, keys = mixed[places], keys[places]
-    shown = np.zeros(1 << PLACES, np.uint64)
+    shown = np.zeros(1 << bits, np.uint64)
     shown[mixed] = keys
     hidden = np.flatnonzero(shown[mixed] != keys)
     others, index, times = np.unique(keys[hidden], return_inverse=True, return_counts=True)
-    mixed[hidden] = (1 << PLACES) + index
-    return np.r_[shown, others], np.bincount(mixed, minlength=(1 << PLACES) + len(others)), places, mixed
+    mixed[hidden] = (1 << bits) + index
+    return np.r_[shown, others], np.bincount(mixed, minlength=(1 << bits) + len(others)), places, mixed
 
 
 def re_pair(ids: np.ndarray, frequent: int = FREQUENT, least_gain: float = LEAST_GAIN) -> Grammar:
     """A grammar for 32-bit ids: rounds go on until no pair is frequent, or one shortens the sequence by less than ``least_gain``."""
     terminals = int(ids.max()) + 1 if len(ids) else 0
     symbols, rules, count = ids.astype(np.uint32), [np.zeros((0, 2), np.uint32)], 0
-    while len(symbols) > 1:
-        wide = symbols.astype(np.uint64)
-        keys = (wide[:-1] << _HALF) | wide[1:]
+    # Where a pair begins that may be frequent. One that isn't never will be, as replacing others makes no more of it.
+    live = np.arange(len(symbols) - 1)
+    while len(live):
+        keys = (symbols[live].astype(np.uint64) << _HALF) | symbols[live + 1]
         pairs, times, places, mixed = _pairs(keys, frequent)
+        places = live[places]
         candidates = np.flatnonzero(times >= frequent)
         candidates = candidates[np.argsort(-times[candidates], kind="stable")]
         first, last, taken = set(), set(), []
@@ -176,8 +179,10 @@ def re_pair(ids: np.ndarray, frequent: int = FREQUENT, least_gain: float = LEAST
             break
         new = np.zeros(len(pairs), np.uint32)
         new[taken] = terminals + count + np.arange(len(taken), dtype=np.uint32)
-        named = new[mixed]
-        places, named = places[named > 0], named[named > 0]
+        named, still = new[mixed], np.zeros(len(symbols), bool)
+        still[places[np.flatnonzero(times[mixed] >= frequent)]] = True
+        some = np.flatnonzero(named)
+        places, named = places[some], named[some]
         # Only a pair of equal symbols can overlap itself: of a run of places every other one holds.
         run = np.r_[True, np.diff(places) != 1]
         begin = np.maximum.accumulate(np.where(run, np.arange(len(places)), 0))
@@ -188,8 +193,12 @@ def re_pair(ids: np.ndarray, frequent: int = FREQUENT, least_gain: float = LEAST
         symbols[places] = named
         keep = np.ones(len(symbols), bool)
         keep[places + 1] = False
+        # Pairs with a new symbol; before it stands the symbol one place ahead, or another new one.
+        still[places] = still[np.maximum(places, 1) - 1] = True
         gain = len(places) / len(symbols)
-        symbols = symbols[keep]
+        kept = np.flatnonzero(keep)
+        symbols, live = symbols[kept], np.flatnonzero(still[kept])
+        live = live[live < len(symbols) - 1]
         if gain < least_gain:
             break
     return Grammar(terminals, np.concatenate(rules), symbols)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 from itertools import chain, repeat
+from string import ascii_lowercase
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +44,14 @@ class Encoder:
     def __init__(self, path: str, spaces: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: The file's model alone, for lower-case ASCII words between spaces, if its other steps leave these as they are.
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = WhitespaceSplit()
+        if self.whole([ascii_lowercase]) != self.whole([ascii_lowercase], plain=True):
+            self.model = self.tokenizer
         self.spaces = spaces
         self.special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
         vocabulary = self.tokenizer.get_vocab()
@@ -57,8 +64,8 @@ class Encoder:
         self.starts, self.counts, self.met = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.flat = np.zeros(0, np.uint32)
 
-    def whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, texts: list[str], plain: bool = False) -> list[list[int]]:
+        return [e.ids for e in (self.model if plain else self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
 
     def _apart(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each piece), each piece encoded by itself."""
@@ -66,12 +73,12 @@ class Encoder:
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum())), counts
 
-    def _together(self, pieces: list[str], divided: bool) -> tuple[np.ndarray, np.ndarray]:
-        """The same from runs of pieces, which costs less: ids tell where pieces part, or else they are encoded apart."""
+    def _together(self, pieces: list[str], divided: bool, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The same from runs of pieces, which costs less: ids tell where pieces part, or else they are encoded apart. ``plain``: by the model alone."""
         join = f" {_DIVIDER} ".join if divided else "".join if self.spaces else " ".join
         runs = [pieces[i : i + _RUN_PIECES] for i in range(0, len(pieces), _RUN_PIECES)]
         out = []
-        for run, ids in zip(runs, self.whole([join(r) for r in runs]), strict=True):
+        for run, ids in zip(runs, self.whole([join(r) for r in runs], plain), strict=True):
             found = np.array(ids, np.uint32)
             at = np.flatnonzero((self.divides if divided else self.marks)[found])
             if len(at) != len(run) - divided:
@@ -87,7 +94,10 @@ class Encoder:
         if self.spaces:
             ways = [([p for p in pieces if p[:1] == " "], lambda p: self._together(p, False)), ([p for p in pieces if p[:1] != " "], self._apart)]
         else:
-            ways = [([p for p in pieces if p.isalpha()], lambda p: self._together(p, False)), ([p for p in pieces if not p.isalpha()], lambda p: self._together(p, True))]
+            plain, words, rest = [], [], []
+            for p in pieces:
+                (rest if not p.isalpha() else plain if p.isascii() and p.islower() else words).append(p)
+            ways = [(plain, lambda p: self._together(p, False, plain=True)), (words, lambda p: self._together(p, False)), (rest, lambda p: self._together(p, True))]
         parts = [(p, *way(p)) for p, way in ways if p]
         return list(chain.from_iterable(p[0] for p in parts)), *(np.concatenate([p[i] for p in parts]) for i in (1, 2))
 
@@ -139,7 +149,8 @@ class Encoder:
         word, signs = pc.struct_field(plain, 0), pc.struct_field(plain, 1)
         word = pc.coalesce(word if self.spaces else pc.utf8_lower(word), pieces)
         parts = pa.concat_arrays([word, pc.fill_null(signs, "")]).dictionary_encode()
-        slots = self._slots(parts.dictionary.to_pylist())[parts.indices.to_numpy(zero_copy_only=False)]
+        # By way of numpy: to_pylist makes an Arrow scalar of each string.
+        slots = self._slots(parts.dictionary.to_numpy(zero_copy_only=False).tolist())[parts.indices.to_numpy(zero_copy_only=False)]
         # A table of whole pieces first, then the texts from it.
         words, marks = slots[: len(pieces)], slots[len(pieces) :]
         table = self._ids(np.stack([words, marks], axis=1).reshape(-1))

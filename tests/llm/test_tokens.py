@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers
 
 from strandline.llm import packing, tokenfile, tokens
 
@@ -279,3 +279,36 @@ def test_grammar_round_trip_and_random_access(symbols, frequent, data):
         b = data.draw(st.integers(a + 1, len(ids)))
         assert (grammar.decoded(a, b) == ids[a:b]).all()
         assert (grammar.decoded(a, b, lengths, grammar.marks(lengths)) == ids[a:b]).all()
+
+
+def test_plain_words_are_encoded_by_the_model_alone():
+    coder, seen = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"), False), []
+    full = coder.tokenizer
+
+    class Recorder:
+        def encode_batch_fast(self, texts, **options):
+            seen.extend(texts)
+            return full.encode_batch_fast(texts, **options)
+
+    coder.tokenizer = Recorder()
+    texts = ["Plain words, PLAIN words; and 12 naïve ones", "it's don't ΑΣ ñandú", "zyzzyva " * 3 + "q" * 5000, "", "K ſ ﬁ"]
+    assert [g.tolist() for g in coder.encode(pa.array(texts))] == [e.ids for e in plain("word_bpe_49k.json").encode_batch(texts, add_special_tokens=False)]
+    assert {"naïve", "it's", "don't", "ñandú"} <= set(" ".join(seen).split()) and not {"plain", "words", "and", "ones", "zyzzyva"} & set(" ".join(seen).split())
+
+
+def test_a_file_that_changes_plain_words(tmp_path):
+    reference = plain("word_bpe_49k.json")
+    reference.normalizer = normalizers.Sequence([normalizers.Lowercase(), normalizers.Replace("q", "k")])
+    reference.save(str(tmp_path / "other.json"))
+    texts = ["quick words queue", "Plain"]
+    assert [g.tolist() for g in tokens.Encoder(str(tmp_path / "other.json"), False).encode(pa.array(texts))] == [e.ids for e in reference.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_rounds_pass_over_places_that_cannot_be_frequent(monkeypatch):
+    looked, pairs = [], tokenfile._pairs
+    monkeypatch.setattr(tokenfile, "_pairs", lambda keys, frequent: looked.append(len(keys)) or pairs(keys, frequent))
+    rng = np.random.default_rng(5)
+    ids = np.r_[rng.integers(100, 1 << 20, 40_000), np.tile(np.arange(16), 50), np.zeros(1000, np.int64)].astype(np.uint32)
+    grammar = tokenfile.re_pair(ids, least_gain=0.0)
+    assert (grammar.decoded() == ids).all() and len(grammar.sequence) < 40_100
+    assert len(looked) > 5 and looked[0] == len(ids) - 1 and sum(looked[1:]) < 6000
